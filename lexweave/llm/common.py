@@ -143,10 +143,10 @@ def hash_shingles(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[
         if c >= size:
             out[begin[i] : begin[i + 1]] = runs[a : a + c - size + 1]
         elif c:
-            h = np.uint64(c)
+            h = np.array([c], np.uint64)
             for w in words[a : a + c]:
-                h = mix64(np.array([h ^ w]))[0] + np.uint64(0x632BE59BD9B4E019)
-            out[begin[i]] = h
+                h = mix64(h ^ w) + np.uint64(0x632BE59BD9B4E019)
+            out[begin[i]] = h[0]
     return out, begin
 
 

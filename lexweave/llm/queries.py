@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.llm import packing
+from lexweave.llm import jaccard_join, packing
 
 QUERIES = {
+    "op10_ngram_jaccard": jaccard_join.query,
     "op5_packing": packing.query,
 }
 
