@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexweave.llm import jaccard_join, packing
+from lexweave.llm import decontam, jaccard_join, line_dedup, packing
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op8_decontamination": decontam.query,
     "op10_ngram_jaccard": jaccard_join.query,
     "op5_packing": packing.query,
 }
