@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lexweave.llm.common import table, text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
-#: Only words of these characters are left to the faster encoder of the same vocabulary.
-LATIN = re.compile(r"[\x20-\x7e\n\t¡-ɏ]*\Z")
+#: Only words of these characters (or texts of the first 256) are left to the faster encoder of the same vocabulary.
+LATIN = re.compile(r"[\x20-\x7e\n\t\u00a1-\u024f]*\Z")
 UNSAFE_SPACE = re.compile(r" (?=\s|\Z)")
 
 
@@ -51,7 +52,7 @@ class WordIds(dict):
 
         self.slow = Tokenizer.from_file(tokenizer)
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.limit, self.fast = limit, None
+        self.limit, self.fast, self.plain = limit, None, False
         if ranks:
             import tiktoken
 
@@ -60,9 +61,9 @@ class WordIds(dict):
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.fast is not None and LATIN.match(text):
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.fast is not None and (self.plain or LATIN.match(text)):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(" " + word)
@@ -73,12 +74,18 @@ class WordIds(dict):
         return ids
 
     def text_ids(self, text: str) -> np.ndarray:
+        try:
+            self.plain = bool(text.encode("latin-1") or 1)
+        except UnicodeEncodeError:
+            self.plain = False
         if any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
-        if UNSAFE_SPACE.search(text):
-            return np.frombuffer(self.encode(text), "<u4")
-        head, *words = text.split(" ")
-        return np.frombuffer((self.encode(head) if head else b"") + b"".join(map(self.__getitem__, words)), "<u4")
+            ids = array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
+        elif UNSAFE_SPACE.search(text):
+            ids = self.encode(text)
+        else:
+            head, *words = text.split(" ")
+            ids = (self.encode(head) if head else b"") + b"".join(map(self.__getitem__, words))
+        return np.frombuffer(ids, np.uint32)
 
 
 def plan_group(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
