@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexweave.llm import decontam, jaccard_join, line_dedup, packing
+from lexweave.llm import decontam, jaccard_join, line_dedup, packing, quality
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op8_decontamination": decontam.query,
     "op10_ngram_jaccard": jaccard_join.query,
+    "op4_quality_pu": quality.query,
     "op5_packing": packing.query,
 }
 
