@@ -16,7 +16,8 @@ checked in whole numbers. The result is each document's component of links.
    with the rows of the index, not with their square. Links merge into components.
 5. Closing pass: only prefix shingles that still see more than one component are
    left. Pairs of (shingle, component) whose size ranges can match are expanded to
-   members of different components and checked. So every pair of different sets
+   members of different components, which are held against a bound from their
+   prefixes and then checked. So every pair of different sets
    that could link is either checked or already known to be connected.
 
 Empty or null text: an empty set, linked with nothing. Null doc_id: no part in
@@ -153,13 +154,26 @@ def _fits(percent: int, n: str = "n1", m: str = "n2") -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs whose sets reach the threshold."""
+def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v) of the pairs whose sets reach the threshold.
+
+    Members common to two sets are either in both prefixes, or beyond the end of the
+    prefix that ends first. So a pair needs enough common prefix shingles to be worth a look
+    at its sets, and only the sets of such pairs are made and shuffled.
+    """
+    t1, t2 = (per.select(F.col("rep").alias(k), F.col("toks").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "uv")
+    seen = F.size(F.array_intersect("tu", "tv"))
+    beyond = F.ceil(F.greatest("nu", "nv") * F.lit(percent) / F.lit(100)) - 1
+    need = (F.col("nu") + F.col("nv")) * F.lit(percent)  # of (100 + percent) * common
+    pairs = materialize(pairs.join(t1, "u").join(t2, "v").where((seen + beyond) * F.lit(100 + percent) >= need).select("u", "v"))
+    wanted = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct().join(classes.select("rep", "k1"), "rep")
+    sets = materialize(sets_of(docs, wanted, size))
     left = sets.select(F.col("rep").alias("u"), F.col("tokens").alias("tu"))
     right = sets.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
     both = pairs.join(left, "u").join(right, "v")
     common = F.size(F.array_intersect("tu", "tv"))
-    return both.select("u", "v", common.cast("long").alias("i"), (F.size("tu").cast("long") + F.size("tv")).alias("s")).where(f"100 * i >= {percent} * (s - i)").select("u", "v")
+    both = both.select("u", "v", common.cast("long").alias("i"), (F.size("tu").cast("long") + F.size("tv")).alias("s"))
+    return materialize(both.where(f"100 * i >= {percent} * (s - i)").select("u", "v"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -178,7 +192,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # groups: same size and same remaining prefix
     per = live.groupBy("rep", "n").agg(F.sort_array(F.collect_list("tok")).alias("toks"))  # bounded by one document's prefix
-    per = per.withColumn("g", F.xxhash64("toks", "n"))
+    per = materialize(per.withColumn("g", F.xxhash64("toks", "n")))
     groups = per.groupBy("g", "n").agg(F.min("rep").alias("gid"))
     members = per.select("rep", "n", "g").join(groups, ["g", "n"]).select("rep", "n", "g", "gid")
     index = per.join(groups.select(F.col("gid").alias("rep"), F.col("n"), F.lit(True).alias("lead")), ["rep", "n"]).select(F.explode("toks").alias("tok"), F.col("rep").alias("gid"), "n")
@@ -190,14 +204,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     near = index.join(pivot, ["tok", "band"]).where("gid <> pg").where(_fits(percent, "n", "pn")).select(F.col("gid").alias("u"), F.col("pg").alias("v"))
     inner = members.where("rep <> gid").select(F.col("rep").alias("u"), F.col("gid").alias("v"))
     tried = materialize(near.unionByName(inner).distinct())
-    wanted = live.select("rep").distinct().join(classes.select("rep", "k1"), "rep")
-    sets = materialize(sets_of(docs, wanted, size))
-    links = materialize(_verify(tried, sets, percent))
+    links = _verified(tried, per, classes, docs, size, percent)
     labels = connected_components(links)
 
     # closing pass
-    posted = live.unionByName(members.select(F.col("g").alias("tok"), "rep", "n"))
-    posted = posted.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    posted = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", F.coalesce("component", "rep").alias("label"))
     mixed = posted.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tok")
     posted = materialize(posted.join(mixed, "tok"))
     spans = posted.groupBy("tok", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -207,7 +218,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cross = label_pairs.join(m1, ["tok", "l1"]).join(m2, ["tok", "l2"]).where(_fits(percent))
     cross = cross.select(F.greatest("r1", "r2").alias("u"), F.least("r1", "r2").alias("v")).distinct()
     cross = cross.join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-    more = _verify(cross, sets, percent)
+    more = _verified(cross, per, classes, docs, size, percent)
     final = connected_components(links.unionByName(more))
 
     of = keyed.join(classes, ["n", "kk", "k1", "k2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
