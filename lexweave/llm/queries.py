@@ -1,15 +1,20 @@
-"""The queries of this subpackage: one for each operator, and the pipeline."""
+"""The queries of this subpackage: one for each operator."""
 
 from __future__ import annotations
 
-from lexweave.llm import decontam, jaccard_join, line_dedup, packing, quality
+from lexweave.llm import ann, decontam, jaccard_join, line_dedup, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
-    "op8_decontamination": decontam.query,
-    "op10_ngram_jaccard": jaccard_join.query,
+    "op2_url_aliases": url_filters.query,
+    "op3_maxent_lm": lm_scoring.query,
     "op4_quality_pu": quality.query,
     "op5_packing": packing.query,
+    "op6_compact_windows": substring_dedup.query,
+    "op7_secret_ledger": secret_scan.query,
+    "op8_decontamination": decontam.query,
+    "op9_multiprobe_ann": ann.query,
+    "op10_ngram_jaccard": jaccard_join.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
