@@ -48,33 +48,35 @@ ADDED = (
 RULES = BASE + ADDED
 
 
-def match_spans(text: Column, rule: Rule) -> Column:
-    """``array<struct<start, end>>`` of the rule's matches, from matches and the gaps that a split leaves."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value_group))
-    gaps = F.split(text, rule.pattern, -1)
-    sizes = F.zip_with(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    walked = F.aggregate(
-        sizes,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out"),
-        ),
-    )["out"]
-    if rule.least > 1:
-        walked = F.transform(
-            F.filter(F.arrays_zip(walked.alias("s"), values.alias("v")), lambda x: F.length(x["v"]) >= rule.least),
-            lambda x: x["s"],
-        )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _walk(gaps: Column, sizes: Column) -> Column:
+    """Spans from the lengths of the gaps before matches and of the matches."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["g"] + x["m"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out"),
+    )
+    return F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), start, step)["out"]
 
 
 def scan_texts(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``blobs(blob, text)`` → (blob, kind, version, spans), one row for each rule."""
-    each = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), match_spans(F.col("text"), r).alias("spans")) for r in rules]
-    return blobs.select("blob", F.inline(F.array(*each)))
+    """``blobs(blob, text)`` → (blob, kind, version, spans), one row for each rule; with ``_kinds``, only for the rules named there.
+
+    Matches come from one pass of the expression; the gaps between them, which a
+    split gives, are asked for only where there are matches.
+    """
+    n = range(len(rules))
+    of = lambda r: F.array_contains("_kinds", f"{r.kind}:{r.version}") if "_kinds" in blobs.columns else F.lit(True)
+    found = blobs.withColumns({f"_m{k}": F.when(of(r) & F.col("text").rlike(r.pattern), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))) for k, r in enumerate(rules)})
+    hit = found.where(" or ".join(f"_m{k} is not null" for k in n))
+    gaps = {f"_g{k}": F.when(F.col(f"_m{k}").isNotNull(), F.transform(F.split("text", r.pattern, -1), F.length)) for k, r in enumerate(rules)}
+    values = {f"_v{k}": F.when(F.col(f"_m{k}").isNotNull(), F.transform(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.value_group)), F.length)) for k, r in enumerate(rules) if r.least > 1}
+    hit = hit.withColumns(gaps | values).select("blob", *gaps, *values, *[F.transform(f"_m{k}", F.length).alias(f"_m{k}") for k in n])
+    hit = hit.select("blob", *values, *[_walk(F.col(f"_g{k}"), F.col(f"_m{k}")).alias(f"_s{k}") for k in n])
+    long = lambda k, r: F.transform(F.filter(F.arrays_zip(F.col(f"_s{k}").alias("s"), F.col(f"_v{k}").alias("v")), lambda x: x["v"] >= r.least), lambda x: x["s"]) if r.least > 1 else F.col(f"_s{k}")
+    return hit.select("blob", F.inline(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), long(k, r).alias("spans")) for k, r in enumerate(rules)]))).where("size(spans) > 0")
 
 
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
@@ -87,18 +89,13 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
         pairs = blobs.withColumn("_pair", F.explode(F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])))
         have = ledger.select(F.col("blob").alias("_blob"), F.concat_ws(":", "kind", F.col("version").cast("string")).alias("_pair"))
         blobs = pairs.join(have, ["_blob", "_pair"], "left_anti").groupBy("_blob", "_doc").agg(F.collect_set("_pair").alias("_kinds"))  # at most one for each rule
-    texts = docs.join(blobs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("blob") == F.col("_blob")))
-    if ledger is None:
-        return scan_texts(texts, rules)
-    return ledger.select("blob", "kind", "version", "spans").unionByName(_scan_wanted(texts, rules))
-
-
-def _scan_wanted(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    parts = []
-    for r in rules:
-        wanted = F.array_contains("_kinds", f"{r.kind}:{r.version}")
-        parts.append(F.when(wanted, F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), match_spans(F.col("text"), r).alias("spans"))))
-    return texts.select("blob", F.inline(F.filter(F.array(*parts), lambda x: x.isNotNull())))
+    texts = docs.join(blobs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("blob") == F.col("_blob"))).drop("_doc", "_blob", "doc_id")
+    found = scan_texts(texts, rules).dropDuplicates(["blob", "kind", "version"])
+    # a pair without findings is in the ledger as well: it was scanned
+    scanned = blobs.select(F.col("_blob").alias("blob"), F.explode(F.col("_kinds") if ledger is not None else F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])).alias("pair"))
+    scanned = scanned.select("blob", F.substring_index("pair", ":", 1).alias("kind"), F.substring_index("pair", ":", -1).cast("int").alias("version"))
+    new = scanned.join(found, ["blob", "kind", "version"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return new if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(new)
 
 
 def with_blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,30 +106,30 @@ def with_blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, ledger): (doc_id, blob, kind, spans) for every path, and the ledger to keep for the next scan."""
     docs = with_blobs(docs, id_col, text_col)
-    current = materialize(update_ledger(docs, ledger, rules).dropDuplicates(["blob", "kind", "version"]))
+    current = materialize(update_ledger(docs, ledger, rules))
     now = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     used = current.where(F.array_contains(now, F.concat_ws(":", "kind", F.col("version").cast("string"))))
     return docs.select("doc_id", "blob").join(used, "blob").select("doc_id", "blob", "kind", "spans"), current
 
 
 def digest(findings: DataFrame, order: tuple[str, ...] = tuple(r.kind for r in RULES)) -> DataFrame:
-    """One row per blob: counts of the base kinds and spans as text."""
-    base = F.array(*[F.lit(r.kind) for r in BASE])
+    """One row per blob with a finding: counts of the base kinds and spans as text."""
     rank = F.array(*[F.lit(k) for k in order])
     flat = F.transform(F.col("spans"), lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, F.col("kind")).cast("int").alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))
-    per = findings.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(flat))).alias("all"))  # bounded by one blob's spans
+    counts = [F.sum(F.when(F.col("kind") == r.kind, F.size("spans")).otherwise(0)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    base = F.when(F.col("kind").isin([r.kind for r in BASE]), flat)
+    per = findings.groupBy("blob").agg(*counts, F.array_sort(F.flatten(F.collect_list(flat))).alias("all"), F.array_sort(F.flatten(F.collect_list(base))).alias("own"))  # bounded by one blob's spans
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    own = F.filter("all", lambda s: F.array_contains(base, s["kind"]))
-    counts = [F.size(F.filter("all", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return per.select("blob", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined("all").alias("spans"))
+    return per.select("blob", *[f"n_{r.kind}" for r in BASE], F.sha2(joined("own"), 256).alias("base_sha256"), joined("all").alias("spans"))
 
 
 def secrets_by_document(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row."""
     keyed = with_blobs(docs, id_col, text_col)
-    ledger = update_ledger(keyed, None, rules)
-    # blobs without a finding needn't travel: they get the digest of an empty list
-    found = materialize(digest(ledger.where("size(spans) > 0").dropDuplicates(["blob", "kind", "version"])))
+    first = keyed.groupBy("blob").agg(F.min("doc_id").alias("_doc")).withColumnRenamed("blob", "_blob")
+    texts = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("blob") == F.col("_blob"))).select("blob", "text")
+    # a first scan has no ledger, and blobs without a finding needn't travel: they get the digest of an empty list
+    found = materialize(digest(scan_texts(texts, rules).dropDuplicates(["blob", "kind", "version"])))
     joined = keyed.select("doc_id", "blob").join(found, "blob", "left")
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in BASE]
     return joined.select("doc_id", *counts, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
