@@ -11,13 +11,13 @@ checked in whole numbers. The result is each document's component of links.
    by hash. Sets that link share a prefix shingle. Shingles that one class only
    has can't match, so they leave the prefix.
 3. Classes with the same remaining prefix and size form a group.
-4. First pass: each member is checked against its group's least member, and each
-   group against the least group of every prefix shingle and size band: pairs grow
-   with the rows of the index, not with their square. Links merge into components.
+4. First passes: each member is checked against a few members of its group, and each
+   group against one group of every prefix shingle and size band (later each member), all drawn by hash: pairs grow
+   with the rows of the index, not with their square. Links merge into components;
+   passes go on (``passes`` at most) while they gain a fiftieth of the links.
 5. Closing pass: only prefix shingles that still see more than one component are
-   left. Pairs of (shingle, component) whose size ranges can match are expanded to
-   members of different components, which are held against a bound from their
-   prefixes and then checked. So every pair of different sets
+   left. Their members of different components pair if sizes, the shingle's places in
+   either set and the sets' parities leave room for a link, and are then checked. So every pair of different sets
    that could link is either checked or already known to be connected.
 
 Empty or null text: an empty set, linked with nothing. Null doc_id: no part in
@@ -78,7 +78,10 @@ def frequent_shingles(docs: DataFrame, size: int, limit: int = FREQUENT) -> tupl
 
 
 def prefix_table(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, kk, k1, k2, prefix, n_hot): set size, keys of the set, its prefix and how many of that are frequent.
+    """(doc_id, n, kk, k1, k2, prefix, n_hot, bits): set size, keys of the set, its prefix and how many of that are frequent, parities.
+
+    ``bits`` holds, for 512 slots of hashes, whether an odd number of members falls there: two sets
+    differ in at least as many members as their slots differ (Sandes et al., 2017).
 
     A task gives the prefix of equal sets once only (null later), so copies don't multiply in the index.
     """
@@ -96,7 +99,7 @@ def prefix_table(docs: DataFrame, size: int, percent: int, frequent: tuple[np.nd
                 n = len(u)
                 k1 = int(np.bitwise_xor.reduce(u)) if n else 0
                 k2 = int(mix64(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else 0
-                prefix, hots = None, 0
+                prefix, bits, hots = None, None, 0
                 if n and (n, k1, k2) not in seen:
                     if len(seen) < 500_000:
                         seen.add((n, k1, k2))
@@ -110,12 +113,13 @@ def prefix_table(docs: DataFrame, size: int, percent: int, frequent: tuple[np.nd
                             late = u[hot][np.argsort(rank[at[hot]])][: p - len(cold)]
                             prefix, hots = np.concatenate((cold, late)), len(late)
                     prefix = prefix.view(np.int64)
-                rows.append((n, k1 ^ (k2 << 1 & (1 << 64) - 1), k1, k2, prefix, hots))
-            n, kk, k1, k2, prefixes, hots = zip(*rows, strict=True)
+                    bits = np.packbits(np.bincount((u & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
+                rows.append((n, k1 ^ (k2 << 1 & (1 << 64) - 1), k1, k2, prefix, hots, bits))
+            n, kk, k1, k2, prefixes, hots, bits = zip(*rows, strict=True)
             keys = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (kk, k1, k2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), *keys, pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.int32())], names=["doc_id", "n", "kk", "k1", "k2", "prefix", "n_hot"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), *keys, pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "kk", "k1", "k2", "prefix", "n_hot", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, kk long, k1 long, k2 long, prefix array<long>, n_hot int")
+    return docs.mapInArrow(run, "doc_id long, n int, kk long, k1 long, k2 long, prefix array<long>, n_hot int, bits array<long>")
 
 
 #: Bits of the filter that spares documents outside the index the making of their sets.
@@ -154,6 +158,21 @@ def _fits(percent: int, n: str = "n1", m: str = "n2") -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
+SLOTS = [f"s{k}" for k in range(8)]
+
+
+def _early(percent: int) -> str:
+    """Whether enough common members may follow a common shingle at pos1 and pos2, if it is the first."""
+    need = f"{percent} * (n1 + n2) <= {100 + percent}"
+    return f"{need} * (n1 - pos1) and {need} * (n2 - pos2)"
+
+
+def _alike(percent: int, one: str = "1", two: str = "2") -> str:
+    """Whether the parities leave room for a link: (100 + t) * differing members <= (100 - t) * (n1 + n2)."""
+    apart = " + ".join(f"bit_count({s}{one} ^ {s}{two})" for s in SLOTS)
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * (n{one} + n{two})"
+
+
 def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v) of the pairs whose sets reach the threshold.
 
@@ -161,11 +180,12 @@ def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFr
     prefix that ends first. So a pair needs enough common prefix shingles to be worth a look
     at its sets, and only the sets of such pairs are made and shuffled.
     """
-    t1, t2 = (per.select(F.col("rep").alias(k), F.col("toks").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "uv")
+    t1, t2 = (per.select(F.col("rep").alias(k), F.col("toks").alias(f"t{k}"), F.col("n").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in SLOTS]) for k in "uv")
     seen = F.size(F.array_intersect("tu", "tv"))
     beyond = F.ceil(F.greatest("nu", "nv") * F.lit(percent) / F.lit(100)) - 1
-    need = (F.col("nu") + F.col("nv")) * F.lit(percent)  # of (100 + percent) * common
-    pairs = materialize(pairs.join(t1, "u").join(t2, "v").where((seen + beyond) * F.lit(100 + percent) >= need).select("u", "v"))
+    need = (F.col("nu") + F.col("nv")) * F.lit(percent)  # at most (100 + percent) * common
+    pairs = pairs.join(t1, "u").join(t2, "v").where(_alike(percent, "u", "v"))
+    pairs = materialize(pairs.where((seen + beyond) * F.lit(100 + percent) >= need).select("u", "v"))
     wanted = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct().join(classes.select("rep", "k1"), "rep")
     sets = materialize(sets_of(docs, wanted, size))
     left = sets.select(F.col("rep").alias("u"), F.col("tokens").alias("tu"))
@@ -176,48 +196,65 @@ def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFr
     return materialize(both.where(f"100 * i >= {percent} * (s - i)").select("u", "v"))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, passes: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; the threshold is ``percent`` / 100."""
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").where("doc_id is not null")
     raw = materialize(prefix_table(docs, size, percent, frequent_shingles(docs, size)))
-    keyed = raw.groupBy("doc_id").agg(F.min(F.struct("n", "kk", "k1", "k2")).alias("s")).select("doc_id", "s.*")
-    classes = materialize(keyed.where("n > 0").groupBy("n", "kk", "k1", "k2").agg(F.min("doc_id").alias("rep")))
+    keyed = raw.groupBy("doc_id", "n", "kk", "k1", "k2").agg(F.max("bits").alias("bits"))
+    keyed = keyed.groupBy("doc_id").agg(F.min(F.struct("n", "kk", "k1", "k2", "bits")).alias("s")).select("doc_id", "s.*")
+    classes = materialize(keyed.where("n > 0").groupBy("n", "kk", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("bits").alias("bits")))
 
     # prefix shingles of two classes at least; frequent ones have them, and are dealt by class as well
     entries = raw.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "tok"), "n", "kk", (F.size("prefix") - F.col("n_hot")).alias("cold"))
-    entries = entries.select("tok", F.when(F.col("pos") >= F.col("cold"), F.pmod("kk", F.lit(64)) + 1).otherwise(0).cast("int").alias("salt"), "n", "kk")
+    entries = entries.select("tok", F.when(F.col("pos") >= F.col("cold"), F.pmod("kk", F.lit(64)) + 1).otherwise(0).cast("int").alias("salt"), "pos", "n", "kk")
     once = entries.repartition("tok", "salt").dropDuplicates(["tok", "salt", "n", "kk"])
     twice = once.withColumn("c", F.count("*").over(Window.partitionBy("tok", "salt"))).where("c > 1 or salt > 0")
-    live = materialize(twice.select("tok", "n", "kk").join(classes.select("n", "kk", "rep"), ["n", "kk"]).select("tok", "rep", "n"))
+    live = materialize(twice.select("tok", "pos", "n", "kk").join(classes.select("n", "kk", "rep"), ["n", "kk"]).select("tok", "pos", "rep", "n"))
 
     # groups: same size and same remaining prefix
-    per = live.groupBy("rep", "n").agg(F.sort_array(F.collect_list("tok")).alias("toks"))  # bounded by one document's prefix
+    toks = F.array_sort(F.collect_list(F.struct("tok", "pos")))  # bounded by one document's prefix
+    per = live.groupBy("rep", "n").agg(toks.alias("places")).withColumn("toks", F.col("places.tok"))
+    per = per.join(classes.select("rep", *[F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(SLOTS)]), "rep")
     per = materialize(per.withColumn("g", F.xxhash64("toks", "n")))
     groups = per.groupBy("g", "n").agg(F.min("rep").alias("gid"))
-    members = per.select("rep", "n", "g").join(groups, ["g", "n"]).select("rep", "n", "g", "gid")
-    index = per.join(groups.select(F.col("gid").alias("rep"), F.col("n"), F.lit(True).alias("lead")), ["rep", "n"]).select(F.explode("toks").alias("tok"), F.col("rep").alias("gid"), "n")
-
-    # first pass
-    band = F.floor(F.log(F.col("n")) / F.lit(0.11)).alias("band")
-    index = index.select("tok", "gid", "n", band)
-    pivot = index.groupBy("tok", "band").agg(F.min(F.struct("gid", "n")).alias("p")).select("tok", "band", F.col("p.gid").alias("pg"), F.col("p.n").alias("pn"))
-    near = index.join(pivot, ["tok", "band"]).where("gid <> pg").where(_fits(percent, "n", "pn")).select(F.col("gid").alias("u"), F.col("pg").alias("v"))
-    inner = members.where("rep <> gid").select(F.col("rep").alias("u"), F.col("gid").alias("v"))
-    tried = materialize(near.unionByName(inner).distinct())
-    links = _verified(tried, per, classes, docs, size, percent)
-    labels = connected_components(links)
+    members = per.select("rep", "n", "g").join(groups, ["g", "n"]).select("rep", "n", "gid")
+    index = per.join(groups.select(F.col("gid").alias("rep"), "n"), ["rep", "n"]).select(F.inline("places"), F.col("rep").alias("gid"), "n")
+    index = index.withColumn("label", F.lit(None).cast("long"))
+
+    # first passes: each shingle has its own pivot in each size band, and each group a few, drawn by hash, so members of a
+    # loose group meet many; bands shift by half from pass to pass; later passes take all members where components still meet
+    links = tried = None
+    for turn in range(passes):
+        src = index.withColumnRenamed("gid", "rep") if turn == 0 else posted  # noqa: F821
+        src = src.withColumn("band", F.floor(F.log("n") / F.lit(0.2) + F.lit(turn % 2 / 2)))
+        draw = F.struct(F.xxhash64("rep", "tok", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+        pivot = src.groupBy("tok", "band").agg(F.min(draw).alias("p")).select("tok", "band", "p.*")
+        met = src.withColumnsRenamed({"n": "n1", "pos": "pos1", "rep": "a"}).join(pivot, ["tok", "band"])
+        met = met.where("a <> b and (label is null or label <> label2)").where(_fits(percent)).where(_early(percent)).select("a", "b")
+        own = [F.min(F.struct(F.xxhash64("rep", F.lit(turn), F.lit(k)), "rep")).alias(f"m{k}") for k in range(4)]
+        inner = members.groupBy("gid").agg(F.count("*").alias("c"), *own).where("c > 1").select("gid", F.explode(F.array("gid", *[f"m{k}.rep" for k in range(4)])).alias("b"))
+        inner = members.join(inner.distinct(), "gid").where("rep <> b").select(F.col("rep").alias("a"), "b")
+        met = met.unionByName(inner).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        if turn:
+            u, v = (labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "uv")
+            met = met.join(u, "u", "left").join(v, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v").join(tried, ["u", "v"], "left_anti")
+        pairs = materialize(met)
+        found = _verified(pairs, per, classes, docs, size, percent)
+        gained = found.count()
+        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+        labels = materialize(connected_components(links))
+        posted = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "pos", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        mixed = posted.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tok")
+        posted = materialize(posted.join(mixed, "tok"))
+        if turn > 1 and gained * 50 < links.count():
+            break
 
     # closing pass
-    posted = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", F.coalesce("component", "rep").alias("label"))
-    mixed = posted.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tok")
-    posted = materialize(posted.join(mixed, "tok"))
-    spans = posted.groupBy("tok", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    s1, s2 = (spans.select("tok", F.col("label").alias(f"l{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (1, 2))
-    label_pairs = s1.join(s2, "tok").where(f"l1 < l2 and 100 * hi2 >= {percent} * lo1 and 100 * hi1 >= {percent} * lo2").select("tok", "l1", "l2")
-    m1, m2 = (posted.select("tok", F.col("label").alias(f"l{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
-    cross = label_pairs.join(m1, ["tok", "l1"]).join(m2, ["tok", "l2"]).where(_fits(percent))
+    full = posted.join(per.select("rep", *SLOTS), "rep")
+    m1, m2 = (full.select("tok", *[F.col(c).alias(f"{c}{k}") for c in ("label", "rep", "n", "pos", *SLOTS)]) for k in (1, 2))
+    cross = m1.join(m2, "tok").where("label1 < label2").where(_fits(percent)).where(_early(percent)).where(_alike(percent)).select(F.col("rep1").alias("r1"), F.col("rep2").alias("r2"))
     cross = cross.select(F.greatest("r1", "r2").alias("u"), F.least("r1", "r2").alias("v")).distinct()
-    cross = cross.join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
+    cross = cross.join(tried, ["u", "v"], "left_anti")
     more = _verified(cross, per, classes, docs, size, percent)
     final = connected_components(links.unionByName(more))
 
