@@ -73,9 +73,9 @@ def public_view(jobs: DataFrame) -> DataFrame:
 def active_time(events: DataFrame, key: str, at: str, status: str) -> DataFrame:
     """Milliseconds in ``processing``: from each such event to the key's next event; an open one doesn't count."""
     w = Window.partitionBy(key).orderBy(at, status)
-    ms = lambda c: F.unix_millis(c.cast("timestamp"))
-    spent = F.when(F.col(status) == "processing", ms(F.lead(at).over(w)) - ms(F.col(at)))
-    return events.withColumn("_ms", spent).groupBy(key).agg(F.coalesce(F.sum("_ms"), F.lit(0)).alias("active_ms"), F.count("*").alias("n_events"))
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    spent = F.when(F.col(status) == "processing", us(F.lead(at).over(w)) - us(F.col(at)))
+    return events.withColumn("_us", spent).groupBy(key).agg(F.floor(F.coalesce(F.sum("_us"), F.lit(0)) / 1000).alias("active_ms"), F.count("*").alias("n_events"))
 
 
 #: Transitions a job may take.

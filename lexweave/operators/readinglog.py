@@ -66,5 +66,5 @@ def latest_rows(log: DataFrame, key: str = "id", version: str = "version", delet
 
 def device_search(books: DataFrame, query: str) -> DataFrame:
     """Books whose title, file or authors contain the query without regard to case and accents; devices without a hit drop out."""
-    text = F.concat_ws(" ", "title", "file_name", "authors").collate("UNICODE_CI_AI")
-    return books.where(text.contains(F.lit(query.strip()).collate("UNICODE_CI_AI")))
+    text = F.collate(F.concat_ws(" ", "title", "file_name", "authors"), "UNICODE_CI_AI")
+    return books.where(text.contains(F.collate(F.lit(query.strip()), "UNICODE_CI_AI")))

@@ -1,4 +1,6 @@
 """Registered queries of the library's own operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lexweave.queries import library, text
+
+QUERIES = {**text.QUERIES, **library.QUERIES}
+ORACLE_SQL = {**text.ORACLE_SQL, **library.ORACLE_SQL}
