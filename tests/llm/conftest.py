@@ -1,9 +1,4 @@
-import pytest
-from pyspark.sql import SparkSession
+import sys
+from pathlib import Path
 
-
-@pytest.fixture(scope="session")
-def spark():
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.default.parallelism", "4").getOrCreate()
-    session.sparkContext.setLogLevel("ERROR")
-    return session
+sys.path.insert(0, str(Path(__file__).resolve().parent))
