@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from lexweave.llm import ann, decontam, jaccard_join, line_dedup, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filters
+from lexweave.llm.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,4 +20,4 @@ QUERIES = {
     "op10_ngram_jaccard": jaccard_join.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
