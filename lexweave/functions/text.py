@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: what a browser's trim() strips.
 TRIMMED = "\t\n\x0b\x0c\r \xa0                　﻿"
@@ -38,12 +39,12 @@ def normalized_isbn(c: Column) -> Column:
     return F.when(F.length(x).isin(10, 13), x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
