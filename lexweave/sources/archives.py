@@ -143,7 +143,8 @@ def epub_metadata(entries: DataFrame) -> DataFrame:
                     row.setdefault(name, text)
             items = [e for e in opf.iter() if local(e) == "item"]
             legacy = next((e.attrib.get("content") for e in opf.iter() if local(e) == "meta" and e.attrib.get("name") == "cover"), None)
-            cover = next((i for i in items if "cover-image" in i.attrib.get("properties", "").split()), None) or next((i for i in items if legacy and i.attrib.get("id") == legacy), None)
+            covers = [i for i in items if "cover-image" in i.attrib.get("properties", "").split()] + [i for i in items if legacy and i.attrib.get("id") == legacy]
+            cover = covers[0] if covers else None
             if cover is not None:
                 row["cover_path"] = posixpath.normpath(posixpath.join(posixpath.dirname(opf_path), unquote(cover.attrib.get("href", ""))))
         except Exception as e:  # noqa: BLE001
