@@ -263,9 +263,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component; other columns as they are."""
-    kept = jaccard_components(docs, **kwargs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(kwargs.get("id_col", "doc_id")) == F.col("_kept"), "left_semi")
+    """``docs`` without the documents that aren't the least of their component; rows without an id stay, columns are as they are."""
+    gone = jaccard_components(docs, **kwargs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col(kwargs.get("id_col", "doc_id")) == F.col("_gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
