@@ -13,8 +13,7 @@ checked in whole numbers. The result is each document's component of links.
 3. Classes with the same remaining prefix and size form a group.
 4. First passes: each member is checked against a few members of its group, and each
    group against one group of every prefix shingle and size band (later each member), all drawn by hash: pairs grow
-   with the rows of the index, not with their square. Links merge into components;
-   passes go on (``passes`` at most) while they gain a fiftieth of the links.
+   with the rows of the index, not with their square. Links merge into components.
 5. Closing pass: only prefix shingles that still see more than one component are
    left. Their members of different components pair if sizes, the shingle's places in
    either set and the sets' parities leave room for a link, and are then checked. So every pair of different sets
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import hash_shingles, hash_words, materialize, mix64, table, text_slices, unique_sorted
-from lexweave.llm.components import connected_components
+from lexweave.llm.components import connected_components, partial_components
 
 #: Bound of the driver's list of frequent shingles: 8 bytes each, with their counts.
 FREQUENT = 65_536
@@ -196,7 +195,15 @@ def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFr
     return materialize(both.where(f"100 * i >= {percent} * (s - i)").select("u", "v"))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, passes: int = 6) -> DataFrame:
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, component): the least node within two links, enough to tell between passes what is already connected."""
+    ties = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = ties.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
+    further = least.select(F.col("node").alias("m"), F.col("m").alias("component"))
+    return least.join(further, "m").select("node", "component")
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, passes: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; the threshold is ``percent`` / 100."""
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").where("doc_id is not null")
     raw = materialize(prefix_table(docs, size, percent, frequent_shingles(docs, size)))
@@ -240,14 +247,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             met = met.join(u, "u", "left").join(v, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v").join(tried, ["u", "v"], "left_anti")
         pairs = materialize(met)
         found = _verified(pairs, per, classes, docs, size, percent)
-        gained = found.count()
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
-        labels = materialize(connected_components(links))
+        labels = materialize(partial_components(links, 3) if turn == passes - 1 else _near_labels(links))
         posted = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "pos", "rep", "n", F.coalesce("component", "rep").alias("label"))
         mixed = posted.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tok")
         posted = materialize(posted.join(mixed, "tok"))
-        if turn > 1 and gained * 50 < links.count():
-            break
 
     # closing pass
     full = posted.join(per.select("rep", *SLOTS), "rep")
