@@ -131,13 +131,13 @@ def duplicate_lines(docs: DataFrame, *, rare: int = 20, mass_words: int = 30, mi
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` with the text of later documents shortened, and ``_lines``, ``_deleted``: its non-blank lines and those cut."""
-    cuts = duplicate_lines(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), **kwargs)
+    cuts = duplicate_lines(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), **kwargs).withColumnRenamed("cut", "_cut")
     joined = docs.join(cuts, (docs[id_col].cast("long") == cuts["_later"]) & (F.xxhash64(docs[text_col]) == cuts["_print"]), "left")
     lines = F.split(F.col(text_col), "\n")
     count = F.size(F.filter(lines, lambda x: x.rlike(FILLED)))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("cut")), lambda i: F.get(lines, i))
-    short = F.when(F.col("cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[short.alias(c) if c == text_col else docs[c] for c in docs.columns], F.when(F.col(text_col).isNull(), 0).otherwise(count).alias("_lines"), F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).alias("_deleted"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut")), lambda i: F.get(lines, i))
+    short = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[short.alias(c) if c == text_col else docs[c] for c in docs.columns], F.when(F.col(text_col).isNull(), 0).otherwise(count).alias("_lines"), F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("_deleted"))
 
 
 def without_emptied(docs: DataFrame, **kwargs) -> DataFrame:
