@@ -5,16 +5,22 @@ others, so a window with substituted words still matches where the mask doesn't
 look. The hashes of all masks at all places of the benchmark are joined with
 those of the documents; around each hit the document's words are held against
 the item's on the same diagonal, and a run with at most one substitution in five
-words, of ``min_words`` words or the whole item if shorter, counts as an overlap.
+words, of ``min_words`` words or the whole item if shorter, counts as an overlap:
+of each diagonal the longest such run is taken.
+
+The masks together meet every such run of ten words at least, wherever its
+substitutions are. (A run of 26 words has a half that keeps the rule, so runs of up to
+25 words decide; a test goes through all their placements.)
 
 Documents send only windows that pass a fixed-size filter of the benchmark's
-hashes (4 MB, two probes), however large the benchmark is; the join then decides,
+hashes (4 MB, three probes), however large the benchmark is; the join then decides,
 so the filter never changes the result. Windows are merged into regions before
 the shuffle, so a passage costs one row.
 
-Items shorter than the shortest mask are found by a mask of their own length
-without gaps; items under ``least_item`` words are ignored, since so few common
-words prove nothing. Null or empty texts and items match nothing. Null ids: the
+Items under ten words (or shorter than every mask) have masks of their own length,
+each of which ignores some words, so that one of them misses all substitutions the
+rule allows; items under ``least_item`` words are ignored, since so few common words
+prove nothing. Null or empty texts and items match nothing. Null ids: the
 row takes no part (and stays, where documents are filtered). Repeated rows give
 the same overlap, once. Empty tables give no rows. Only ids and texts are read.
 """
@@ -22,6 +28,7 @@ the same overlap, once. Empty tables give no rows. Only ids and texts are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +37,29 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import hash_words, materialize, mix64, table, text_slices
 
-MASKS = ("1110110111", "11101001011001", "110101101011")
+MASKS = ("1110110111", "11101001011001", "110101101011", "1110111", "11011011", "1100001111", "111111", "111100011", "110110101")
 FILTER_BITS = 25
+PROBES = (0, FILTER_BITS, 64 - FILTER_BITS)
+
+
+def own_masks(n: int) -> list[str]:
+    """Masks of ``n`` places of which one misses every choice of ``n // 5`` places."""
+    wrong = n // 5
+    parts = -(-n // max(1, n - 6)) if wrong == 1 else wrong + 2
+    if not wrong:
+        return ["1" * n]
+    gone = combinations(np.array_split(np.arange(n), parts), wrong)
+    return ["".join("0" if k in out else "1" for k in range(n)) for out in (set(np.concatenate(g).tolist()) for g in gone)]
 
 
-def _seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def masks_of(n: int, masks: list[str]) -> list[str]:
+    """The masks for an item of ``n`` words."""
+    return own_masks(n) if n < max(10, min(map(len, masks))) else masks
+
+
+def _seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """The hash under ``mask`` at every start; words the mask ignores don't count."""
-    n = len(words) - len(mask) + 1
+    n, salt = len(words) - len(mask) + 1, int(f"1{mask}", 2)
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (1 << 64) - 1), np.uint64)
@@ -57,13 +80,11 @@ def _benchmark(items: DataFrame, masks: list[str], least_item: int) -> tuple[Dat
             yield out
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shortest = min(map(len, masks))
         for batch in batches:
             for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = np.frombuffer(raw, np.uint64)
-                own = masks if len(words) >= shortest else ["1" * len(words)]
-                for m in own:
-                    h = _seed_hashes(words, m, len(m) if m not in masks else 100 + masks.index(m))
+                for m in masks_of(len(words), masks):
+                    h = _seed_hashes(words, m)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item, np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "item", "ipos"])
 
     texts = items.mapInArrow(read, "item long, w binary, n int").where(F.col("n") >= least_item).dropDuplicates(["item", "w"])
@@ -73,7 +94,7 @@ def _benchmark(items: DataFrame, masks: list[str], least_item: int) -> tuple[Dat
 
 def _filter_bits(seeds: DataFrame) -> np.ndarray:
     size = 1 << FILTER_BITS
-    slots = seeds.select(F.explode(F.array(F.pmod("h", F.lit(size)), F.pmod(F.shiftright("h", FILTER_BITS), F.lit(size)))).alias("s")).select((F.col("s") + 1).alias("s"))
+    slots = seeds.select(F.explode(F.array(*[F.pmod(F.shiftright("h", p), F.lit(size)) for p in PROBES])).alias("s")).select((F.col("s") + 1).alias("s"))
     bits = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     mask = np.zeros(size // 8, np.uint8)
     for r in bits.toLocalIterator():  # at most 1024 rows of 4 KB
@@ -81,15 +102,24 @@ def _filter_bits(seeds: DataFrame) -> np.ndarray:
     return np.unpackbits(mask, bitorder="little").view(bool) if size <= 1 << 25 else mask
 
 
-def best_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, matches) of the run with the most matches over four times its mismatches."""
+def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(start, length, matches) of the longest run with at most a fifth of substitutions, if it has ``least`` words.
+
+    Substitutions at its ends are left out as far as ``least`` words remain.
+    """
     same = a == b
-    gain = np.where(same, 1, -4)
-    total = np.concatenate(([0], np.cumsum(gain)))
-    low = np.minimum.accumulate(total[:-1])
-    end = int(np.argmax(total[1:] - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end + 1 - start, int(same[start : end + 1].sum())
+    total = np.concatenate(([0], np.cumsum(np.where(same, -1, 4))))  # no more at a run's end than at its start
+    first = np.searchsorted(np.maximum.accumulate(total), total)
+    n = np.arange(len(total)) - first
+    end = int(np.argmax(n))
+    start = int(first[end])
+    if end - start < max(least, 1):
+        return None
+    while end - start > least and not same[end - 1]:
+        end -= 1
+    while end - start > least and not same[start]:
+        start += 1
+    return start, end - start, int(same[start:end].sum())
 
 
 def find_overlaps(
@@ -109,10 +139,9 @@ def find_overlaps(
     masks = list(masks)
     items = items.selectExpr(f"cast(`{item_id}` as long) as item", f"`{item_text}` as text").where("item is not null")
     texts, seeds = _benchmark(items, masks, least_item)
-    shortest = min(map(len, masks))
-    short = [r["n"] for r in texts.where(F.col("n") < shortest).select("n").distinct().collect()]  # fewer values than a mask has places
+    short = [r["n"] for r in texts.where(F.col("n") < max(10, min(map(len, masks)))).select("n").distinct().collect()]  # fewer values than a mask has places
     bits = np.packbits(_filter_bits(seeds), bitorder="little")
-    all_masks = [(m, 100 + k) for k, m in enumerate(masks)] + [("1" * n, n) for n in sorted(short)]
+    all_masks = list(dict.fromkeys([*masks, *(m for n in sorted(short) for m in own_masks(n))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(bits, bitorder="little").view(bool)
@@ -120,10 +149,11 @@ def find_overlaps(
         for part, t in text_slices(batches, "text"):
             words, first = hash_words(t)
             found = []
-            for m, salt in all_masks:
-                h = _seed_hashes(words, m, salt)
-                at = np.flatnonzero(on[(h & low).astype(np.int64)])
-                at = at[on[(h[at] >> np.uint64(FILTER_BITS) & low).astype(np.int64)]]
+            for m in all_masks:
+                h = _seed_hashes(words, m)
+                at = np.arange(len(h))
+                for p in PROBES:
+                    at = at[on[(h[at] >> np.uint64(p) & low).astype(np.int64)]]
                 doc = np.searchsorted(first, at, "right") - 1
                 inside = at + len(m) <= first[doc + 1]
                 found.append((at[inside], h[at[inside]], doc[inside]))
@@ -137,7 +167,7 @@ def find_overlaps(
             rows = []
             for group in np.split(np.arange(len(at)), cuts):
                 d = doc[group[0]]
-                a, b = max(first[d], at[group[0]] - context), min(first[d + 1], at[group[-1]] + context + max(map(len, masks)))
+                a, b = max(first[d], at[group[0]] - context), min(first[d + 1], at[group[-1]] + context + max(map(len, all_masks)))
                 rows.append((ids[d], int(a - first[d]), words[a:b].tobytes(), h[group].view(np.int64), (at[group] - first[d]).astype(np.int32)))
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "w", "hs", "ps"])
@@ -157,8 +187,9 @@ def find_overlaps(
                 i0, i1 = max(0, -d), min(len(b), len(a) - d)
                 if i1 <= i0:
                     continue
-                s, n, same = best_run(a[i0 + d : i1 + d], b[i0:i1])
-                if n >= min(min_words, len(b)):
+                run = longest_run(a[i0 + d : i1 + d], b[i0:i1], min(min_words, len(b)))
+                if run:
+                    s, n, same = run
                     rows.append((doc, item, start + d + i0 + s, i0 + s, n, same))
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4
             columns = list(zip(*rows, strict=True)) or [()] * 6

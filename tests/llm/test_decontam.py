@@ -1,6 +1,9 @@
 import random
+from itertools import combinations
 
-from lexweave.llm.decontam import decontaminate, find_overlaps
+import numpy as np
+
+from lexweave.llm.decontam import MASKS, decontaminate, find_overlaps, longest_run, masks_of
 
 
 def corpus():
@@ -39,3 +42,41 @@ def test_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert find_overlaps(d, i).count() == 0 and decontaminate(d, i).count() == 1
     assert find_overlaps(d.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_masks_meet_every_run_of_the_rule():
+    # runs of up to 25 words decide, as of a longer one a half keeps the rule; longer ones of as many substitutions hold shorter ones
+    for n, wrong in [(5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (15, 3), (20, 4), (25, 5)]:
+        left = np.array([sum(1 << k for k in places) for places in combinations(range(n), wrong)])
+        for m in masks_of(n, list(MASKS)):
+            for shift in range(n - len(m) + 1):
+                left = left[left & int(m[::-1], 2) << shift != 0]
+        assert not len(left), n
+
+
+def test_longest_run_keeps_the_rule_and_misses_none():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n, least = int(r.integers(1, 40)), int(r.integers(1, 14))
+        same = r.random(n) < 0.8
+        ok = [j - i for i in range(n) for j in range(i + least, n + 1) if (~same[i:j]).sum() * 5 <= j - i]
+        got = longest_run(same, np.ones(n, bool), least)
+        assert (got is None) == (not ok)
+        if got:
+            s, k, hits = got
+            assert least <= k <= max(ok) and hits == same[s : s + k].sum() and (k - hits) * 5 <= k
+
+
+def test_changed_words_are_found_wherever_they_stand(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=8))
+    items, docs, want = [], [], set()
+    for n, wrong in [(5, 1), (7, 1), (9, 1), (12, 1), (12, 2), (15, 1), (15, 2), (18, 2), (19, 3), (30, 5)]:
+        item = [word() for _ in range(n)]
+        items.append((len(items), " ".join(item)))
+        for places in r.sample(list(combinations(range(n), wrong)), min(n, 20)) if n < 30 else [r.sample(range(n), wrong) for _ in range(20)]:
+            text = [word() if k in places else w for k, w in enumerate(item)]
+            want.add((len(docs), items[-1][0]))
+            docs.append((len(docs), " ".join([word() for _ in range(9)] + text + [word() for _ in range(9)])))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in find_overlaps(d, i).collect()} == want
