@@ -1,13 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-1. Every non-blank line is hashed. A line held by two documents at least is shared;
-   its first holder is the least doc_id that has it.
+1. Every non-blank line is hashed; so are, from each line on, the shortest run of lines
+   with ``mass_words`` words, and the whole document. What two documents at least hold
+   is shared; its first holder is the least doc_id that has it.
 2. A document pairs with the first holders of its shared lines. A pair counts as
    overlapping if one of its shared lines is rare (held by at most ``rare``
-   documents) or its shared lines together have ``mass_words`` words. So copies and
+   documents), its shared lines together have ``mass_words`` words (repeats counted as
+   often as both hold them), or they share a run or are the same. So copies and
    long passages are found however many documents hold them, and a short line that
    half of the corpus carries is no evidence by itself. The pairs are at most the
-   shared lines of a document, never all pairs of a line's holders.
+   shared lines and runs of a document, never all pairs of a line's holders. Words are
+   those of the library, or one for eight characters where that is more (text without
+   spaces).
 3. Each pair is aligned with patience diff: lines that both hold once are matched,
    their longest increasing run gives anchors, anchors grow over equal neighbours,
    and the gaps between anchors are aligned in the same way.
@@ -31,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize, table
+from lexweave.llm.common import _powers, materialize, mix64, table
+
+SLICE_LINES = 1 << 18
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -109,18 +115,52 @@ def _aligned(min_block_words: int):
     return run
 
 
+def _keys(mass_words: int):
+    """(doc_id, h, w, c): the distinct lines of each document with words and count, its runs and the whole of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_LINES, "right")))
+                part = batch.slice(at, stop - at)
+                ids, hs, ws = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy().astype(np.int64)
+                first = np.concatenate(([0], ends[at:stop] - (ends[at - 1] if at else 0)))
+                doc = np.repeat(np.arange(len(ids)), np.diff(first))
+                power, inverse = _powers(len(hs) + 1)
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(hs.view(np.uint64)) * power[: len(hs)])))
+                chain = lambda a, b: mix64((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)  # noqa: B023, E731
+                words = np.concatenate(([0], np.cumsum(ws)))
+                a = np.arange(len(hs))
+                b = np.searchsorted(words, words[:-1] + mass_words)
+                a = a[(b <= first[doc + 1]) & (b > a + 1)]  # a line of so many words is evidence as it is
+                runs = chain(a, b[a]) if len(a) else np.zeros(0, np.int64)
+                every = np.concatenate((hs, runs, ~chain(first[:-1], first[1:])))  # the whole apart from a run of the same lines
+                owner = np.concatenate((doc, doc[a], np.arange(len(ids))))
+                worth = np.concatenate((ws, np.full(len(runs) + len(ids), mass_words)))
+                order = np.lexsort((every, owner))
+                every, owner, worth = every[order], owner[order], worth[order]
+                new = np.flatnonzero(np.concatenate(([True], (every[1:] != every[:-1]) | (owner[1:] != owner[:-1]))))
+                count = np.diff(np.append(new, len(every)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[new]]), pa.array(every[new]), pa.array(worth[new].astype(np.int32)), pa.array(count.astype(np.int32))], names=["doc_id", "h", "w", "c"])
+                at = stop
+
+    return run
+
+
 FILLED = "[^\\x20\\x09-\\x0D]"
 
 
 def duplicate_lines(docs: DataFrame, *, rare: int = 20, mass_words: int = 30, min_block_words: int = 1) -> DataFrame:
     """``docs(doc_id, text)`` → (_later, _print, cut): places of the lines that are to go from a document with this text hash."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int").alias("w"), i.cast("int").alias("i"), x.rlike(FILLED).alias("f")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.greatest(F.regexp_count(x, F.lit(f"{FILLED}+")), F.ceil(F.length(x) / 8)).cast("int").alias("w"), i.cast("int").alias("i"), x.rlike(FILLED).alias("f")))
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("fp"), F.filter(lines, lambda x: x["f"]).alias("x"))
     rows = rows.where("size(x) > 0").select("doc_id", "fp", F.col("x.h").alias("hs"), F.col("x.w").alias("ws"), F.col("x.i").alias("ix"))
     arrays = materialize(rows.groupBy("doc_id").agg(F.min(F.struct("fp", "hs", "ws", "ix")).alias("s")).select("doc_id", "s.*"))
-    each = arrays.select("doc_id", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select("doc_id", F.col("x.hs").alias("h"), F.col("x.ws").alias("w")).dropDuplicates(["doc_id", "h"])
-    held = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    pairs = each.join(held, "h").where("doc_id <> first").groupBy("doc_id", "first").agg(F.min("df").alias("least"), F.sum("w").alias("words"))
+    each = arrays.select("doc_id", "hs", "ws").mapInArrow(_keys(mass_words), "doc_id long, h long, w int, c int")
+    held = each.groupBy("h").agg(F.min(F.struct("doc_id", "c")).alias("m"), F.count("*").alias("df")).where("df > 1").select("h", "df", F.col("m.doc_id").alias("first"), F.col("m.c").alias("fc"))
+    pairs = each.join(held, "h").where("doc_id <> first").groupBy("doc_id", "first").agg(F.min("df").alias("least"), F.sum(F.col("w").cast("long") * F.least("c", "fc")).alias("words"))
     pairs = pairs.where((F.col("least") <= rare) | (F.col("words") >= mass_words)).select("doc_id", "first")
     # the first holder's lines come by a join on its id, which can be split where one document is first for many
     b = pairs.join(arrays, "doc_id").select("doc_id", "fp", "first", F.col("hs").alias("b"), "ws", "ix")

@@ -59,3 +59,17 @@ def test_every_deleted_line_is_in_an_earlier_document(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_and_passages_of_common_lines_are_found(spark):
+    short, tabs, han = "a short note\nof two lines", [f"x{k}\ty\tz\tw\tv\tu" for k in range(6)], ["\u8a9e" * 60 + str(k) for k in range(5)]
+    docs = {d: short for d in range(100, 130)}  # more copies than a rare line has
+    docs |= {200 + d: "\n".join([f"own {d}", *tabs]) for d in range(25)} | {300 + d: "\n".join([f"own {d} too", *han]) for d in range(25)}
+    docs |= {400 + d: "\n".join([f"mine {d}", *["la la"] * 20]) for d in range(25)}
+    # each line of the passage is common and first held by another document; the passage first stands in 2000
+    passage = [f"common line {k} of eight words in it" for k in range(8)]
+    docs |= {1000 + d: f"head {d}\n{passage[d % 8]}\nfoot {d}" for d in range(176)} | {2000: "\n".join(["first", *passage]), 2001: "\n".join(["second", *passage])}
+    out = {r.doc_id: r._deleted for r in dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    for base, n, lines in [(100, 30, 2), (200, 25, 6), (300, 25, 5), (400, 25, 20)]:
+        assert out[base] == 0 and {out[base + d] for d in range(1, n)} == {lines}, base
+    assert all(out[1000 + d] == 0 for d in range(176)) and out[2000] == 0 and out[2001] == 8
