@@ -1,9 +1,9 @@
 """Cost-balanced packing of tokenised documents into fixed-length sequences.
 
-Every document's ids (its own, then one end id) are cut into full sequences of
-``capacity`` ids; what is left of each document (shorter than ``capacity``) goes,
-in descending order of estimated cost, to the open sequence of lowest cost that
-has room for it. Cost of a piece of n ids is ``linear * n + quadratic * n * n``.
+Pieces go, in descending order of estimated cost, to the open sequence of lowest cost
+that has room for them. Cost of a piece of n ids is ``linear * n + quadratic * n * n``. A document's
+ids are its own, then one end id. Its runs of ``capacity`` ids are the costliest pieces and
+each fill a fresh sequence; what is left of each document (shorter than ``capacity``) follows.
 A piece that fits nowhere whole is cut to fill the cheapest open sequence, so all
 sequences are full but for the last ids of a group of documents, which fill
 sequences whose lengths are powers of two and so need no padding either.
@@ -88,38 +88,64 @@ class WordIds(dict):
         return np.frombuffer(ids, np.uint32)
 
 
+class Cheapest:
+    """Open sequences by free room; the cheapest with at least so much room is found in a tree over rooms."""
+
+    def __init__(self, room: int):
+        self.base = 1 << room.bit_length()
+        self.held: list[list[tuple[float, int]]] = [[] for _ in range(self.base)]
+        self.least: list[tuple[float, int, int] | None] = [None] * (2 * self.base)
+
+    def _renew(self, room: int) -> None:
+        own = self.held[room]
+        node = room + self.base
+        self.least[node] = (*own[0], room) if own else None
+        while node > 1:
+            node >>= 1
+            left, right = self.least[2 * node], self.least[2 * node + 1]
+            self.least[node] = left if right is None or left is not None and left < right else right
+
+    def add(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.held[room], (cost, sequence))
+        if self.held[room][0] == (cost, sequence):
+            self._renew(room)
+
+    def take(self, need: int) -> tuple[float, int, int] | None:
+        """Remove and return (cost, sequence, room) of the cheapest with room for ``need``; ties go to the smaller number."""
+        node = need + self.base
+        best = self.least[node]
+        while node > 1:
+            other = None if node & 1 else self.least[node + 1]
+            if other is not None and (best is None or other < best):
+                best = other
+            node >>= 1
+        if best is not None:
+            heapq.heappop(self.held[best[2]])
+            self._renew(best[2])
+        return best
+
+
 def plan_group(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
-    """Place pieces of the given lengths (each below ``capacity``).
+    """Place pieces of the given lengths (each below ``capacity``), longest first, each where it costs least and fits.
 
     Returns rows (piece, start within the piece, length, sequence, offset) and each sequence's size.
     """
     total = sum(lengths)
     sizes = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1]
-    cost = lambda n: linear * n + quadratic * n * n
     waiting = [(-n, i, 0) for i, n in enumerate(lengths) if n]
     heapq.heapify(waiting)
-    fill, spent = [0] * len(sizes), [0.0] * len(sizes)
-    open_ = [(0.0, -size, s) for s, size in enumerate(sizes)]
-    heapq.heapify(open_)
+    open_ = Cheapest(capacity)
+    for s, size in enumerate(sizes):
+        open_.add(0.0, s, size)
     rows: list[tuple[int, int, int, int, int]] = []
     while waiting:
         negative, piece, start = heapq.heappop(waiting)
-        need, passed, to = -negative, [], None
-        while open_ and len(passed) < 64:  # a placement that costs little more is as good; cutting is free
-            spent_now, _, s = heapq.heappop(open_)
-            passed.append(s)
-            if sizes[s] - fill[s] >= need:
-                to = s
-                break
-        if to is None:
-            to = passed[0]
-        n = min(need, sizes[to] - fill[to])
-        rows.append((piece, start, n, to, fill[to]))
-        fill[to] += n
-        spent[to] += cost(n)
-        for s in passed:
-            if fill[s] < sizes[s]:
-                heapq.heappush(open_, (spent[s], fill[s] - sizes[s], s))
+        need = -negative
+        spent, to, room = open_.take(need) or open_.take(1)  # nowhere whole: it is cut to fill the cheapest
+        n = min(need, room)
+        rows.append((piece, start, n, to, sizes[to] - room))
+        if n < room:
+            open_.add(spent + linear * n + quadratic * n * n, to, room - n)
         if n < need:
             heapq.heappush(waiting, (n - need, piece, start + n))
     return rows, sizes

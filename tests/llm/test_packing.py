@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexweave.llm.packing import WordIds, pack_with_public_vocabulary, plan_group
+from lexweave.llm.packing import WordIds, pack_documents, pack_with_public_vocabulary, plan_group
 
 ODD = ["", None, "One", "  two  spaces ", "a\n b\tc", "über naïve œuvre 漢字   x", "<|endoftext|> in text", " lead", "trail ", "x" * 5000, "it's we'll 12,345 $$$ ---", "word " * 6000, " wide", "a  b", "tab\t"]
 
@@ -67,3 +67,51 @@ def test_plan_places_everything_once(lengths):
             assert start == at and n > 0
             at += n
         assert at == want
+
+
+def plain_plan(lengths, capacity, linear, quadratic):
+    """Longest first to the cheapest sequence with room, by looking at every sequence."""
+    total = sum(lengths)
+    sizes = [capacity] * (total // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if (total % capacity) >> b & 1]
+    room, cost, rows = list(sizes), [0.0] * len(sizes), []
+    waiting = sorted((-n, i, 0) for i, n in enumerate(lengths) if n)
+    while waiting:
+        n, i, start = waiting.pop(0)
+        n = -n
+        fits = [s for s in range(len(sizes)) if room[s] >= n] or [s for s in range(len(sizes)) if room[s]]
+        s = min(fits, key=lambda s: (cost[s], s))
+        m = min(n, room[s])
+        rows.append((i, start, m, s, sizes[s] - room[s]))
+        room[s] -= m
+        cost[s] += linear * m + quadratic * m * m
+        if m < n:
+            waiting = sorted([*waiting, (m - n, i, start + m)])
+    return rows, sizes
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 63), max_size=80))
+def test_plan_equals_plain_search(lengths):
+    assert plan_group(lengths, 64, 1.0, 0.125) == plain_plan(lengths, 64, 1.0, 0.125)
+
+
+def test_many_pieces_are_cut_only_where_none_has_room():
+    lengths = np.random.default_rng(0).integers(1, 1024, 4096).tolist()
+    rows, _ = plan_group(lengths, 1024, 1.0, 1 / 1024)
+    assert len(rows) < 5250
+
+
+def test_ties_repeated_rows_nulls_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "same words", 0, "a")] * 3 + [(2, "same words", 0, "b"), (None, None, 0, None)], "doc_id long, text string, sequence_id int, start string")
+    rows = pack_with_public_vocabulary(docs).collect()
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in {(r.doc_id, r.start, r.sequence_id, r.offset): r for r in rows}.values() if r.start == 0)
+    assert {r.doc_id for r in rows} == {1, 2, None} and next(r for r in rows if r.doc_id is None).doc_tokens == 1
+
+
+def test_cut_and_whole_pieces_balance_cost(spark):
+    docs = spark.createDataFrame([(i, "word " * (20 * i)) for i in range(1, 60)], "doc_id long, text string").coalesce(1)
+    rows = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=256).collect()
+    sizes = {r.sequence_id: r.sequence_tokens for r in rows}
+    costs = {r.sequence_id: r.sequence_cost for r in rows}
+    full = [costs[s] for s, n in sizes.items() if n == 256]
+    assert sum(sizes.values()) == sum(r.length for r in rows) and max(full) <= 256 + 256 * 256 / 1024
