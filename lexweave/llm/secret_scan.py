@@ -1,9 +1,10 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-Every version of a text is a blob named by its SHA-256. The ledger holds the (blob,
-rule, rule version) pairs already scanned, with their findings; a scan reads only the
-blobs for which some pair is missing, once each however many paths or versions
-hold them, and joins findings back to all paths. DataFrame functions only.
+Every version of a text is a blob named by its SHA-256. The ledger has for each blob
+the rule versions that it was scanned with (``kind:version``) and what they found. A scan first
+compares names only: blobs that lack a rule version have one text each
+written to the shared folder, however many paths or versions hold them, and just the missing
+rules run over those. Findings are joined back to all paths. DataFrame functions only.
 
 A rule is a regular expression whose matches are taken leftmost and
 non-overlapping; ``value_group`` and ``least`` drop matches whose value is too
@@ -12,14 +13,15 @@ short, after matching. Spans are code points, end exclusive. The base rules are
 (hosting tokens) add spans.
 
 Null text counts as empty. Repeated rows each get their findings, and one scan. Null ids pass
-through. An empty table gives no rows. Only the id and text columns are read.
+through. Matches of a very long text are rows while their places are summed. An empty table gives no
+rows. Only the id and text columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import materialize, table
@@ -33,6 +35,10 @@ class Rule:
     value_group: int = 0
     least: int = 1
 
+    @property
+    def name(self) -> str:
+        return f"{self.kind}:{self.version}"
+
 
 BASE = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -48,54 +54,33 @@ ADDED = (
 RULES = BASE + ADDED
 
 
-SPANS = "array<struct<start:int,end:int>>"
-
-
-def _walk(gaps: Column, sizes: Column) -> Column:
-    """Spans from the lengths of the gaps before matches and of the matches."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["m"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out"),
-    )
-    return F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), start, step)["out"]
+FOUND = "array<struct<kind:string,version:int,spans:array<struct<start:int,end:int>>>>"
+LEDGER = f"blob string, rules array<string>, found {FOUND}"
 
 
 def scan_texts(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``blobs(blob, text)`` → (blob, kind, version, spans), one row for each rule; with ``_kinds``, only for the rules named there.
+    """``blobs(blob, text, missing)`` → (blob, found) for blobs with a match of a rule whose name is in ``missing``.
 
-    Matches come from one pass of the expression; the gaps between them, which a
-    split gives, are asked for only where there are matches.
+    A split gives the gaps between the matches, asked for only where there are some; places are running sums of
+    gaps and matches.
     """
-    n = range(len(rules))
-    of = lambda r: F.array_contains("_kinds", f"{r.kind}:{r.version}") if "_kinds" in blobs.columns else F.lit(True)
-    found = blobs.withColumns({f"_m{k}": F.when(of(r) & F.col("text").rlike(r.pattern), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))) for k, r in enumerate(rules)})
-    hit = found.where(" or ".join(f"_m{k} is not null" for k in n))
-    gaps = {f"_g{k}": F.when(F.col(f"_m{k}").isNotNull(), F.transform(F.split("text", r.pattern, -1), F.length)) for k, r in enumerate(rules)}
-    values = {f"_v{k}": F.when(F.col(f"_m{k}").isNotNull(), F.transform(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.value_group)), F.length)) for k, r in enumerate(rules) if r.least > 1}
-    hit = hit.withColumns(gaps | values).select("blob", *gaps, *values, *[F.transform(f"_m{k}", F.length).alias(f"_m{k}") for k in n])
-    hit = hit.select("blob", *values, *[_walk(F.col(f"_g{k}"), F.col(f"_m{k}")).alias(f"_s{k}") for k in n])
-    long = lambda k, r: F.transform(F.filter(F.arrays_zip(F.col(f"_s{k}").alias("s"), F.col(f"_v{k}").alias("v")), lambda x: x["v"] >= r.least), lambda x: x["s"]) if r.least > 1 else F.col(f"_s{k}")
-    return hit.select("blob", F.inline(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), long(k, r).alias("spans")) for k, r in enumerate(rules)]))).where("size(spans) > 0")
 
+    def matches(k: int, r: Rule) -> Column:
+        every = lambda group: F.transform(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(group)), F.length)
+        sizes = every(0)
+        zipped = F.arrays_zip(F.transform(F.split("text", r.pattern, -1), F.length).alias("gap"), sizes.alias("size"), (every(r.value_group) if r.value_group else sizes).alias("value"))
+        rows = F.transform(zipped, lambda x, i: F.struct(F.lit(k).alias("rule"), i.alias("pos"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value")))
+        return F.when(F.array_contains("missing", r.name) & F.col("text").rlike(r.pattern), rows).otherwise(F.array().cast("array<struct<rule:int,pos:int,gap:int,size:int,value:int>>"))
 
-LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
-
-
-def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows for every blob of ``docs(doc_id, text, blob)`` and rule version: those known, and those scanned now."""
-    blobs = docs.groupBy("blob").agg(F.min("doc_id").alias("_doc")).withColumnRenamed("blob", "_blob")  # one place of each blob
-    if ledger is not None:
-        pairs = blobs.withColumn("_pair", F.explode(F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])))
-        have = ledger.select(F.col("blob").alias("_blob"), F.concat_ws(":", "kind", F.col("version").cast("string")).alias("_pair"))
-        blobs = pairs.join(have, ["_blob", "_pair"], "left_anti").groupBy("_blob", "_doc").agg(F.collect_set("_pair").alias("_kinds"))  # at most one for each rule
-    texts = docs.join(blobs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("blob") == F.col("_blob"))).drop("_doc", "_blob", "doc_id")
-    found = scan_texts(texts, rules).dropDuplicates(["blob", "kind", "version"])
-    # a pair without findings is in the ledger as well: it was scanned
-    scanned = blobs.select(F.col("_blob").alias("blob"), F.explode(F.col("_kinds") if ledger is not None else F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])).alias("pair"))
-    scanned = scanned.select("blob", F.substring_index("pair", ":", 1).alias("kind"), F.substring_index("pair", ":", -1).cast("int").alias("version"))
-    new = scanned.join(found, ["blob", "kind", "version"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
-    return new if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(new)
+    each = blobs.select("blob", F.inline(F.concat(*[matches(k, r) for k, r in enumerate(rules)]))).where("size is not null")  # the gap after the last match has none
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "rule").orderBy("pos"))
+    least = F.array(*[F.lit(r.least) for r in rules])
+    placed = each.withColumn("end", end.cast("int")).where(F.col("value") >= F.get(least, F.col("rule")))
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "end")
+    per = placed.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # bounded by one text's matches
+    kind, version = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
+    item = F.struct(F.get(kind, F.col("rule")).alias("kind"), F.get(version, F.col("rule")).alias("version"), "spans")
+    return per.groupBy("blob").agg(F.collect_list(item).alias("found"))
 
 
 def with_blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,36 +88,52 @@ def with_blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
 
 
+def update_ledger(docs: DataFrame, names: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Ledger rows of what is scanned now: the blobs ``names(blob)`` of ``docs(blob, text)`` that lack a rule version."""
+    every = F.array(*[F.lit(r.name) for r in rules])
+    unseen = names.select("blob").distinct()
+    if ledger is None:
+        unseen, texts = unseen.withColumn("missing", every), docs.withColumn("missing", every)
+    else:
+        known = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("known"))  # a row for each scan of the blob
+        unseen = unseen.join(known, "blob", "left").select("blob", F.array_except(every, F.coalesce("known", F.array().cast("array<string>"))).alias("missing"))
+        unseen = materialize(unseen.where("size(missing) > 0"))
+        texts = docs.join(unseen, "blob")
+    # written before rules run: the filter on a rule would else move to every copy where it is read
+    once = materialize(texts.groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("missing").alias("missing")))
+    found = scan_texts(once, rules)
+    return unseen.join(found, "blob", "left").select("blob", F.col("missing").alias("rules"), F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+
+
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): (doc_id, blob, kind, spans) for every path, and the ledger to keep for the next scan."""
+    """(findings, ledger): (doc_id, blob, found) for every path, and the ledger to keep for the next scan."""
     docs = with_blobs(docs, id_col, text_col)
-    current = materialize(update_ledger(docs, ledger, rules))
-    now = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-    used = current.where(F.array_contains(now, F.concat_ws(":", "kind", F.col("version").cast("string"))))
-    return docs.select("doc_id", "blob").join(used, "blob").select("doc_id", "blob", "kind", "spans"), current
+    names = materialize(docs.select("doc_id", "blob"))
+    current = materialize(update_ledger(docs, names, ledger, rules))
+    used = current
+    if ledger is not None:
+        current = ledger.select("blob", "rules", "found").unionByName(current)
+        now = F.array(*[F.lit(r.name) for r in rules])
+        used = current.join(names.select("blob").distinct(), "blob", "left_semi").groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+        used = used.select("blob", F.filter("found", lambda x: F.array_contains(now, F.concat_ws(":", x["kind"], x["version"].cast("string")))).alias("found"))
+    return names.join(used.select("blob", "found"), "blob").select("doc_id", "blob", "found"), current
 
 
 def digest(findings: DataFrame, order: tuple[str, ...] = tuple(r.kind for r in RULES)) -> DataFrame:
-    """One row per blob with a finding: counts of the base kinds and spans as text."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans): counts of the base kinds and spans as text."""
     rank = F.array(*[F.lit(k) for k in order])
-    flat = F.transform(F.col("spans"), lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, F.col("kind")).cast("int").alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))
-    counts = [F.sum(F.when(F.col("kind") == r.kind, F.size("spans")).otherwise(0)).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    base = F.when(F.col("kind").isin([r.kind for r in BASE]), flat)
-    per = findings.groupBy("blob").agg(*counts, F.array_sort(F.flatten(F.collect_list(flat))).alias("all"), F.array_sort(F.flatten(F.collect_list(base))).alias("own"))  # bounded by one blob's spans
+    flat = F.flatten(F.transform("found", lambda x: F.transform(x["spans"], lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, x["kind"]).cast("int").alias("rank"), x["kind"].alias("kind"), s["end"].alias("end")))))
+    listed = findings.select("doc_id", F.array_sort(flat).alias("every"))
+    base = F.filter("every", lambda s: s["kind"].isin([r.kind for r in BASE]))
+    number = lambda kind: F.size(F.filter("every", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(r.kind).alias(f"n_{r.kind}") for r in BASE]
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return per.select("blob", *[f"n_{r.kind}" for r in BASE], F.sha2(joined("own"), 256).alias("base_sha256"), joined("all").alias("spans"))
-
-
-def secrets_by_document(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row."""
-    keyed = with_blobs(docs, id_col, text_col)
-    first = keyed.groupBy("blob").agg(F.min("doc_id").alias("_doc")).withColumnRenamed("blob", "_blob")
-    texts = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("blob") == F.col("_blob"))).select("blob", "text")
-    # a first scan has no ledger, and blobs without a finding needn't travel: they get the digest of an empty list
-    found = materialize(digest(scan_texts(texts, rules).dropDuplicates(["blob", "kind", "version"])))
-    joined = keyed.select("doc_id", "blob").join(found, "blob", "left")
-    counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return joined.select("doc_id", *counts, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return listed.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("every")).alias("spans"))
+
+
+def secrets_by_document(docs: DataFrame, **kwargs) -> DataFrame:
+    """The digest of :func:`find_secrets` for every row, from a first scan."""
+    return digest(find_secrets(docs, **kwargs)[0])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from lexweave.llm.secret_scan import RULES, Rule, find_secrets, secrets_by_document
+from pyspark.sql import functions as F
+
+from lexweave.llm.secret_scan import RULES, Rule, find_secrets, scan_texts, secrets_by_document
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 TEXTS = [
@@ -39,22 +41,45 @@ def test_equals_brute_force(spark):
     assert "private:" in spans[6] and "url:" in spans[8] and "hub:" in spans[8]
 
 
+def spans_of(findings):
+    return {(r.doc_id, f.kind): [tuple(s) for s in f.spans] for r in findings.collect() for f in r.found}
+
+
 def test_ledger_scans_only_what_is_new(spark):
     schema = "doc_id long, text string"
     first, ledger = find_secrets(spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[0]), (3, "plain")], schema))
-    assert ledger.count() == 2 * len(RULES) and first.where("size(spans) > 0").count() == 2
+    assert {(r.blob, tuple(r.rules)) for r in ledger.collect()} == {(hashlib.sha256(t.encode()).hexdigest(), tuple(r.name for r in RULES)) for t in (TEXTS[0], "plain")}
+    assert sorted(k[0] for k in spans_of(first)) == [1, 2]
     # a doctored ledger shows that known pairs are taken from it, not scanned again
-    known = ledger.withColumn("spans", ledger.spans)
-    known = known.where("kind <> 'assign'").unionByName(known.where("kind = 'assign'").selectExpr("blob", "kind", "version", "array(named_struct('start', 7, 'end', 9)) spans"))
+    known = ledger.withColumn("found", F.expr("array(named_struct('kind', 'assign', 'version', 1, 'spans', array(named_struct('start', 7, 'end', 9))))"))
     more = spark.createDataFrame([(1, TEXTS[0]), (4, TEXTS[7])], schema)
     found, after = find_secrets(more, known)
-    got = {(r.doc_id, r.kind): r.spans for r in found.collect()}
+    got = spans_of(found)
     assert got[1, "assign"] == [(7, 9)] and got[4, "assign"] == [s[1:] for s in base(TEXTS[7]) if s[0] == "assign"]
-    assert after.count() == 3 * len(RULES)
+    assert after.count() == 3
+    # a new version of one rule: only that one runs, over blobs that lack it
     newer = (Rule("assign", 2, RULES[0].pattern, 2, 6), *RULES[1:])
-    found, after = find_secrets(more, after, newer)
-    assert {(r.doc_id, r.kind): r.spans for r in found.collect()}[1, "assign"] == [s[1:] for s in base(TEXTS[0]) if s[0] == "assign"]
-    assert after.count() == 3 * len(RULES) + 2
+    found, last = find_secrets(more, after, newer)
+    assert spans_of(found)[1, "assign"] == [s[1:] for s in base(TEXTS[0]) if s[0] == "assign"]
+    assert sorted(tuple(r.rules) for r in last.collect() if len(r.rules) == 1) == [("assign:2",)] * 2 and last.count() == 5
+
+
+def test_rules_run_over_distinct_unseen_blobs_alone(spark, monkeypatch):
+    import lexweave.llm.secret_scan as module
+
+    given = []
+    monkeypatch.setattr(module, "scan_texts", lambda blobs, rules: given.append(blobs) or scan_texts(blobs, rules))
+    docs = spark.createDataFrame([(i, TEXTS[0]) for i in range(40)] + [(99, "plain")], "doc_id long, text string")
+    _, ledger = find_secrets(docs)
+    assert sorted(r.text for r in given[0].collect()) == sorted([TEXTS[0], "plain"])
+    find_secrets(docs.union(spark.createDataFrame([(100, "new")], docs.schema)), ledger)
+    assert [r.text for r in given[1].collect()] == ["new"]
+
+
+def test_very_long_text_with_many_matches(spark):
+    text = ("token=abcdef" + "0123456789" + " ") * 20_000
+    (row,) = secrets_by_document(spark.createDataFrame([(1, text, None)], "doc_id long, text string, found string")).collect()
+    assert row.n_assign == 20_000 and row.spans.split(",")[-1] == f"assign:{23 * 19_999}:{23 * 20_000 - 1}"
 
 
 def test_empty_table(spark):
