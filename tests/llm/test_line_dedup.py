@@ -1,7 +1,9 @@
+import random
+
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexweave.llm.line_dedup import dedup_lines, patience_blocks, without_emptied
+from lexweave.llm.line_dedup import dedup_lines, patience_blocks, shared_places, without_emptied
 
 
 @given(st.lists(st.integers(0, 9), max_size=25), st.lists(st.integers(0, 9), max_size=25))
@@ -73,3 +75,66 @@ def test_copies_and_passages_of_common_lines_are_found(spark):
     for base, n, lines in [(100, 30, 2), (200, 25, 6), (300, 25, 5), (400, 25, 20)]:
         assert out[base] == 0 and {out[base + d] for d in range(1, n)} == {lines}, base
     assert all(out[1000 + d] == 0 for d in range(176)) and out[2000] == 0 and out[2001] == 8
+
+
+@given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20))
+def test_with_one_word_blocks_every_common_line_is_found(a, b):
+    assert sorted(shared_places(a, b, [1] * len(b), 1)) == [j for j, x in enumerate(b) if x in a]
+
+
+def test_repeated_passages_and_lines():
+    p, n, m = [1, 2, 3, 4], [8, 9], [18, 19]
+    later = [*n, *p, *n[:1], *p, *n]
+    assert sorted(shared_places([*m, *p, *m[:1], *p, *m], later, [1] * len(later), 4)) == [2, 3, 4, 5, 7, 8, 9, 10]
+    assert sorted(shared_places(p, later, [1] * len(later), 4)) == [2, 3, 4, 5, 7, 8, 9, 10]
+    assert len(shared_places([1, 2], [1] * 20_000, [1] * 20_000, 1)) == 20_000
+    assert shared_places([1, 7, 2], [1, 2], [1, 1], 2) == []  # not a block of the earlier document
+
+
+def plain(docs, least):
+    """All pairs that share a line, aligned one by one."""
+    lines = {d: [(i, x, len(x.split())) for i, x in enumerate(t.split("\n")) if x.strip()] for d, t in docs}
+    first, out = {}, {}
+    for d in sorted(lines):
+        mine = [x for _, x, _ in lines[d]]
+        if tuple(mine) in first:
+            out[d] = {i for i, _, _ in lines[d]}
+            continue
+        cut = set()
+        for e in first.values():
+            other = [x for _, x, _ in lines[e]]
+            if set(other) & set(mine):
+                cut |= {lines[d][j][0] for j in shared_places(other, mine, [w for _, _, w in lines[d]], least)}
+        first[tuple(mine)] = d
+        out[d] = cut
+    return {d: len(c) for d, c in out.items()}
+
+
+def test_equals_all_pairs_where_every_line_is_rare(spark):
+    r = random.Random(4)
+    vocabulary = [" ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(1, 9))) for _ in range(50)]
+    docs = [(d, "\n".join(r.choice(["", *vocabulary]) for _ in range(r.randrange(1, 12)))) for d in range(18)]
+    docs += [(50 + d, docs[d][1]) for d in range(2)]
+    out = {x.doc_id: x._deleted for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == plain(docs, 5)
+
+
+def test_rare_lines_pair_all_their_holders(spark):
+    # the second line is common and first held elsewhere; 2 and 3 share it beside a rare one whose first holder is 1
+    common = "a common line of seven words in all"
+    docs = [(1, "the rare line that only three hold"), (2, f"x\nthe rare line that only three hold\n{common}"), (3, f"y\nthe rare line that only three hold\n{common}")]
+    docs += [(-d, f"head {d}\n{common}") for d in range(1, 40)]
+    out = {r.doc_id: r._deleted for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (out[1], out[2], out[3]) == (0, 1, 2) and all(out[-d] == 0 for d in range(1, 40))
+
+
+def test_clashing_names_long_texts_and_repeated_rows(spark):
+    names = ["_later", "_print", "_cut", "_lines", "_deleted"]
+    long = "\n".join(f"line {k} of a very long text" for k in range(30_000))
+    docs = [(1, long), (2, long + "\nand one"), (3, "x " * 200_000), (5, "twice\nthe same row"), (5, "twice\nthe same row"), (None, long)]
+    df = spark.createDataFrame([(*d, *[0] * 5) for d in docs], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "_lines_", "_deleted_"]
+    got = {r.doc_id: (r._deleted_, len(r.text)) for r in out.collect()}
+    assert got[2] == (30_000, len("and one")) and got[1][0] == got[3][0] == got[5][0] == got[None][0] == 0 and out.count() == 6
+    assert without_emptied(df).columns == df.columns and without_emptied(df).count() == 6
