@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize, mix64, table
+from lexweave.llm.common import drawn, materialize, mix64, table
 
 HALF = 6
 
@@ -200,9 +200,9 @@ def nearest(
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     valid = materialize(valid.where(F.size("v") == sizes["d"]))
-    drawn = valid.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).toArrow()
+    fitted = drawn(valid, "vec_id", sample, 1).toArrow()
     n, top = sizes["n"], float(sizes["top"]) or 1.0
-    hashes, visits = fit(np.array(drawn["v"].to_pylist(), np.float64), n, top, tables=tables, bucket=bucket, target=target, nearest=k)
+    hashes, visits = fit(np.array(fitted["v"].to_pylist(), np.float64), n, top, tables=tables, bucket=bucket, target=target, nearest=k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _OWN_DIR: dict[str, str] = {}
@@ -54,6 +55,35 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def drawn(df: DataFrame, column: str, sample: int, seed: int) -> DataFrame:
+    """At most ``sample`` rows of least hash of ``column``; a bound on the hash comes first, so no task sorts rows of every partition."""
+    hashed = F.xxhash64(column, F.lit(seed))
+    n = df.count()
+    share = 1.2 * sample / max(n, 1) + 50 / max(n, 1)
+    near = df.where(hashed < F.lit(int(-(1 << 63) + share * (1 << 64)))) if share < 1 else df
+    return near.orderBy(hashed, column).limit(sample)
+
+
+def top_counts(counts: DataFrame, limit: int) -> pa.Table:
+    """At most ``limit`` rows of ``counts(h, c)`` with the largest counts, in falling order; a bound from a histogram of counts comes first.
+
+    Of the last counts that still fit in part those of least hash are taken.
+    """
+    bin_of = F.floor(F.log2("c") * 16).cast("int")
+    sizes = {r["b"]: r["n"] for r in counts.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).collect()}  # 16 for each doubling
+    room, wanted = limit, F.lit(False)
+    for b in sorted(sizes, reverse=True):
+        if sizes[b] <= room:
+            wanted = bin_of >= b
+            room -= sizes[b]
+        else:
+            share = 1.2 * room / sizes[b] + 50 / sizes[b]
+            mixed = F.xxhash64("h", F.lit(2))
+            wanted |= (bin_of == b) & (mixed < F.lit(int(-(1 << 63) + min(share, 0.999) * (1 << 64))))
+            break
+    return counts.where(wanted).orderBy(F.desc("c"), "h").limit(limit).toArrow()
+
+
 # ---------------------------------------------------------------- batching
 
 

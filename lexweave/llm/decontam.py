@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import hash_words, materialize, mix64, table, text_slices
+from lexweave.llm.common import free_names, hash_words, materialize, mix64, table, text_slices
 
 MASKS = ("1110110111", "11101001011001", "110101101011", "1110111", "11011011", "1100001111", "111111", "111100011", "110110101")
 FILTER_BITS = 25
@@ -99,7 +99,7 @@ def _filter_bits(seeds: DataFrame) -> np.ndarray:
     mask = np.zeros(size // 8, np.uint8)
     for r in bits.toLocalIterator():  # at most 1024 rows of 4 KB
         mask[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[:4096]
-    return np.unpackbits(mask, bitorder="little").view(bool) if size <= 1 << 25 else mask
+    return mask
 
 
 def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, int, int] | None:
@@ -140,7 +140,7 @@ def find_overlaps(
     items = items.selectExpr(f"cast(`{item_id}` as long) as item", f"`{item_text}` as text").where("item is not null")
     texts, seeds = _benchmark(items, masks, least_item)
     short = [r["n"] for r in texts.where(F.col("n") < max(10, min(map(len, masks)))).select("n").distinct().collect()]  # fewer values than a mask has places
-    bits = np.packbits(_filter_bits(seeds), bitorder="little")
+    bits = _filter_bits(seeds)
     all_masks = list(dict.fromkeys([*masks, *(m for n in sorted(short) for m in own_masks(n))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +202,13 @@ def find_overlaps(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kwargs) -> DataFrame:
-    """The rows of ``docs`` that overlap no item; columns as they are."""
-    bad = find_overlaps(docs, items, **kwargs).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(kwargs.get("id_col", "doc_id")) == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` that overlap no item; columns as they are, whatever their names.
+
+    Rows without an id or text stay; rows that repeat an id go together if one of them overlaps.
+    """
+    (name,) = free_names(docs, "_bad")
+    bad = find_overlaps(docs, items, **kwargs).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(kwargs.get("id_col", "doc_id")) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

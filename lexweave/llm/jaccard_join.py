@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import hash_shingles, hash_words, materialize, mix64, table, text_slices, unique_sorted
+from lexweave.llm.common import hash_shingles, hash_words, free_names, materialize, mix64, table, text_slices, top_counts, unique_sorted
 from lexweave.llm.components import connected_components, partial_components
 
 #: Bound of the driver's list of frequent shingles: 8 bytes each, with their counts.
@@ -69,8 +69,8 @@ def frequent_shingles(docs: DataFrame, size: int, limit: int = FREQUENT) -> tupl
         if held:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "h").limit(limit).toArrow()  # at most `limit` rows
+    counts = materialize(docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    top = top_counts(counts, limit)  # at most `limit` rows
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
@@ -267,9 +267,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
-    """``docs`` without the documents that aren't the least of their component; rows without an id stay, columns are as they are."""
-    gone = jaccard_components(docs, **kwargs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(kwargs.get("id_col", "doc_id")) == F.col("_gone"), "left_anti")
+    """``docs`` without the documents that aren't the least of their component; columns are as they are, whatever their names.
+
+    Rows without an id stay, and rows that repeat an id go or stay together; empty texts are linked with nothing and stay.
+    """
+    (name,) = free_names(docs, "_gone")
+    gone = jaccard_components(docs, **kwargs).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(kwargs.get("id_col", "doc_id")) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import hash_words, materialize, mix64, table, text_slices
+from lexweave.llm.common import hash_words, materialize, mix64, table, text_slices, top_counts
 
 END, START = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 ANCHORS = 64
@@ -248,7 +248,7 @@ def train(docs: DataFrame, *, rounds: int = 2, rate: float = 0.3, batch: int = 4
     """Model and (h, c) counts, from all rows of ``docs(doc_id, text)``."""
     counts = materialize(count_words(docs))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).toArrow()  # at most COUNTED rows of 16 bytes
+    top = top_counts(counts, COUNTED)  # at most COUNTED rows of 16 bytes
     keys, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     classed = keys[:CLASSED]
     group = _cluster(_neighbours(docs, Lookup(classed), Lookup(keys[:ANCHORS])), GROUPS) if len(keys) else np.zeros(0, np.int64)

@@ -24,11 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import hash_words, table, text_slices
+from lexweave.llm.common import drawn, hash_words, table, text_slices
 
 CLASSES = 9
 SAMPLE = 12_000
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, parts: in
     Ids are chosen before any text is read, so features are made for the sample alone.
     """
     in_fold = lambda df: df.where("doc_id is not null").where(fold("doc_id", parts) != held)
-    draw = lambda df: df.distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
+    draw = lambda df: drawn(df.distinct(), "doc_id", sample, 5)
     marked = in_fold(labels.where("label = 1").select("doc_id"))
     p = draw(marked.join(docs.select("doc_id"), "doc_id", "left_semi")).withColumn("kind", F.lit(1))
     u = draw(in_fold(docs.select("doc_id"))).withColumn("kind", F.lit(0))
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, parts: in
 
         return _features(b.filter(pc.is_in(b.column(0), ids)) for b in batches)
 
-    made = docs.select("doc_id", "text").mapInArrow(picked, "doc_id long, x array<float>").toArrow()  # a bounded sample of bounded rows
+    made = docs.select("doc_id", "text").mapInArrow(picked, "doc_id long, x array<float>").groupBy("doc_id").agg(F.min("x").alias("x")).toArrow()  # a bounded sample: one row for each id
     by_id = dict(zip(made["doc_id"].to_pylist(), made["x"].to_pylist(), strict=True))
     kept = [[d for d, k in sorted(chosen) if k == kind and d in by_id] for kind in (1, 0)]
     if not all(kept):
@@ -210,10 +211,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     return score(docs, net).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """The rows of ``docs`` that are predicted good; columns as they are."""
-    bad = quality_scores(docs, labels, id_col=id_col, **kwargs).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **kwargs) -> DataFrame:
+    """The rows of ``docs`` that are predicted good; columns as they are, whatever their names.
+
+    Each row is judged by its own text, null texts as empty ones; rows without an id and rows that repeat an id are
+    judged like others. Texts aren't shuffled. With nothing to learn from every row scores 0.5 and stays.
+    """
+    net, _ = train(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), labels.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{label_col}` as label"), **kwargs)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        scores = [net.scores(text_features(t)) if net else np.full(len(t), 0.5) for _, t in text_slices([batch], "text")]
+        return pd.Series(np.concatenate(scores) >= 0.5)
+
+    return docs.where(good(F.col(text_col)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
