@@ -14,27 +14,32 @@ from lexweave.llm.common import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null texts are judged as empty; null and repeated ids like any other; an
+    empty table gives an empty one. Other columns stay, whatever their names (so in all stages but the last)."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines aligned with an earlier document go, and documents that have nothing else."""
+    """Lines aligned with an earlier document go, and documents that have nothing else. Rows with a null id or text, and
+    empty texts, stay as they are; of rows that repeat an id one is shortened; an empty table gives an empty one."""
     return line_dedup.without_emptied(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the least doc_id."""
+    """One document of each group of near-duplicates stays: that of the least doc_id. Null ids, null and empty texts stay;
+    rows that repeat an id stay or go together; an empty table gives an empty one."""
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go. Null ids and texts stay; rows that repeat an id go together; an empty
+    table, of documents or items, is fine."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def cost_balanced_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences."""
+    """What is left is packed into sequences: null texts as empty ones, repeated rows each on their own, null ids as they
+    are; an empty table gives no rows."""
     return packing.pack_with_public_vocabulary(docs)
 
 
