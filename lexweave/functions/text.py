@@ -31,7 +31,8 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def title_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    """Letters and digits of a title, in lower case, after its page text was normalised."""
+    return F.regexp_replace(F.lower(normalize_page_text(c)), r"[^\p{L}\p{N}]", "")
 
 
 def normalized_isbn(c: Column) -> Column:
@@ -68,9 +69,17 @@ def section_slug(c: Column, ordinal: Column) -> Column:
     return F.coalesce(F.nullif(x, F.lit("")), F.concat(F.lit("section-"), ordinal.cast("string")))
 
 
+#: Fixed value: the white space of the language that the rules come from, inside a character class.
+JS_SPACE = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def without_spaces(c: Column) -> Column:
+    return F.regexp_replace(c, f"[{JS_SPACE}]", "")
+
+
 def without_page_number(c: Column) -> Column:
-    """A contents line without the dots and the page number at its end."""
-    return F.regexp_replace(c, r"[\s.·…]*\d+\s*\z", "")
+    """A contents line without its page number, arabic or roman, after two dots at least or a space."""
+    return trim_all(F.regexp_replace(c, rf"(?i)(?:[.·…]{{2,}}[{JS_SPACE}]*|[{JS_SPACE}]+)(?:[0-9]+|[ivxlcdm]+)[{JS_SPACE}]*\z", ""))
 
 
 def hard_pieces(c: Column, size: int) -> Column:
@@ -80,8 +89,11 @@ def hard_pieces(c: Column, size: int) -> Column:
 
 
 def clean_translation(c: Column) -> Column:
-    x = F.regexp_replace(nfc(c), r"(?i)\A\s*(\[es\]|traducci[oó]n:)\s*", "")
-    return trim_all(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    """Without a language mark or heading that a model put before the text, blanks collapsed, trimmed."""
+    s = f"[{JS_SPACE}]*"
+    x = F.regexp_replace(nfc(c), rf"(?iu)\A{s}(?:\[(?:es|spanish|español)\]|(?:traducción|translation){s}:){s}", "")
+    x = F.regexp_replace(x, rf"(?iu)\A{s}(?:traducción|translation){s}:{s}", "")
+    return trim_all(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r" ?\n ?", "\n"))
 
 
 # Ligatures and what they stand for.
@@ -92,18 +104,36 @@ def normalize_page_text(c: Column) -> Column:
     x = nfc(c)
     for ligature, letters in LIGATURES:
         x = F.replace(x, F.lit(ligature), F.lit(letters))
-    return F.regexp_replace(F.replace(x, F.lit("­"), F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    return F.regexp_replace(F.replace(x, F.lit("­"), F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "")
 
 
 def sha256_with_config(content: Column, config: str) -> Column:
     return F.sha2(F.concat(content.cast("binary"), F.lit(config).cast("binary")), 256)
 
 
-def safe_file_name(c: Column, limit: int = 200) -> Column:
-    """At most ``limit`` characters; longer names end with 12 hex digits of their hash."""
-    x = F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1f]', "_"), r"\A\.+", "")
-    short = F.concat(F.left(x, F.lit(limit - 13)), F.lit("-"), F.left(F.sha2(c, 256), F.lit(12)))
-    return F.when(F.length(x) > limit, short).otherwise(x)
+def output_file_name(c: Column, prefix: str = "translated-", extension: str = ".epub", limit: int = 200) -> Column:
+    """The last part of a path as an output name of at most ``limit`` characters: other characters than ``A-Za-z0-9._-`` are hyphens,
+    the extension is replaced, and longer names end with 12 hex digits of a hash."""
+    name = F.regexp_replace(F.substring_index(F.regexp_replace(c, "/+$", ""), "/", -1), "[^a-zA-Z0-9._-]", "-")
+    base = F.regexp_replace(name, r"\.[^.]+\z", "")
+    room = limit - len(prefix) - len(extension)
+    short = F.concat(F.left(base, F.lit(room - 13)), F.lit("-"), F.left(F.sha2(name, 256), F.lit(12)))
+    return F.concat(F.lit(prefix), F.when(F.length(base) > room, short).otherwise(base), F.lit(extension))
+
+
+def file_title(c: Column) -> Column:
+    """A book file's name as struct (title, authors): without extension and a trailing id, cut at ``" -- "``."""
+    stem = F.regexp_replace(F.regexp_replace(c, r"\.[^.]+\z", ""), r"(?i)_[A-Z0-9]{10,}\z", "")
+    stem = trim_all(F.replace(stem, F.lit("_"), F.lit(" ")))
+    parts = F.filter(F.transform(F.split(stem, rf"[{JS_SPACE}]+--[{JS_SPACE}]+"), trim_all), lambda x: x != "")
+    return F.struct(F.coalesce(F.get(parts, F.lit(0)), stem).alias("title"), F.slice(parts, 2, 1).alias("authors"))
+
+
+def imported_title(c: Column) -> Column:
+    """A title taken from a file: what stands before ``" -- "``, and hyphened words as a sentence."""
+    x = trim_all(F.replace(F.get(F.split(c, rf"[{JS_SPACE}]+--[{JS_SPACE}]+"), F.lit(0)), F.lit("_"), F.lit(" ")))
+    words = F.replace(x, F.lit("-"), F.lit(" "))
+    return F.when(x.rlike(r"\A[\p{IsLatin}\p{N}]+(-[\p{IsLatin}\p{N}]+)+\z"), F.concat(F.upper(F.left(words, F.lit(1))), F.substring(words, F.lit(2), F.length(words)))).otherwise(x)
 
 
 def is_safe_archive_path(c: Column) -> Column:
@@ -112,8 +142,10 @@ def is_safe_archive_path(c: Column) -> Column:
 
 
 def is_reading_date(c: Column) -> Column:
+    """A day that exists, alone or with a time to the second and a zone."""
     day = F.try_to_timestamp(F.left(c, F.lit(10)), F.lit("yyyy-MM-dd"))
-    return F.coalesce(c.rlike(r"\A\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?\z") & day.isNotNull(), F.lit(False))
+    clock = r"(([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,3})?|24:00:00(\.0{1,3})?)"
+    return F.coalesce(c.rlike(rf"\A\d{{4}}-\d{{2}}-\d{{2}}(T{clock}(Z|[+-]([01]\d|2[0-3]):[0-5]\d))?\z") & day.isNotNull(), F.lit(False))
 
 
 def duration_text(ms: Column) -> Column:

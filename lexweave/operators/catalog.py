@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import blank_to_null, normalized_isbn, search_identity
+from lexweave.functions.text import blank_to_null, normalized_isbn
 
-CANDIDATE = "query_id long, pos int, title string, authors array<string>, isbn string, cover_url string, first_publish_year int, categories array<string>"
-PLACEHOLDER = "Untitled"
+CANDIDATE = "query_id long, pos int, open_library_key string, title string, authors array<string>, isbn string, cover_url string, first_publish_year int, categories array<string>"
+#: Fixed value: the title of a record that has none.
+PLACEHOLDER = "Sin título"
 
 
 def clean_candidates(rows: DataFrame, per_source: int = 12, categories: int = 8) -> DataFrame:
@@ -20,7 +24,7 @@ def clean_candidates(rows: DataFrame, per_source: int = 12, categories: int = 8)
             "title": F.coalesce(blank_to_null(F.col("title")), F.lit(PLACEHOLDER)),
             "authors": names(F.coalesce("authors", F.array().cast("array<string>"))),
             "isbn": normalized_isbn(F.col("isbn")),
-            "cover_url": F.regexp_replace("cover_url", r"\Ahttp://", "https://"),
+            "cover_url": F.regexp_replace("cover_url", r"\Ahttp:", "https:"),
             "categories": F.slice(F.array_distinct(names(F.coalesce("categories", F.array().cast("array<string>")))), 1, categories),
         }
     )
@@ -33,19 +37,25 @@ def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("_s")
 
 
-def with_keys(rows: DataFrame) -> DataFrame:
-    """``signature``: title and first author, folded; null where either leaves nothing to compare."""
-    t, a = search_identity(F.col("title")), search_identity(F.coalesce(F.get("authors", F.lit(0)), F.lit("")))
-    return rows.withColumn("signature", F.when((t != "") & (a != ""), F.concat_ws("|", t, a)))
+def _folded(text: str) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F).lower()
+    return re.sub("[^a-z0-9]+", " ", plain).strip()
+
+
+def signature(title: str, authors: list[str]) -> str | None:
+    """Title and first author, folded; None where both leave nothing to compare."""
+    both = f"{_folded(title)}|{_folded(authors[0] if authors else '')}"
+    return None if both == "|" else both
 
 
 def merge_candidates(rows: DataFrame, limit: int = 18, categories: int = 8) -> DataFrame:
     """One row per book and query, in order of first appearance.
 
-    A record joins the first merged one of its ISBN, else of its signature, and fills
-    in what that one lacks; keys it brings lead to the merged record from then on. The
+    A record joins the merged one that its ISBN leads to, else its signature, and fills
+    in what that one lacks. Then the ISBN and signature of the merged record lead there. The
     order matters, so a query's candidates (two short lists) are one fold.
     """
+    names = [c.split()[0] for c in CANDIDATE.split(", ")]
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         merged: list[dict] = []
@@ -55,8 +65,8 @@ def merge_candidates(rows: DataFrame, limit: int = 18, categories: int = 8) -> D
             r["authors"], r["categories"] = list(r["authors"]), list(r["categories"])
             r = {k: None if not isinstance(v, list) and pd.isna(v) else v for k, v in r.items()}
             at = by_isbn.get(r["isbn"]) if r["isbn"] else None
-            if at is None and r["signature"]:
-                at = by_signature.get(r["signature"])
+            if at is None:
+                at = by_signature.get(signature(r["title"], r["authors"]))
             if at is None:
                 at = len(merged)
                 merged.append({**r, "n_sources": 1})
@@ -65,23 +75,28 @@ def merge_candidates(rows: DataFrame, limit: int = 18, categories: int = 8) -> D
                 m["n_sources"] += 1
                 if m["title"] == PLACEHOLDER:
                     m["title"] = r["title"]
-                for k in ("isbn", "cover_url", "first_publish_year"):
+                for k in ("open_library_key", "isbn", "cover_url", "first_publish_year"):
                     m[k] = r[k] if m[k] is None else m[k]
                 m["authors"] = m["authors"] or r["authors"]
                 m["categories"] = list(dict.fromkeys(m["categories"] + r["categories"]))[:categories]
-            for index, key in ((by_isbn, r["isbn"]), (by_signature, r["signature"])):
-                if key:
-                    index[key] = at
+            if merged[at]["isbn"]:
+                by_isbn[merged[at]["isbn"]] = at
+            by_signature[signature(merged[at]["title"], merged[at]["authors"])] = at
+            by_signature.pop(None, None)
         out = pd.DataFrame(merged[:limit])
         out["pos"] = range(len(out))
-        return out[[*(c.split()[0] for c in CANDIDATE.split(", ")), "n_sources"]]
+        return out[[*names, "n_sources"]]
+
+    return rows.select(*names).groupBy("query_id").applyInPandas(fold, CANDIDATE + ", n_sources int")
+
 
-    return with_keys(rows).select(*[c.split()[0] for c in CANDIDATE.split(", ")], "signature").groupBy("query_id").applyInPandas(fold, CANDIDATE + ", n_sources int")
+#: Types of a glossary entry.
+TERM_TYPES = ("name", "place", "term", "title")
 
 
 def glossary(entries: DataFrame, key: str = "doc_id", limit: int = 100) -> DataFrame:
-    """``entries(key, pos, source, target, type)``: trimmed, first of each source whatever its case, ``limit`` at most."""
-    clean = entries.withColumns({"source": blank_to_null(F.col("source")), "target": blank_to_null(F.col("target")), "type": F.coalesce(blank_to_null(F.col("type")), F.lit("term"))})
+    """``entries(key, pos, source, target, type)``: trimmed, other types as ``term``, first of each source whatever its case, ``limit`` at most."""
+    clean = entries.withColumns({"source": blank_to_null(F.col("source")), "target": blank_to_null(F.col("target")), "type": F.when(F.col("type").isin(*TERM_TYPES), F.col("type")).otherwise("term")})
     clean = clean.where("source is not null and target is not null")
     first = clean.withColumn("_n", F.row_number().over(Window.partitionBy(key, F.lower("source")).orderBy("pos"))).where("_n = 1")
     return first.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("_r") <= limit).select(key, "pos", "source", "target", "type")

@@ -5,46 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.operators.order import numbered
+
 LAST = 9007199254740991
 
 
 def list_priority(kind: Column, status: Column) -> Column:
-    """0 running translation, 1 running conversion, 2 and 3 their queues, 4 paused, 5 failed, 6 the rest."""
-    running, queued = status.isin("processing", "pausing"), status == "pending"
-    return (
-        F.when(running & (kind == "translation"), 0)
-        .when(running, 1)
-        .when(queued & (kind == "translation"), 2)
-        .when(queued, 3)
-        .when(status == "paused", 4)
-        .when(status == "error", 5)
-        .otherwise(6)
-    )
-
-
-def list_order(jobs: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """``jobs(job_id, kind, status, queue_order, created_at)`` with ``position``: queued jobs by their order, others newest first."""
-    p = list_priority(F.col("kind"), F.col("status"))
-    queued = F.col("status") == "pending"
-    w = Window.partitionBy(*(partition or [])).orderBy(p, F.when(queued, F.coalesce("queue_order", F.lit(LAST))), F.when(~queued, F.col("created_at")).desc(), "job_id")
-    return jobs.withColumn("position", F.row_number().over(w).cast("long"))
+    """Translations come first: 0 processing, 1 pausing, 2 paused or pending; then the other kinds: 3, 4, 5; finished jobs 6."""
+    step = F.when(status == "processing", 0).when(status == "pausing", 1).when(status.isin("paused", "pending"), 2)
+    return F.coalesce(step + F.when(kind == "translation", 0).otherwise(3), F.lit(6))
+
+
+def list_order(jobs: DataFrame) -> DataFrame:
+    """``jobs(job_id, kind, status, queue_order, created_at)`` with ``position``, from 1: within a priority paused and pending
+    jobs by their place in the queue (those without one last), others newest first."""
+    queued = F.col("status").isin("paused", "pending")
+    order = [F.when(queued, F.coalesce("queue_order", F.lit(LAST))), F.when(~queued, F.col("created_at")).desc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("job_id")]
+    out = numbered(jobs, "position", list_priority(F.col("kind"), F.col("status")), *order)
+    return out.withColumn("position", F.col("position") + 1)
 
 
 def reindex_queue(jobs: DataFrame) -> DataFrame:
     """Queued jobs of each kind numbered 0, 1, ... in their order."""
-    w = Window.partitionBy("kind").orderBy(F.coalesce("queue_order", F.lit(LAST)), "created_at", "job_id")
-    return jobs.where("status = 'pending'").withColumn("queue_order", (F.row_number().over(w) - 1).cast("long"))
+    queued = jobs.where("status = 'pending'")
+    return numbered(queued.withColumnRenamed("queue_order", "_q"), "queue_order", F.coalesce("_q", F.lit(LAST)), F.col("created_at"), F.col("job_id"), within="kind").drop("_q")
 
 
-def move_in_queue(queue: DataFrame, job_id, position: int) -> DataFrame:
-    """``queue(job_id, kind, queue_order)`` dense per kind, after one job went to ``position`` (clamped)."""
-    w = Window.partitionBy("kind")
-    moved = F.col("job_id") == F.lit(job_id)
-    old = F.max(F.when(moved, F.col("queue_order"))).over(w)
-    to = F.least(F.greatest(F.lit(position), F.lit(0)), F.count("*").over(w) - 1)
-    key = F.when(moved, to.cast("double") + F.when(to > old, 0.5).otherwise(-0.5)).otherwise(F.col("queue_order").cast("double"))
-    keyed = queue.withColumn("_k", key)
-    return keyed.withColumn("queue_order", (F.row_number().over(w.orderBy("_k", F.when(moved, 0).otherwise(1))) - 1).cast("long")).drop("_k")
+def move_in_queue(queue: DataFrame, moves: DataFrame) -> DataFrame:
+    """``queue(job_id, kind, queue_order)``, dense per kind, after ``moves(job_id, position)``: at most one job of each kind goes to a
+    position (clamped), and those in between close up. Arithmetic on places, no sort."""
+    sizes = queue.groupBy("kind").agg((F.count("*") - 1).alias("_last"))
+    at = queue.join(moves, "job_id").join(sizes, "kind").select(F.col("kind").alias("_kind"), F.col("queue_order").alias("_from"), F.least(F.greatest(F.col("position"), F.lit(0)), F.col("_last")).alias("_to"))
+    joined = queue.join(F.broadcast(at), F.col("kind") == F.col("_kind"), "left")  # one row per kind at most
+    q = F.col("queue_order")
+    place = F.when(q == F.col("_from"), F.col("_to")).when((q > F.col("_from")) & (q <= F.col("_to")), q - 1).when((q < F.col("_from")) & (q >= F.col("_to")), q + 1).otherwise(q)
+    return joined.withColumn("queue_order", place.cast("long")).select(*queue.columns)
 
 
 def next_queue_order(jobs: DataFrame) -> DataFrame:
@@ -52,16 +47,19 @@ def next_queue_order(jobs: DataFrame) -> DataFrame:
 
 
 def upgrade_records(records: DataFrame) -> DataFrame:
-    """Records as found after a restart: what was running is paused, and waits in order of its creation if it had no place."""
+    """Records as found after a restart: what was running is paused; what isn't finished waits in order of its creation if it had no
+    place, and finished jobs have none; no timer runs. Fields that older records lack get their defaults."""
     interrupted = F.col("status").isin("processing", "pausing")
-    waits = interrupted | F.col("status").isin("pending", "paused")
-    return records.withColumns(
-        {
-            "queue_order": F.when(waits, F.coalesce("queue_order", F.unix_millis(F.col("created_at").cast("timestamp")))).otherwise(F.col("queue_order")),
-            "started_at": F.when(interrupted, None).otherwise(F.col("started_at")),
-            "status": F.when(interrupted, "paused").otherwise(F.col("status")),
-        }
-    )
+    waits = F.col("status").isin("pending", "processing", "pausing", "paused")
+    new = {
+        "queue_order": F.when(waits, F.coalesce("queue_order", F.unix_millis(F.col("created_at").cast("timestamp")))),
+        "started_at": F.lit(None).cast(records.schema["started_at"].dataType),
+        "status": F.when(interrupted, "paused").otherwise(F.col("status")),
+        "kind": F.coalesce("kind", F.lit("translation")),
+    }
+    defaults = {"elapsed_ms": F.lit(0), "archived": F.lit(False), "last_progress_at": F.col("created_at")}
+    new |= {c: F.coalesce(c, d) for c, d in defaults.items() if c in records.columns}
+    return records.withColumns(new)
 
 
 def public_view(jobs: DataFrame) -> DataFrame:
@@ -78,8 +76,16 @@ def active_time(events: DataFrame, key: str, at: str, status: str) -> DataFrame:
     return events.withColumn("_us", spent).groupBy(key).agg(F.floor(F.coalesce(F.sum("_us"), F.lit(0)) / 1000).alias("active_ms"), F.count("*").alias("n_events"))
 
 
-#: Transitions a job may take.
-TRANSITIONS = {("pending", "start"): "processing", ("processing", "pause"): "pausing", ("pausing", "stopped"): "paused", ("processing", "finish"): "done", ("processing", "fail"): "error", ("pausing", "finish"): "done", ("pausing", "fail"): "error", ("paused", "resume"): "pending", ("error", "resume"): "pending"}
+#: Status after an event. Events are the calls that change a job: a queue starts it; a request pauses, which takes effect at the
+#: next safe point; it ends well or not; a paused or failed job may be resumed. A waiting job is paused at once.
+TRANSITIONS = {
+    ("pending", "start"): "processing",
+    ("pending", "pause"): "paused",
+    ("processing", "pause"): "pausing",
+    ("pausing", "stopped"): "paused",
+    **{(running, end): to for running in ("processing", "pausing") for end, to in (("finish", "done"), ("fail", "error"))},
+    **{(ended, "resume"): "pending" for ended in ("paused", "error")},
+}
 
 
 def replay(events: Column) -> Column:

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import trim_all
+from lexweave.functions.markup import bare_text, figure_references, sanitize_html
+from lexweave.functions.replies import without_images
+from lexweave.functions.text import trim_all, without_spaces
 
 
 def assemble_lines(items: DataFrame, tolerance: float = 2.5) -> DataFrame:
@@ -49,70 +51,97 @@ def assemble_paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def strip_headers(paras: DataFrame, depth: int = 3) -> DataFrame:
-    """``paras(doc_id, page, para_no, text)`` without the leading paragraphs that all pages share (two pages at least)."""
+    """``paras(doc_id, page, para_no, text)`` without running titles: texts that stand at the same place, among the first ``depth``, on
+    every page (two pages at least). Of each page the paragraphs before the first other text go."""
     return _strip_edge(paras, depth, footer=False)
 
 
 def strip_footers(paras: DataFrame, depth: int = 2) -> DataFrame:
-    """The same for the last paragraphs, where numbers alone count as shared."""
+    """The same from the end of each page, where numbers alone go as well, whatever the other pages have."""
     return _strip_edge(paras, depth, footer=True)
 
 
 def _strip_edge(paras: DataFrame, depth: int, footer: bool) -> DataFrame:
     page = Window.partitionBy("doc_id", "page")
-    at = F.row_number().over(page.orderBy(F.desc("para_no") if footer else F.asc("para_no"))) - 1
-    placed = paras.withColumn("_at", at).withColumn("_size", F.count("*").over(page)).withColumn("_key", trim_all(F.col("text")))
-    shortest = placed.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"), F.min("_size").alias("_least"))
-    edge = placed.where(F.col("_at") < depth).groupBy("doc_id", "_at").agg(F.count("*").alias("_n"), F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.bool_and(F.col("_key").rlike(r"\A\d+\z")).alias("_num"))
+    order = F.desc("para_no") if footer else F.asc("para_no")
+    placed = paras.withColumn("_at", F.row_number().over(page.orderBy(order)) - 1).withColumn("_size", F.count("*").over(page)).withColumn("_key", trim_all(F.col("text")))
+    pages = placed.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"), F.min("_size").alias("_least"), F.min("page").alias("_first"))
+    number = F.col("_key").rlike(r"\A[0-9]+\z")
+    head = placed.where(F.col("_at") < depth).join(pages, "doc_id")
+    edge = head.groupBy("doc_id", "_at", "_pages", "_least").agg(F.count("*").alias("_n"), F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.bool_and(number).alias("_num"), F.max(F.when(F.col("page") == F.col("_first"), F.col("_key"))).alias("_key"))
     shared = (F.col("_a") == F.col("_b")) | (F.col("_num") if footer else F.lit(False))
-    flags = edge.join(shortest, "doc_id").where((F.col("_pages") >= 2) & (F.col("_n") == F.col("_pages")) & (F.col("_at") < F.least(F.lit(depth), F.col("_least"))) & shared).select("doc_id", "_at", F.lit(1).alias("_flag"))
-    # only an unbroken run from the edge goes
-    run = flags.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at")) - 1).where("_r = _at").select("doc_id", "_at", "_flag")
-    return placed.join(run, ["doc_id", "_at"], "left").where("_flag is null").select(*paras.columns)
+    marks = edge.where((F.col("_pages") >= 2) & (F.col("_n") == F.col("_pages")) & (F.col("_at") < F.col("_least")) & (F.col("_key") != "") & shared).select("doc_id", "_key", F.lit(True).alias("_mark")).distinct()
+    joined = placed.join(marks, ["doc_id", "_key"], "left").join(pages.select("doc_id", "_pages"), "doc_id")
+    gone = F.coalesce("_mark", F.lit(False)) | (number & (F.col("_pages") >= 2) if footer else F.lit(False))
+    seen = F.bool_or(~gone).over(page.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn("_seen", seen).where("_seen").select(*paras.columns)
 
 
-CHAPTER = r"(?i)\A(chapter|cap[ií]tulo|part|parte|pr[oó]logo|prologue|ep[ií]logo|epilogue|introducci[oó]n|introduction)\b.{0,80}\z"
-NUMBERED = r"(?i)\A(\d{1,3}|[ivxlcdm]{1,8})\.\z"
+# Lines that open a chapter, and numbers that stand before a title.
+CHAPTER_WORD = r"\A(introducci[oó]n|pr[oó]logo|ep[ií]logo|conclusi[oó]n|ap[eé]ndice)\z"
+CHAPTER_NUMBER = r"\A(cap[ií]tulo|chapter|parte|part|libro|book)\s+([\divxlcdm]+|[a-záéíóúñ].*)\z"
+ROMAN_TITLE = r"\A[ivxlcdm]+[.)]\s+[A-ZÁÉÍÓÚÜÑ0-9][A-ZÁÉÍÓÚÜÑ0-9 \-—]{2,}\z"
+NUMBERED = r"(?i)\A(\d{1,3}|[ivxlcdm]+)[.)]\z"
+SENTENCE_END = r"[.!?;:]\z"
+FRONT, PAGE = "Preliminares", "Página "
+
+
+def is_chapter(c: Column) -> Column:
+    named = c.rlike(f"(?iu){CHAPTER_WORD}") | c.rlike(f"(?iu){CHAPTER_NUMBER}") | c.rlike(ROMAN_TITLE)
+    return F.length(c).between(3, 120) & ~c.rlike(SENTENCE_END) & named
 
 
 def is_upper(c: Column) -> Column:
-    """Four letters at least, none of them lower case, 120 characters at most."""
-    return (F.length(F.regexp_replace(c, r"[^\p{L}]", "")) >= 4) & (F.upper(c) == c) & (F.length(c) <= 120)
+    """Four letters at least, none of them lower case, 120 characters at most, not the end of a sentence."""
+    return (F.length(F.regexp_replace(c, "[^A-Za-zÁÉÍÓÚÜÑáéíóúüñ]", "")) >= 4) & (F.length(c) <= 120) & (F.upper(c) == c) & ~c.rlike(SENTENCE_END)
 
 
-def split_sections(paras: DataFrame, chapter: str = CHAPTER, numbered: str = NUMBERED) -> DataFrame:
-    """``paras(doc_id, pos, text)`` → (doc_id, section_no, title, n_paras, chars): sections with a body.
+def split_sections(paras: DataFrame) -> DataFrame:
+    """``paras(doc_id, page, pos, text)`` → (doc_id, section_no, title, n_paras, chars): sections with a body.
 
-    Headings: a chapter line; a number or roman numeral with a dot, which takes one to three
+    Headings: a chapter line; a number or roman numeral with a dot or bracket, which takes one to three
     upper-case lines after it into its title; once there was one of these, an upper-case line.
-    What stands before the first heading has no title. Headings without a body vanish.
+    What stands before the first heading is the front matter. Headings without a body vanish. A document without
+    a heading, or without a body, has one section for each page.
     """
     w = Window.partitionBy("doc_id").orderBy("pos")
-    x = paras.withColumns({"_u": is_upper(F.col("text")), "_nl": F.col("text").rlike(numbered), "_ch": F.col("text").rlike(chapter)})
-    x = x.withColumn("_nh", F.col("_nl") & F.coalesce(F.lead("_u").over(w), F.lit(False)))
     behind = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(False))
-    consumed = F.col("_u") & (behind("_nh", 1) | (behind("_nh", 2) & behind("_u", 1)) | (behind("_nh", 3) & behind("_u", 1) & behind("_u", 2)))
-    x = x.withColumn("_co", consumed).withColumn("_base", (F.col("_nh") | F.col("_ch")) & ~F.col("_co"))
+    taken = lambda c: F.col("_u") & (behind(c, 1) | (behind(c, 2) & behind("_u", 1)) | (behind(c, 3) & behind("_u", 1) & behind("_u", 2)))
+    x = paras.withColumn("text", trim_all(F.col("text")))
+    x = x.withColumns({"_u": is_upper(F.col("text")), "_nl": F.col("text").rlike(NUMBERED), "_ch": is_chapter(F.col("text"))})
+    x = x.withColumn("_nh", F.col("_nl") & F.coalesce(F.lead("_u").over(w), F.lit(False)))
+    x = x.withColumn("_nh", F.col("_nh") & ~taken("_nh"))  # a numeral such as XVIII) may itself be a title's line
+    x = x.withColumn("_co", taken("_nh")).withColumn("_base", F.col("_nh") | (F.col("_ch") & ~F.col("_nl") & ~F.col("_co")))
     x = x.withColumn("_found", F.coalesce(F.max("_base").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     x = x.withColumn("_head", F.col("_base") | (F.col("_u") & F.col("_found") & ~F.col("_co") & ~F.col("_nl")))
     x = x.withColumn("_sec", F.sum(F.col("_head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     named = F.col("_head") | F.col("_co")
-    title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(named, F.struct("pos", "text")))), lambda t: t["text"]), " ")
-    out = x.groupBy("doc_id", "_sec").agg(title.alias("title"), F.count_if(~named).alias("n_paras"), F.sum(F.when(~named, F.length("text")).otherwise(0)).alias("chars"))
-    out = out.where("n_paras > 0")
-    return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_sec")) - 1).cast("int").alias("section_no"), "title", "n_paras", "chars")
+    whole = Window.partitionBy("doc_id")
+    x = x.withColumns({"_named": named, "_chapters": F.bool_or("_head").over(whole) & F.bool_or(~named).over(whole)})
+    x = x.withColumns({"_sec": F.when(F.col("_chapters"), F.col("_sec")).otherwise(F.col("page")), "_named": F.col("_named") & F.col("_chapters")})
+    title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_named"), F.struct("pos", "text")))), lambda t: t["text"]), " ")
+    out = x.groupBy("doc_id", "_sec", "_chapters").agg(title.alias("title"), F.count_if(~F.col("_named")).alias("n_paras"), F.sum(F.when(~F.col("_named"), F.length("text")).otherwise(0)).alias("chars")).where("n_paras > 0")
+    title = F.when(~F.col("_chapters"), F.concat(F.lit(PAGE), F.col("_sec").cast("string"))).when(F.col("_sec") == 0, FRONT).otherwise(F.col("title"))
+    return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_sec")) - 1).cast("int").alias("section_no"), title.alias("title"), "n_paras", "chars")
 
 
 def repeated_pages(pages: DataFrame, least: int = 300) -> DataFrame:
-    """``pages(doc_id, page, text)`` with ``is_repeat``: the same long text as the page before."""
+    """``pages(doc_id, page, text, source_text)`` with ``is_repeat``: the text of the page before, white space apart, though the two
+    sources differ; texts and both sources have more than ``least`` characters."""
     w = Window.partitionBy("doc_id").orderBy("page")
-    same = (F.col("text") == F.lag("text").over(w)) & (F.length("text") > least)
-    return pages.withColumn("is_repeat", F.coalesce(same, F.lit(False)))
+    bare = pages.withColumn("_t", without_spaces(F.col("text")))
+    previous = F.lag(F.struct("page", "_t", "source_text")).over(w)
+    long = (F.length("_t") > least) & (F.length("source_text") > least) & (F.length(previous["source_text"]) > least)
+    same = (previous["page"] == F.col("page") - 1) & (F.col("_t") == previous["_t"]) & (F.col("source_text") != previous["source_text"]) & long
+    return bare.withColumn("is_repeat", F.coalesce(same, F.lit(False))).select(*pages.columns, "is_repeat")
 
 
 def coverage(pages: DataFrame, least: int = 500, share: float = 0.55) -> DataFrame:
-    """``pages(doc_id, source_text, output_text)`` per document: letters in and out, and ``is_rejected`` where too little came out."""
-    out = pages.groupBy("doc_id").agg(F.sum(F.length(F.coalesce("source_text", F.lit("")))).alias("source_chars"), F.sum(F.length(F.coalesce("output_text", F.lit("")))).alias("output_chars"))
+    """``pages(doc_id, source_text, output_text)`` per document: characters in and out without white space and linked images, and
+    ``is_rejected`` where too little came out."""
+    size = lambda c: F.length(without_spaces(c))
+    source = without_images(F.coalesce("source_text", F.lit("")))
+    out = pages.groupBy("doc_id").agg(F.sum(size(source)).alias("source_chars"), F.sum(size(F.coalesce("output_text", F.lit("")))).alias("output_chars"))
     return out.withColumn("is_rejected", (F.col("source_chars") > least) & (F.col("output_chars") < F.col("source_chars") * share))
 
 
@@ -145,6 +174,16 @@ def page_batches(pages: DataFrame, done: DataFrame, size: int = 3) -> DataFrame:
     return left.withColumn("batch_no", F.floor((F.col("page") - 1) / F.lit(size)).cast("int"))
 
 
+def ocr_paragraphs(lines: DataFrame) -> DataFrame:
+    """``lines(doc_id, page, line_no, text)`` → (doc_id, page, para_no, text): blank lines part paragraphs; after a hyphen no space."""
+    w = Window.partitionBy("doc_id", "page").orderBy("line_no")
+    x = lines.withColumn("text", trim_all(F.col("text")))
+    x = x.withColumn("_g", F.sum((F.col("text") == "").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("text <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda t: t["text"])
+    out = x.groupBy("doc_id", "page", "_g").agg(joined_with_hyphens(ordered).alias("text"))
+    return out.select("doc_id", "page", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("_g")) - 1).cast("int").alias("para_no"), "text")
+
+
 def preview_budget(items: DataFrame, budget: int = 2000) -> DataFrame:
     """``items(doc_id, pos, text)``: the first ``budget`` characters of each document, the last item cut."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,15 +208,42 @@ def needs_ocr_preview(text: Column, least: int = 40) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) < least
 
 
-def page_reason(page: DataFrame) -> DataFrame:
-    """``page(expected, page, html_text, source_text, is_blank, n_figures)`` with ``reason``: the first check that fails, else null."""
-    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    damaged = F.length(F.col("html_text")) - F.length(F.replace(F.col("html_text"), F.lit("�"), F.lit("")))
+FIGURES = "array<struct<id:string,alt:string,x:double,y:double,width:double,height:double>>"
+
+
+def is_fraction_box(f: Column, slack: float = 0.001) -> Column:
+    """Whether a figure's box is finite, not empty and inside the page."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    inside = (f["x"] >= 0) & (f["y"] >= 0) & (f["width"] > 0) & (f["height"] > 0) & (f["x"] + f["width"] <= 1 + slack) & (f["y"] + f["height"] <= 1 + slack)
+    return F.coalesce(finite(f["x"]) & finite(f["y"]) & finite(f["width"]) & finite(f["height"]) & inside, F.lit(False))
+
+
+def is_trustworthy(c: Column) -> Column:
+    """Whether a source text is fit to measure by: no damaged characters, and letters and digits are most of it."""
+    letters = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    return ~c.rlike("[\ufffd\\x00]") & (letters > F.length(without_spaces(c)) * 0.6)
+
+
+def page_reason(pages: DataFrame, most_figures: int = 16) -> DataFrame:
+    """``pages(expected, page, html, continues_previous, join_previous_word, is_toc, is_blank, figures, source_text)`` with ``reason``:
+    the first check that fails, else null. Lengths are those of the text without white space, after the markup was made safe."""
+    figures, ids, refs = F.coalesce("figures", F.array().cast(FIGURES)), F.col("_ids"), F.col("_refs")
+    x = pages.withColumns({"_figures": figures, "_ids": F.transform(figures, lambda f: f["id"]), "_refs": figure_references(F.col("html")), "_safe": sanitize_html(F.col("page"), F.col("html"), figures)})
+    x = x.withColumns({"_n": F.length(without_spaces(bare_text(F.col("_safe")))), "_source": F.coalesce("source_text", F.lit(""))})
+    n, source = F.col("_n"), F.col("_source")
+    typed = F.col("html").isNotNull() & F.col("continues_previous").isNotNull() & F.col("join_previous_word").isNotNull() & F.col("is_toc").isNotNull() & F.col("is_blank").isNotNull()
+    framed = F.coalesce((F.col("page") == F.col("expected")) & typed & ~(F.col("join_previous_word") & ~F.col("continues_previous")), F.lit(False))
+    sound = F.forall("_figures", lambda f: F.coalesce(f["id"].rlike(r"\Afig-[0-9]+\z"), F.lit(False)) & f["alt"].isNotNull() & is_fraction_box(f)) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    bound = (F.size(refs) == F.size(ids)) & (F.size(F.array_distinct(refs)) == F.size(refs)) & (F.size(F.array_except(refs, ids)) == 0)
+    damaged = F.length(F.col("_safe")) - F.length(F.replace(F.col("_safe"), F.lit("\ufffd"), F.lit("")))
+    original = F.length(without_spaces(source))
     reason = (
-        F.when(F.col("expected") != F.col("page"), "page order")
-        .when(F.col("n_figures") > 16, "figures")
-        .when(F.col("is_blank") != (F.col("html_text") == ""), "blank")
-        .when(damaged > F.greatest(F.lit(2), F.length("html_text") * 0.005), "damaged")
-        .when((letters(F.col("source_text")) >= 300) & (letters(F.col("html_text")) < letters(F.col("source_text")) * 0.65), "coverage")
+        F.when(~framed, "structure")
+        .when(F.size("_figures") > most_figures, "figures")
+        .when(~sound, "figure")
+        .when(~bound, "references")
+        .when(F.when(F.col("is_blank"), (n > 0) | (F.size("_figures") > 0)).otherwise((n == 0) & (F.size("_figures") == 0)), "blank")
+        .when(damaged > F.greatest(F.lit(2), n * 0.005), "damaged")
+        .when(is_trustworthy(source) & (original >= 300) & (n < original * 0.65), "coverage")
     )
-    return page.withColumn("reason", reason)
+    return x.withColumn("reason", reason).select(*pages.columns, "reason")

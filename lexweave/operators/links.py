@@ -15,6 +15,12 @@ def bookmark_targets(bookmarks: DataFrame, headings: DataFrame) -> DataFrame:
     return joined.select(*bookmarks.columns, F.coalesce("anchor", F.concat(F.lit("page-"), F.col("page").cast("string"))).alias("target"))
 
 
+def book_targets(bookmarks: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, title, page, level, target): a document's bookmarks at their targets, or its headings where it has no bookmark."""
+    own = headings.join(bookmarks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "title", "page", "level", F.col("anchor").alias("target"))
+    return bookmark_targets(bookmarks.select("doc_id", "title", "page", "level"), headings).unionByName(own)
+
+
 def toc_links(entries: DataFrame, targets: DataFrame) -> DataFrame:
     """``entries(doc_id, entry_no, text)`` with ``target``: the only target of that title; without its page number if there is none."""
     t = targets.groupBy("doc_id", title_key(F.col("title")).alias("_k")).agg(F.count("*").alias("_n"), F.min("anchor").alias("_a"))

@@ -63,8 +63,11 @@ def reading_dates(spark: SparkSession, d: str) -> DataFrame:
     from lexweave.functions.text import is_reading_date
 
     o = table(spark, d, "orders")
-    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((F.col("o_orderkey") % 33).cast("string"), 2, "0"))
-    return o.select("o_orderkey", is_reading_date(text).alias("is_valid"))
+    k = F.col("o_orderkey")
+    day = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((k % 33).cast("string"), 2, "0"))
+    hour = F.lpad((k % 26).cast("string"), 2, "0")
+    time = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit("T"), hour, F.lit(":30:00Z"))).when(k % 5 == 2, F.concat(F.lit("T"), hour, F.lit(":30Z"))).when(k % 5 == 3, F.concat(F.lit("T"), hour, F.lit(":00:00"))).otherwise(F.concat(F.lit("T"), hour, F.lit(":00:00.5+02:00")))
+    return o.select("o_orderkey", is_reading_date(F.concat(day, time)).alias("is_valid"))
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +87,7 @@ JOBS_SQL = """jobs AS (SELECT o_orderkey AS job_id, o_custkey % 100 AS bucket, C
 
 
 def job_listing(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.list_order(_jobs(spark, d), ["bucket"]).select("job_id", "bucket", "position")
+    return jobs.list_order(_jobs(spark, d)).select("job_id", "kind", "status", "position")
 
 
 def queue_reindex(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +95,8 @@ def queue_reindex(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_move(spark: SparkSession, d: str) -> DataFrame:
-    q = jobs.reindex_queue(_jobs(spark, d).where("bucket < 10")).select("job_id", "kind", "queue_order")
-    first = q.agg(F.max("job_id")).first()[0]
-    return jobs.move_in_queue(q, first, 3)
+    q = jobs.reindex_queue(_jobs(spark, d)).select("job_id", "kind", "queue_order")
+    return jobs.move_in_queue(q, q.groupBy("kind").agg(F.max("job_id").alias("job_id")).select("job_id", F.lit(3).alias("position")))
 
 
 def next_queue_order(spark: SparkSession, d: str) -> DataFrame:
@@ -203,10 +205,11 @@ def archive_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def locale_sort(spark: SparkSession, d: str) -> DataFrame:
     from lexweave.functions.text import strip_accents
+    from lexweave.operators.order import numbered
 
-    p = table(spark, d, "documents").select("doc_id", "lang", F.left("text", F.lit(12)).alias("title"))
-    rank = F.rank().over(Window.partitionBy("lang").orderBy(F.collate("title", "es"), "doc_id"))
-    return p.select("doc_id", "lang", strip_accents(F.col("title")).alias("plain"), rank.alias("rank"))
+    p = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("title"))
+    ranked = numbered(p, "rank", F.collate("title", "es"), F.col("doc_id"), within="lang")
+    return ranked.select("doc_id", "lang", F.xxhash64(strip_accents(F.col("title"))).alias("plain"), "rank")
 
 
 def contiguous_prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -222,16 +225,17 @@ def json_shred(spark: SparkSession, d: str) -> DataFrame:
 def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = table(spark, d, "part")
     rows = p.select(
-        (F.col("p_partkey") % 100).alias("query_id"),
-        F.floor(F.col("p_partkey") / 100).cast("int").alias("pos"),
-        F.initcap("p_name").alias("title"),
+        F.floor(F.col("p_partkey") / 12).alias("query_id"),
+        (F.col("p_partkey") % 12).cast("int").alias("pos"),
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("/works/"), F.col("p_partkey").cast("string"))).alias("open_library_key"),
+        F.when(F.col("p_partkey") % 17 == 0, " ").otherwise(F.initcap("p_name")).alias("title"),
         F.array("p_brand").alias("authors"),
-        F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("978-0-00-"), F.lpad((F.col("p_partkey") % 700).cast("string"), 7, "0"))).alias("isbn"),
+        F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("978-0-00-"), F.lpad(F.floor(F.col("p_partkey") / 2).cast("string"), 7, "0"))).alias("isbn"),
         F.concat(F.lit("http://covers/"), F.col("p_partkey").cast("string")).alias("cover_url"),
         (F.col("p_size") + 1950).cast("int").alias("first_publish_year"),
         F.array("p_type", "p_brand").alias("categories"),
     )
-    second = rows.withColumns({"title": F.upper("title"), "isbn": F.when(F.col("pos") % 2 == 0, F.col("isbn")), "cover_url": F.lit(None).cast("string"), "categories": F.array(F.lit("x"), F.element_at("categories", 1))})
+    second = rows.withColumns({"title": F.upper("title"), "open_library_key": F.lit(None).cast("string"), "isbn": F.when(F.col("pos") % 2 == 0, F.col("isbn")), "cover_url": F.lit(None).cast("string"), "categories": F.array(F.lit("x"), F.element_at("categories", 1))})
     return rows, second
 
 
@@ -264,14 +268,14 @@ ORACLE_SQL = {
 SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'read' ELSE 'reading' END ELSE status END AS status, CASE WHEN id % 3 = 0 AND id % 2 = 1 AND started_at IS NULL THEN '2026-01-01' ELSE started_at END AS started_at,
 CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN NULL WHEN id % 3 = 0 AND id % 2 = 0 AND finished_at IS NULL THEN '2026-01-01' ELSE finished_at END AS finished_at FROM b""",
     "latest_rows": "WITH l AS (SELECT l_orderkey AS id, l_linenumber AS version, max(l_quantity) AS value, l_linenumber = 4 AS is_deleted FROM lineitem GROUP BY 1, 2, 4), x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS n FROM l) SELECT id, version, value, is_deleted FROM x WHERE n = 1 AND NOT is_deleted",
-    "reading_dates": "SELECT o_orderkey, try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS is_valid FROM orders",
-    "job_listing": f"""WITH {JOBS_SQL}, p AS (SELECT *, CASE WHEN status IN ('processing', 'pausing') THEN CASE WHEN kind = 'translation' THEN 0 ELSE 1 END WHEN status = 'pending' THEN CASE WHEN kind = 'translation' THEN 2 ELSE 3 END WHEN status = 'paused' THEN 4 WHEN status = 'error' THEN 5 ELSE 6 END AS pr FROM jobs)
-SELECT job_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY pr, CASE WHEN status = 'pending' THEN coalesce(queue_order, 9007199254740991) END NULLS FIRST, CASE WHEN status <> 'pending' THEN created_at END DESC NULLS LAST, job_id) AS position FROM p""",
+    "reading_dates": "SELECT o_orderkey, try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AND CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN o_orderkey % 26 < 24 WHEN 4 THEN o_orderkey % 26 < 24 ELSE false END AS is_valid FROM orders",
+    "job_listing": f"""WITH {JOBS_SQL}, p AS (SELECT *, status IN ('paused', 'pending') AS queued, CASE status WHEN 'processing' THEN 0 WHEN 'pausing' THEN 1 WHEN 'paused' THEN 2 WHEN 'pending' THEN 2 END + CASE WHEN kind = 'translation' THEN 0 ELSE 3 END AS pr FROM jobs)
+SELECT job_id, kind, status, row_number() OVER (ORDER BY coalesce(pr, 6), CASE WHEN queued THEN coalesce(queue_order, 9007199254740991) END NULLS FIRST, created_at DESC, job_id) AS position FROM p""",
     "queue_reindex": f"WITH {JOBS_SQL} {REINDEX_SQL}",
-    "queue_move": f"""WITH {JOBS_SQL}, q AS ({REINDEX_SQL} AND bucket < 10), m AS (SELECT * FROM q WHERE job_id = (SELECT max(job_id) FROM q)), c AS (SELECT m.kind, m.job_id, m.queue_order AS old, least(3, (SELECT count(*) FROM q WHERE q.kind = m.kind) - 1) AS new FROM m)
-SELECT q.job_id, q.kind, CASE WHEN q.kind <> c.kind THEN q.queue_order WHEN q.job_id = c.job_id THEN c.new WHEN q.queue_order > c.old AND q.queue_order <= c.new THEN q.queue_order - 1 WHEN q.queue_order < c.old AND q.queue_order >= c.new THEN q.queue_order + 1 ELSE q.queue_order END AS queue_order FROM q, c""",
+    "queue_move": f"""WITH {JOBS_SQL}, q AS ({REINDEX_SQL}), c AS (SELECT kind, max(job_id) AS job_id, arg_max(queue_order, job_id) AS old, least(3, count(*) - 1) AS new FROM q GROUP BY kind)
+SELECT q.job_id, q.kind, CASE WHEN q.job_id = c.job_id THEN c.new WHEN q.queue_order > c.old AND q.queue_order <= c.new THEN q.queue_order - 1 WHEN q.queue_order < c.old AND q.queue_order >= c.new THEN q.queue_order + 1 ELSE q.queue_order END AS queue_order FROM q JOIN c USING (kind)""",
     "next_queue_order": f"WITH {JOBS_SQL} SELECT kind, coalesce(max(queue_order) + 1, 0) AS next_order FROM jobs GROUP BY 1",
-    "record_upgrade": f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN status IN ('processing', 'pausing') THEN 'paused' ELSE status END AS status, CASE WHEN status IN ('processing', 'pausing', 'pending', 'paused') THEN coalesce(queue_order, epoch_ms(created_at)) ELSE queue_order END AS queue_order, CASE WHEN status IN ('processing', 'pausing') THEN NULL ELSE '2026-01-01' END AS started_at FROM jobs""",
+    "record_upgrade": f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN status IN ('processing', 'pausing') THEN 'paused' ELSE status END AS status, CASE WHEN status NOT IN ('done', 'error') THEN coalesce(queue_order, epoch_ms(created_at)) END AS queue_order, CAST(NULL AS VARCHAR) AS started_at FROM jobs""",
     "public_projection": f"WITH {JOBS_SQL} SELECT job_id, kind, status, CASE WHEN status = 'done' THEN '/api/jobs/' || job_id || '/download' END AS download_url FROM jobs",
     "active_time": """WITH e AS (SELECT user_id, ts, CASE WHEN event_id % 3 = 0 THEN 'processing' ELSE 'paused' END AS status FROM events), l AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, status)) - epoch_us(ts) AS us FROM e)
 SELECT user_id, CAST(floor(coalesce(sum(us) FILTER (WHERE status = 'processing'), 0) / 1000) AS BIGINT) AS active_ms, count(*) AS n_events FROM l GROUP BY 1""",

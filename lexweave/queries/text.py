@@ -13,6 +13,8 @@ from lexweave.sources.archives import text_nodes
 LIMIT = segment.MAX_TOKENS * 4
 TRIM = f"'{T.TRIMMED}'"
 
+SPACE = r"\t\n\v\f\r " + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
 LINES_SQL = f"""lines AS (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS line_no, t AS text
   FROM (SELECT doc_id, i, trim(l, {TRIM}) AS t FROM (
@@ -137,18 +139,20 @@ TURNS_SQL = f"""paras AS (
 
 
 def _with_marks(paras: DataFrame) -> DataFrame:
-    """A running title before and a page number after each page of most documents."""
+    """A running title twice before and a page number or two after each page of most documents; some pages lack the second title."""
     some = paras.where("doc_id % 4 <> 0").select("doc_id", "page").distinct()
-    top = some.select("doc_id", "page", F.lit(-1).alias("para_no"), F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("text"))
-    end = some.select("doc_id", "page", F.lit(100000).alias("para_no"), F.col("page").cast("string").alias("text"))
-    return paras.unionByName(top).unionByName(end)
+    mark = lambda at, text, keep="true": some.where(keep).select("doc_id", "page", F.lit(at).alias("para_no"), text.alias("text"))
+    title, number = F.concat(F.lit("Title "), F.col("doc_id").cast("string")), F.col("page").cast("string")
+    marks = [mark(-2, title), mark(-1, title, "page % 3 <> 0"), mark(100000, number), mark(100001, number, "page % 2 = 1"), mark(100002, F.lit("End"), "doc_id % 4 = 2")]
+    for m in marks:
+        paras = paras.unionByName(m)
+    return paras
 
 
+_MARK_SQL = [(-2, "'Title ' || doc_id", "true"), (-1, "'Title ' || doc_id", "page % 3 <> 0"), (100000, "CAST(page AS VARCHAR)", "true"), (100001, "CAST(page AS VARCHAR)", "page % 2 = 1"), (100002, "'End'", "doc_id % 4 = 2")]
 MARKED_SQL = f"""{TURNS_SQL},
-marked AS (
-  SELECT * FROM paras
-  UNION ALL SELECT DISTINCT doc_id, page, -1, 'Title ' || doc_id FROM paras WHERE doc_id % 4 <> 0
-  UNION ALL SELECT DISTINCT doc_id, page, 100000, CAST(page AS VARCHAR) FROM paras WHERE doc_id % 4 <> 0)"""
+titled AS (SELECT DISTINCT doc_id, page FROM paras WHERE doc_id % 4 <> 0),
+marked AS (SELECT * FROM paras {" ".join(f"UNION ALL SELECT doc_id, page, {at}, {text} FROM titled WHERE {keep}" for at, text, keep in _MARK_SQL)})"""
 
 
 def page_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -160,73 +164,82 @@ def page_footers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edge_sql(depth: int, footer: bool) -> str:
-    order, shared = ("DESC", "(a = b OR num)") if footer else ("ASC", "a = b")
+    order = "DESC" if footer else "ASC"
+    shared = "(list_unique(ks) = 1 OR list_bool_and(list_transform(ks, lambda k: regexp_full_match(k, '[0-9]+'))))" if footer else "list_unique(ks) = 1"
+    number = "OR (regexp_full_match(key, '[0-9]+') AND pages >= 2)" if footer else ""
     return f"""WITH {MARKED_SQL},
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_no {order}) - 1 AS ix, count(*) OVER (PARTITION BY doc_id, page) AS size, trim(text, {TRIM}) AS key FROM marked),
-least AS (SELECT doc_id, count(DISTINCT page) AS pages, min(size) AS least FROM placed GROUP BY 1),
-edge AS (SELECT doc_id, ix, count(*) AS n, min(key) AS a, max(key) AS b, bool_and(regexp_full_match(key, '\\d+')) AS num FROM placed WHERE ix < {depth} GROUP BY 1, 2),
-flags AS (SELECT doc_id, ix FROM edge JOIN least USING (doc_id) WHERE pages >= 2 AND n = pages AND ix < least AND {shared}),
-run AS (SELECT doc_id, ix FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ix) - 1 AS r FROM flags) WHERE r = ix)
-SELECT doc_id, page, para_no, text FROM placed p WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.doc_id = p.doc_id AND r.ix = p.ix)"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_no {order}) - 1 AS ix, trim(text, {TRIM}) AS key FROM marked),
+listed AS (SELECT doc_id, page, list(key ORDER BY ix) AS l FROM placed GROUP BY 1, 2),
+docs AS (SELECT doc_id, list(l ORDER BY page) AS ls, count(*) AS pages, min(len(l)) AS shortest FROM listed GROUP BY 1),
+tried AS (SELECT doc_id, list_transform(ls, lambda l: l[i]) AS ks, ls[1][i] AS first FROM (SELECT *, unnest(range(1, least({depth}, shortest) + 1)) AS i FROM docs WHERE pages >= 2)),
+marks AS (SELECT DISTINCT doc_id, first FROM tried WHERE first <> '' AND {shared}),
+flagged AS (SELECT p.*, (EXISTS (SELECT 1 FROM marks m WHERE m.doc_id = p.doc_id AND m.first = p.key) {number}) AS gone FROM placed p JOIN docs USING (doc_id))
+SELECT doc_id, page, para_no, text FROM (SELECT *, bool_or(NOT gone) OVER (PARTITION BY doc_id, page ORDER BY ix) AS seen FROM flagged) WHERE seen"""
 
 
 def section_split(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d).select("doc_id", F.col("line_no").alias("pos"), "text")
-    marked = lines.withColumn("text", F.when(F.col("pos") % 9 == 3, F.concat(F.lit("Chapter "), F.col("pos").cast("string"))).when(F.col("pos") % 9 == 6, "IV.").when(F.col("pos") % 9 == 7, "THE SEA").otherwise(F.col("text")))
-    return layout.split_sections(marked)
+    lines = _lines(spark, d).select("doc_id", (F.floor(F.col("line_no") / 5) + 1).cast("int").alias("page"), F.col("line_no").alias("pos"), "text")
+    k = F.col("pos") % 9
+    marks = F.when(k == 3, F.concat(F.lit("Chapter "), F.col("pos").cast("string"))).when(k == 5, "XVIII)").when(k == 6, "IV.").when(k == 7, "THE SEA").when(F.col("pos") % 25 == 8, "Épílogo")
+    return layout.split_sections(lines.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.coalesce(marks, "text"))))
 
 
+_CASED = lambda p: p.replace("\\A", "^").replace("\\z", "$")
 SECTIONS_SQL = f"""WITH {LINES_SQL},
-m AS (SELECT doc_id, line_no AS pos, CASE WHEN line_no % 9 = 3 THEN 'Chapter ' || line_no WHEN line_no % 9 = 6 THEN 'IV.' WHEN line_no % 9 = 7 THEN 'THE SEA' ELSE text END AS text FROM lines),
-f AS (SELECT *, (length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 4 AND upper(text) = text AND length(text) <= 120) AS u,
-  regexp_matches(text, '(?i)\\A(\\d{{1,3}}|[ivxlcdm]{{1,8}})\\.\\z') AS nl,
-  regexp_matches(text, '{layout.CHAPTER}') AS ch FROM m),
-g AS (SELECT *, nl AND coalesce(lead(u) OVER w, false) AS nh FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-h AS (SELECT *, u AND (coalesce(lag(nh, 1) OVER w, false) OR (coalesce(lag(nh, 2) OVER w, false) AND coalesce(lag(u, 1) OVER w, false))
-  OR (coalesce(lag(nh, 3) OVER w, false) AND coalesce(lag(u, 1) OVER w, false) AND coalesce(lag(u, 2) OVER w, false))) AS co FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-i AS (SELECT *, (nh OR ch) AND NOT co AS base FROM h),
-j AS (SELECT *, coalesce(bool_or(base) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS found FROM i),
-k AS (SELECT *, base OR (u AND found AND NOT co AND NOT nl) AS head FROM j),
-l AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM k),
-s AS (SELECT doc_id, sec, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE head OR co), '') AS title, count(*) FILTER (WHERE NOT (head OR co)) AS n_paras,
-  CAST(sum(CASE WHEN head OR co THEN 0 ELSE length(text) END) AS BIGINT) AS chars FROM l GROUP BY 1, 2)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INT) AS section_no, title, n_paras, chars FROM s WHERE n_paras > 0"""
+m AS (SELECT doc_id, CAST(floor(line_no / 5) + 1 AS INT) AS page, line_no AS pos, CASE WHEN doc_id % 3 = 0 THEN text WHEN line_no % 9 = 3 THEN 'Chapter ' || line_no WHEN line_no % 9 = 5 THEN 'XVIII)' WHEN line_no % 9 = 6 THEN 'IV.' WHEN line_no % 9 = 7 THEN 'THE SEA' WHEN line_no % 25 = 8 THEN 'Épílogo' ELSE text END AS text FROM lines),
+f AS (SELECT *, length(regexp_replace(text, '[^A-Za-zÁÉÍÓÚÜÑáéíóúüñ]', '', 'g')) >= 4 AND upper(text) = text AND length(text) <= 120 AND NOT regexp_matches(text, '[.!?;:]$') AS u,
+  regexp_matches(text, '{_CASED(layout.NUMBERED)}') AS nl,
+  length(text) BETWEEN 3 AND 120 AND NOT regexp_matches(text, '[.!?;:]$') AND (regexp_matches(text, '(?i){_CASED(layout.CHAPTER_WORD)}') OR regexp_matches(text, '(?i){_CASED(layout.CHAPTER_NUMBER)}') OR regexp_matches(text, '{_CASED(layout.ROMAN_TITLE)}')) AS ch FROM m),
+l AS (SELECT doc_id, list({{'page': page, 'pos': pos, 'text': text, 'u': u, 'nl': nl, 'ch': ch}} ORDER BY pos) AS ps FROM f GROUP BY 1),
+walk AS (
+  SELECT doc_id, 1 AS i, 0 AS skip, 0 AS sec, false AS found, CAST(NULL AS VARCHAR) AS head, false AS named FROM l WHERE false
+  UNION ALL SELECT doc_id, 0, 0, 0, false, NULL, true FROM l
+  UNION ALL
+  SELECT w.doc_id, w.i + 1, CASE WHEN w.skip > 0 THEN w.skip - 1 ELSE x.taken END, w.sec + CAST(w.skip = 0 AND x.head AS INT), w.found OR (w.skip = 0 AND x.head),
+    CASE WHEN w.skip = 0 AND x.head THEN x.title ELSE w.head END, w.skip > 0 OR x.head
+  FROM walk w JOIN l USING (doc_id), LATERAL (SELECT p, CASE WHEN NOT p.nl OR NOT coalesce(a.u, false) THEN 0 WHEN NOT coalesce(b.u, false) THEN 1 WHEN NOT coalesce(c.u, false) THEN 2 ELSE 3 END AS n, a, b, c FROM (SELECT ps[w.i + 1] AS p, ps[w.i + 2] AS a, ps[w.i + 3] AS b, ps[w.i + 4] AS c)) y,
+    LATERAL (SELECT y.n AS taken, y.n > 0 OR (NOT y.p.nl AND (y.p.ch OR (w.found AND y.p.u))) AS head,
+      y.p.text || CASE WHEN y.n > 0 THEN ' ' || y.a.text ELSE '' END || CASE WHEN y.n > 1 THEN ' ' || y.b.text ELSE '' END || CASE WHEN y.n > 2 THEN ' ' || y.c.text ELSE '' END AS title) x
+  WHERE w.i < len(l.ps)),
+rows AS (SELECT w.doc_id, w.sec, w.head, w.named, length(l.ps[w.i].text) AS n, l.ps[w.i].page AS page, bool_or(w.found) OVER d AND bool_or(NOT w.named) OVER d AS chapters FROM walk w JOIN l USING (doc_id) WHERE w.i > 0 WINDOW d AS (PARTITION BY w.doc_id)),
+s AS (SELECT doc_id, chapters, CASE WHEN chapters THEN sec ELSE page END AS k, coalesce(max(head), '') AS head, count(*) FILTER (WHERE NOT (named AND chapters)) AS n_paras, CAST(coalesce(sum(n) FILTER (WHERE NOT (named AND chapters)), 0) AS BIGINT) AS chars FROM rows GROUP BY 1, 2, 3)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS section_no, CASE WHEN NOT chapters THEN 'Página ' || k WHEN k = 0 THEN 'Preliminares' ELSE head END AS title, n_paras, chars FROM s WHERE n_paras > 0"""
 
 
 def repeated_page(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2).cast("int").alias("page"), "text")
-    again = turns.where("doc_id % 3 = 0").withColumn("page", F.col("page") + 1)
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2).cast("int").alias("page"), "text", F.col("text").alias("source_text"))
+    again = turns.where("doc_id % 3 = 0").withColumns({"page": F.col("page") + 1, "text": F.regexp_replace("text", " ", "  "), "source_text": F.when(F.col("page") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit("x")))})
     return layout.repeated_pages(turns.unionByName(again), 100).select("doc_id", "page", "is_repeat")
 
 
 def coverage_check(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).select("doc_id", F.col("text").alias("source_text"), F.left("text", (F.length("text") * (F.col("doc_id") % 10) / 10).cast("int")).alias("output_text"))
-    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    return layout.coverage(labelled)
+    source = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " ![figure](a.png)").otherwise(""))
+    return layout.coverage(_docs(spark, d).select("doc_id", source.alias("source_text"), F.left("text", (F.length("text") * (F.col("doc_id") % 10) / 10).cast("int")).alias("output_text")))
 
 
 def search_identity(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.search_identity(F.left("text", F.lit(80))).alias("identity"))
+    return _docs(spark, d).select("doc_id", T.search_identity(F.col("text")).alias("identity"))
 
 
 def device_search(spark: SparkSession, d: str) -> DataFrame:
     from lexweave.operators.readinglog import device_search as search
 
-    books = _docs(spark, d).select("doc_id", F.left("text", F.lit(60)).alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_name"), F.lit("").alias("authors"))
-    return search(books, "ÉLE").select("doc_id", "title")
+    books = _docs(spark, d).select("doc_id", F.col("text").alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_name"), F.lit("").alias("authors"))
+    return search(books, "ÉLE").select("doc_id", F.length("title").alias("chars"))
 
 
 def toc_links(spark: SparkSession, d: str) -> DataFrame:
-    h = _headings(spark, d).where("pos = 0")
-    targets = h.select((F.col("page_id") % 20).alias("doc_id"), "title", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("anchor"))
-    entries = h.select((F.col("page_id") % 20).alias("doc_id"), F.col("page_id").alias("entry_no"), F.when(F.col("page_id") % 3 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" ..... "), F.col("page_id").cast("string"))).alias("text"))
-    return links.toc_links(entries, targets).select("doc_id", "entry_no", "target")
+    h = _headings(spark, d).select((F.col("page_id") % 20).alias("doc_id"), F.col("page_id").alias("n"), "pos", "title")
+    targets = h.select("doc_id", "title", F.concat_ws("-", F.lit("p"), F.col("n").cast("string"), F.col("pos").cast("string")).alias("anchor"))
+    k = F.col("n") % 4
+    text = F.when(k == 0, F.col("title")).when(k == 1, F.concat("title", F.lit(" ..... "), F.col("n").cast("string"))).when(k == 2, F.concat("title", F.lit("…… xiv "))).otherwise(F.concat("title", F.col("n").cast("string")))
+    return links.toc_links(h.select("doc_id", F.col("n").alias("entry_no"), "pos", text.alias("text")), targets).select("doc_id", "entry_no", "pos", "target")
 
 
 def bookmark_targets(spark: SparkSession, d: str) -> DataFrame:
-    h = _headings(spark, d).select((F.col("page_id") % 20).alias("doc_id"), F.col("page_id").alias("page"), "pos", "title", F.concat_ws("-", F.lit("h"), F.col("page_id").cast("string"), F.col("pos").cast("string")).alias("anchor"))
-    marks = h.where("pos = 0").select("doc_id", F.concat(F.lit("* "), "title").alias("title"), F.when(F.col("page") % 4 == 0, F.col("page") + 20).otherwise(F.col("page")).alias("page"))
-    return links.bookmark_targets(marks, h)
+    h = _headings(spark, d).select((F.col("page_id") % 20).alias("doc_id"), F.col("page_id").alias("page"), "pos", "title", "level", F.concat_ws("-", F.lit("h"), F.col("page_id").cast("string"), F.col("pos").cast("string")).alias("anchor"))
+    marks = h.where("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("* "), "title").alias("title"), F.when(F.col("page") % 4 == 0, F.col("page") + 20).otherwise(F.col("page")).alias("page"), "level")
+    return links.book_targets(marks, h)
 
 
 def anchor_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -241,10 +254,25 @@ def preview_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_validation(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    cut = F.left("text", (F.length("text") * (50 + F.col("doc_id") % 51) / 100).cast("int"))
-    pages = docs.select("doc_id", F.lit(1).alias("expected"), F.when(F.col("doc_id") % 11 == 0, 2).otherwise(1).alias("page"), cut.alias("html_text"), F.col("text").alias("source_text"), (F.col("doc_id") % 13 == 0).alias("is_blank"), (F.col("doc_id") % 18).alias("n_figures"))
-    return layout.page_reason(pages).select("doc_id", "reason", layout.needs_ocr(F.col("html_text")).alias("needs_ocr"))
+    k = F.col("doc_id")
+    cut = F.left("text", (F.length("text") * (50 + k % 51) / 100).cast("int"))
+    n = (k % 18).cast("int")
+    figure = lambda i: F.struct(F.concat(F.lit("fig-"), (i + 1).cast("string")).alias("id"), F.lit("").alias("alt"), F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.when(k % 17 == 5, 0.95).otherwise(0.5).alias("width"), F.lit(0.25).alias("height"))
+    figures = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), figure)).otherwise(F.array().cast(layout.FIGURES))
+    images = F.array_join(F.transform(figures, lambda f: F.concat(F.lit("<img data-figure='"), f["id"], F.lit("'>"))), "")
+    pages = _docs(spark, d).select(
+        "doc_id",
+        F.lit(1).alias("expected"),
+        F.when(k % 11 == 0, 2).otherwise(1).alias("page"),
+        F.concat(F.lit("<script>x</script><p>"), T.xml_escape(cut), F.lit("</p>"), F.when(k % 19 == 7, "").otherwise(images), F.when(k % 23 == 9, "\ufffd" * 9).otherwise("")).alias("html"),
+        F.lit(False).alias("continues_previous"),
+        (k % 29 == 3).alias("join_previous_word"),
+        F.lit(False).alias("is_toc"),
+        (k % 13 == 0).alias("is_blank"),
+        figures.alias("figures"),
+        F.col("text").alias("source_text"),
+    )
+    return layout.page_reason(pages).select("doc_id", "reason", layout.needs_ocr(F.col("source_text")).alias("needs_ocr"))
 
 
 def chapter_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +285,7 @@ def glossary_dedup(spark: SparkSession, d: str) -> DataFrame:
 
     words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w"))
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i"))
-    entries = words.select(F.col("conv_id").alias("doc_id"), pos.alias("pos"), F.col("w").alias("source"), F.when(pos % 7 == 0, " ").otherwise(F.concat(F.lit("[ES] "), "w")).alias("target"), F.lit(None).cast("string").alias("type"))
+    entries = words.select(F.col("conv_id").alias("doc_id"), pos.alias("pos"), F.col("w").alias("source"), F.when(pos % 7 == 0, " ").otherwise(F.concat(F.lit("[ES] "), "w")).alias("target"), F.element_at(F.array(*map(F.lit, ("name", "verb", "title"))), (pos % 3 + 1).cast("int")).alias("type"))
     return glossary(entries)
 
 
@@ -286,30 +314,33 @@ SELECT doc_id, n_saved, n_same, n_same = n_saved AND (n_saved = m OR m = 2) AS i
 SELECT a.doc_id, a.pos, a.level, (SELECT max(b.pos) FROM m b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.level < a.level) AS parent_pos FROM m a""",
     "page_headers": _edge_sql(3, False),
     "page_footers": _edge_sql(2, True),
-    "section_split": SECTIONS_SQL,
-    "repeated_page": """WITH t AS (SELECT conv_id AS doc_id, CAST(turn * 2 AS INT) AS page, text FROM conversations UNION ALL SELECT conv_id, CAST(turn * 2 + 1 AS INT), text FROM conversations WHERE conv_id % 3 = 0)
-SELECT doc_id, page, coalesce(text = lag(text) OVER (PARTITION BY doc_id ORDER BY page) AND length(text) > 100, false) AS is_repeat FROM t""",
-    "coverage_check": """WITH d AS (SELECT doc_id, length(text) AS s, CAST(floor(length(text) * (doc_id % 10) / 10) AS BIGINT) AS o FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+    "section_split": SECTIONS_SQL.replace("WITH lines", "WITH RECURSIVE lines", 1),
+    "repeated_page": f"""WITH t AS (SELECT conv_id AS doc_id, CAST(turn * 2 AS INT) AS page, text, text AS src FROM conversations UNION ALL SELECT conv_id, CAST(turn * 2 + 1 AS INT), replace(text, ' ', '  '), CASE WHEN turn * 2 % 4 = 0 THEN text ELSE text || 'x' END FROM conversations WHERE conv_id % 3 = 0),
+b AS (SELECT *, regexp_replace(text, '[{SPACE}]', '', 'g') AS t FROM t), p AS (SELECT *, lag(t) OVER w AS pt, lag(src) OVER w AS ps, lag(page) OVER w AS pp FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY page))
+SELECT doc_id, page, coalesce(pp = page - 1 AND t = pt AND src <> ps AND length(t) > 100 AND length(src) > 100 AND length(ps) > 100, false) AS is_repeat FROM p""",
+    "coverage_check": f"""WITH d AS (SELECT doc_id, length(regexp_replace(text, '[{SPACE}]', '', 'g')) AS s, length(regexp_replace(left(text, CAST(floor(length(text) * (doc_id % 10) / 10) AS BIGINT)), '[{SPACE}]', '', 'g')) AS o FROM documents)
 SELECT doc_id, s AS source_chars, o AS output_chars, s > 500 AND o < s * 0.55 AS is_rejected FROM d""",
-    "search_identity": "SELECT doc_id, trim(regexp_replace(lower(strip_accents(left(text, 80))), '[^a-z0-9]+', ' ', 'g')) AS identity FROM documents",
-    "device_search": "SELECT doc_id, left(text, 60) AS title FROM documents WHERE contains(strip_accents(lower(left(text, 60))), 'ele')",
-    "toc_links": f"""WITH {HEADINGS_SQL}, h AS (SELECT * FROM headings WHERE pos = 0), t AS (SELECT page_id % 20 AS doc_id, {KEY_SQL.format('title')} AS k, count(*) AS n, min('p' || page_id) AS a FROM h GROUP BY 1, 2 HAVING {KEY_SQL.format('title')} <> ''),
-e AS (SELECT page_id % 20 AS doc_id, page_id AS entry_no, CASE WHEN page_id % 3 = 0 THEN title ELSE title || ' ..... ' || page_id END AS text FROM h),
-f AS (SELECT *, {KEY_SQL.format('text')} AS k1, {KEY_SQL.format("regexp_replace(text, '[ .·…]*[0-9]+ *$', '')")} AS k2 FROM e)
-SELECT f.doc_id, entry_no, CASE WHEN x.n = 1 THEN x.a WHEN x.n IS NULL AND y.n = 1 THEN y.a END AS target FROM f LEFT JOIN t x ON x.doc_id = f.doc_id AND x.k = k1 LEFT JOIN t y ON y.doc_id = f.doc_id AND y.k = k2""",
-    "bookmark_targets": f"""WITH {HEADINGS_SQL}, h AS (SELECT page_id % 20 AS doc_id, page_id AS page, pos, {KEY_SQL.format('title')} AS k, title, 'h-' || page_id || '-' || pos AS anchor FROM headings),
+    "search_identity": "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS identity FROM documents",
+    "device_search": "SELECT doc_id, length(text) AS chars FROM documents WHERE contains(strip_accents(lower(text)), 'ele')",
+    "toc_links": f"""WITH {HEADINGS_SQL}, t AS (SELECT page_id % 20 AS doc_id, {KEY_SQL.format('title')} AS k, count(*) AS n, min('p-' || page_id || '-' || pos) AS a FROM headings GROUP BY 1, 2 HAVING {KEY_SQL.format('title')} <> ''),
+e AS (SELECT page_id % 20 AS doc_id, page_id AS entry_no, pos, CASE page_id % 4 WHEN 0 THEN title WHEN 1 THEN title || ' ..... ' || page_id WHEN 2 THEN title || '…… xiv ' ELSE title || page_id END AS text FROM headings),
+f AS (SELECT *, {KEY_SQL.format('text')} AS k1, {KEY_SQL.format("regexp_replace(text, '(?i)([.·…]{2,}[ ]*|[ ]+)([0-9]+|[ivxlcdm]+)[ ]*$', '')")} AS k2 FROM e)
+SELECT f.doc_id, entry_no, pos, CASE WHEN x.n = 1 THEN x.a WHEN x.n IS NULL AND y.n = 1 THEN y.a END AS target FROM f LEFT JOIN t x ON x.doc_id = f.doc_id AND x.k = k1 LEFT JOIN t y ON y.doc_id = f.doc_id AND y.k = k2""",
+    "bookmark_targets": f"""WITH {HEADINGS_SQL}, h AS (SELECT page_id % 20 AS doc_id, page_id AS page, pos, {KEY_SQL.format('title')} AS k, title, level, 'h-' || page_id || '-' || pos AS anchor FROM headings),
 f AS (SELECT doc_id, page, k, arg_min(anchor, pos) AS anchor FROM h GROUP BY 1, 2, 3),
-m AS (SELECT doc_id, '* ' || title AS title, CASE WHEN page % 4 = 0 THEN page + 20 ELSE page END AS page FROM h WHERE pos = 0)
-SELECT m.doc_id, m.title, m.page, coalesce(f.anchor, 'page-' || m.page) AS target FROM m LEFT JOIN f ON f.doc_id = m.doc_id AND f.page = m.page AND f.k = {KEY_SQL.format('m.title')}""",
+m AS (SELECT doc_id, '* ' || title AS title, CASE WHEN page % 4 = 0 THEN page + 20 ELSE page END AS page, level FROM h WHERE doc_id % 3 <> 0)
+SELECT m.doc_id, m.title, m.page, m.level, coalesce(f.anchor, 'page-' || m.page) AS target FROM m LEFT JOIN f ON f.doc_id = m.doc_id AND f.page = m.page AND f.k = {KEY_SQL.format('m.title')}
+UNION ALL SELECT doc_id, title, page, level, anchor FROM h WHERE doc_id NOT IN (SELECT doc_id FROM m)""",
     "anchor_resolution": """WITH a AS (SELECT page_id % 20 AS doc_id, 'p' || page_id AS anchor, min('c' || CAST(floor(page_id / 50) AS BIGINT) || '.xhtml') AS chapter FROM pages GROUP BY 1, 2),
 l AS (SELECT page_id % 20 AS doc_id, page_id AS link_no, CASE WHEN page_id % 5 = 0 THEN url ELSE '#p' || (page_id % 20 + page_id % 60 * 20) END AS href FROM pages)
 SELECT l.doc_id, link_no, href, CASE WHEN href NOT LIKE '#%' THEN href WHEN chapter IS NOT NULL THEN chapter || href END AS resolved FROM l LEFT JOIN a ON a.doc_id = l.doc_id AND '#' || a.anchor = l.href""",
     "preview_budget": f"""WITH {LINES_SQL}, x AS (SELECT doc_id, line_no AS pos, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lines)
 SELECT doc_id, pos, left(text, CAST(2000 - b AS BIGINT)) AS text FROM x WHERE b < 2000""",
-    "page_validation": r"""WITH p AS (SELECT doc_id, left(text, CAST(floor(length(text) * (50 + doc_id % 51) / 100) AS BIGINT)) AS h, text AS s FROM documents),
-q AS (SELECT *, length(regexp_replace(h, '[^\p{L}\p{N}]', '', 'g')) AS lh, length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g')) AS ls, length(h) - length(replace(h, chr(65533), '')) AS bad FROM p)
-SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'page order' WHEN doc_id % 18 > 16 THEN 'figures' WHEN (doc_id % 13 = 0) <> (h = '') THEN 'blank' WHEN bad > greatest(2, length(h) * 0.005) THEN 'damaged' WHEN ls >= 300 AND lh < ls * 0.65 THEN 'coverage' END AS reason,
-length(regexp_replace(h, '\W', '', 'g')) < 40 AS needs_ocr FROM q""",
+    "page_validation": f"""WITH p AS (SELECT doc_id, doc_id % 18 AS nf, left(text, CAST(floor(length(text) * (50 + doc_id % 51) / 100) AS BIGINT)) || CASE WHEN doc_id % 23 = 9 THEN repeat(chr(65533), 9) ELSE '' END AS h, text AS s FROM documents),
+q AS (SELECT *, length(regexp_replace(h, '[{SPACE}]', '', 'g')) AS n, length(regexp_replace(s, '[{SPACE}]', '', 'g')) AS o, length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters, length(h) - length(replace(h, chr(65533), '')) AS bad FROM p)
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 29 = 3 THEN 'structure' WHEN nf > 16 THEN 'figures' WHEN doc_id % 17 = 5 AND nf > 0 THEN 'figure' WHEN doc_id % 19 = 7 AND nf > 0 THEN 'references'
+WHEN CASE WHEN doc_id % 13 = 0 THEN n > 0 OR nf > 0 ELSE n = 0 AND nf = 0 END THEN 'blank' WHEN bad > greatest(2, n * 0.005) THEN 'damaged' WHEN NOT contains(s, chr(65533)) AND letters > o * 0.6 AND o >= 300 AND n < o * 0.65 THEN 'coverage' END AS reason,
+length(regexp_replace(s, '\\W', '', 'g')) < 40 AS needs_ocr FROM q""",
     "chapter_numbers": f"""WITH {LINES_SQL}, m AS (SELECT doc_id, line_no AS pos, length(text) % 5 = 0 AS starts, length(text) % 3 = 0 AS has_body FROM lines),
 g AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM m),
 b AS (SELECT doc_id, g, CAST(coalesce(sum(CAST(bool_or(has_body) AS INT)) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chapter_no FROM g GROUP BY doc_id, g)
@@ -318,5 +349,5 @@ SELECT g.doc_id, pos, starts, has_body, chapter_no FROM g JOIN b ON g.doc_id = b
 e AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS INT) AS pos, trim(w, {TRIM}) AS source, w FROM w),
 c AS (SELECT doc_id, pos, source, trim('[ES] ' || w, {TRIM}) AS target FROM e WHERE source <> '' AND pos % 7 <> 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(source) ORDER BY pos) AS n FROM c)
-SELECT doc_id, pos, source, target, 'term' AS type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM f WHERE n = 1) WHERE r <= 100""",
+SELECT doc_id, pos, source, target, CASE pos % 3 WHEN 0 THEN 'name' WHEN 2 THEN 'title' ELSE 'term' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM f WHERE n = 1) WHERE r <= 100""",
 }

@@ -64,18 +64,29 @@ def left(df):
 def test_headers_and_footers(spark):
     assert left(layout.strip_headers(paras(spark, ["H", "x"], ["H", "y"]))) == ["x", "y"]
     assert left(layout.strip_headers(paras(spark, ["H", "x"]))) == ["H", "x"]
+    assert left(layout.strip_headers(paras(spark, ["H", "H", "x"], ["H", "y"]))) == ["x", "y"]
+    assert left(layout.strip_headers(paras(spark, ["H", "x", "H"], ["H", "y", "H"]))) == ["x", "H", "y", "H"]
+    assert left(layout.strip_headers(paras(spark, ["a", "H", "x"], ["b", "H", "y"]))) == ["a", "H", "x", "b", "H", "y"]
     assert left(layout.strip_footers(paras(spark, ["x", "1"], ["y", "2"]))) == ["x", "y"]
+    assert left(layout.strip_footers(paras(spark, ["x", "1"], ["y", "z"]))) == ["x", "y", "z"]
+    assert left(layout.strip_footers(paras(spark, ["x", "9", "End", "1"], ["y", "End", "2"]))) == ["x", "y"]
+    assert left(layout.strip_footers(paras(spark, ["x", "1"]))) == ["x", "1"]
 
 
-def sections(spark, *lines):
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id long, pos int, text string")
+def sections(spark, *lines, pages=None):
+    df = spark.createDataFrame([(1, p, i, t) for i, (p, t) in enumerate(zip(pages or [1] * len(lines), lines, strict=True))], "doc_id long, page int, pos int, text string")
     return [(r.title, r.n_paras) for r in layout.split_sections(df).orderBy("section_no").collect()]
 
 
 def test_sections(spark):
-    assert sections(spark, "intro", "Chapter 1", "body", "LOUD LINE", "more") == [("", 1), ("Chapter 1", 1), ("LOUD LINE", 1)]
-    assert sections(spark, "LOUD LINE", "body") == [("", 2)]
+    assert sections(spark, "intro", "Chapter 1", "body", "LOUD LINE", "more") == [("Preliminares", 1), ("Chapter 1", 1), ("LOUD LINE", 1)]
+    assert sections(spark, "LOUD LINE", "body", "last", pages=[1, 1, 2]) == [("Página 1", 2), ("Página 2", 1)]
     assert sections(spark, "IV.", "THE SEA", "body") == [("IV. THE SEA", 1)]
+    assert sections(spark, "4)", "THE SEA", "AND MORE", "body", "4)", "no title") == [("4) THE SEA AND MORE", 3)]
+    assert sections(spark, "Chapter 1", "IV.", "THE SEA", pages=[1, 1, 2]) == [("Página 1", 2), ("Página 2", 1)]  # no body at all
+    assert sections(spark, "Introducción", "a", "Introducción del libro", "PRÓLOGO", "b", "Capítulo uno: fin.") == [("Introducción", 2), ("PRÓLOGO", 2)]
+    assert sections(spark, "iv. THE SEA", "b", "IV. THE SEA", "c") == [("iv. THE SEA", 1), ("IV. THE SEA", 1)]
+    assert sections(spark, "IV.", "XVIII)", "A TITLE", "B TITLE", "C TITLE", "b") == [("C TITLE", 1)]  # three lines belong to IV.
 
 
 def test_lines_join_by_their_first_item(spark):
@@ -99,19 +110,27 @@ def test_toc_links_need_one_target(spark):
 def test_isbn_and_dates(spark):
     assert value(spark, T.normalized_isbn(F.lit("978-0-00-000000-2"))) == "9780000000002"
     assert value(spark, T.normalized_isbn(F.lit("123"))) is None
-    assert [value(spark, T.is_reading_date(F.lit(d))) for d in ("2026-02-28", "2026-02-30", "2026-2-1")] == [True, False, False]
+    assert [value(spark, T.is_reading_date(F.lit(d))) for d in ("2026-02-28", "2026-02-30", "2026-2-1", "2026-02-28T10:00Z", "2026-02-28T10:00:00", "2026-02-28T10:00:00.123Z", "2026-02-28T25:00:00Z", "2026-02-28T10:00:00+02:00")] == [True, False, False, False, False, True, False, True]
 
 
 def test_catalogue_merge_follows_order(spark):
-    rows = [(1, 0, "A", ["x"], "1234567890", None, None, []), (1, 1, "S", ["y"], None, None, 1990, ["c"]), (1, 2, "S", ["y"], "1234567890", "u", 1991, ["d"])]
-    out = catalog.merge_candidates(spark.createDataFrame(rows, catalog.CANDIDATE)).orderBy("pos").collect()
+    def merged(*rows):
+        return catalog.merge_candidates(spark.createDataFrame([(1, i, None, *r) for i, r in enumerate(rows)], catalog.CANDIDATE)).orderBy("pos").collect()
+
+    out = merged(("A", ["x"], "1234567890", None, None, []), ("S", ["y"], None, None, 1990, ["c"]), ("S", ["y"], "1234567890", "u", 1991, ["d"]))
     assert [(r.title, r.n_sources, r.first_publish_year) for r in out] == [("A", 2, 1991), ("S", 1, 1990)]
+    # an ISBN that a merged record doesn't take on leads nowhere
+    out = merged(("S", ["y"], "1111111111", None, None, []), ("S", ["y"], "2222222222", None, None, []), ("T", ["y"], "2222222222", None, None, []))
+    assert [(r.title, r.isbn, r.n_sources) for r in out] == [("S", "1111111111", 2), ("T", "2222222222", 1)]
+    out = merged(("Sin título", [], "1111111111", None, None, []), ("Ficción", ["z"], "1111111111", None, None, []), ("FICCION", ["Z"], None, "c", None, []))
+    assert [(r.title, r.cover_url, r.n_sources) for r in out] == [("Ficción", "c", 3)]
 
 
 def test_glossary(spark):
     rows = [(1, 0, "Bob", "B", None), (1, 1, "bob", "C", None), (1, 2, "Eve", " ", None)]
     df = spark.createDataFrame(rows, "doc_id long, pos int, source string, target string, type string")
     assert [(r.source, r.target, r.type) for r in catalog.glossary(df).collect()] == [("Bob", "B", "term")]
+    assert catalog.glossary(spark.createDataFrame([(1, 0, "a", "b", "verb"), (1, 1, "c", "d", "place")], df.schema)).select("type").collect() == [("term",), ("place",)]
     assert not catalog.user_glossary_is_valid(df).first().is_valid
 
 
@@ -132,15 +151,64 @@ def test_activity_fills_months(spark):
     assert [r.n_books for r in readinglog.monthly_activity(spark, b, "2026").orderBy("month").collect()] == [0, 0, 2, *[0] * 9]
 
 
-def test_coverage_reason(spark):
-    rows = [(1, 1, "x" * n, "y" * 300, False, 0) for n in (194, 195)]
-    df = spark.createDataFrame(rows, "expected int, page int, html_text string, source_text string, is_blank boolean, n_figures int")
-    assert [r.reason for r in layout.page_reason(df).collect()] == ["coverage", None]
+def reasons(spark, *changes):
+    base = {"expected": 1, "page": 1, "html": "<p>" + "x" * 200 + "</p>", "continues_previous": False, "join_previous_word": False, "is_toc": False, "is_blank": False, "figures": [], "source_text": "y" * 300}
+    schema = f"n int, expected int, page int, html string, continues_previous boolean, join_previous_word boolean, is_toc boolean, is_blank boolean, figures {layout.FIGURES}, source_text string"
+    rows = [(n, *{**base, **c}.values()) for n, c in enumerate(changes)]
+    return [r.reason for r in layout.page_reason(spark.createDataFrame(rows, schema)).orderBy("n").collect()]
+
+
+def test_page_checks(spark):
+    text = lambda n: {"html": f"<p>{'x' * n}</p>"}
+    assert reasons(spark, text(194), text(195)) == ["coverage", None]
+    assert reasons(spark, {"html": f"<p>{'x ' * 195}</p>"}, {"html": "x " * 194}, {"html": f"<script>{'x' * 300}</script>{'x' * 100}"}) == [None, "coverage", "coverage"]  # white space and scripts don't count
+    assert reasons(spark, {**text(9), "source_text": "y \ufffd" * 200}, {**text(9), "source_text": "-" * 200 + "y" * 200}) == [None, None]  # no source to measure by
+    assert reasons(spark, {"page": 2}, {"is_toc": None}, {"join_previous_word": True}, {"join_previous_word": True, "continues_previous": True}) == ["structure", "structure", "structure", None]
+    f = ("fig-1", "", 0.0, 0.5, 1.0, 0.5)
+    img = "<img data-figure='fig-1'/>"
+    assert reasons(spark, {"figures": [f]}, {"figures": [f], "html": "x" * 200 + img}, {"html": "x" * 200 + img}, {"figures": [f], "html": img * 2}) == ["references", None, "references", "references"]
+    assert reasons(spark, {"figures": [(*f[:4], 1.1, 0.5)]}, {"figures": [(*f[:5], float("nan"))]}, {"figures": [f, f]}, {"figures": [("x", *f[1:])]}, {"figures": [f] * 17}) == ["figure"] * 4 + ["figures"]
+    blank = {"html": "", "source_text": ""}
+    assert reasons(spark, blank, {**blank, "is_blank": True}, {"is_blank": True}, {**blank, "html": img, "figures": [f]}) == ["blank", None, "blank", None]
+    assert reasons(spark, {"html": "x" * 200 + "\ufffd" * 3}, {"html": "x" * 200 + "\ufffd" * 2}, {"html": "x" * 2000 + "\ufffd" * 9}) == ["damaged", None, None]
+
+
+def test_job_list_and_records(spark):
+    kinds = [("pdf", "done"), ("pdf", "paused"), ("translation", "paused"), ("translation", "pending"), ("pdf", "processing"), ("translation", "pausing"), ("translation", "processing"), ("pdf", "pausing"), ("pdf", "error")]
+    rows = [(i, k, s, {2: 7, 3: 5}.get(i), f"2026-01-0{i + 1}") for i, (k, s) in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "job_id int, kind string, status string, queue_order long, created_at string")
+    assert [r.job_id for r in jobs.list_order(df).orderBy("position").collect()] == [6, 5, 3, 2, 4, 7, 1, 8, 0]
+    up = {r.job_id: r for r in jobs.upgrade_records(df.withColumn("started_at", F.lit("x")).withColumn("created_at", F.to_timestamp("created_at"))).collect()}
+    assert {r.started_at for r in up.values()} == {None} and up[0].queue_order is None and up[3].queue_order == 5
+    assert up[6].status == up[7].status == "paused" and up[6].queue_order == 1767744000000
+
+
+def test_moving_touches_its_own_kind(spark):
+    q = spark.createDataFrame([(i, "pdf", i) for i in range(4)] + [(10 + i, "translation", i) for i in range(3)], "job_id long, kind string, queue_order long")
+    moves = spark.createDataFrame([(3, 0), (10, 99)], "job_id long, position int")
+    got = {(r.kind, r.queue_order): r.job_id for r in jobs.move_in_queue(q, moves).collect()}
+    assert [got["pdf", i] for i in range(4)] == [3, 0, 1, 2] and [got["translation", i] for i in range(3)] == [11, 12, 10]
+
+
+def test_numbers_of_contents_lines(spark):
+    strip = lambda t: value(spark, T.without_page_number(F.lit(t)))
+    assert [strip(t) for t in ("Chapter2", "Intro .... iv", "Intro 12 ", "Intro..XIV", "A.5", "vivid")] == ["Chapter2", "Intro", "Intro", "Intro", "A.5", "vivid"]
+
+
+def test_names_and_answers(spark):
+    title = lambda n: tuple(value(spark, T.file_title(F.lit(n))))
+    assert title("The_Sea -- A Writer -- 1999_B00ABCDEFG1.epub") == ("The Sea", ["A Writer"]) and title("a - b.pdf") == ("a - b", [])
+    assert value(spark, T.imported_title(F.lit("el-mar-azul"))) == "El mar azul" and value(spark, T.imported_title(F.lit("A_b -- c"))) == "A b"
+    assert value(spark, T.output_file_name(F.lit("/x/Mi libro (1).epub"))) == "translated-Mi-libro--1-.epub"
+    long = value(spark, T.output_file_name(F.lit("x" * 300 + ".epub")))
+    assert len(long) == 200 and long.endswith(".epub")
+    clean = lambda t: value(spark, T.clean_translation(F.lit(t)))
+    assert [clean(t) for t in ("[ES] Hola  tú", "translation: Hola", "Traducción : TRANSLATION: Hola", " a \t\n\n\n  b ", "[es]x")] == ["Hola tú", "Hola", "Hola", "a\n\n\nb", "x"]
 
 
 def test_queue_and_replay(spark):
     q = spark.createDataFrame([(i, "pdf", i) for i in range(4)], "job_id long, kind string, queue_order long")
-    moved = lambda job, to: [r.job_id for r in jobs.move_in_queue(q, job, to).orderBy("queue_order").collect()]
+    moved = lambda job, to: [r.job_id for r in jobs.move_in_queue(q, spark.createDataFrame([(job, to)], "job_id long, position int")).orderBy("queue_order").collect()]
     assert moved(3, 0) == [3, 0, 1, 2] and moved(0, 2) == [1, 2, 0, 3] and moved(1, 99) == [0, 2, 3, 1]
     assert value(spark, jobs.replay(F.array(*map(F.lit, ("start", "resume", "pause", "stopped"))))) == "paused"
 
