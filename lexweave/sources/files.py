@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import blank_to_null
+from lexweave.functions.replies import publication_year
+from lexweave.functions.text import blank_to_null, file_title
+from lexweave.operators.catalog import CANDIDATE, PLACEHOLDER, interleave
 
-#: Kinds of book files.
+#: Folders that hold no books, and kinds of book files.
+SKIPPED_FOLDERS = (".cache", "system", "fonts", "voice", "audible", "screenshots")
 BOOK_KINDS = ("epub", "pdf", "azw3", "mobi", "azw", "kfx")
 JOB = "job_id string, kind string, status string, original string, result string, created_at string, queue_order long, started_at string, `current` int, total int, _corrupt_record string"
 PAYLOAD = "items array<struct<volumeInfo:struct<title:string,authors:array<string>,publishedDate:string,categories:array<string>,industryIdentifiers:array<struct<type:string,identifier:string>>,imageLinks:struct<thumbnail:string,smallThumbnail:string>>>>"
 
 
 def device_books(spark: SparkSession, root: str, *, depth: int = 10, limit: int = 1000) -> DataFrame:
-    """Books below ``root``: (path, title, author, kind, size, modified), by title in Spanish order. Contents aren't read."""
+    """Books below ``root``: (path, title, authors, kind, size, modified), by title in Spanish order. Contents aren't read.
+
+    The limit is one device's; its list is sorted whole.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     inner = F.regexp_replace("path", r"\A.*?" + root.strip("/").replace(".", r"\.") + "/", "")
     files = files.withColumn("inner", inner).where(~F.col("inner").rlike(r"(?i)\.sdr/")).where(F.size(F.split("inner", "/")) <= depth + 1)
     name = F.element_at(F.split("inner", "/"), -1)
     kind = F.lower(F.regexp_extract(name, r"\.([^.]+)\z", 1))
-    stem = F.regexp_replace(name, r"\.[^.]+\z", "")
-    parts = F.split(stem, r"\s+-\s+", 2)
-    out = files.where(kind.isin(*BOOK_KINDS)).select("path", F.trim(parts[0]).alias("title"), blank_to_null(F.get(parts, F.lit(1))).alias("author"), kind.alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    about = file_title(name)
+    skipped = F.exists(F.slice(F.split(F.lower("inner"), "/"), F.lit(1), F.size(F.split("inner", "/")) - 1), lambda x: x.isin(*SKIPPED_FOLDERS))
+    out = files.where(kind.isin(*BOOK_KINDS) & ~skipped).select("path", about["title"].alias("title"), about["authors"].alias("authors"), kind.alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return out.orderBy(F.collate("title", "es"), "path").limit(limit)
 
 
@@ -40,13 +46,43 @@ def import_once(incoming: DataFrame, existing: DataFrame, key: str, is_valid) ->
     return incoming.join(F.broadcast(checked.where("bad = 0 and repeats = 0 and n = 0")), how="left_semi")  # one row
 
 
-def volumes(payloads: DataFrame) -> DataFrame:
-    """``payloads(query_id, body)`` of a catalogue, as candidates; ISBN-13 before ISBN-10, the larger cover first, https."""
-    v = payloads.select("query_id", F.posexplode(F.from_json("body", PAYLOAD)["items"]).alias("pos", "i")).select("query_id", "pos", "i.volumeInfo.*")
+DOCS = "docs array<struct<key:string,title:string,author_name:array<string>,first_publish_year:int,isbn:array<string>,cover_i:long,subject:array<string>>>"
+NAMES = [c.split()[0] for c in CANDIDATE.split(", ")]
+
+
+def _listed(c: Column) -> Column:
+    """The strings of a list that aren't blank, trimmed."""
+    return F.coalesce(F.filter(F.transform(c, blank_to_null), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def volumes(payloads: DataFrame, limit: int = 12, categories: int = 8) -> DataFrame:
+    """``payloads(query_id, body)`` of a catalogue of volumes, as candidates; ISBN-13 before ISBN-10, the larger cover first, https."""
+    v = payloads.select("query_id", F.posexplode(F.filter(F.from_json("body", PAYLOAD)["items"], lambda x: x.isNotNull())).alias("pos", "i")).where(F.col("pos") < limit).select("query_id", "pos", "i.volumeInfo.*")
     number = lambda kind: F.get(F.filter("industryIdentifiers", lambda x: x["type"] == kind), F.lit(0))["identifier"]
-    year = F.try_to_number(F.nullif(F.regexp_extract("publishedDate", r"\A\d{4}", 0), F.lit("")), F.lit("9999")).cast("int")
-    cover = F.regexp_replace(F.coalesce("imageLinks.thumbnail", "imageLinks.smallThumbnail"), r"\Ahttp://", "https://")
-    return v.select("query_id", "pos", "title", "authors", F.coalesce(number("ISBN_13"), number("ISBN_10")).alias("isbn"), cover.alias("cover_url"), year.alias("first_publish_year"), "categories")
+    cover = F.regexp_replace(blank_to_null(F.coalesce("imageLinks.thumbnail", "imageLinks.smallThumbnail")), r"\Ahttp:", "https:")
+    made = {"open_library_key": F.lit(None).cast("string"), "title": F.coalesce(blank_to_null(F.col("title")), F.lit(PLACEHOLDER)), "authors": _listed(F.col("authors")), "isbn": blank_to_null(F.coalesce(number("ISBN_13"), number("ISBN_10")))}
+    return v.withColumns(made | {"cover_url": cover, "first_publish_year": publication_year(F.col("publishedDate")), "categories": F.slice(_listed(F.col("categories")), 1, categories)}).select(*NAMES)
+
+
+def library_docs(payloads: DataFrame, cover_url: str, limit: int = 12, categories: int = 8) -> DataFrame:
+    """``payloads(query_id, body)`` of a library's search, as candidates: the first ISBN, and a cover by its number in ``cover_url`` (with ``%d``)."""
+    v = payloads.select("query_id", F.posexplode(F.filter(F.from_json("body", DOCS)["docs"], lambda x: x.isNotNull())).alias("pos", "d")).where(F.col("pos") < limit).select("query_id", "pos", "d.*")
+    made = {
+        "open_library_key": blank_to_null(F.col("key")),
+        "title": F.coalesce(blank_to_null(F.col("title")), F.lit(PLACEHOLDER)),
+        "authors": _listed(F.col("author_name")),
+        "isbn": F.get(_listed(F.col("isbn")), F.lit(0)),
+        "cover_url": F.when(F.col("cover_i").isNotNull(), F.format_string(cover_url, "cover_i")),
+        "categories": F.slice(_listed(F.col("subject")), 1, categories),
+    }
+    return v.withColumns(made).select(*NAMES)
+
+
+def either(first: DataFrame, second: DataFrame, failed: DataFrame) -> DataFrame:
+    """Candidates of both sources interleaved, where ``failed(query_id, source)`` names the sources that gave none; a query of which both
+    failed gives a row with ``error`` alone."""
+    lost = failed.groupBy("query_id").agg(F.count_distinct("source").alias("n")).where("n > 1").select("query_id", F.lit("no catalogue answered").alias("error"))
+    return interleave(first, second).join(lost, "query_id", "left_anti").withColumn("error", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)
 
 
 def revisions(spark: SparkSession, root: str) -> DataFrame:
@@ -61,7 +97,3 @@ def pages_to_extract(pages: DataFrame, cache: DataFrame) -> tuple[DataFrame, Dat
     """(ready, pending): pages with a usable cached text, and the others."""
     good = cache.where("text is not null").dropDuplicates(["fingerprint", "page"])
     return pages.join(good, ["fingerprint", "page"]), pages.join(good, ["fingerprint", "page"], "left_anti")
-
-
-def latest_versions(rows: DataFrame, key: str, version: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).where("_n = 1").drop("_n")

@@ -244,11 +244,40 @@ def test_translation_round_trip(spark, tmp_path):
         assert "[ES] The quiet lighthouse" in z.read("OEBPS/c.xhtml").decode() and "<pre>code</pre>" in z.read("OEBPS/c.xhtml").decode()
 
 
+def test_texts_are_replaced_where_they_stand():
+    source = '<p class="a b">p</p><p>x &amp; y</p>\n<p title="y"> y&nbsp;<br/>z<!-- y --></p><script>y</script>'
+    nodes = archives.TextNodes(source).nodes
+    assert [n[1] for n in nodes] == ["p", "x & y", "y", "z"]
+    assert archives.with_texts(source, {0: "UNO", 1: "a < b & c", 2: "$1"}) == '<p class="a b">UNO</p><p>a &lt; b &amp; c</p>\n<p title="y"> $1&nbsp;<br/>z<!-- y --></p><script>y</script>'
+
+
+def test_package_edits():
+    opf = '<package><metadata xmlns:dc="d"><dc:title id="t">Old</dc:title><dc:creator id="a">A</dc:creator><dc:creator id="b">B</dc:creator><meta refines="#b" property="role">aut</meta><meta refines="#a" property="role">aut</meta><dc:date>1</dc:date></metadata><manifest/></package>'
+    out = archives.edited_package(opf, {"title": [" New & old "], "creator": ["C"], "publisher": ["P"], "description": [""]})
+    assert out == '<package><metadata xmlns:dc="d"><dc:title id="t">New &amp; old</dc:title><dc:creator id="a">C</dc:creator><meta refines="#a" property="role">aut</meta><dc:date>1</dc:date><dc:publisher>P</dc:publisher></metadata><manifest/></package>'
+
+
+def test_hostile_archives(spark, tmp_path):
+    def archive_of(name, *entries):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for path, content in entries:
+                z.writestr(path, content)
+
+    archive_of("zeros.zip", ("a.txt", b"\0" * (2 << 20)))
+    archive_of("up.zip", ("../a.txt", b"1"))
+    archive_of("good.zip", ("b.xhtml", b"1"), ("A.txt", b"2"), ("a.txt", b"3"))
+    rows = archives.zip_entries(archives.archive_files(spark, str(tmp_path))).collect()
+    assert sorted((r.path or r.error) for r in rows) == ["A.txt", "ValueError: compression ratio", "ValueError: unsafe or repeated names", "a.txt", "b.xhtml"]
+    again = archives.build_archives(spark.createDataFrame([r for r in rows if r.path], archives.ENTRIES)).first()
+    with zipfile.ZipFile(io.BytesIO(again.content)) as z:
+        assert z.namelist() == ["b.xhtml", "A.txt", "a.txt"]
+
+
 def test_folders(spark, tmp_path):
     (tmp_path / "x.sdr").mkdir()
-    for name in ("Título - Autora.epub", "b.pdf", "notes.txt", "x.sdr/c.epub"):
+    for name in ("Título -- Autora.epub", "b.pdf", "notes.txt", "x.sdr/c.epub"):
         (tmp_path / name).write_bytes(b"1")
-    assert [(r.title, r.author) for r in files.device_books(spark, str(tmp_path)).collect()] == [("b", None), ("Título", "Autora")]
+    assert [(r.title, r.authors) for r in files.device_books(spark, str(tmp_path)).collect()] == [("b", []), ("Título", ["Autora"])]
     for i, body in enumerate(('{"job_id":"1","kind":"pdf","status":"done","created_at":"2026"}', "{broken", '{"job_id":"3","kind":"?","status":"done","created_at":"2026"}')):
         (tmp_path / "jobs" / str(i)).mkdir(parents=True)
         (tmp_path / "jobs" / str(i) / "job.json").write_text(body)
