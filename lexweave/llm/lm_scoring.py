@@ -1,22 +1,26 @@
-"""Hashed maximum-entropy language model with a class-factored softmax.
+"""Hashed maximum-entropy language model with a class-factored softmax of two levels.
 
-P(word | history) = P(class | history) * P(word | class). The class softmax has a weight for every
-class and hashed feature: the previous word, the previous two, and the word two
-back (a skip). Frequent words are classed by what stands before them
-(their counts after the ``ANCHORS`` commonest words, clustered) and by frequency band; all
-other words, unknown ones included, form the tail class. Within a class a word has its add-one share.
+P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf). Both softmaxes are
+log-linear in hashed features of the history: the previous word, the previous two, the word two
+back (a skip), and the classes of the two previous words. Words are clustered by what stands before them
+(their counts after the ``ANCHORS`` commonest words); in the order of clusters and frequency, ``CLASSES`` classes and in each
+``LEAVES`` leaves have about the same share of the tokens, so the commonest words have a leaf of their own. Rarer
+words form a tail class for each cluster, and those that aren't counted in the tasks' table, unknown ones included,
+another. Within a leaf or tail a word has its add-one share.
 
 Everything is learnt from all training documents. Word counts are made by partial sums in tasks, then a
 shuffle. Weights are trained in ``rounds``, each over its share of the documents:
-every task runs AdaGrad on small batches from the common weights and sends its
-change in blocks; blocks are averaged by how often a task met each feature, in
-streams of bounded memory. Scoring works on sparse numpy batches. Sent to all
+every task runs AdaGrad on small batches from the common weights and sends the rows that it
+changed; they are averaged by how often a task met each feature, in two steps, so that few rows meet in a task.
+The hashed table has as many rows as the training data has words, rounded to a power of two, from 2^12 to
+2^``MOST_BITS``. Scoring works on sparse numpy batches. Sent to all
 tasks are only the weights, a table of the ``COUNTED`` commonest words (16 bytes each) and their
-classes, all of fixed size; counts of rarer words come by a join on their hash.
+classes, all of bounded size; counts of rarer words come by a join on their hash.
 
 Words are hashed to 64 bits. Null text is empty: just the end token. Null doc_id: scored, not learnt from. Repeated
 rows count and are scored one by one. An empty table gives no rows; with no
-training tokens every word is unknown. Only doc_id and text are read.
+training tokens every word is unknown. Very long texts are one batch of tokens each. Only doc_id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ ANCHORS = 64
 CLASSED = 1 << 16
 COUNTED = 1 << 19
 GROUPS = 8
-BAND = 1024
-BUCKET_BITS = 16
+CLASSES = 32
+LEAVES = 32
+MOST_BITS = 17
 BLOCK = 2_000_000
-ROWS = 1 << 10  # feature rows in a block of weights
+ROWS = 1 << 11  # feature rows in a block of weights
+STEPS = 32  # sums of a block before the last
 
 
 class Lookup:
@@ -85,13 +91,20 @@ def token_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return out, one, two, begin
 
 
-def feature_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Weight rows of the features of each token's history (n x 3)."""
-    shift = np.uint64(64 - BUCKET_BITS)
+def feature_rows(one: np.ndarray, two: np.ndarray, c1: np.ndarray, c2: np.ndarray, bits: int) -> np.ndarray:
+    """Weight rows of the features of each token's history (n x 4)."""
+    shift = np.uint64(64 - bits)
+    classes = (c1.astype(np.uint64) << np.uint64(8) | c2.astype(np.uint64)) + np.uint64(0x510E527FADE682D1)
     a = mix64(one + np.uint64(0x1F83D9ABFB41BD6B)) >> shift
     b = mix64(one * np.uint64(0x5BE0CD19137E2179) + two) >> shift
     c = mix64(two + np.uint64(0x9B05688C2B3E6C1F)) >> shift
-    return np.stack((a, b, c), 1).astype(np.int32)
+    return np.stack((a, b, c, mix64(classes) >> shift), 1).astype(np.int32)
+
+
+def leaf_rows(rows: np.ndarray, cls: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of the second level: the previous word and the classes, within a class (n x 2)."""
+    own = rows[:, [0, 3]].astype(np.uint64) << np.uint64(8) | cls[:, None].astype(np.uint64)
+    return (mix64(own) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -115,26 +128,52 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _neighbours(docs: DataFrame, words: Lookup, anchors: Lookup) -> np.ndarray:
-    """How often each classed word follows each anchor (CLASSED x ANCHORS at most)."""
+def _cells(docs: DataFrame, size: int, count) -> np.ndarray:
+    """Sums of ``count(tokens, one, two)``, arrays of cells below ``size``, over ``docs(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(words.keys) - 1) * ANCHORS, np.int32)
+        seen = np.zeros(size, np.int32)
         for _, texts in text_slices(batches, "text"):
-            tokens, one, _, _ = token_rows(texts)
-            a = anchors.find(one)
-            on = np.flatnonzero(a >= 0)
-            w = words.find(tokens[on])
-            cell = w[w >= 0].astype(np.int64) * ANCHORS + a[on][w >= 0]
-            cells, n = np.unique(cell, return_counts=True)
-            seen[cells] += n.astype(np.int32)
+            tokens, one, two, _ = token_rows(texts)
+            for cell in count(tokens, one, two):
+                cells, n = np.unique(cell, return_counts=True)
+                seen[cells] += n.astype(np.int32)
         on = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(seen[on].astype(np.int64))], names=["cell", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # fixed number of cells
-    out = np.zeros((len(words.keys) - 1) * ANCHORS)
+    sums = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most `size` rows
+    out = np.zeros(size)
     out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
-    return out.reshape(-1, ANCHORS)
+    return out
+
+
+def _groups(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """Cluster of each key: frequent words by the anchors before them, the others by the clusters of the words before them."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    n = min(CLASSED, len(keys))
+    words, anchors = Lookup(keys[:n]), Lookup(keys[:ANCHORS])
+
+    def after_anchors(tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[np.ndarray]:
+        w = words.find(tokens)
+        for before in (one, two):
+            a = anchors.find(before)
+            on = (a >= 0) & (w >= 0)
+            yield w[on].astype(np.int64) * ANCHORS + a[on]
+
+    group = _cluster(_cells(docs, n * ANCHORS, after_anchors).reshape(-1, ANCHORS), GROUPS)
+    if n == len(keys):
+        return group
+    rare = Lookup(keys[n:])
+
+    def after_groups(tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[np.ndarray]:
+        w = rare.find(tokens)
+        on = np.flatnonzero(w >= 0)
+        for before in (one, two):
+            g = words.find(before[on])
+            yield w[on][g >= 0].astype(np.int64) * GROUPS + group[g[g >= 0]]
+
+    return np.concatenate((group, _cells(docs, (len(keys) - n) * GROUPS, after_groups).reshape(-1, GROUPS).argmax(1)))
 
 
 def _cluster(x: np.ndarray, groups: int, rounds: int = 15, seed: int = 5) -> np.ndarray:
@@ -153,30 +192,56 @@ def _cluster(x: np.ndarray, groups: int, rounds: int = 15, seed: int = 5) -> np.
     return (x @ centres.T).argmax(1)
 
 
+def _even(mass: np.ndarray, parts: int) -> np.ndarray:
+    """Neighbours in ``parts`` runs of about the same mass."""
+    before = np.cumsum(mass) - mass / 2
+    return np.minimum((before / max(mass.sum(), 1e-9) * parts).astype(np.int64), parts - 1)
+
+
 class Model:
-    """Counts and classes of the commonest words, totals, and the weights of the class softmax."""
+    """Counts, classes and leaves of the commonest words, totals, and the weights of both softmaxes."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, classes: np.ndarray, tokens: int, distinct: int):
-        self.keys, self.counts, self.classes = keys, counts, classes  # in falling order of counts
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, groups: np.ndarray, tokens: int, distinct: int):
+        self.keys, self.counts = keys, counts  # in falling order of counts
         self.tokens, self.distinct = tokens, distinct
-        self.n_classes = 2 * GROUPS + 1
-        tail = 2 * GROUPS
-        share = np.zeros(self.n_classes)
-        for k in range(tail):
-            own = classes == k
-            share[k] = counts[: len(classes)][own].sum() + own.sum()
-        known = counts[: len(classes)].sum()
-        share[tail] = tokens - known + distinct - len(classes) + 1  # one more for what is unknown
+        self.bits = int(np.clip(np.ceil(np.log2(max(distinct, 1))), 12, MOST_BITS))
+        self.n_classes = CLASSES + GROUPS + 1
+        self.classes, self.leaves = CLASSES + groups, np.zeros(len(keys), np.int64)
+        order = np.argsort(groups[:CLASSED], kind="stable")  # by cluster, then frequency
+        mass = counts[order].astype(float)
+        self.classes[order] = _even(mass, CLASSES)
+        for c in range(CLASSES):
+            own = order[self.classes[order] == c]
+            self.leaves[own] = _even(counts[own].astype(float), LEAVES)
+        share = np.zeros((self.n_classes, LEAVES))
+        np.add.at(share, (self.classes, self.leaves), counts + 1)
+        share[-1, 0] = tokens - counts.sum() + distinct - len(keys) + 1  # one more for what is unknown
         self.log_share = np.log10(np.maximum(share, 1))
-        self.bias = np.log(np.maximum(share, 1e-3) / share.sum()).astype(np.float32)
-        self.weights = np.zeros((1 << BUCKET_BITS, self.n_classes), np.float32)
-
-    def class_of(self, index: np.ndarray) -> np.ndarray:
-        """Class of the words with this index among the keys (-1: not there)."""
-        out = np.full(len(index), 2 * GROUPS, np.int64)
-        own = (index >= 0) & (index < len(self.classes))
-        out[own] = self.classes[index[own]]
-        return out
+        within = lambda x: np.where(x > 0, np.log(np.maximum(x, 1) / np.maximum(x.sum(-1, keepdims=True), 1)), -30).astype(np.float32)  # noqa: E731  no chance for what holds no word
+        self.bias, self.leaf_bias = within(share.sum(1)), within(share[:CLASSES])
+        self.weights = np.zeros((1 << self.bits, self.n_classes), np.float32)
+        self.leaf_weights = np.zeros((1 << self.bits, LEAVES), np.float32)
+
+    def place(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and leaf of the words with this index among the keys (-1: not there)."""
+        cls, leaf = np.full(len(index), self.n_classes - 1, np.int64), np.zeros(len(index), np.int64)
+        own = index >= 0
+        cls[own], leaf[own] = self.classes[index[own]], self.leaves[index[own]]
+        return cls, leaf
+
+
+def history(texts: list[str], words: Lookup, model: Model) -> tuple:
+    """Tokens, their index, class, leaf, rows of their features, and each text's first token."""
+    tokens, one, two, begin = token_rows(texts)
+    index = words.find(tokens)
+    cls, leaf = model.place(index)
+    start = model.n_classes
+    c1, c2 = np.full(len(cls), start), np.full(len(cls), start)
+    c1[1:], c2[2:] = cls[:-1], cls[:-2]
+    c1[begin[:-1]] = c2[begin[:-1]] = start
+    second = begin[:-1][np.diff(begin) > 1] + 1
+    c2[second] = start
+    return index, cls, leaf, feature_rows(one, two, c1, c2, model.bits), begin
 
 
 def log_softmax(f: np.ndarray) -> np.ndarray:
@@ -184,64 +249,100 @@ def log_softmax(f: np.ndarray) -> np.ndarray:
     return f - np.log(np.exp(f).sum(1, keepdims=True))
 
 
+def logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    f = w[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        f += w[rows[:, k]]
+    return f + bias
+
+
+class Learner:
+    """AdaGrad on one weight table, from common weights; remembers which rows it met and how often."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, rate: float):
+        self.w, self.b, self.rate = weights.copy(), bias.copy(), rate
+        self.power, self.bias_power = np.ones_like(self.w), np.ones_like(self.b)
+        self.visits = np.zeros(len(self.w), np.float32)
+
+    def step(self, rows: np.ndarray, y: np.ndarray, cls: np.ndarray | None = None) -> None:
+        g = np.exp(log_softmax(logits(self.w, rows, self.b if cls is None else self.b[cls])))
+        g[np.arange(len(y)), y] -= 1
+        flat = rows.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        edges = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        at = flat[order][edges]
+        change = np.add.reduceat(g[order % len(y)], edges, axis=0)
+        self.visits[at] += np.diff(np.append(edges, len(flat)))
+        power = self.power[at]
+        power += change * change
+        self.power[at] = power
+        change *= self.rate
+        change /= np.sqrt(power)
+        self.w[at] -= change
+        own = g.sum(0) if cls is None else np.zeros_like(self.b)
+        if cls is not None:
+            np.add.at(own, cls, g)
+        self.bias_power += own * own
+        self.b -= self.rate * own / np.sqrt(self.bias_power)
+
+
 def _train_round(docs: DataFrame, model: Model, rate: float, batch: int) -> None:
     """One round over ``docs(text)``: the model's weights become the average of what the tasks make of them."""
-    n_classes, start = model.n_classes, model
+    start = model
+    names, schema = ["level", "block", "step", "rows", "w"], "level int, block int, step int, rows binary, w binary"
+
+    def packed(level: int, block: int, step: int, rows: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        ints = [pa.array([x], pa.int32()) for x in (level, block, step)]
+        return pa.RecordBatch.from_arrays([*ints, *[pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), w.astype(np.float32))]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Lookup(start.keys[: len(start.classes)])
-        w, bias = start.weights.copy(), start.bias.copy()
-        power, power0 = np.ones_like(w), np.ones_like(bias)
-        visits = np.zeros(len(w), np.float32)
-        n = 0
+        words, step = Lookup(start.keys), TaskContext.get().partitionId() % STEPS
+        one, two = Learner(start.weights, start.bias, rate), Learner(start.leaf_weights, start.leaf_bias, rate)
+        n, leafed = 0, np.zeros((CLASSES, 1))
         for _, texts in text_slices(batches, "text"):
-            tokens, one, two, _ = token_rows(texts)
-            target = start.class_of(words.find(tokens))
-            rows = feature_rows(one, two)
-            for a in range(0, len(tokens), batch):
-                r, y = rows[a : a + batch], target[a : a + batch]
-                f = w[r[:, 0]]
-                f += w[r[:, 1]]
-                f += w[r[:, 2]]
-                g = np.exp(log_softmax(f + bias))
-                g[np.arange(len(y)), y] -= 1
-                flat = r.T.ravel()
-                order = np.argsort(flat, kind="stable")
-                edges = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                at = flat[order][edges]
-                change = np.add.reduceat(g[order % len(y)], edges, axis=0)
-                visits[at] += np.diff(np.append(edges, len(flat)))
-                power[at] += change * change
-                w[at] -= rate * change / np.sqrt(power[at])
-                own = g.sum(0)
-                power0 += own * own
-                bias -= rate * own / np.sqrt(power0)
-                n += len(y)
+            _, cls, leaf, rows, _ = history(texts, words, start)
+            for a in range(0, len(cls), batch):
+                r, c = rows[a : a + batch], cls[a : a + batch]
+                one.step(r, c)
+                on = np.flatnonzero(c < CLASSES)
+                if len(on):
+                    two.step(leaf_rows(r[on], c[on], start.bits), leaf[a + on], c[on])
+                    leafed[:, 0] += np.bincount(c[on], minlength=CLASSES)
+            n += len(cls)
         if not n:
             return
-        change = np.hstack(((w - start.weights) * visits[:, None], visits[:, None])).astype(np.float32)
-        for b in range(0, len(w), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array([b // ROWS], pa.int32()), pa.array([change[b : b + ROWS].tobytes()], pa.binary())], names=["block", "w"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.append((bias - start.bias) * n, n).astype(np.float32).tobytes()], pa.binary())], names=["block", "w"])
+        for level, own, w in ((1, one, start.weights), (2, two, start.leaf_weights)):
+            met = np.flatnonzero(own.visits)  # only rows that this task met
+            for b in np.unique(met // ROWS):
+                at = met[met // ROWS == b]
+                yield packed(level, int(b), step, at, np.hstack(((own.w[at] - w[at]) * own.visits[at, None], own.visits[at, None])))
+        yield packed(3, 0, step, np.zeros(1), np.append((one.b - start.bias) * n, n)[None])
+        yield packed(4, 0, step, np.arange(CLASSES), np.hstack(((two.b - start.leaf_bias) * leafed, leafed)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # a fixed number of blocks
+        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # a bounded number of blocks of bounded size
         for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.float32).astype(np.float64)
-                sums[block] = sums[block] + x if block in sums else x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "w"])
-
-    schema = "block int, w binary"
-    parts = docs.select("text").mapInArrow(run, schema)
-    for r in parts.repartition("block").mapInArrow(add, schema).toLocalIterator():  # the weights, of fixed size
-        x = np.frombuffer(r["w"], np.float64)
-        if r["block"] < 0:
-            model.bias = (model.bias + x[:-1] / x[-1]).astype(np.float32)
+            for level, block, rows, raw in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                rows = np.frombuffer(rows, np.int32)
+                x = np.frombuffer(raw, np.float32).reshape(len(rows), -1)
+                if (level, block) not in sums:
+                    sums[level, block] = np.zeros((ROWS, x.shape[1])), np.zeros(ROWS, bool)
+                total, met = sums[level, block]
+                total[rows % ROWS] += x
+                met[rows % ROWS] = True
+        for (level, block), (total, met) in sums.items():
+            at = np.flatnonzero(met)
+            yield packed(level, block, 0, at + block * ROWS, total[at])
+
+    parts = docs.select("text").mapInArrow(run, schema).repartition("level", "block", "step").mapInArrow(add, schema)
+    for r in parts.repartition("level", "block").mapInArrow(add, schema).toLocalIterator():  # the weights, of bounded size
+        rows = np.frombuffer(r["rows"], np.int32)
+        x = np.frombuffer(r["w"], np.float32).reshape(len(rows), -1)
+        mean = x[:, :-1] / np.maximum(x[:, -1:], 1)
+        if r["level"] == 3:
+            model.bias = model.bias + mean[0]
         else:
-            x = x.reshape(-1, n_classes + 1)
-            model.weights[r["block"] * ROWS : (r["block"] + 1) * ROWS] += (x[:, :-1] / np.maximum(x[:, -1:], 1)).astype(np.float32)
+            {1: model.weights, 2: model.leaf_weights, 4: model.leaf_bias}[r["level"]][rows] += mean
 
 
 def train(docs: DataFrame, *, rounds: int = 2, rate: float = 0.3, batch: int = 4096) -> tuple[Model, DataFrame]:
@@ -250,31 +351,34 @@ def train(docs: DataFrame, *, rounds: int = 2, rate: float = 0.3, batch: int = 4
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = top_counts(counts, COUNTED)  # at most COUNTED rows of 16 bytes
     keys, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    classed = keys[:CLASSED]
-    group = _cluster(_neighbours(docs, Lookup(classed), Lookup(keys[:ANCHORS])), GROUPS) if len(keys) else np.zeros(0, np.int64)
-    classes = group * 2 + (np.arange(len(group)) >= BAND)
-    model = Model(keys, c, classes.astype(np.int64), total["n"] or 0, total["v"])
+    model = Model(keys, c, _groups(docs, keys), total["n"] or 0, total["v"])
     for k in range(rounds):
         _train_round(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(rounds)) == k), model, rate, batch)
     return model, counts
 
 
+def token_scores(model: Model, cls: np.ndarray, leaf: np.ndarray, rows: np.ndarray, batch: int = 16_384) -> np.ndarray:
+    """log10 of P(class | history) P(leaf | class, history) over the leaf's total; a word's count plus one goes on top."""
+    out = np.empty(len(cls))
+    for a in range(0, len(cls), batch):
+        r, c, s = rows[a : a + batch], cls[a : a + batch], leaf[a : a + batch]
+        p = log_softmax(logits(model.weights, r, model.bias))[np.arange(len(c)), c]
+        on = np.flatnonzero(c < CLASSES)
+        p[on] += log_softmax(logits(model.leaf_weights, leaf_rows(r[on], c[on], model.bits), model.leaf_bias[c[on]]))[np.arange(len(on)), s[on]]
+        out[a : a + batch] = p / np.log(10) - model.log_share[c, s]
+    return out
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base, score) for every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = Lookup(model.keys), TaskContext.get().partitionId() << 40
         log_count = np.log10(model.counts + 1.0)
-        nat = np.log(10)
         for part, texts in text_slices(batches, "text"):
-            tokens, one, two, begin = token_rows(texts)
-            index = words.find(tokens)
-            cls, rows = model.class_of(index), feature_rows(one, two)
-            log_p = np.empty(len(tokens))
-            for a in range(0, len(tokens), 32768):
-                r, y = rows[a : a + 32768], cls[a : a + 32768]
-                f = log_softmax(model.weights[r[:, 0]] + model.weights[r[:, 1]] + model.weights[r[:, 2]] + model.bias)
-                log_p[a : a + 32768] = f[np.arange(len(y)), y] / nat - model.log_share[y]
+            tokens = token_rows(texts)[0]
+            index, cls, leaf, rows, begin = history(texts, words, model)
+            log_p = token_scores(model, cls, leaf, rows)
             there = index >= 0
             own = np.where(there, log_count[index], 0.0) if len(log_count) else np.zeros(len(tokens))
             sums = lambda x, b=begin: np.add.reduceat(x, b[:-1])  # noqa: E731  every text has its end token

@@ -7,7 +7,7 @@ from collections import Counter
 import brute
 import numpy as np
 
-from lexweave.llm.lm_scoring import Lookup, scored_documents
+from lexweave.llm.lm_scoring import Lookup, history, scored_documents, token_scores, train
 from lexweave.llm.quality import quality_scores
 
 SF = "/root/testdata/sf0.01"
@@ -42,30 +42,43 @@ def test_language_model_against_plain_counts(spark):
     train = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]
     counts = Counter(t for d in train for t in tokens[d])
     n, v = sum(counts.values()), len(counts)
-    better = base_sum = 0.0
+    better = base_sum = n_held = 0.0
     for r in scored_documents(docs.withColumn("h", docs.doc_id)).collect():
         own = tokens[r.doc_id]
         base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in own)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[t] > 0 for t in own), n)
         assert abs(r.base_score - base) < 1e-6 * abs(base) and r.held_out == (r.doc_id not in train)
         if r.held_out:
-            better, base_sum = better + r.score, base_sum + r.base_score
-    assert better > base_sum
+            better, base_sum, n_held = better + r.score, base_sum + r.base_score, n_held + r.n_tokens
+    assert better > base_sum + 0.1 * n_held  # log10 per token
 
 
 def test_model_is_a_distribution(spark):
-    """Over all known words and one unknown, the probabilities after a given history add up to 1."""
-    texts = ["a b c a b", "a b d", "c a b", "d d a"]
-    vocabulary = ["a", "b", "c", "d", "never"]
-    train = [(i, t) for i, t in enumerate(texts * 5) if zlib.crc32(str(i).encode()) % 7 != 2]
-    ids = iter(i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2)
-    asked = [(next(ids), "a b" + (f" {w}" if w else "")) for w in ["", *vocabulary]]
-    asked += [(next(ids), "a")]
-    docs = spark.createDataFrame(train + asked, "doc_id long, text string")
-    p = {r.doc_id: 10**r.score for r in scored_documents(docs).collect()}
-    # "a b" ends after two words: its share goes to the end; the others' last word is told from what their end takes
-    total = p[asked[0][0]]
-    assert 0 < total < 1 and all(0 < x < 1 for x in p.values())
+    """After any history the probabilities of all known words, the end and one unknown word add up to 1."""
+    r = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in r.zipf(1.3, 40) % 300) for _ in range(60)]
+    model, _ = train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    words = Lookup(model.keys)
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    for before in ("", "w1 ", "w2 w1 ", "w7 never "):
+        total, at = 0.0, len(before.split())
+        for text in [before, *[before + w for w in [*vocabulary, "unseen"]]]:
+            index, cls, leaf, rows, _ = history([text], words, model)
+            total += 10 ** token_scores(model, cls, leaf, rows)[at] * (model.counts[index[at]] + 1 if index[at] >= 0 else 1)
+        assert abs(total - 1) < 1e-4, before
+
+
+def test_history_moves_words_within_a_class(spark):
+    """x follows a and y follows b, though both are as frequent."""
+    texts = ["a x c b y c " * 20, "b y d a x d " * 20] * 20
+    model, _ = train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    words = Lookup(model.keys)
+
+    def p(text):
+        index, cls, leaf, rows, _ = history([text], words, model)
+        return token_scores(model, cls, leaf, rows)[-2] + np.log10(model.counts[index[-2]] + 1)
+
+    assert p("c a x") > p("c b x") + 0.5 and p("c b y") > p("c a y") + 0.5
 
 
 def test_lookup():
