@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,42 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lexweave"
 
 
+#: Shuffle files of a finished write go at once; the written table stands for them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder goes with the session, or earlier by :func:`release`.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = _folder(spark, path)
+    _WRITTEN[out][0].deleteOnExit(_WRITTEN[out][1])
+    return out
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path object."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if t in _WRITTEN:
+            fs, path = _WRITTEN.pop(t)
+            fs.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

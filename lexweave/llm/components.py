@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize
+from lexweave.llm.common import materialize, release
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -28,14 +28,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def partial_components(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """``(node, component)`` after a few rounds, without waiting for the end: nodes of one component may still
-    differ, but equal labels always mean connected."""
+def partial_components(edges: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(node, component)`` after a few rounds, without waiting for the end, and the edges as they are then: nodes of one
+    component may still differ, but equal labels always mean connected, and the edges connect the same nodes as before."""
     now = edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct()
     for _ in range(rounds):
         now = materialize(_small_star(_large_star(now)))
     least = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return least.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    labels = least.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return labels, now
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -51,7 +52,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if before[0] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)))
+        last, now = now, materialize(_small_star(_large_star(now)))
+        release(last)
         after = _stamp(now)
         if after == before:
             break

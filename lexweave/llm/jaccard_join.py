@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import hash_shingles, hash_words, free_names, materialize, mix64, table, text_slices, top_counts, unique_sorted
+from lexweave.llm.common import hash_shingles, hash_words, free_names, materialize, mix64, release, table, text_slices, top_counts, unique_sorted
 from lexweave.llm.components import connected_components, partial_components
 
 #: Bound of the driver's list of frequent shingles: 8 bytes each, with their counts.
 FREQUENT = 65_536
 BLOCK = 2_000_000
+#: Rows of a frequent shingle that are dealt together.
+PART = 4096
 
 
 def frequent_shingles(docs: DataFrame, size: int, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +73,14 @@ def frequent_shingles(docs: DataFrame, size: int, limit: int = FREQUENT) -> tupl
 
     counts = materialize(docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     top = top_counts(counts, limit)  # at most `limit` rows
+    release(counts)
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
 
 def prefix_table(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, kk, k1, k2, prefix, n_hot, bits): set size, keys of the set, its prefix and how many of that are frequent, parities.
+    """(doc_id, n, kk, k1, k2, prefix, salts, bits): set size, keys of the set, its prefix, over how many parts each of its frequent members (the last) is dealt, parities.
 
     ``bits`` holds, for 512 slots of hashes, whether an odd number of members falls there: two sets
     differ in at least as many members as their slots differ (Sandes et al., 2017).
@@ -98,27 +101,27 @@ def prefix_table(docs: DataFrame, size: int, percent: int, frequent: tuple[np.nd
                 n = len(u)
                 k1 = int(np.bitwise_xor.reduce(u)) if n else 0
                 k2 = int(mix64(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else 0
-                prefix, bits, hots = None, None, 0
+                prefix, bits, parts = None, None, None
                 if n and (n, k1, k2) not in seen:
                     if len(seen) < 500_000:
                         seen.add((n, k1, k2))
                     p = n - -(-n * percent // 100) + 1
-                    prefix = u[:p]
+                    prefix, parts = u[:p], []
                     if len(often):
                         at = np.minimum(np.searchsorted(often, u), len(often) - 1)
                         hot = often[at] == u
                         if hot[:p].any():
                             cold = u[~hot][:p]
-                            late = u[hot][np.argsort(rank[at[hot]])][: p - len(cold)]
-                            prefix, hots = np.concatenate((cold, late)), len(late)
+                            late = at[hot][np.argsort(rank[at[hot]])][: p - len(cold)]
+                            prefix, parts = np.concatenate((cold, often[late])), 1 + count[late] // PART
                     prefix = prefix.view(np.int64)
                     bits = np.packbits(np.bincount((u & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
-                rows.append((n, k1 ^ (k2 << 1 & (1 << 64) - 1), k1, k2, prefix, hots, bits))
-            n, kk, k1, k2, prefixes, hots, bits = zip(*rows, strict=True)
+                rows.append((n, k1 ^ (k2 << 1 & (1 << 64) - 1), k1, k2, prefix, parts, bits))
+            n, kk, k1, k2, prefixes, parts, bits = zip(*rows, strict=True)
             keys = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (kk, k1, k2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), *keys, pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "kk", "k1", "k2", "prefix", "n_hot", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), *keys, pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "kk", "k1", "k2", "prefix", "salts", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, kk long, k1 long, k2 long, prefix array<long>, n_hot int, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, kk long, k1 long, k2 long, prefix array<long>, salts array<long>, bits array<long>")
 
 
 #: Bits of the filter that spares documents outside the index the making of their sets.
@@ -192,7 +195,9 @@ def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFr
     both = pairs.join(left, "u").join(right, "v")
     common = F.size(F.array_intersect("tu", "tv"))
     both = both.select("u", "v", common.cast("long").alias("i"), (F.size("tu").cast("long") + F.size("tv")).alias("s"))
-    return materialize(both.where(f"100 * i >= {percent} * (s - i)").select("u", "v"))
+    out = materialize(both.where(f"100 * i >= {percent} * (s - i)").select("u", "v"))
+    release(pairs, sets)
+    return out
 
 
 def _near_labels(links: DataFrame) -> DataFrame:
@@ -208,15 +213,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").where("doc_id is not null")
     raw = materialize(prefix_table(docs, size, percent, frequent_shingles(docs, size)))
     keyed = raw.groupBy("doc_id", "n", "kk", "k1", "k2").agg(F.max("bits").alias("bits"))
-    keyed = keyed.groupBy("doc_id").agg(F.min(F.struct("n", "kk", "k1", "k2", "bits")).alias("s")).select("doc_id", "s.*")
+    keyed = materialize(keyed.groupBy("doc_id").agg(F.min(F.struct("n", "kk", "k1", "k2", "bits")).alias("s")).select("doc_id", "s.*"))
     classes = materialize(keyed.where("n > 0").groupBy("n", "kk", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("bits").alias("bits")))
 
-    # prefix shingles of two classes at least; frequent ones have them, and are dealt by class as well
-    entries = raw.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "tok"), "n", "kk", (F.size("prefix") - F.col("n_hot")).alias("cold"))
-    entries = entries.select("tok", F.when(F.col("pos") >= F.col("cold"), F.pmod("kk", F.lit(64)) + 1).otherwise(0).cast("int").alias("salt"), "pos", "n", "kk")
+    # prefix shingles of two classes at least; frequent ones have them, and are dealt by class as well, over parts of about equal size
+    entries = raw.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "tok"), "n", "kk", "salts", (F.size("prefix") - F.size("salts")).alias("cold"))
+    part = F.pmod("kk", F.get("salts", F.col("pos") - F.col("cold"))) + 1
+    entries = entries.select("tok", F.when(F.col("pos") >= F.col("cold"), part).otherwise(0).cast("int").alias("salt"), "pos", "n", "kk")
     once = entries.repartition("tok", "salt").dropDuplicates(["tok", "salt", "n", "kk"])
     twice = once.withColumn("c", F.count("*").over(Window.partitionBy("tok", "salt"))).where("c > 1 or salt > 0")
     live = materialize(twice.select("tok", "pos", "n", "kk").join(classes.select("n", "kk", "rep"), ["n", "kk"]).select("tok", "pos", "rep", "n"))
+    release(raw)
 
     # groups: same size and same remaining prefix
     toks = F.array_sort(F.collect_list(F.struct("tok", "pos")))  # bounded by one document's prefix
@@ -231,6 +238,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # first passes: each shingle has its own pivot in each size band, and each group a few, drawn by hash, so members of a
     # loose group meet many; bands shift by half from pass to pass; later passes take all members where components still meet
     links = tried = None
+    made: list[DataFrame] = []
     for turn in range(passes):
         src = index.withColumnRenamed("gid", "rep") if turn == 0 else posted  # noqa: F821
         src = src.withColumn("band", F.floor(F.log("n") / F.lit(0.2) + F.lit(turn % 2 / 2)))
@@ -248,10 +256,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         pairs = materialize(met)
         found = _verified(pairs, per, classes, docs, size, percent)
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
-        labels = materialize(partial_components(links, 3) if turn == passes - 1 else _near_labels(links))
+        near, forest = partial_components(links, 3) if turn == passes - 1 else (_near_labels(links), None)
+        labels = materialize(near)
         posted = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "pos", "rep", "n", F.coalesce("component", "rep").alias("label"))
         mixed = posted.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tok")
-        posted = materialize(posted.join(mixed, "tok"))
+        fresh = materialize(posted.join(mixed, "tok"))
+        release(*made)
+        made = [labels, fresh]
+        posted = fresh
 
     # closing pass
     full = posted.join(per.select("rep", *SLOTS), "rep")
@@ -260,7 +272,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cross = cross.select(F.greatest("r1", "r2").alias("u"), F.least("r1", "r2").alias("v")).distinct()
     cross = cross.join(tried, ["u", "v"], "left_anti")
     more = _verified(cross, per, classes, docs, size, percent)
-    final = connected_components(links.unionByName(more))
+    final = connected_components(forest.unionByName(more))
 
     of = keyed.join(classes, ["n", "kk", "k1", "k2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return of.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

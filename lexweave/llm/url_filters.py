@@ -35,43 +35,35 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _after_scheme(url: Column) -> Column:
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
-
-
-def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*", 0), UPPER, LOWER), F.lit(""))
-
+def with_parts(df: DataFrame, url: str, name: str) -> DataFrame:
+    """``df`` with ``<name>_rest`` (after ``://``, else null), ``_site``, ``_host``, ``_path`` and ``_node``: the identity of a URL in the graph.
 
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
-def node_of(url: Column) -> Column:
-    """Identity of a URL in the graph, null without ``://``."""
-    rest = F.regexp_replace(_after_scheme(url), r"(?s)#.*\z", "")
-    query = F.regexp_extract(rest, r"(?s)\A[^?]*(\?.*)\z", 1)
+    Step by step, so that each part is computed once and the generated code stays small.
+    """
+    rest, site, path, query = (F.col(f"{name}_{c}") for c in ("rest", "site", "path", "query"))
+    at = F.instr(url, "://")
+    df = df.withColumn(f"{name}_rest", F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))))
+    df = df.withColumns({f"{name}_site": F.regexp_extract(rest, r"\A[^/?#]*", 0), f"{name}_path": F.coalesce(F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1), F.lit("")), f"{name}_query": F.regexp_extract(rest, r"(?s)\A[^?#]*(\?[^#]*)", 1)})
     query = F.regexp_replace(F.regexp_replace(query, r"(?<=[?&])utm_[^&]*(&|\z)", ""), r"[?&]\z", "")
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
-    return F.when(_after_scheme(url).isNotNull(), F.concat(host_of(url), path, query))
-
-
-def resolve(base: Column, target: Column) -> Column:
-    """``target`` as written in a page at ``base``, as an absolute URL."""
-    target = F.regexp_replace(F.regexp_replace(target, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), "&amp;", "&")
-    scheme = F.substring_index(base, "://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(_after_scheme(base), r"\A[^/?#]*", 0))
-    folder = F.regexp_extract(path_of(base), r"(?s)\A.*/", 0)
-    return (
-        F.when(target.rlike(r"(?i)\Ahttps?://"), target)
-        .when(target.rlike(r"\A//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(target.rlike(r"\A/"), F.concat(site, target))
-        .when(target.rlike(r"\A\?"), F.concat(site, path_of(base), target))
-        .when(target.rlike(r"\A#|\A\z"), F.lit(None).cast("string"))
-        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
+    df = df.withColumns({f"{name}_host": F.coalesce(F.translate(site, UPPER, LOWER), F.lit("")), f"{name}_query": query})
+    node = F.concat(F.col(f"{name}_host"), F.when(path == "", "/").otherwise(path), F.col(f"{name}_query"))
+    return df.withColumn(f"{name}_node", F.when(rest.isNotNull(), node)).drop(f"{name}_query")
+
+
+def with_target(df: DataFrame) -> DataFrame:
+    """``to``: what a page writes as ``target``, seen from the page's ``base_site``, ``base_path`` and ``scheme``, as an absolute URL."""
+    df = df.withColumn("written", F.regexp_replace(F.regexp_replace("target", r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), "&amp;", "&"))
+    df = df.withColumns({"kind": F.regexp_extract("written", r"(?i)\A(https?://|//|[a-z][a-z0-9+.-]*:|/|\?|#|\z|)", 1), "folder": F.regexp_extract("base_path", r"(?s)\A.*/", 0), "from": F.concat("scheme", F.lit("://"), "base_site")})
+    kind, written, site = F.lower("kind"), F.col("written"), F.col("from")
+    to = (
+        F.when(kind.isin("http://", "https://"), written)
+        .when(kind == "//", F.concat("scheme", F.lit(":"), written))
+        .when(kind.endswith(":") | (kind == "#") | (written == ""), F.lit(None).cast("string"))
+        .when(kind == "/", F.concat(site, written))
+        .when(kind == "?", F.concat(site, F.col("base_path"), written))
+        .otherwise(F.concat(site, F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), written))
     )
+    return df.withColumn("to", to)
 
 
 VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -91,8 +83,9 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.transform(canonical, lambda t: _attribute(t, "href")),
         F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is);\s*url\s*=\s*['\"]?([^'\"]*)", 1)),
     )
-    found = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh")).select("url", F.explode(written).alias("target"))
-    edges = found.select(node_of(F.col("url")).alias("u"), node_of(resolve(F.col("url"), F.col("target"))).alias("v"))
+    found = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh")).select("url", F.substring_index("url", "://", 1).alias("scheme"), F.explode(written).alias("target"))
+    placed = with_target(with_parts(found, "url", "base"))
+    edges = with_parts(placed.select(F.col("base_node").alias("u"), "to"), "to", "to").select("u", F.col("to_node").alias("v"))
     return edges.where("v is not null and u <> v").distinct()
 
 
@@ -118,12 +111,12 @@ def judge_pages(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     edges = materialize(alias_edges(pages))
     component = connected_components(edges)
-    nodes = component.withColumn("at", F.concat(F.lit("x://"), "node")).select("node", "component", host_of(F.col("at")).alias("host"), path_of(F.col("at")).alias("path"))
+    nodes = with_parts(component.withColumn("at", F.concat(F.lit("x://"), "node")), "at", "at").select("node", "component", F.col("at_host").alias("host"), F.col("at_path").alias("path"))
     ruled = nodes.join(match_rules(nodes.select("host", "path"), rules), ["host", "path"], "left")
     spread = ruled.groupBy("component").agg(F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow"))
     spread = spread.select("component", (F.coalesce("block", F.lit(False)) & ~F.coalesce("allow", F.lit(False))).alias("spreads"))
     aliases = component.join(spread, "component").select("node", "component", "spreads")
-    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    own = with_parts(pages.select("page_id", "url"), "url", "url").select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_node").alias("node"))
     places = own.select("host", "path")
     judged = own.join(match_rules(places, rules), ["host", "path"], "left").join(aliases, "node", "left")
     verdict = F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("spreads"), "block").otherwise("allow")
