@@ -9,15 +9,16 @@ al., 2007). Candidates of all tables are merged and ranked by their exact inner
 products in double precision on the original vectors.
 
 The number of coordinates follows from the number of vectors (buckets of about
-``bucket`` vectors), the number of visits from a sample of at most ``sample`` vectors: as
+``bucket`` vectors) and falls until the sample's neighbours are found, the number of visits from a sample of at most ``sample`` vectors: as
 many as bring in ``target`` of the sample's neighbours that are as rare as the ``k``
 nearest of all. Every vector is indexed. Buckets of any size are cut into blocks of
 about ``block`` vectors, and a bucket's queries into chunks, so a bucket with a third of all vectors
 is many tasks' work and nothing is capped. A query whose buckets hold fewer than ``k``
-candidates visits all buckets of the first table instead, and so is exact.
+candidates visits all buckets of the first table instead, and so is exact; so are all queries if no
+buckets bring in ``target`` of the sample's neighbours.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor
-do those whose length isn't the commonest. Ties go to the smaller vec_id. Of rows that
+Vectors that are null, zero, or hold null or non-finite components take no part.
+Vectors of different lengths have no inner product: each length is searched by itself. Ties go to the smaller vec_id. Of rows that
 repeat a vec_id the one with the least components counts. With fewer than ``k`` candidates all are returned. An
 empty table gives no rows. Only the id and the vector are read.
 """
@@ -32,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import drawn, materialize, mix64, table
+from lexweave.llm.common import drawn, materialize, mix64, release, table
 
 HALF = 6
+MOST_VISITS = 4096
 
 
 class Hashes:
@@ -81,30 +83,31 @@ class Hashes:
         return offsets
 
 
-def fit(sample: np.ndarray, n: int, top: float, *, tables: int, bucket: int, target: float, nearest: int) -> tuple[Hashes, int]:
-    """Hashes and the number of visits, from a sample of at most a few thousand vectors."""
-    k = int(np.clip(round(np.log(max(n / bucket, 1)) / np.log(2.6)), 1, 2 * HALF))
+def fit(sample: np.ndarray, n: int, top: float, *, tables: int, bucket: int, target: float, nearest: int) -> tuple[Hashes, int] | None:
+    """Hashes and the number of visits, from a sample of at most a few thousand vectors; None if no buckets bring in enough of its neighbours."""
+    most = int(np.clip(round(np.log(max(n / bucket, 1)) / np.log(2.6)), 1, 2 * HALF))
     r = max(1, round(nearest * len(sample) / max(n, 1)))
     asked = sample[:: max(1, len(sample) // 300)]
     own = np.arange(0, len(sample), max(1, len(sample) // 300))
     inner = asked @ sample.T
     inner[np.arange(len(asked)), own] = -np.inf
     near = np.argsort(-inner, axis=1)[:, : min(r, max(1, len(sample) - 1))]
-    limit = min(3**k, 4096)
-    for width in (2.5, 3.2, 4.2, 5.5, 8.0, 16.0):
-        hashes = Hashes(sample.shape[1], k, tables, width, top)
-        ranks = np.full(near.shape, limit, np.int64)
-        for t in range(tables):
-            cells, _ = hashes.place(hashes.unit(sample, False), t)
-            home, inside = hashes.place(hashes.unit(asked, True), t)
-            for i in range(len(asked)):
-                order = {tuple(o): j for j, o in enumerate(hashes.steps(inside[i], limit).tolist())}
-                for j, m in enumerate(near[i]):
-                    ranks[i, j] = min(ranks[i, j], order.get(tuple((cells[m] - home[i]).tolist()), limit))
-        need = int(np.quantile(ranks, target)) + 1
-        if need <= limit:
-            return hashes, min(need + need // 8 + 1, 3**k)
-    return hashes, limit
+    for k in range(most, 0, -1):  # larger buckets where smaller ones part too many neighbours
+        limit = min(3**k, MOST_VISITS)
+        for width in (2.5, 3.2, 4.2, 5.5, 8.0, 16.0):
+            hashes = Hashes(sample.shape[1], k, tables, width, top)
+            ranks = np.full(near.shape, limit, np.int64)
+            for t in range(tables):
+                cells, _ = hashes.place(hashes.unit(sample, False), t)
+                home, inside = hashes.place(hashes.unit(asked, True), t)
+                for i in range(len(asked)):
+                    order = {tuple(o): j for j, o in enumerate(hashes.steps(inside[i], limit).tolist())}
+                    for j, m in enumerate(near[i]):
+                        ranks[i, j] = min(ranks[i, j], order.get(tuple((cells[m] - home[i]).tolist()), limit))
+            need = int(np.quantile(ranks, target)) + 1
+            if need <= limit:
+                return hashes, min(need + need // 8 + 1, 3**k)
+    return None
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -142,12 +145,25 @@ def _emit(best: dict[int, tuple]) -> pa.RecordBatch:
     return out
 
 
-def _search(probes: DataFrame, blocks: DataFrame, chunk: int, k: int) -> DataFrame:
-    """(query_id, scores, ids) of the ``k`` best of the blocks that ``probes(tab, key, query_id, q)`` visit."""
-    visits = probes.groupBy("tab", "key").agg(F.count("*").alias("c"))
+def _dealt(probes: DataFrame, chunk: int) -> DataFrame:
+    """(tab, key, qs): about ``chunk`` queries of a bucket in a row."""
+    visits = materialize(probes.groupBy("tab", "key").agg(F.count("*").alias("c")))
     dealt = probes.join(visits, ["tab", "key"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.ceil(F.col("c") / chunk)))
-    chunks = dealt.groupBy("tab", "key", "part").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))  # about `chunk` queries
-    work = chunks.join(blocks, ["tab", "key"]).select(F.col("qs.query_id").alias("qi"), F.col("qs.q").alias("qv"), F.col("vs.vec_id").alias("vi"), F.col("vs.x").alias("vv"))
+    return dealt.groupBy("tab", "key", "part").agg(F.collect_list(F.struct("query_id", "q")).alias("qs")).drop("part")
+
+
+def _search_all(queries: DataFrame, blocks: DataFrame, chunk: int, k: int, slots: int = 64) -> DataFrame:
+    """``queries(query_id, q)`` against every block: chunks of queries meet each slot of blocks, and blocks each chunk's number."""
+    n = -(-queries.count() // chunk)
+    chunks = queries.withColumn("tab", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(n)).cast("int")).groupBy("tab").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    chunks = chunks.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    every = blocks.select(F.pmod(F.xxhash64("key"), F.lit(slots)).cast("long").alias("key"), "vs").withColumn("tab", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return _search(chunks, every, ["tab", "key"], k)
+
+
+def _search(chunks: DataFrame, blocks: DataFrame, on: list[str], k: int) -> DataFrame:
+    """(query_id, scores, ids) of the ``k`` best of the blocks that ``chunks(tab, key, qs)`` visit."""
+    work = chunks.join(blocks, on).select(F.col("qs.query_id").alias("qi"), F.col("qs.q").alias("qv"), F.col("vs.vec_id").alias("vi"), F.col("vs.x").alias("vv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
@@ -195,20 +211,31 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest of each vector for which ``is_query`` (over vec_id) holds."""
     valid = _valid(vectors, id_col, vector_col)
-    sizes = valid.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("top")).orderBy(F.desc("n"), "d").first()
-    spark = vectors.sparkSession
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = materialize(valid.where(F.size("v") == sizes["d"]))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    kinds = valid.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).collect()  # one row for each length
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not kinds:
+        return none
+    valid = materialize(valid)
+    parts = [_nearest(valid.where(F.size("v") == r["d"]), is_query, r["n"], float(r["top"]) or 1.0, k, tables, bucket, block, target, sample) for r in sorted(kinds) if r["n"] > 1]
+    out = none
+    for found in parts:
+        out = out.unionByName(found)
+    return out
+
+
+def _nearest(valid: DataFrame, is_query: Column, n: int, top: float, k: int, tables: int, bucket: int, block: int, target: float, sample: int) -> DataFrame:
+    """The search among ``n`` vectors of one length."""
     fitted = drawn(valid, "vec_id", sample, 1).toArrow()
-    n, top = sizes["n"], float(sizes["top"]) or 1.0
-    hashes, visits = fit(np.array(fitted["v"].to_pylist(), np.float64), n, top, tables=tables, bucket=bucket, target=target, nearest=k)
+    found_fit = fit(np.array(fitted["v"].to_pylist(), np.float64), n, top, tables=tables, bucket=bucket, target=target, nearest=k)
+    hashes, visits = found_fit or (Hashes(len(fitted["v"][0]), 1, 1, 16.0, top), 0)
+    used = hashes.tables
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
             unit = hashes.unit(x, False)
-            for t in range(tables):
+            for t in range(used):
                 keys = hashes.keys(hashes.place(unit, t)[0], t)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(keys), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["tab", "key", "vec_id", "x"])
 
@@ -216,30 +243,37 @@ def nearest(
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
             unit, ids = hashes.unit(x, True), batch.column(0).to_numpy()
-            for t in range(tables):
+            for t in range(used):
                 home, inside = hashes.place(unit, t)
                 for i in range(len(x)):
                     keys = hashes.keys(home[i] + hashes.steps(inside[i], visits), t)
-                    m = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, t, np.int32)), pa.array(keys), pa.array(np.full(m, ids[i])), pa.array([x[i].tobytes()] * m, pa.binary())], names=["tab", "key", "query_id", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array(np.full(len(keys), ids[i]))], names=["tab", "key", "query_id"])
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)], pa.binary())], names=["query_id", "q"])
 
     placed = materialize(valid.mapInArrow(index, "tab int, key long, vec_id long, x binary"))
     counts = materialize(placed.groupBy("tab", "key").agg(F.count("*").alias("c")))
     cut = placed.join(counts, ["tab", "key"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("c") / block)))
     blocks = materialize(cut.groupBy("tab", "key", "part").agg(F.collect_list(F.struct("vec_id", "x")).alias("vs")).select("tab", "key", "vs"))  # about `block` vectors
+    release(placed)
     queries = valid.where(is_query)
-    probes = queries.mapInArrow(probe, "tab int, key long, query_id long, q binary").join(counts.select("tab", "key"), ["tab", "key"], "left_semi")
-    found = materialize(_search(probes, blocks, block, k))
     wanted = min(k, n - 1)
-    few = queries.select(F.col("vec_id").alias("query_id"), "v").join(found.where(F.size("ids") >= wanted).select("query_id"), "query_id", "left_anti")
-    few = materialize(few)
-    if wanted and not few.isEmpty():
-        as_bytes = lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)], pa.binary())], names=["query_id", "q"]) for b in bs)
-        cells = counts.where("tab = 0").agg(F.collect_list("key").alias("all"))  # one bucket list: at most as many as there are cells
-        every = few.mapInArrow(as_bytes, "query_id long, q binary").withColumn("one", F.lit(0)).join(cells.withColumn("one", F.lit(0)), "one")
-        exact = _search(every.select(F.lit(0).alias("tab"), F.explode("all").alias("key"), "query_id", "q"), blocks, block, k)
-        found = found.where(F.size("ids") >= wanted).unionByName(exact)
-    out = found.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("p", "x"))
+    asked = materialize(queries.mapInArrow(as_bytes, "query_id long, q binary"))
+    few, out = asked, None
+    if visits:
+        # probes travel as ids; vectors come to those whose bucket is there
+        probes = queries.mapInArrow(probe, "tab int, key long, query_id long").join(counts.select("tab", "key"), ["tab", "key"], "left_semi").join(asked, "query_id")
+        out = materialize(_search(_dealt(probes, block), blocks, ["tab", "key"], k))
+        few = materialize(asked.join(out.where(F.size("ids") >= wanted).select("query_id"), "query_id", "left_anti"))
+        out = out.where(F.size("ids") >= wanted)
+    if not few.isEmpty():
+        exact = _search_all(few, blocks.where("tab = 0"), block, k)
+        out = exact if out is None else out.unionByName(exact)
+    if out is None:
+        out = asked.select("query_id", F.array().cast("array<double>").alias("scores"), F.array().cast("array<long>").alias("ids"))
+    out = out.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 

@@ -45,3 +45,18 @@ def test_few_odd_and_equal_vectors(spark):
     out = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in out] == [(0, 1, 7), (0, 2, 20), (0, 3, 9), (20, 1, 0), (20, 2, 7), (20, 3, 9)]
     assert nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_all_buckets_are_searched_where_none_are_good_enough(spark, monkeypatch):
+    import lexweave.llm.ann as module
+
+    monkeypatch.setattr(module, "fit", lambda *a, **k: None)
+    x = np.random.default_rng(2).normal(size=(1500, 16)).astype(np.float32)
+    assert recall(spark, x) == 1.0
+
+
+def test_each_length_by_itself(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r.normal(size=4 if i % 3 else 6)], 0) for i in range(120)]
+    out = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert len(out) == 6 * 5 and all((a.query_id % 3 == 0) == (a.vec_id % 3 == 0) for a in out)
