@@ -12,8 +12,7 @@ Everything is learnt from all training documents. Word counts are made by partia
 shuffle. Weights are trained in ``rounds``, each over its share of the documents:
 every task runs AdaGrad on small batches from the common weights and sends the rows that it
 changed; they are averaged by how often a task met each feature, in two steps, so that few rows meet in a task.
-The hashed table has as many rows as the training data has words, rounded to a power of two, from 2^12 to
-2^``MOST_BITS``. Scoring works on sparse numpy batches. Sent to all
+The hashed tables grow with the square root of the number of words, from 2^12 rows to 2^``MOST_BITS``. Scoring works on sparse numpy batches. Sent to all
 tasks are only the weights, a table of the ``COUNTED`` commonest words (16 bytes each) and their
 classes, all of bounded size; counts of rarer words come by a join on their hash.
 
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import hash_words, materialize, mix64, table, text_slices, top_counts
+from lexweave.llm.common import hash_words, materialize, mix64, release, table, text_slices, top_counts
 
 END, START = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 ANCHORS = 64
@@ -42,10 +41,9 @@ COUNTED = 1 << 19
 GROUPS = 8
 CLASSES = 32
 LEAVES = 32
-MOST_BITS = 17
+MOST_BITS = 18
 BLOCK = 2_000_000
 ROWS = 1 << 11  # feature rows in a block of weights
-STEPS = 32  # sums of a block before the last
 
 
 class Lookup:
@@ -204,7 +202,7 @@ class Model:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, groups: np.ndarray, tokens: int, distinct: int):
         self.keys, self.counts = keys, counts  # in falling order of counts
         self.tokens, self.distinct = tokens, distinct
-        self.bits = int(np.clip(np.ceil(np.log2(max(distinct, 1))), 12, MOST_BITS))
+        self.bits = int(np.clip(round(np.log2(max(distinct, 1)) / 2) + 6, 12, MOST_BITS))
         self.n_classes = CLASSES + GROUPS + 1
         self.classes, self.leaves = CLASSES + groups, np.zeros(len(keys), np.int64)
         order = np.argsort(groups[:CLASSED], kind="stable")  # by cluster, then frequency
@@ -289,16 +287,21 @@ class Learner:
 def _train_round(docs: DataFrame, model: Model, rate: float, batch: int) -> None:
     """One round over ``docs(text)``: the model's weights become the average of what the tasks make of them."""
     start = model
-    names, schema = ["level", "block", "step", "rows", "w"], "level int, block int, step int, rows binary, w binary"
+    names, schema = ["level", "block", "step", "rows", "w", "visits"], "level int, block int, step int, rows binary, w binary, visits binary"
 
-    def packed(level: int, block: int, step: int, rows: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    def packed(level: int, block: int, step: int, rows: np.ndarray, mean: np.ndarray, visits: np.ndarray) -> pa.RecordBatch:
         ints = [pa.array([x], pa.int32()) for x in (level, block, step)]
-        return pa.RecordBatch.from_arrays([*ints, *[pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), w.astype(np.float32))]], names=names)
+        kinds = ((rows, np.int32), (mean, np.float16), (visits, np.float32))  # changes are small, so half of the bits do
+        return pa.RecordBatch.from_arrays([*ints, *[pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in kinds]], names=names)
+
+    def unpacked(rows: bytes, w: bytes, visits: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.frombuffer(rows, np.int32)
+        return rows, np.frombuffer(w, np.float16).reshape(len(rows), -1).astype(np.float64), np.frombuffer(visits, np.float32).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, step = Lookup(start.keys), TaskContext.get().partitionId() % STEPS
+        words, step = Lookup(start.keys), TaskContext.get().partitionId() % steps
         one, two = Learner(start.weights, start.bias, rate), Learner(start.leaf_weights, start.leaf_bias, rate)
-        n, leafed = 0, np.zeros((CLASSES, 1))
+        n, leafed = 0, np.zeros(CLASSES)
         for _, texts in text_slices(batches, "text"):
             _, cls, leaf, rows, _ = history(texts, words, start)
             for a in range(0, len(cls), batch):
@@ -307,7 +310,7 @@ def _train_round(docs: DataFrame, model: Model, rate: float, batch: int) -> None
                 on = np.flatnonzero(c < CLASSES)
                 if len(on):
                     two.step(leaf_rows(r[on], c[on], start.bits), leaf[a + on], c[on])
-                    leafed[:, 0] += np.bincount(c[on], minlength=CLASSES)
+                    leafed += np.bincount(c[on], minlength=CLASSES)
             n += len(cls)
         if not n:
             return
@@ -315,34 +318,33 @@ def _train_round(docs: DataFrame, model: Model, rate: float, batch: int) -> None
             met = np.flatnonzero(own.visits)  # only rows that this task met
             for b in np.unique(met // ROWS):
                 at = met[met // ROWS == b]
-                yield packed(level, int(b), step, at, np.hstack(((own.w[at] - w[at]) * own.visits[at, None], own.visits[at, None])))
-        yield packed(3, 0, step, np.zeros(1), np.append((one.b - start.bias) * n, n)[None])
-        yield packed(4, 0, step, np.arange(CLASSES), np.hstack(((two.b - start.leaf_bias) * leafed, leafed)))
+                yield packed(level, int(b), step, at, own.w[at] - w[at], own.visits[at])
+        yield packed(3, 0, step, np.zeros(1), one.b - start.bias, np.array([n]))
+        yield packed(4, 0, step, np.arange(CLASSES), two.b - start.leaf_bias, leafed)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # a bounded number of blocks of bounded size
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}  # a bounded number of blocks of bounded size
         for b in batches:
-            for level, block, rows, raw in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
-                rows = np.frombuffer(rows, np.int32)
-                x = np.frombuffer(raw, np.float32).reshape(len(rows), -1)
-                if (level, block) not in sums:
-                    sums[level, block] = np.zeros((ROWS, x.shape[1])), np.zeros(ROWS, bool)
-                total, met = sums[level, block]
-                total[rows % ROWS] += x
-                met[rows % ROWS] = True
-        for (level, block), (total, met) in sums.items():
-            at = np.flatnonzero(met)
-            yield packed(level, block, 0, at + block * ROWS, total[at])
-
-    parts = docs.select("text").mapInArrow(run, schema).repartition("level", "block", "step").mapInArrow(add, schema)
-    for r in parts.repartition("level", "block").mapInArrow(add, schema).toLocalIterator():  # the weights, of bounded size
-        rows = np.frombuffer(r["rows"], np.int32)
-        x = np.frombuffer(r["w"], np.float32).reshape(len(rows), -1)
-        mean = x[:, :-1] / np.maximum(x[:, -1:], 1)
+            for level, block, *raw in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True):
+                rows, w, visits = unpacked(*raw)
+                total = sums.setdefault((level, block), [np.zeros((ROWS, w.shape[1])), np.zeros(ROWS)])
+                total[0][rows % ROWS] += w * visits[:, None]
+                total[1][rows % ROWS] += visits
+        for (level, block), (total, visits) in sums.items():
+            at = np.flatnonzero(visits)
+            yield packed(level, block, 0, at + block * ROWS, total[at] / visits[at, None], visits[at])
+
+    docs = docs.select("text")
+    steps = int(np.ceil(np.sqrt(docs.rdd.getNumPartitions())))  # sums of a block before the last
+    parts = docs.mapInArrow(run, schema).repartition("level", "block", "step").mapInArrow(mean, schema)
+    made = materialize(parts.repartition("level", "block").mapInArrow(mean, schema))
+    for r in made.toLocalIterator():  # the weights, of bounded size
+        rows, change, _ = unpacked(r["rows"], r["w"], r["visits"])
         if r["level"] == 3:
-            model.bias = model.bias + mean[0]
+            model.bias = model.bias + change[0].astype(np.float32)
         else:
-            {1: model.weights, 2: model.leaf_weights, 4: model.leaf_bias}[r["level"]][rows] += mean
+            {1: model.weights, 2: model.leaf_weights, 4: model.leaf_bias}[r["level"]][rows] += change
+    release(made)
 
 
 def train(docs: DataFrame, *, rounds: int = 2, rate: float = 0.3, batch: int = 4096) -> tuple[Model, DataFrame]:
