@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,21 +27,52 @@ def merge_ledgers(a: DataFrame, b: DataFrame, key: str, counters: tuple[str, ...
     return both.select(key, *[F.greatest(F.coalesce(c, F.lit(0)), F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in counters])
 
 
-def admitted(requests: Column, cap: int) -> Column:
-    """For an ordered array of amounts: which fit under ``cap``; one that doesn't is rejected whole, later ones may still fit."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("ok"))
+COUNTERS = ("requests", "input_bound", "output_tokens")
+#: Counters over which a reservation is held against the caps of its scopes.
+SCOPES = {"job": ("deployment", "job"), "sample": ("deployment", "samples", "sample")}
+
+
+def fold_admission(requests: Iterator[dict], caps: dict[str, dict[str, int]], used: dict | None = None) -> Iterator[str | None]:
+    """For requests in order (kind, id and counters) the scope that refuses each, or None. A refused one uses nothing, so a later, smaller one
+    may still fit. ``used`` holds what each scope has used and is updated."""
+    used = {} if used is None else used
+    for r in requests:
+        keys = [(scope, r["id"] if scope == r["kind"] else "") for scope in SCOPES[r["kind"]]]
+        over = next((k[0] for k in keys if any(used.get(k, {}).get(c, 0) + r[c] > caps[k[0]][c] for c in COUNTERS)), None)
+        if over is None:
+            for k in keys:
+                mine = used.setdefault(k, dict.fromkeys(COUNTERS, 0))
+                for c in COUNTERS:
+                    mine[c] += r[c]
+        yield "sample" if over == "samples" else over
+
+
+def admit(requests: DataFrame, deployment: str, order: list[str], caps: dict[str, dict[str, int]]) -> DataFrame:
+    """``requests(deployment, ..., kind, id, requests, input_bound, output_tokens)`` with ``refused_by``: null if admitted.
+
+    Each deployment is one sequence in ``order``, as its total counts all of its requests; deployments run side by side. Rows are
+    sorted by Spark and stream through the fold; only the counters of one deployment are held.
+    """
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x <= cap
-        return F.struct((acc["used"] + F.when(fits, x).otherwise(0)).cast("long").alias("used"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, {}
+        for b in batches:
+            names = ("kind", "id", *COUNTERS)
+            rows = [dict(zip((deployment, *names), x, strict=True)) for x in zip(*(b.column(c).to_pylist() for c in (deployment, *names)), strict=True)]
+            out = []
+            for r in rows:
+                if r[deployment] != last:
+                    last, used = r[deployment], {}
+                out.append(next(fold_admission(iter([r]), caps, used)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "refused_by"])
 
-    return F.aggregate(requests, start, step)["ok"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+    return requests.repartition(deployment).sortWithinPartitions(deployment, *order).mapInArrow(run, f"{fields}, refused_by string")
 
 
-def admit(requests: DataFrame, key: str, order: list[str], amount: str, cap: int) -> DataFrame:
-    """``requests`` with ``is_admitted``, each key on its own and in order."""
-    rest = [c for c in requests.columns if c not in (key, *order, amount)]
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, amount, *rest))).alias("r"))  # a key's requests: bounded by its cap's period
-    rows = rows.withColumn("ok", admitted(F.transform("r", lambda x: x[amount].cast("long")), cap))
-    each = rows.select(key, F.explode(F.arrays_zip("r", "ok")).alias("x"))
-    return each.select(key, "x.r.*", F.col("x.ok").alias("is_admitted"))
+def usage_report(usage: DataFrame) -> DataFrame:
+    """``usage(id, model, requests, input_bound, output_tokens)`` as one line of JSON for each id, models in order."""
+    per = usage.groupBy("id", "model").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    models = F.array_sort(F.collect_list(F.struct("model", *COUNTERS)))
+    out = per.groupBy("id").agg(*[F.sum(c).alias(c) for c in COUNTERS], models.alias("models"))
+    return out.select("id", F.to_json(F.struct(*COUNTERS, "models")).alias("report"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +97,24 @@ def replay(events: Column) -> Column:
     return F.aggregate(events, F.lit("pending"), lambda s, e: F.coalesce(F.try_element_at(table, F.concat_ws(":", s, e)), s))
 
 
+def replay_events(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
+    """``events`` with ``status``, the key's status after each: sorted by Spark and streamed through the transitions, one status held."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, status = object(), "pending"
+        for b in batches:
+            out = []
+            for k, e in zip(b.column(key).to_pylist(), b.column(event).to_pylist(), strict=True):
+                last, status = (last, status) if k == last else (k, "pending")
+                status = TRANSITIONS.get((status, e), status)
+                out.append(status)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "status"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", status string"
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def pause_active(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status") == "processing", "pausing").when(F.col("status") == "pending", "paused").otherwise(F.col("status")))
 

@@ -19,16 +19,41 @@ def mock_translator(texts: list[str]) -> list[str]:
     return [f"[ES] {t}" for t in texts]
 
 
+def with_bisection(translator: Translator, tries: int = 3) -> Translator:
+    """A translator that asks again up to ``tries`` times, then for either half, down to single texts; an answer that leaves a text without one
+    is a failure too. Exceptions named ``BudgetExceeded`` aren't tried again."""
+
+    def ask(texts: list[str]) -> list[str]:
+        error: Exception | None = None
+        for _ in range(tries):
+            try:
+                out = translator(texts)
+                if len(out) == len(texts) and all(out):
+                    return out
+                error = ValueError("the translator must answer every text")
+            except BudgetExceeded:
+                raise
+            except Exception as e:  # noqa: BLE001  whatever a remote model's client raises
+                error = e
+        if len(texts) < 2:
+            raise RuntimeError(f"no translation after {tries} tries") from error
+        half = -(-len(texts) // 2)
+        return ask(texts[:half]) + ask(texts[half:])
+
+    return ask
+
+
+class BudgetExceeded(RuntimeError):
+    """No further request may be sent."""
+
+
 def translate_texts(texts: DataFrame, translator: Translator) -> DataFrame:
     """(source_text, target_text) of ``texts(text)``, each text once, in Arrow batches. A retried task calls the translator again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = with_bisection(translator)
         for b in batches:
-            source = b.column(0).to_pylist()
-            target = translator(source)
-            if len(target) != len(source):
-                raise ValueError("the translator must answer every text")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(target, pa.string())], names=["source_text", "target_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ask(b.column(0).to_pylist()) if b.num_rows else [], pa.string())], names=["source_text", "target_text"])
 
     return texts.select("text").mapInArrow(run, "source_text string, target_text string")
 

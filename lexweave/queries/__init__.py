@@ -1,6 +1,6 @@
-"""Registered queries of the library's own operators, with their SQL."""
+"""Registered queries and their SQL."""
 
-from lexweave.queries import library, text
+from lexweave.queries import library, records, text
 
-QUERIES = {**text.QUERIES, **library.QUERIES}
-ORACLE_SQL = {**text.ORACLE_SQL, **library.ORACLE_SQL}
+QUERIES = {**text.QUERIES, **library.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**text.ORACLE_SQL, **library.ORACLE_SQL, **records.ORACLE_SQL}

@@ -127,8 +127,8 @@ STEPS = ("start", "pause", "stopped", "resume", "finish", "fail")
 def job_replay(spark: SparkSession, d: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, STEPS)), ((F.col("event_id") * 7 + F.col("user_id")) % 6 + 1).cast("int"))
     e = _events(spark, d).select("user_id", "ts", "event_id", name.alias("e"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "e"))), lambda x: x["e"])
-    return e.groupBy("user_id").agg(jobs.replay(ordered).alias("status"))
+    done = jobs.replay_events(e, "user_id", ["ts", "event_id"], "e")
+    return done.groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
 
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
@@ -150,17 +150,42 @@ def ledger_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("user_id", "event_id", (F.col("event_id") * 5 % 7 + 1).alias("amount"))
+    return _events(spark, d).select(*_request())
+
+
+def _request() -> list:
+    n = F.col("event_id")
+    kind = F.when(n % 3 == 0, "sample").otherwise("job").alias("kind")
+    return ["user_id", "event_id", kind, F.concat(F.lit("k"), (n % 4).cast("string")).alias("id"), F.lit(1).cast("long").alias("requests"), budget.input_bound(F.col("props")).cast("long").alias("input_bound"), F.floor("value").cast("long").alias("output_tokens")]
+
+
+#: Caps that the given events reach in every scope and counter.
+CAPS = {
+    "deployment": {"requests": 40, "input_bound": 9_000, "output_tokens": 9_000},
+    "job": {"requests": 9, "input_bound": 2_100, "output_tokens": 1_500},
+    "samples": {"requests": 9, "input_bound": 2_400, "output_tokens": 900},
+    "sample": {"requests": 3, "input_bound": 1_000, "output_tokens": 300},
+}
 
 
 def budget_admission(spark: SparkSession, d: str) -> DataFrame:
-    return budget.admit(_requests(spark, d), "user_id", ["event_id"], "amount", 20)
+    return budget.admit(_requests(spark, d), "user_id", ["event_id"], CAPS).select("user_id", "event_id", "refused_by")
 
 
-ADMISSION_SQL = """WITH RECURSIVE r AS (SELECT user_id, event_id, event_id * 5 % 7 + 1 AS amount, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-f AS (SELECT user_id, event_id, amount, n, amount <= 20 AS is_admitted, CASE WHEN amount <= 20 THEN amount ELSE 0 END AS used FROM r WHERE n = 1
-  UNION ALL SELECT r.user_id, r.event_id, r.amount, r.n, f.used + r.amount <= 20, CASE WHEN f.used + r.amount <= 20 THEN f.used + r.amount ELSE f.used END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
-SELECT user_id, event_id, amount, is_admitted FROM f"""
+def _cap_sql(counter: str) -> str:
+    return "CASE split_part(k, ':', 1) " + " ".join(f"WHEN '{scope}' THEN {caps[counter]}" for scope, caps in CAPS.items()) + " END"
+
+
+def _used_sql(field: str) -> str:
+    return f"coalesce(list_filter(used, lambda u: u.k = k)[1].{field}, 0) + {field}0"
+
+
+ADMISSION_SQL = f"""WITH RECURSIVE r AS (SELECT user_id, event_id, CAST(1 AS BIGINT) AS q0, CAST(strlen(props) + 256 AS BIGINT) AS i0, CAST(floor(value) AS BIGINT) AS o0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+  CASE WHEN event_id % 3 = 0 THEN ['deployment', 'samples', 'sample:k' || event_id % 4] ELSE ['deployment', 'job:k' || event_id % 4] END AS ks FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS refused, CAST([] AS STRUCT(k VARCHAR, q BIGINT, i BIGINT, o BIGINT)[]) AS used FROM r
+  UNION ALL SELECT user_id, n, event_id, over, CASE WHEN over IS NULL THEN list_concat(list_filter(used, lambda u: NOT list_contains(ks, u.k)), list_transform(ks, lambda k: {{'k': k, 'q': {_used_sql("q")}, 'i': {_used_sql("i")}, 'o': {_used_sql("o")}}})) ELSE used END FROM (
+    SELECT f.user_id, r.n, r.event_id, f.used, r.ks, q0, i0, o0, list_filter(r.ks, lambda k: {_used_sql("q")} > {_cap_sql("requests")} OR {_used_sql("i")} > {_cap_sql("input_bound")} OR {_used_sql("o")} > {_cap_sql("output_tokens")})[1] AS over FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))
+SELECT user_id, event_id, CASE split_part(refused, ':', 1) WHEN 'samples' THEN 'sample' ELSE split_part(refused, ':', 1) END AS refused_by FROM f WHERE n > 0"""
 
 
 def _stream(spark: SparkSession, d: str, make) -> DataFrame:
@@ -175,9 +200,7 @@ def _stream(spark: SparkSession, d: str, make) -> DataFrame:
 
 
 def stream_budget(spark: SparkSession, d: str) -> DataFrame:
-    amount = (F.col("event_id") * 5 % 7 + 1).alias("amount")
-    done = _stream(spark, d, lambda s: admit_stream(s.select("user_id", "event_id", amount), "user_id", "event_id", "amount", 20))
-    return done.select("user_id", "event_id", "amount", "is_admitted")
+    return _stream(spark, d, lambda s: admit_stream(s.select(*_request()), "user_id", "event_id", CAPS)).select("user_id", "event_id", "refused_by")
 
 
 def stream_job_states(spark: SparkSession, d: str) -> DataFrame:
@@ -283,6 +306,14 @@ SELECT user_id, CAST(floor(coalesce(sum(us) FILTER (WHERE status = 'processing')
 t AS (SELECT * FROM (VALUES """ + ", ".join(f"('{s}', '{e}', '{to}')" for (s, e), to in jobs.TRANSITIONS.items()) + """) x(s, e, s2)),
 f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 'pending' AS status FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT f.user_id, f.n + 1, coalesce(t.s2, f.status) FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1 LEFT JOIN t ON t.s = f.status AND t.e = r.e)
 SELECT user_id, arg_max(status, n) AS status FROM f GROUP BY 1""",
+    "stream_job_states": """WITH RECURSIVE r AS (SELECT user_id, event_id, (['start', 'pause', 'stopped', 'resume', 'finish', 'fail'])[CAST((event_id * 7 + user_id) % 6 + 1 AS INT)] AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+t AS (SELECT * FROM (VALUES """ + ", ".join(f"('{s}', '{e}', '{to}')" for (s, e), to in jobs.TRANSITIONS.items()) + """) x(s, e, s2)),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, '' AS e, 'pending' AS status FROM r UNION ALL SELECT f.user_id, r.n, r.event_id, r.e, coalesce(t.s2, f.status) FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1 LEFT JOIN t ON t.s = f.status AND t.e = r.e)
+SELECT user_id, event_id, e, status FROM f WHERE n > 0""",
+    "catalog_interleave": """WITH p AS (SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS query_id, p_partkey % 12 AS pos, p_partkey AS k, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), lambda a, b: a || ' ' || b) END AS title,
+  CASE WHEN p_partkey % 3 <> 0 THEN '978000' || lpad(CAST(floor(p_partkey / 2) AS BIGINT)::VARCHAR, 7, '0') END AS isbn FROM part),
+u AS (SELECT query_id, pos, 0 AS s, title, isbn, 'https://covers/' || k AS cover_url FROM p UNION ALL SELECT query_id, pos, 1, upper(title), CASE WHEN pos % 2 = 0 THEN isbn END, NULL FROM p)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos, s) - 1 AS INT) AS pos, coalesce(title, 'Sin título') AS title, isbn, cover_url FROM u""",
     "budget_ledger": f"WITH {USAGE_SQL} SELECT user_id, event_type, {SUMS_SQL} FROM usage GROUP BY 1, 2",
     "ledger_merge": f"""WITH {USAGE_SQL}, s AS (SELECT user_id, event_id % 2 AS h, {SUMS_SQL} FROM usage GROUP BY 1, 2) SELECT user_id, max(requests) AS requests, greatest(max(input_bound), 0) AS input_bound, greatest(CAST(max(output_tokens) AS BIGINT), CASE WHEN count(*) < 2 THEN 0 END) AS output_tokens FROM s GROUP BY 1""",
     "budget_admission": ADMISSION_SQL,

@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexweave.operators.budget import COUNTERS, fold_admission
 from lexweave.operators.jobs import TRANSITIONS
 
 
-def admit_stream(requests: DataFrame, key: str, order: str, amount: str, cap: int) -> DataFrame:
-    """(key, order, amount, is_admitted, used): each request against what its key has used so far; a rejected one uses nothing.
+def admit_stream(requests: DataFrame, deployment: str, order: str, caps: dict[str, dict[str, int]]) -> DataFrame:
+    """``requests(deployment, order, kind, id, requests, input_bound, output_tokens)`` with ``refused_by``: null if admitted, against what the scopes of
+    a deployment have used so far; a refused request uses nothing.
 
-    Within a micro-batch a key's requests are taken in ``order``; across batches as they come.
+    Within a micro-batch a deployment's requests are taken in ``order``; across batches as they come. The state is one row for
+    each scope that has used something.
     """
+    columns = [deployment, order, "kind", "id", *COUNTERS]
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
+        used = {tuple(x[:2]): dict(zip(COUNTERS, x[2:], strict=True)) for x in json.loads(state.get[0])} if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for o, a in zip(rows[order], rows[amount], strict=True):
-            ok = used + a <= cap
-            used += a if ok else 0
-            out.append((k[0], o, a, ok, used))
-        state.update((int(used),))
-        yield pd.DataFrame(out, columns=[key, order, amount, "is_admitted", "used"])
+        rows["refused_by"] = list(fold_admission(iter(rows.astype(object).to_dict("records")), caps, used))
+        state.update((json.dumps([[*key, *(int(u[c]) for c in COUNTERS)] for key, u in used.items()]),))
+        yield rows[[*columns, "refused_by"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
-    schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{amount}` {kinds[amount]}, is_admitted boolean, used long"
-    return requests.select(key, order, amount).groupBy(key).applyInPandasWithState(fold, schema, "used long", "append", GroupStateTimeout.NoTimeout)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", refused_by string"
+    return requests.select(*columns).groupBy(deployment).applyInPandasWithState(fold, schema, "used string", "append", GroupStateTimeout.NoTimeout)
 
 
 def job_states(events: DataFrame, key: str, order: str, event: str) -> DataFrame:

@@ -18,14 +18,16 @@ def value(spark, column):
 
 
 def batches(spark, *tokens):
-    sizes = F.array(*[F.struct(F.lit(t * 4).cast("long").alias("chars"), F.lit(t).cast("long").alias("tokens")) for t in tokens])
-    return value(spark, segment.batch_numbers(sizes))
+    df = spark.createDataFrame([([t * 4 for t in tokens], list(tokens))], "c array<long>, t array<long>")
+    return df.select(segment.batch_numbers()(F.col("c"), F.col("t")).alias("x")).first()["x"]
 
 
 def test_greedy_batches(spark):
     assert batches(spark, 300, 300, 1, 600) == [0, 0, 1, 2]
     assert batches(spark, 700) == [0]
     assert batches(spark, 700, 1) == [0, 1]
+    assert batches(spark) == []
+    assert batches(spark, *[1] * 1300) == [0] * 600 + [1] * 600 + [2] * 100
 
 
 def test_token_estimate(spark):
@@ -36,8 +38,11 @@ def test_token_estimate(spark):
 def test_splits_are_lossless(spark):
     assert [len(x) for x in value(spark, T.hard_pieces(F.lit("x" * 5000), 2400))] == [2400, 2400, 200]
     text = "First pi is 3.14 ok. Second one!  Third?\n\nA new paragraph. " + "word " * 30 + "y" * 90
-    parts = value(spark, segment.pack_pieces(segment.split_pieces(F.lit(text), 40), 40))
+    parts = value(spark, segment.split_pieces(F.lit(text), 40))
     assert "".join(parts) == text and max(map(len, parts)) <= 40
+    assert segment.packed(["aa", "b", "cccc", "d"], 4) == ["aab", "cccc", "d"] and segment.packed(["aaaaaa", "b"], 4) == ["aaaaaa", "b"]
+    # paragraphs that fit stay whole; only the long one is cut further
+    assert segment.cut_text("short.\n" + "one two. " * 3 + "\nend", 12) == ["short.\n", "one two. ", "one two. ", "one two. \n", "end"]
 
 
 def test_recombine_orders_by_number(spark):
@@ -134,8 +139,17 @@ def test_glossary(spark):
     assert not catalog.user_glossary_is_valid(df).first().is_valid
 
 
-def test_budget(spark):
-    assert value(spark, budget.admitted(F.array(F.lit(6), F.lit(5), F.lit(4)).cast("array<long>"), 10)) == [True, False, True]
+def test_budget():
+    use = lambda kind, id, n, i=0, o=0: {"kind": kind, "id": id, "requests": n, "input_bound": i, "output_tokens": o}
+    caps = {s: dict.fromkeys(budget.COUNTERS, 10) for s in ("deployment", "job", "samples", "sample")}
+    fold = lambda *rows, **more: list(budget.fold_admission(iter(rows), {**caps, **more}))
+    assert fold(use("job", "a", 6), use("job", "a", 5), use("job", "a", 4)) == [None, "deployment", None]
+    big = {"deployment": dict.fromkeys(budget.COUNTERS, 100)}
+    assert fold(use("job", "a", 6), use("job", "a", 5), use("job", "b", 5), use("job", "a", 1, 11), use("job", "a", 1, 0, 11), **big) == [None, "job", None, "job", "job"]
+    assert fold(use("sample", "a", 6), use("sample", "b", 5), use("sample", "b", 4), use("job", "a", 10), **big) == [None, "sample", None, None]
+
+
+def test_ledgers_merge(spark):
     a, b = (spark.createDataFrame(x, "k string, n long") for x in ([("a", 3)], [("a", 5), ("b", 1)]))
     assert {r.k: r.n for r in budget.merge_ledgers(a, b, "k", ("n",)).collect()} == {"a": 5, "b": 1}
 

@@ -42,8 +42,3 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
-
-
-def test_stream_of_states_ends_like_the_replay(spark):
-    last = QUERIES["stream_job_states"](spark, SF).groupBy("user_id").agg({"event_id": "max"})
-    assert last.count() == QUERIES["job_replay"](spark, SF).count()
