@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import display, markup, replies
 from lexweave.functions import text as T
-from lexweave.operators import budget, catalog, layout, outline, preview, records, selection
+from lexweave.operators import book, budget, catalog, layout, outline, preview, records, selection
 from lexweave.plans.translate import translate_items
 from lexweave.queries.library import _catalogue, _events, _jobs, _usage
 from lexweave.queries.text import LINES_SQL, SPACE, TRIM, _docs, _lines
@@ -217,6 +217,28 @@ def ocr_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return layout.ocr_paragraphs(marked)
 
 
+def _turn_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, d, "conversations")
+    heading = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<h1>Part "), k_str("turn"), F.lit("</h1>"))).otherwise("")
+    pages = t.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.concat(heading, F.lit("<p>"), T.xml_escape(F.col("text")), F.lit("</p>")).alias("html"), (F.col("turn") % 2 == 1).alias("continues_previous"), F.lit(False).alias("join_previous_word"), F.lit(False).alias("is_toc"), F.array().cast(layout.FIGURES).alias("figures"))
+    return pages, t.groupBy(F.col("conv_id").alias("doc_id")).agg(F.concat(F.lit("Talk "), F.max("conv_id").cast("string")).alias("title"))
+
+
+def book_chapters(spark: SparkSession, d: str) -> DataFrame:
+    pages, books = _turn_pages(spark, d)
+    none = spark.createDataFrame([], "doc_id long, title string, page int, level int")
+    parts = book.chapters(book.prepare_pages(pages), none, books)
+    return parts.select("doc_id", "chapter_no", "title", "n_pages", F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("n_paragraphs"))
+
+
+def simple_books(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "conversations")
+    paragraphs = t.select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).cast("int").alias("section_no"), F.when(F.floor(F.col("turn") / 2) % 2 == 0, F.concat(F.lit("Part "), F.floor(F.col("turn") / 2).cast("string"))).alias("title"), F.col("turn").alias("pos"), "text")
+    books = t.select(F.col("conv_id").alias("doc_id"), F.lit("T").alias("title"), F.lit(None).cast("string").alias("author"), F.lit("es").alias("language")).distinct()
+    entries = book.simple_book(paragraphs, books).where("entry_no > 100")
+    return entries.select("archive", "path", F.length(F.decode("content", "UTF-8")).alias("chars"))
+
+
 # ------------------------------------------------------------------ selections
 
 
@@ -313,7 +335,7 @@ def usage_reports(spark: SparkSession, d: str) -> DataFrame:
     return budget.usage_report(_usage(spark, d).select(F.col("user_id").alias("id"), F.col("event_type").alias("model"), "requests", "input_bound", "output_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, outline_rows, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
+QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, book_chapters, simple_books, outline_rows, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
 JS_SPACES = f"[{SPACE}]+"
 PART_ROWS = "x AS (SELECT *, floor(p_partkey / 15) AS q, row_number() OVER (PARTITION BY floor(p_partkey / 15) ORDER BY p_partkey) - 1 AS n FROM part)"
 DAY_IN_MONTH = "try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 32 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL"
@@ -371,6 +393,12 @@ j AS (SELECT doc_id, g, list(t ORDER BY i) AS ts FROM g WHERE t <> '' GROUP BY 1
 SELECT doc_id, 1 AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS para_no, list_reduce(ts, lambda a, b: CASE WHEN ends_with(a, '-') THEN a || b ELSE a || ' ' || b END) AS text FROM j""",
     "path_requests": f"""WITH b AS (SELECT DISTINCT l_suppkey % 3 AS device_id, l_orderkey AS k, {_PICK(("books/./", "../", "books/../books/", "/mnt/d/", "/etc/"), "l_orderkey % 5")} || l_orderkey || CASE WHEN l_orderkey % 7 = 0 THEN '.exe' ELSE '.EPUB' END AS path FROM lineitem)
 SELECT device_id, path, '/mnt/d/' || CASE WHEN k % 5 IN (0, 2) THEN 'books/' ELSE '' END || k || '.EPUB' AS file FROM b WHERE length(path) % 2 = 0 AND k % 5 IN (0, 2, 3) AND k % 7 <> 0""",
+    "book_chapters": """WITH t AS (SELECT conv_id AS doc_id, turn, count(*) FILTER (WHERE turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+m AS (SELECT *, turn % 2 = 1 AND turn % 3 <> 0 AND lag(turn) OVER (PARTITION BY doc_id ORDER BY turn) IS NOT NULL AS moved FROM t)
+SELECT doc_id, CAST(g AS INT) AS chapter_no, 'Part ' || min(turn) AS title, count(*) AS n_pages, CAST(count(*) FILTER (WHERE NOT moved) AS INT) AS n_paragraphs FROM m GROUP BY doc_id, g""",
+    "simple_books": """WITH p AS (SELECT conv_id, CAST(floor(turn / 2) AS INT) AS s, string_agg('<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') || '</p>', chr(10) ORDER BY turn) AS b FROM conversations GROUP BY 1, 2)
+SELECT CAST(conv_id AS VARCHAR) AS archive, 'OEBPS/sections/chapter-' || (s + 1) || '.xhtml' AS path, length('<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="es"><head><title></title><meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="../book.css"/></head><body></body></html>') + length(b)
+  + CASE WHEN s % 2 = 0 THEN length('<h1></h1>') + 2 * length('Part ' || s) ELSE length('section-' || (s + 1)) END AS chars FROM p""",
     "queue_rows": """WITH j AS (SELECT o_orderkey AS job_id, o_custkey, nullif(o_orderkey % 7, 0) AS place FROM orders) SELECT b.job_id, a.place, CASE WHEN b.o_custkey % 2 = 0 THEN 'translation' ELSE 'pdf' END AS kind, (['pending', 'processing', 'pausing', 'paused', 'done', 'error'])[CAST(b.job_id % 6 + 1 AS INT)] AS status FROM j a JOIN j b ON b.job_id = a.job_id * 2""",
     "book_selection": """WITH b AS (SELECT l_suppkey AS device_id, l_partkey AS path, l_linenumber AS n FROM lineitem) SELECT device_id, count(*) AS n FROM b WHERE EXISTS (SELECT 1 FROM b c WHERE c.n = 3 AND c.device_id = b.device_id AND c.path = b.path) GROUP BY 1""",
     "selection_toggles": f"""WITH k AS (SELECT o_orderkey AS k, list_distinct([o_orderkey % 3, o_orderkey % 5, o_orderkey % 7]) AS c, list_distinct([o_orderkey % 2, o_orderkey % 3]) AS s FROM orders)
