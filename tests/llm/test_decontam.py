@@ -80,3 +80,27 @@ def test_changed_words_are_found_wherever_they_stand(spark):
             docs.append((len(docs), " ".join([word() for _ in range(9)] + text + [word() for _ in range(9)])))
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in find_overlaps(d, i).collect()} == want
+
+
+def test_equals_brute_force(spark):
+    import random
+
+    import brute
+
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(400)}"
+    items = [(k, " ".join(word() for _ in range(r.choice((3, 5, 8, 12, 14, 20, 40))))) for k in range(25)]
+    docs = []
+    for d in range(120):
+        own = [word() for _ in range(r.randrange(0, 60))]
+        if d % 2:
+            part = brute.words(items[r.randrange(25)][1])
+            a = r.randrange(len(part))
+            part = part[a : a + r.randrange(1, 30)]
+            part = [w if r.random() > 0.15 else word() for w in part]
+            k = r.randrange(len(own) + 1)
+            own[k:k] = part
+        docs.append((d, " ".join(own)))
+    found = find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i) for d, t in docs for i, x in items if brute.overlaps(t, x)}
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == want and len(want) >= 10

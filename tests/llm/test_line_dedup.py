@@ -91,8 +91,8 @@ def test_repeated_passages_and_lines():
     assert shared_places([1, 7, 2], [1, 2], [1, 1], 2) == []  # not a block of the earlier document
 
 
-def plain(docs, least):
-    """All pairs that share a line, aligned one by one."""
+def plain_cuts(docs, least):
+    """All pairs that share a line, aligned one by one: the places of the lines that go from each document."""
     lines = {d: [(i, x, len(x.split())) for i, x in enumerate(t.split("\n")) if x.strip()] for d, t in docs}
     first, out = {}, {}
     for d in sorted(lines):
@@ -107,7 +107,7 @@ def plain(docs, least):
                 cut |= {lines[d][j][0] for j in shared_places(other, mine, [w for _, _, w in lines[d]], least)}
         first[tuple(mine)] = d
         out[d] = cut
-    return {d: len(c) for d, c in out.items()}
+    return out
 
 
 def test_equals_all_pairs_where_every_line_is_rare(spark):
@@ -116,7 +116,7 @@ def test_equals_all_pairs_where_every_line_is_rare(spark):
     docs = [(d, "\n".join(r.choice(["", *vocabulary]) for _ in range(r.randrange(1, 12)))) for d in range(18)]
     docs += [(50 + d, docs[d][1]) for d in range(2)]
     out = {x.doc_id: x._deleted for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert out == plain(docs, 5)
+    assert out == {d: len(c) for d, c in plain_cuts(docs, 5).items()}
 
 
 def test_rare_lines_pair_all_their_holders(spark):
