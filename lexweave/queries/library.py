@@ -191,7 +191,7 @@ SELECT user_id, event_id, CASE split_part(refused, ':', 1) WHEN 'samples' THEN '
 def _stream(spark: SparkSession, d: str, make) -> DataFrame:
     """Run a stream over the events file to its end and read what it wrote."""
     schema = table(spark, d, "events").schema
-    at = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = make(source)
     writer = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")

@@ -1,30 +1,60 @@
-"""Where a session keeps its intermediate files."""
+"""Tables of the driver, and where a session keeps its intermediate ones."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a finished write go at once; the written table stands for them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
+_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="lexweave-"))
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/lexweave"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path object."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, where a plan must not be computed anew."""
-    path = f"{shared_dir(df.sparkSession)}/lexweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder goes with the session, or earlier by :func:`release`.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    fs, where = _WRITTEN[out] = _folder(spark, path)
+    fs.deleteOnExit(where)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if t in _WRITTEN:
+            fs, where = _WRITTEN.pop(t)
+            fs.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
