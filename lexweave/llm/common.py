@@ -7,71 +7,19 @@ retries, so a lost task recomputes the same rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
-_OWN_DIR: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="lexweave-"))
-    return f"{base.rstrip('/')}/lexweave"
-
+from lexweave.session import materialize, release, table
 
-#: Shuffle files of a finished write go at once; the written table stands for them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
+__all__ = ["drawn", "free_names", "hash_shingles", "hash_words", "materialize", "mix64", "release", "table", "text_slices", "top_counts", "unique_sorted"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The folder goes with the session, or earlier by :func:`release`.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[out] = _folder(spark, path)
-    _WRITTEN[out][0].deleteOnExit(_WRITTEN[out][1])
-    return out
-
-
-def _folder(spark: SparkSession, path: str) -> tuple:
-    """Hadoop's file system and path object."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for t in tables:
-        if t in _WRITTEN:
-            fs, path = _WRITTEN.pop(t)
-            fs.delete(path, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+SLICE_BYTES = 1 << 20
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
