@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators import archive, budget, catalog, jobs, layout, readinglog
-from lexweave.session import shared_dir, table
+from lexweave.session import forget_later, shared_dir, table
 from lexweave.streaming.stateful import admit_stream, job_states
 
 
@@ -196,6 +196,7 @@ def _stream(spark: SparkSession, d: str, make) -> DataFrame:
     out = make(source)
     writer = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    forget_later(spark, at)
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 

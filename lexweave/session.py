@@ -30,6 +30,13 @@ def _folder(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def forget_later(spark: SparkSession, path: str) -> tuple:
+    """Let an existing folder go with the session."""
+    fs, where = _folder(spark, path)
+    fs.deleteOnExit(where)
+    return fs, where
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -44,8 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    fs, where = _WRITTEN[out] = _folder(spark, path)
-    fs.deleteOnExit(where)
+    _WRITTEN[out] = forget_later(spark, path)
     return out
 
 
