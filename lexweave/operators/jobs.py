@@ -29,9 +29,9 @@ def list_order(jobs: DataFrame) -> DataFrame:
 
 
 def reindex_queue(jobs: DataFrame) -> DataFrame:
-    """Queued jobs of each kind numbered 0, 1, ... in their order."""
-    queued = jobs.where("status = 'pending'")
-    return numbered(queued.withColumnRenamed("queue_order", "_q"), "queue_order", F.coalesce("_q", F.lit(LAST)), F.col("created_at"), F.col("job_id"), within="kind").drop("_q")
+    """Paused and pending jobs of each kind numbered 0, 1, ... in their order; those without a place come first."""
+    queued = jobs.where("status in ('paused', 'pending')")
+    return numbered(queued.withColumnRenamed("queue_order", "_q"), "queue_order", F.coalesce("_q", F.lit(0)), F.col("created_at"), F.col("job_id"), within="kind").drop("_q")
 
 
 def move_in_queue(queue: DataFrame, moves: DataFrame) -> DataFrame:
@@ -46,7 +46,9 @@ def move_in_queue(queue: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def next_queue_order(jobs: DataFrame) -> DataFrame:
-    return jobs.groupBy("kind").agg(F.coalesce(F.max("queue_order") + 1, F.lit(0)).alias("next_order"))
+    """The place of a new job of each kind: after the paused and pending ones that have a place, else 0."""
+    queued = F.when(F.col("status").isin("paused", "pending"), F.col("queue_order"))
+    return jobs.groupBy("kind").agg(F.coalesce(F.max(queued) + 1, F.lit(0)).alias("next_order"))
 
 
 def upgrade_records(records: DataFrame) -> DataFrame:

@@ -93,6 +93,40 @@ def read_ledger(bodies: DataFrame) -> DataFrame:
     return parsed.where(F.when(sound, True).otherwise(F.raise_error(F.lit("damaged ledger")).cast("boolean"))).drop("body")
 
 
+JOB = (
+    "id string, kind string, status string, progress struct<current:double,total:double,message:string>, checkpointBatchIndex double, inputFileName string, outputFileName string, "
+    "inputFilePath string, outputFilePath string, error string, glossary array<struct<source:string,target:string,type:string>>, completedChapters array<string>, "
+    "translationMemory map<string,string>, queueOrder double, elapsedMs double, lastProgressAt string, archived boolean, createdAt string, startedAt string, completedAt string"
+)
+# Kinds and states of a job.
+KINDS = ("epub-translation", "pdf-conversion")
+JOB_STATES = ("pending", "processing", "pausing", "paused", "done", "error")
+
+
+def job_problem(bodies: DataFrame) -> DataFrame:
+    """``bodies(body)`` of stored jobs with ``problem``: what can't be read, else the first field outside its domain, else null."""
+    j = F.from_json("body", f"{JOB}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    whole = lambda c: F.coalesce((c >= 0) & (c == F.floor(c)), F.lit(False))
+    moment = lambda c: F.try_to_timestamp(c).isNotNull()
+    c = {n.split()[0]: F.col(f"_j.{n.split()[0]}") for n in JOB.split(", ")}
+    texts = c["inputFileName"].isNotNull() & c["inputFilePath"].isNotNull() & c["outputFilePath"].isNotNull()
+    terms = F.forall(F.coalesce(c["glossary"], F.array().cast("array<struct<source:string,target:string,type:string>>")), lambda g: g["source"].isNotNull() & g["target"].isNotNull() & (g["type"].isNull() | g["type"].isin("name", "place", "term", "title")))
+    dates = F.forall(F.array_compact(F.array(c["startedAt"], c["completedAt"], c["lastProgressAt"])), moment)
+    lists = F.forall(F.coalesce(c["completedChapters"], F.array().cast("array<string>")), lambda x: x.isNotNull()) & F.forall(F.map_values(F.coalesce(c["translationMemory"], F.create_map().cast("map<string,string>"))), lambda x: x.isNotNull())
+    wrong = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
+    problem = F.coalesce(
+        F.when(F.col("_j").isNull() | F.col("_j._broken").isNotNull(), "unreadable"),
+        wrong(c["id"].rlike(r"\A[a-zA-Z0-9_-]{1,240}\z"), "id"),
+        wrong(c["kind"].isNull() | c["kind"].isin(*KINDS), "kind"),
+        wrong(c["status"].isin(*JOB_STATES), "status"),
+        wrong(whole(c["progress"]["current"]) & whole(c["progress"]["total"]) & c["progress"]["message"].isNotNull() & whole(c["checkpointBatchIndex"]), "progress"),
+        wrong(texts, "files"),
+        wrong(moment(c["createdAt"]) & dates & (c["elapsedMs"].isNull() | (c["elapsedMs"] >= 0)), "times"),
+        wrong(terms & lists, "lists"),
+    )
+    return bodies.withColumn("_j", j).withColumn("problem", problem).drop("_j")
+
+
 def checkpoint_problem(saved: DataFrame, key: str, expected: DataFrame) -> DataFrame:
     """``expected(key, done)`` with ``problem``: a checkpoint may only be missing before the first batch; else its ids (``item_id``) differ
     and none of its texts is blank."""

@@ -280,7 +280,7 @@ def page_batches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (reading_months, year_list, monthly_activity, status_counts, reading_filter, status_change, latest_rows, reading_dates, job_listing, queue_reindex, queue_move, next_queue_order, record_upgrade, public_projection, active_time, job_replay, budget_ledger, ledger_merge, budget_admission, stream_budget, stream_job_states, manifest_verify, archive_limits, locale_sort, contiguous_prefix, json_shred, catalog_merge, catalog_interleave, page_batches)}
 
-REINDEX_SQL = "SELECT job_id, kind, row_number() OVER (PARTITION BY kind ORDER BY coalesce(queue_order, 9007199254740991), created_at, job_id) - 1 AS queue_order FROM jobs WHERE status = 'pending'"
+REINDEX_SQL = "SELECT job_id, kind, row_number() OVER (PARTITION BY kind ORDER BY coalesce(queue_order, 0), created_at, job_id) - 1 AS queue_order FROM jobs WHERE status IN ('paused', 'pending')"
 
 ORACLE_SQL = {
     "reading_months": f"WITH {BOOKS_SQL} SELECT coalesce(left(finished_at, 7), 'undated') AS month, count(*) AS n_books FROM books GROUP BY 1",
@@ -298,7 +298,7 @@ SELECT job_id, kind, status, row_number() OVER (ORDER BY coalesce(pr, 6), CASE W
     "queue_reindex": f"WITH {JOBS_SQL} {REINDEX_SQL}",
     "queue_move": f"""WITH {JOBS_SQL}, q AS ({REINDEX_SQL}), c AS (SELECT kind, max(job_id) AS job_id, arg_max(queue_order, job_id) AS old, least(3, count(*) - 1) AS new FROM q GROUP BY kind)
 SELECT q.job_id, q.kind, CASE WHEN q.job_id = c.job_id THEN c.new WHEN q.queue_order > c.old AND q.queue_order <= c.new THEN q.queue_order - 1 WHEN q.queue_order < c.old AND q.queue_order >= c.new THEN q.queue_order + 1 ELSE q.queue_order END AS queue_order FROM q JOIN c USING (kind)""",
-    "next_queue_order": f"WITH {JOBS_SQL} SELECT kind, coalesce(max(queue_order) + 1, 0) AS next_order FROM jobs GROUP BY 1",
+    "next_queue_order": f"WITH {JOBS_SQL} SELECT kind, coalesce(max(queue_order) FILTER (WHERE status IN ('paused', 'pending')) + 1, 0) AS next_order FROM jobs GROUP BY 1",
     "record_upgrade": f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN status IN ('processing', 'pausing') THEN 'paused' ELSE status END AS status, CASE WHEN status NOT IN ('done', 'error') THEN coalesce(queue_order, epoch_ms(created_at)) END AS queue_order, CAST(NULL AS VARCHAR) AS started_at FROM jobs""",
     "public_projection": f"WITH {JOBS_SQL} SELECT job_id, kind, status, CASE WHEN status = 'done' THEN '/api/jobs/' || job_id || '/download' END AS download_url FROM jobs",
     "active_time": """WITH e AS (SELECT user_id, ts, CASE WHEN event_id % 3 = 0 THEN 'processing' ELSE 'paused' END AS status FROM events), l AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, status)) - epoch_us(ts) AS us FROM e)

@@ -158,6 +158,25 @@ def device_lists(spark: SparkSession, d: str) -> DataFrame:
     return records.parse_devices(table(spark, d, "supplier").select(k.alias("body_id"), body.alias("body"))).select("body_id", F.size(F.get("devices", F.lit(0))["books"]).alias("n_books"), F.col("devices").isNotNull().alias("is_valid"))
 
 
+def job_domain(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    progress = F.struct(F.when(k % 31 == 0, -1).otherwise(1).alias("current"), F.lit(2).alias("total"), F.when(k % 37 != 0, "m").alias("message"))
+    job = F.struct(
+        F.when(k % 5 == 0, "a b").otherwise(k.cast("string")).alias("id"),
+        F.when(k % 7 == 0, "audio").when(k % 2 == 0, "pdf-conversion").alias("kind"),
+        F.when(k % 11 == 0, "lost").otherwise("done").alias("status"),
+        progress.alias("progress"),
+        F.lit(0).alias("checkpointBatchIndex"),
+        F.when(k % 13 != 0, "i").alias("inputFileName"),
+        F.lit("p").alias("inputFilePath"),
+        F.lit("q").alias("outputFilePath"),
+        F.when(k % 17 == 0, "yesterday").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("createdAt"),
+        F.array(F.struct(F.lit("s").alias("source"), F.when(k % 19 != 0, "t").alias("target"))).alias("glossary"),
+    )
+    body = F.when(k % 23 == 0, F.left(F.to_json(job), F.lit(40))).otherwise(F.to_json(job))
+    return records.job_problem(table(spark, d, "orders").select("o_orderkey", body.alias("body"))).select("o_orderkey", "problem")
+
+
 def checkpoint_problems(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 == 1, 0).otherwise(F.col("line_no")).alias("item_id"), F.when((F.col("doc_id") % 7 == 2) & (F.col("line_no") == 0), " ").otherwise(F.col("text")).alias("text"))
     expected = _docs(spark, d).select("doc_id", (F.col("doc_id") % 2).alias("done"))
@@ -335,7 +354,7 @@ def usage_reports(spark: SparkSession, d: str) -> DataFrame:
     return budget.usage_report(_usage(spark, d).select(F.col("user_id").alias("id"), F.col("event_type").alias("model"), "requests", "input_bound", "output_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, book_chapters, simple_books, outline_rows, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
+QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, job_domain, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, book_chapters, simple_books, outline_rows, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
 JS_SPACES = f"[{SPACE}]+"
 PART_ROWS = "x AS (SELECT *, floor(p_partkey / 15) AS q, row_number() OVER (PARTITION BY floor(p_partkey / 15) ORDER BY p_partkey) - 1 AS n FROM part)"
 DAY_IN_MONTH = "try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 32 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL"
@@ -369,6 +388,7 @@ SELECT o_orderkey, o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0 AND (o_orderkey
     "metadata_domain": f"""SELECT s_suppkey, trim(s_name, {TRIM}) AS title, 'A|' || s_suppkey AS authors, 'es' AS language, 'p' AS publisher, 'd' AS description FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 7 <> 0""",
     "ledger_domain": """SELECT DISTINCT user_id, user_id % 13 <> 0 AND user_id % 7 <> 0 AND user_id % 11 <> 0 AND user_id % 5 <> 0 AS is_valid, user_id % 7 <> 0 AND user_id % 11 <> 0 AS is_key FROM events""",
     "device_lists": """WITH k AS (SELECT s_suppkey AS k, s_suppkey % 11 <> 0 AND (s_suppkey % 4 = 0 OR (s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0)) AS ok FROM supplier) SELECT k AS body_id, CASE WHEN ok THEN CAST(k % 4 AS INT) END AS n_books, ok AS is_valid FROM k""",
+    "job_domain": """SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN 'unreadable' WHEN o_orderkey % 5 = 0 THEN 'id' WHEN o_orderkey % 7 = 0 THEN 'kind' WHEN o_orderkey % 11 = 0 THEN 'status' WHEN o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 THEN 'progress' WHEN o_orderkey % 13 = 0 THEN 'files' WHEN o_orderkey % 17 = 0 THEN 'times' WHEN o_orderkey % 19 = 0 THEN 'lists' END AS problem FROM orders""",
     "checkpoint_problems": f"""WITH {LINES_SQL}, c AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
 SELECT d.doc_id, d.doc_id % 2 AS done, CASE WHEN d.doc_id % 3 = 0 OR n IS NULL THEN CASE WHEN d.doc_id % 2 > 0 THEN 'missing' END WHEN d.doc_id % 5 = 1 AND n > 1 THEN 'repeated ids' WHEN d.doc_id % 7 = 2 THEN 'blank texts' END AS problem FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""",
     "sample_preview": f"""WITH e AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS doc_id, doc_id % 5 AS entry_no, list_filter(list_transform(string_split(text, chr(10)), lambda z: trim(regexp_replace(z, '{JS_SPACES}', ' ', 'g'), {TRIM})), lambda z: z <> '') AS nodes FROM documents WHERE doc_id % 5 IN (1, 3)),
