@@ -97,7 +97,7 @@ def _filter_bits(seeds: DataFrame) -> np.ndarray:
     slots = seeds.select(F.explode(F.array(*[F.pmod(F.shiftright("h", p), F.lit(size)) for p in PROBES])).alias("s")).select((F.col("s") + 1).alias("s"))
     bits = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     mask = np.zeros(size // 8, np.uint8)
-    for r in bits.toLocalIterator():  # at most 1024 rows of 4 KB
+    for r in bits.collect():  # at most 1024 rows of 4 KB
         mask[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[:4096]
     return mask
 

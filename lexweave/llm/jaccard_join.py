@@ -136,7 +136,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     slot = lambda c: (F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1).cast("long")
     bits = wanted.select(slot("rep").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     mask = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4 KB
+    for r in bits.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
         at = (r["b"] - 1) * 4096
         mask[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[:4096]
 
@@ -188,7 +188,7 @@ def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFr
     need = (F.col("nu") + F.col("nv")) * F.lit(percent)  # at most (100 + percent) * common
     pairs = pairs.join(t1, "u").join(t2, "v").where(_alike(percent, "u", "v"))
     pairs = materialize(pairs.where((seen + beyond) * F.lit(100 + percent) >= need).select("u", "v"))
-    wanted = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct().join(classes.select("rep", "k1"), "rep")
+    wanted = materialize(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct().join(classes.select("rep", "k1"), "rep"))
     sets = materialize(sets_of(docs, wanted, size))
     left = sets.select(F.col("rep").alias("u"), F.col("tokens").alias("tu"))
     right = sets.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
@@ -196,7 +196,7 @@ def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFr
     common = F.size(F.array_intersect("tu", "tv"))
     both = both.select("u", "v", common.cast("long").alias("i"), (F.size("tu").cast("long") + F.size("tv")).alias("s"))
     out = materialize(both.where(f"100 * i >= {percent} * (s - i)").select("u", "v"))
-    release(pairs, sets)
+    release(pairs, sets, wanted)
     return out
 
 
@@ -231,8 +231,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     per = per.join(classes.select("rep", *[F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(SLOTS)]), "rep")
     per = materialize(per.withColumn("g", F.xxhash64("toks", "n")))
     groups = per.groupBy("g", "n").agg(F.min("rep").alias("gid"))
-    members = per.select("rep", "n", "g").join(groups, ["g", "n"]).select("rep", "n", "gid")
-    index = per.join(groups.select(F.col("gid").alias("rep"), "n"), ["rep", "n"]).select(F.inline("places"), F.col("rep").alias("gid"), "n")
+    members = materialize(per.select("rep", "n", "g").join(groups, ["g", "n"]).select("rep", "n", "gid"))
+    index = per.join(members.where("rep = gid").select("rep"), "rep", "left_semi").select(F.inline("places"), F.col("rep").alias("gid"), "n")
     index = index.withColumn("label", F.lit(None).cast("long"))
 
     # first passes: each shingle has its own pivot in each size band, and each group a few, drawn by hash, so members of a

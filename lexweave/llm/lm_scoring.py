@@ -338,7 +338,7 @@ def _train_round(docs: DataFrame, model: Model, rate: float, batch: int) -> None
     steps = int(np.ceil(np.sqrt(docs.rdd.getNumPartitions())))  # sums of a block before the last
     parts = docs.mapInArrow(run, schema).repartition("level", "block", "step").mapInArrow(mean, schema)
     made = materialize(parts.repartition("level", "block").mapInArrow(mean, schema))
-    for r in made.toLocalIterator():  # the weights, of bounded size
+    for r in made.collect():  # the weights, of bounded size
         rows, change, _ = unpacked(r["rows"], r["w"], r["visits"])
         if r["level"] == 3:
             model.bias = model.bias + change[0].astype(np.float32)
