@@ -296,7 +296,7 @@ def open_categories(spark: SparkSession, d: str) -> DataFrame:
 
 def category_lists(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split("text", " "), lambda w: F.length(w) == 3)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(selection.distinct_categories(words), " ").alias("distinct"), selection.longest(F.split("text", " ")).alias("longest"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(selection.distinct_categories(words), " ").alias("names"), selection.longest(F.split("text", " ")).alias("longest"))
 
 
 def shelf_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -425,7 +425,7 @@ SELECT CAST(conv_id AS VARCHAR) AS archive, 'OEBPS/sections/chapter-' || (s + 1)
 SELECT k AS o_orderkey, array_to_string({_LISTED("CASE WHEN list_contains(c, k % 4) THEN list_filter(c, lambda z: z <> k % 4) ELSE list_append(c, k % 4) END")}, ',') AS one, array_to_string({_LISTED("CASE WHEN list_has_all(c, s) THEN list_filter(c, lambda z: NOT list_contains(s, z)) ELSE list_distinct(list_concat(c, s)) END")}, ',') AS several FROM k""",
     "open_categories": """WITH c AS (SELECT DISTINCT upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS category FROM customer UNION ALL SELECT 'FICCION' UNION ALL SELECT 'Poesía') SELECT c_custkey AS id, category FROM customer, c WHERE lower(category) <> lower(c_mktsegment) AND category <> 'FICCION'""",
     "category_lists": """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), t AS (SELECT *, list_filter(w, lambda z: length(z) = 3) AS c FROM w)
-SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(c, lambda z, i: [z, CAST(i AS VARCHAR)]), lambda p: list_position(list_transform(c, lambda y: lower(y)), lower(p[1])) = CAST(p[2] AS INT)), lambda p: list_last(list_filter(c, lambda y: lower(y) = lower(p[1])))), ' ') AS "distinct", list_reduce(w, lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS longest FROM t""",
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(c, lambda z, i: [z, CAST(i AS VARCHAR)]), lambda p: list_position(list_transform(c, lambda y: lower(y)), lower(p[1])) = CAST(p[2] AS INT)), lambda p: list_last(list_filter(c, lambda y: lower(y) = lower(p[1])))), ' ') AS names, list_reduce(w, lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS longest FROM t""",
     "shelf_rows": """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), a AS (SELECT o_custkey, coalesce(min(n) FILTER (WHERE o_orderkey % 9 = 4), 1) AS a FROM o GROUP BY 1) SELECT o_custkey, o_orderkey FROM o JOIN a USING (o_custkey) WHERE n BETWEEN a - 4 AND a + 4""",
     "manifest_stores": f"""SELECT {_PICK(("jobs", "books", "other", "log"), "p_partkey % 4")} || '/' || p_partkey AS path, CASE p_partkey % 4 WHEN 2 THEN 'unknown store' WHEN 3 THEN 'undeclared store' END AS problem FROM part""",
     "newest_books": "SELECT o_orderkey, o_orderdate FROM orders",
