@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexweave.session import materialize, release, table
 
-__all__ = ["drawn", "free_names", "hash_shingles", "hash_words", "materialize", "mix64", "release", "table", "text_slices", "top_counts", "unique_sorted"]
+__all__ = ["bit_filter", "drawn", "free_names", "hash_shingles", "hash_words", "materialize", "mix64", "passing", "release", "table", "text_slices", "top_counts", "unique_sorted"]
 
 SLICE_BYTES = 1 << 20
 
@@ -66,6 +66,25 @@ def top_counts(counts: DataFrame, limit: int) -> pa.Table:
 # ---------------------------------------------------------------- batching
 
 
+FILTER_BITS = 1 << 25
+
+
+def bit_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size (4 MB) over a column of 64-bit hashes, for :func:`passing`."""
+    slot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    bits = df.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    mask = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits.collect():  # at most 1024 rows of 4 KB
+        mask[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[:4096]
+    return mask
+
+
+def passing(mask: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets pass: all that it was made of, few others."""
+    s = hashes.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (mask[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of at most ``limit`` bytes of text (or one longer row), nulls read as empty."""
     for batch in batches:
@@ -111,24 +130,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    if "bytes" not in _STATE:
+def _byte_tables(terms: bool) -> tuple[np.ndarray, np.ndarray]:
+    if ("bytes", terms) not in _STATE:
         codes = np.arange(256)
         lower = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        if terms:
+            gap = (codes < 128) & ~((codes >= 48) & (codes <= 57) | (lower >= 97) & (lower <= 122))
+        else:
+            gap = (codes == 32) | ((codes >= 9) & (codes <= 13))
         value = mix64((lower + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        value[space] = 0
-        _STATE["bytes"] = (value, space)
-    return _STATE["bytes"]
+        value[gap] = 0
+        _STATE["bytes", terms] = (value, gap)
+    return _STATE["bytes", terms]
 
 
-def hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of ``texts`` in order, and each text's first index into them (length n + 1)."""
+def hash_words(texts: list[str], terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of ``texts`` in order, and each text's first index into them (length n + 1).
+
+    With ``terms``, of runs of letters and digits: ASCII ones and all characters beyond ASCII.
+    """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     first = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=first[1:])
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    value, space = _byte_tables()
+    value, space = _byte_tables(terms)
     power, inverse = _powers(len(data) + 1)
     gap = space[data]
     edge = np.flatnonzero(np.diff(gap, prepend=True))  # word starts and ends in turn: the data ends with a space

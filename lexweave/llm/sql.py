@@ -65,4 +65,16 @@ r AS (SELECT u, v FROM ties UNION SELECT r.u, b.v FROM r JOIN ties b ON r.v = b.
 c AS (SELECT u, min(v) AS m FROM r GROUP BY u)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id FROM n LEFT JOIN c ON c.u = n.doc_id"""
 
-ORACLE_SQL = {"op2_url_aliases": URL_ALIASES, "op7_secret_ledger": SECRETS, "op10_ngram_jaccard": JACCARD}
+LEXICAL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+e AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+f AS (SELECT t, count(*) AS df FROM e GROUP BY t),
+i AS (SELECT e.rid, c.doc_id, e.t, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nt)) AS impact FROM e JOIN c USING (rid), g),
+v AS (SELECT t, CAST(floor(1000 * ln((2.0 * nd + 2) / (2.0 * df + 1))) AS BIGINT) AS weight FROM f, g),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(weight * impact) AS BIGINT) AS score FROM q JOIN v USING (t) JOIN i USING (t) GROUP BY item_id, rid, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
+ORACLE_SQL = {"op2_url_aliases": URL_ALIASES, "op7_secret_ledger": SECRETS, "op10_ngram_jaccard": JACCARD, "op12_tiered_search": LEXICAL}
