@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import ann, decontam, jaccard_join, lexical, line_dedup, lm_scoring, mixing, packing, quality, secret_scan, substring_dedup, url_filters
+from lexweave.llm import ann, decontam, hard_negatives, jaccard_join, lexical, line_dedup, lm_scoring, mixing, packing, quality, secret_scan, substring_dedup, url_filters
 from lexweave.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_decontamination": decontam.query,
     "op9_multiprobe_ann": ann.query,
     "op10_ngram_jaccard": jaccard_join.query,
+    "op11_vantage_negatives": hard_negatives.query,
     "op12_tiered_search": lexical.query,
     "op13_pivotal_mix": mixing.query,
 }

@@ -48,7 +48,8 @@ def test_targets_are_met_and_copies_are_whole(spark):
         if x.size:
             assert x.taken % x.size == 0 and int(copies) <= x.taken // x.size <= min(2, int(copies) + 1)
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 0.002 * want[s], (s, taken[s], want[s])
+        largest = max(x.size for x in out if source[x.doc_id] == s)
+        assert abs(taken[s] - want[s]) <= min(largest / 2, 0.02 * want[s]), (s, taken[s], want[s])
     again = {x.doc_id: x.taken for x in run(spark, list(reversed(rows)))}
     assert again == {x.doc_id: x.taken for x in out}
 
@@ -71,7 +72,7 @@ def test_a_very_large_document_costs_half_of_it_at_most(spark):
     out = run(spark, rows)
     for s in ("a", "b"):
         own = [x for x in out if (rows[x.doc_id][1] == s)]
-        assert abs(sum(x.taken for x in own) - own[0].target) <= (5000 if s == "a" else 5)
+        assert abs(sum(x.taken for x in own) - own[0].target) <= (5000 if s == "a" else 25)
 
 
 def test_odd_rows(spark):
