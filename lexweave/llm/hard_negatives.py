@@ -347,7 +347,7 @@ def mine(
         pairs = near.where("score >= 0").select(F.col("qid").alias("anchor_id"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
         windows = materialize(pairs.join(anchors, "anchor_id").withColumn("qid", F.monotonically_increasing_id()))
         # 100 n >= percent * p: the least whole n
-        least = F.expr(f"(positive_score * {percent} + 99) div 100")
+        least = F.expr(f"(positive_score div 100) * {percent} + (positive_score % 100 * {percent} + 99) div 100")
         asked = windows.select("qid", "anchor_id", "x", "label", F.lit(False).alias("same"), least.alias("low"), F.col("positive_score").alias("high"))
         far = _placed(index.search(asked, negatives), negatives)
         found = far.join(windows.select("qid", "anchor_id", "positive_id", "positive_score"), "qid")

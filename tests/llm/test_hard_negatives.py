@@ -49,7 +49,7 @@ def test_numbers_beyond_exact_doubles(spark):
 
 def test_odd_rows(spark):
     one = [0.5, 1.0]
-    rows = [(0, one, 1), (20, one, 1), (7, one, 1), (3, [0.0, 0.0], 2), (4, None, 2), (5, [None, 1.0], 2), (6, [float("nan"), 1.0], 2), (8, [1.0], 2), (9, [0.5, 0.9], 2), (None, one, 2), (9, [0.5, 0.9], 2), (10, one, None), (11, [], 2), (12, [float("inf"), 0.0], 2), (13, one, 2), (14, [0.5, 0.99], 2), (40, [2.0], 2), (41, [1.9], 3), (60, [-1.0, 0.0, 1.0], 1)]
+    rows = [(0, one, 1), (20, one, 1), (7, one, 1), (3, [0.0, 0.0], 2), (4, None, 2), (5, [None, 1.0], 2), (6, [float("nan"), 1.0], 2), (8, [1.0], 2), (9, [0.5, 0.9], 2), (None, one, 2), (9, [0.5, 0.9], 2), (10, one, None), (11, [], 2), (12, [float("inf"), 0.0], 2), (13, one, 2), (14, [0.5, 0.99], 2), (40, [2.0], 2), (41, [0.9], 3), (60, [-1.0, 0.0, 1.0], 1)]
     want = brute(rows, 20)
     assert run(spark, rows, 20) == want and {x[0] for x in want} == {0, 20, 40}
     assert run(spark, [], 20) == set() and run(spark, rows[:1], 20) == set()
