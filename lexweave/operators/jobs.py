@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.operators.order import numbered
+from lexweave.operators.order import numbered, parted
+from lexweave.operators.records import JOB_STATES, KINDS
 
 LAST = 9007199254740991
 
@@ -16,7 +17,7 @@ LAST = 9007199254740991
 def list_priority(kind: Column, status: Column) -> Column:
     """Translations come first: 0 processing, 1 pausing, 2 paused or pending; then the other kinds: 3, 4, 5; finished jobs 6."""
     step = F.when(status == "processing", 0).when(status == "pausing", 1).when(status.isin("paused", "pending"), 2)
-    return F.coalesce(step + F.when(kind == "translation", 0).otherwise(3), F.lit(6))
+    return F.coalesce(step + F.when(kind == KINDS[0], 0).otherwise(3), F.lit(6))
 
 
 def list_order(jobs: DataFrame) -> DataFrame:
@@ -51,18 +52,29 @@ def next_queue_order(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("kind").agg(F.coalesce(F.max(queued) + 1, F.lit(0)).alias("next_order"))
 
 
+# What a job says after a restart, while it waits, and when it waits for nothing but its file.
+RESTARTED, QUEUED, READY = "Pausada tras reiniciar el servidor", "En cola", "Preparado para generar EPUB"
+
+
 def upgrade_records(records: DataFrame) -> DataFrame:
-    """Records as found after a restart: what was running is paused; what isn't finished waits in order of its creation if it had no
-    place, and finished jobs have none; no timer runs. Fields that older records lack get their defaults."""
+    """Records as found after a restart: what was running is paused and says so; what isn't finished waits in order of its creation if it
+    had no place, and finished jobs have none; no timer runs. Fields that older records lack get their defaults.
+
+    Columns are those of :func:`lexweave.sources.files.job_records`; of those with a default any may be missing.
+    """
     interrupted = F.col("status").isin("processing", "pausing")
     waits = F.col("status").isin("pending", "processing", "pausing", "paused")
+    created = F.col("created_at").cast("timestamp")
     new = {
-        "queue_order": F.when(waits, F.coalesce("queue_order", F.unix_millis(F.col("created_at").cast("timestamp")))),
+        "queue_order": F.when(waits, F.coalesce(F.col("queue_order").cast("double"), F.unix_millis(created).cast("double"))),
         "started_at": F.lit(None).cast(records.schema["started_at"].dataType),
         "status": F.when(interrupted, "paused").otherwise(F.col("status")),
-        "kind": F.coalesce("kind", F.lit("translation")),
+        "kind": F.coalesce("kind", F.lit(KINDS[0])),
     }
-    defaults = {"elapsed_ms": F.lit(0), "archived": F.lit(False), "last_progress_at": F.col("created_at")}
+    if "progress" in records.columns:
+        new["progress"] = F.when(interrupted, F.col("progress").withField("message", F.lit(RESTARTED))).otherwise(F.col("progress"))
+    text_list, terms = F.array().cast("array<string>"), F.array().cast("array<struct<source:string,target:string,type:string>>")
+    defaults = {"elapsed_ms": F.lit(0), "archived": F.lit(False), "last_progress_at": F.col("created_at"), "completed_chapters": text_list, "glossary": terms, "translation_memory": F.create_map().cast("map<string,string>")}
     new |= {c: F.coalesce(c, d) for c, d in defaults.items() if c in records.columns}
     return records.withColumns(new)
 
@@ -99,28 +111,92 @@ def replay(events: Column) -> Column:
     return F.aggregate(events, F.lit("pending"), lambda s, e: F.coalesce(F.try_element_at(table, F.concat_ws(":", s, e)), s))
 
 
-def replay_events(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
-    """``events`` with ``status``, the key's status after each: sorted by Spark and streamed through the transitions, one status held."""
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+_AT = {s: i for i, s in enumerate(JOB_STATES)}
+_SAME = tuple(range(len(JOB_STATES)))
+
+
+def _packed(step: tuple[int, ...]) -> int:
+    """Where each of the states leads, in one number: three bits for each."""
+    return sum(to << 3 * i for i, to in enumerate(step))
+
+
+def transition_maps(events: DataFrame, key: str, order: list[str], event: str, parts: int | None = None) -> DataFrame:
+    """``events`` with ``_part``, ``_own``, ``_run`` and ``_map``: the composed transitions of a key's events in a part so far, and the key's
+    number among those of the part. What an event does doesn't depend on the status before, so parts are read side by side."""
+    steps = {e: tuple(_AT[TRANSITIONS.get((s, e), s)] for s in JOB_STATES) for _, e in TRANSITIONS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, status = object(), "pending"
+        last, now, runs = object(), _SAME, -1
         for b in batches:
-            out = []
+            maps, numbers = [], []
             for k, e in zip(b.column(key).to_pylist(), b.column(event).to_pylist(), strict=True):
-                last, status = (last, status) if k == last else (k, "pending")
-                status = TRANSITIONS.get((status, e), status)
-                out.append(status)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "status"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", status string"
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+                if k != last:
+                    last, now, runs = k, _SAME, runs + 1
+                if e in steps:
+                    step = steps[e]
+                    now = tuple(step[to] for to in now)
+                maps.append(_packed(now))
+                numbers.append(runs)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maps, pa.int32()), pa.array(numbers, pa.int64())], names=[*b.schema.names, "_map", "_run"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", _map int, _run long"
+    return parted(events, F.col(key), *[F.col(c) for c in order], parts=parts, then=lambda df: df.mapInArrow(run, schema))
+
+
+def replay_events(events: DataFrame, key: str, order: list[str], event: str, parts: int | None = None) -> DataFrame:
+    """``events`` with ``status``, the key's status after each.
+
+    Events are dealt by range of key and order, so a key with most of them is many parts. Each part composes transitions without
+    knowing the status it begins with; the parts' last maps (one row for each part) then give that status, and a look-up finishes.
+    """
+    placed = transition_maps(events, key, order, event, parts)
+    ends = placed.groupBy("_part").agg(F.min_by(key, "_own").alias("first"), F.max_by(key, "_own").alias("last"), F.max("_run").alias("runs"), F.max_by("_map", "_own").alias("map"))
+    state, before, begins = 0, None, []
+    for r in ends.orderBy("_part").collect():  # a row for each part
+        begin = state if before is not None and before == (r["first"],) else 0
+        begins.append((r["_part"], begin))
+        state, before = r["map"] >> 3 * (begin if r["runs"] == 0 else 0) & 7, (r["last"],)
+    known = events.sparkSession.createDataFrame(begins, "_part long, _begin int")
+    begin = F.when(F.col("_run") == 0, F.col("_begin")).otherwise(F.lit(0))
+    names = F.array(*[F.lit(s) for s in JOB_STATES])
+    status = F.get(names, F.call_function("shiftright", F.col("_map"), begin * 3).bitwiseAND(F.lit(7)))
+    return placed.join(F.broadcast(known), "_part").select(*events.columns, status.alias("status"))  # a row for each part
 
 
 def pause_active(jobs: DataFrame) -> DataFrame:
+    """What runs is asked to stop, what waits is paused at once."""
     return jobs.withColumn("status", F.when(F.col("status") == "processing", "pausing").when(F.col("status") == "pending", "paused").otherwise(F.col("status")))
 
 
+def archive_completed(jobs: DataFrame) -> DataFrame:
+    """Finished jobs go to the archive; others, and those that are there, stay as they are."""
+    return jobs.withColumn("archived", F.coalesce("archived", F.lit(False)) | (F.col("status") == "done"))
+
+
+def set_archived(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """``jobs`` after ``changes(job_id, archived)``, with ``outcome``: changed, not-ready (only finished jobs can be) or null."""
+    joined = jobs.join(changes.select("job_id", F.col("archived").alias("_to")), "job_id", "left")
+    ready = F.col("status") == "done"
+    outcome = F.when(F.col("_to").isNotNull(), F.when(ready, "changed").otherwise("not-ready"))
+    return joined.withColumn("outcome", outcome).withColumn("archived", F.when(F.col("outcome") == "changed", F.col("_to")).otherwise(F.col("archived"))).drop("_to")
+
+
+def delete_completed(jobs: DataFrame) -> DataFrame:
+    """What is left when finished jobs are deleted."""
+    return jobs.where(~F.coalesce(F.col("status") == "done", F.lit(False)))
+
+
+def start_order(jobs: DataFrame) -> DataFrame:
+    """Waiting jobs of each kind that may start, with ``place`` (0: next), in the queue's order. A paused job blocks all behind it, and a
+    running one (or one that is stopping) its whole kind: each kind has one worker."""
+    busy = jobs.where("status in ('processing', 'pausing')").select(F.col("kind").alias("_k")).distinct()
+    queue = reindex_queue(jobs)
+    block = queue.where("status = 'paused'").groupBy(F.col("kind").alias("_p")).agg(F.min("queue_order").alias("_at"))
+    open_ = queue.join(F.broadcast(busy), F.col("kind") == F.col("_k"), "left_anti").join(F.broadcast(block), F.col("kind") == F.col("_p"), "left")  # a row for each kind
+    return open_.where("status = 'pending' and (_at is null or queue_order < _at)").withColumn("place", F.col("queue_order")).select(*jobs.columns, "place")
+
+
 def queue_message(jobs: DataFrame) -> DataFrame:
-    ready = (F.col("kind") == "translation") & (F.col("total") > 0) & (F.col("current") >= F.col("total"))
-    return jobs.withColumn("message", F.when(F.col("status") == "pending", F.when(ready, "ready to build").otherwise("queued")))
+    """``jobs(kind, status, total, checkpoint)`` with ``message``: what a waiting job says; null for others."""
+    ready = (F.col("kind") == KINDS[0]) & (F.col("total") > 0) & (F.col("checkpoint") >= F.col("total"))
+    return jobs.withColumn("message", F.when(F.col("status") == "pending", F.when(ready, READY).otherwise(QUEUED)))

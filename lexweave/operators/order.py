@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from lexweave.session import materialize
 
 
+def parted(df: DataFrame, *keys: Column, parts: int | None = None, then=None) -> DataFrame:
+    """``df`` dealt by range of ``keys``, sorted, passed through ``then`` and written, with ``_part`` and ``_own`` (its place in the part).
+
+    Keys that order all rows part a key with most of them as well.
+    """
+    dealt = (df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    own = F.monotonically_increasing_id()
+    return materialize((then(dealt) if then else dealt).withColumns({"_part": F.shiftright(own, 33), "_own": own.bitwiseAND(F.lit((1 << 33) - 1))}))
+
+
 def numbered(df: DataFrame, name: str, *order: Column, within: str | None = None) -> DataFrame:
     """``df`` with ``name``: 0, 1, ... in ``order``, from 0 in each value of ``within``.
 
@@ -15,9 +25,7 @@ def numbered(df: DataFrame, name: str, *order: Column, within: str | None = None
     once, as ranges come from a sample. Only the counts (one row per partition) meet in one task.
     """
     keys = [F.col(within).asc_nulls_first(), *order] if within else list(order)
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    own = F.monotonically_increasing_id()
-    placed = materialize(dealt.withColumns({"_part": F.shiftright(own, 33), "_own": own.bitwiseAND(F.lit((1 << 33) - 1))}))
+    placed = parted(df, *keys)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     out = placed.join(before, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")

@@ -109,6 +109,10 @@ def job_problem(bodies: DataFrame) -> DataFrame:
     whole = lambda c: F.coalesce((c >= 0) & (c == F.floor(c)), F.lit(False))
     moment = lambda c: F.try_to_timestamp(c).isNotNull()
     c = {n.split()[0]: F.col(f"_j.{n.split()[0]}") for n in JOB.split(", ")}
+    # null is a value of these fields, and absent isn't
+    raw = lambda name: F.try_variant_get(F.try_parse_json(F.col("body")), f"$.{name}", "variant")
+    given = lambda name: raw(name).isNotNull()
+    is_null = lambda name: F.coalesce(F.is_variant_null(raw(name)), F.lit(False))
     texts = c["inputFileName"].isNotNull() & c["inputFilePath"].isNotNull() & c["outputFilePath"].isNotNull()
     terms = F.forall(F.coalesce(c["glossary"], F.array().cast("array<struct<source:string,target:string,type:string>>")), lambda g: g["source"].isNotNull() & g["target"].isNotNull() & (g["type"].isNull() | g["type"].isin("name", "place", "term", "title")))
     dates = F.forall(F.array_compact(F.array(c["startedAt"], c["completedAt"], c["lastProgressAt"])), moment)
@@ -117,12 +121,13 @@ def job_problem(bodies: DataFrame) -> DataFrame:
     problem = F.coalesce(
         F.when(F.col("_j").isNull() | F.col("_j._broken").isNotNull(), "unreadable"),
         wrong(c["id"].rlike(r"\A[a-zA-Z0-9_-]{1,240}\z"), "id"),
-        wrong(c["kind"].isNull() | c["kind"].isin(*KINDS), "kind"),
+        wrong((c["kind"].isNull() | c["kind"].isin(*KINDS)) & ~is_null("kind"), "kind"),
         wrong(c["status"].isin(*JOB_STATES), "status"),
         wrong(whole(c["progress"]["current"]) & whole(c["progress"]["total"]) & c["progress"]["message"].isNotNull() & whole(c["checkpointBatchIndex"]), "progress"),
-        wrong(texts, "files"),
-        wrong(moment(c["createdAt"]) & dates & (c["elapsedMs"].isNull() | (c["elapsedMs"] >= 0)), "times"),
-        wrong(terms & lists, "lists"),
+        wrong(texts & given("outputFileName") & given("error"), "files"),
+        wrong(moment(c["createdAt"]) & dates & (c["elapsedMs"].isNull() | (c["elapsedMs"] >= 0)) & ~is_null("elapsedMs"), "times"),
+        wrong(terms & lists & ~is_null("glossary") & ~is_null("completedChapters") & ~is_null("translationMemory"), "lists"),
+        wrong(~is_null("archived"), "archived"),
     )
     return bodies.withColumn("_j", j).withColumn("problem", problem).drop("_j")
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators import archive, budget, catalog, jobs, layout, readinglog
 from lexweave.session import forget_later, shared_dir, table
+from lexweave.sources.files import job_rows
 from lexweave.streaming.stateful import admit_stream, job_states
 
 
@@ -75,14 +76,14 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("job_id"),
         (F.col("o_custkey") % 100).alias("bucket"),
-        F.when(F.col("o_custkey") % 2 == 0, "translation").otherwise("pdf").alias("kind"),
+        F.when(F.col("o_custkey") % 2 == 0, "epub-translation").otherwise("pdf-conversion").alias("kind"),
         status.alias("status"),
         F.nullif(F.col("o_orderkey") % 7, F.lit(0)).alias("queue_order"),
         F.col("o_orderdate").alias("created_at"),
     )
 
 
-JOBS_SQL = """jobs AS (SELECT o_orderkey AS job_id, o_custkey % 100 AS bucket, CASE WHEN o_custkey % 2 = 0 THEN 'translation' ELSE 'pdf' END AS kind,
+JOBS_SQL = """jobs AS (SELECT o_orderkey AS job_id, o_custkey % 100 AS bucket, CASE WHEN o_custkey % 2 = 0 THEN 'epub-translation' ELSE 'pdf-conversion' END AS kind,
   (['pending', 'processing', 'pausing', 'paused', 'done', 'error'])[CAST(o_orderkey % 6 + 1 AS INT)] AS status, nullif(o_orderkey % 7, 0) AS queue_order, o_orderdate AS created_at FROM orders)"""
 
 
@@ -108,6 +109,54 @@ def record_upgrade(spark: SparkSession, d: str) -> DataFrame:
     return jobs.upgrade_records(r).select("job_id", "status", "queue_order", "started_at")
 
 
+def with_nulls(body: Column, *names: str) -> Column:
+    """An object's JSON with null fields before its own."""
+    return F.concat(F.lit("{" + "".join(f'"{n}":null,' for n in names)), F.substring(body, 2, 1 << 30))
+
+
+def stored_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Stored records, some of them old or broken, read, brought up to date after a restart, and listed."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "pausing", "paused", "done", "error"))), (k % 6 + 1).cast("int"))
+    moment = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    job = F.struct(
+        k.cast("string").alias("id"),
+        F.when(k % 13 == 0, "translation").when(k % 3 == 0, "epub-translation").when(k % 3 == 1, "pdf-conversion").alias("kind"),
+        status.alias("status"),
+        F.struct((k % 4).alias("current"), F.lit(3).alias("total"), F.lit("m").alias("message")).alias("progress"),
+        (k % 5).alias("checkpointBatchIndex"),
+        F.lit("i.epub").alias("inputFileName"),
+        F.lit("p").alias("inputFilePath"),
+        F.when(k % 17 != 0, "q").alias("outputFilePath"),
+        moment.alias("createdAt"),
+        F.when(k % 2 == 0, moment).alias("startedAt"),
+        F.when(k % 7 != 0, k % 7).alias("queueOrder"),
+    )
+    bodies = table(spark, d, "orders").select(F.when(k % 19 == 0, "{").otherwise(with_nulls(F.to_json(job), "outputFileName", "error")).alias("body"))
+    sound, _ = job_rows(bodies)
+    restarted = jobs.upgrade_records(sound)
+    told = jobs.queue_message(jobs.list_order(restarted).withColumn("total", F.col("progress.total")))
+    return told.select("job_id", "kind", "status", F.coalesce("message", "progress.message").alias("message"), "queue_order", F.col("started_at").cast("string").alias("started_at"), "archived", F.size("glossary").alias("n_terms"), "position")
+
+
+def bulk_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs after waiting and running ones are paused, finished ones archived, and some taken out of the archive again."""
+    k = F.col("job_id")
+    j = _jobs(spark, d).withColumn("archived", F.when(k % 5 == 0, True))
+    changes = j.where("job_id % 4 = 0").select("job_id", F.lit(False).alias("archived"))
+    return jobs.set_archived(jobs.archive_completed(jobs.pause_active(j)), changes).select("job_id", "status", "archived", "outcome")
+
+
+def start_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each bucket of customers as a queue of its own: what may start behind paused and running jobs."""
+    j = _jobs(spark, d).withColumn("kind", F.concat("kind", F.lit("-"), F.col("bucket").cast("string"))).where("job_id % 64 < 16 and status not in ('processing', 'pausing') or job_id % 1024 < 4")
+    return jobs.start_order(j).select("job_id", "kind", "place")
+
+
+def left_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.delete_completed(_jobs(spark, d)).groupBy("kind", "status").agg(F.count("*").alias("n_jobs"))
+
+
 def public_projection(spark: SparkSession, d: str) -> DataFrame:
     return jobs.public_view(_jobs(spark, d)).drop("created_at")
 
@@ -278,7 +327,7 @@ def page_batches(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_batches(pages, pages.where("(doc_id + page) % 3 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (reading_months, year_list, monthly_activity, status_counts, reading_filter, status_change, latest_rows, reading_dates, job_listing, queue_reindex, queue_move, next_queue_order, record_upgrade, public_projection, active_time, job_replay, budget_ledger, ledger_merge, budget_admission, stream_budget, stream_job_states, manifest_verify, archive_limits, locale_sort, contiguous_prefix, json_shred, catalog_merge, catalog_interleave, page_batches)}
+QUERIES = {f.__name__: f for f in (reading_months, year_list, monthly_activity, status_counts, reading_filter, status_change, latest_rows, reading_dates, job_listing, queue_reindex, queue_move, next_queue_order, record_upgrade, stored_jobs, bulk_updates, start_order, left_after_delete, public_projection, active_time, job_replay, budget_ledger, ledger_merge, budget_admission, stream_budget, stream_job_states, manifest_verify, archive_limits, locale_sort, contiguous_prefix, json_shred, catalog_merge, catalog_interleave, page_batches)}
 
 REINDEX_SQL = "SELECT job_id, kind, row_number() OVER (PARTITION BY kind ORDER BY coalesce(queue_order, 0), created_at, job_id) - 1 AS queue_order FROM jobs WHERE status IN ('paused', 'pending')"
 
@@ -293,13 +342,24 @@ SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'read' ELSE 'read
 CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN NULL WHEN id % 3 = 0 AND id % 2 = 0 AND finished_at IS NULL THEN '2026-01-01' ELSE finished_at END AS finished_at FROM b""",
     "latest_rows": "WITH l AS (SELECT l_orderkey AS id, l_linenumber AS version, max(l_quantity) AS value, l_linenumber = 4 AS is_deleted FROM lineitem GROUP BY 1, 2, 4), x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS n FROM l) SELECT id, version, value, is_deleted FROM x WHERE n = 1 AND NOT is_deleted",
     "reading_dates": "SELECT o_orderkey, try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AND CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN o_orderkey % 26 < 24 WHEN 4 THEN o_orderkey % 26 < 24 ELSE false END AS is_valid FROM orders",
-    "job_listing": f"""WITH {JOBS_SQL}, p AS (SELECT *, status IN ('paused', 'pending') AS queued, CASE status WHEN 'processing' THEN 0 WHEN 'pausing' THEN 1 WHEN 'paused' THEN 2 WHEN 'pending' THEN 2 END + CASE WHEN kind = 'translation' THEN 0 ELSE 3 END AS pr FROM jobs)
+    "job_listing": f"""WITH {JOBS_SQL}, p AS (SELECT *, status IN ('paused', 'pending') AS queued, CASE status WHEN 'processing' THEN 0 WHEN 'pausing' THEN 1 WHEN 'paused' THEN 2 WHEN 'pending' THEN 2 END + CASE WHEN kind = 'epub-translation' THEN 0 ELSE 3 END AS pr FROM jobs)
 SELECT job_id, kind, status, row_number() OVER (ORDER BY coalesce(pr, 6), CASE WHEN queued THEN coalesce(queue_order, 9007199254740991) END NULLS FIRST, created_at DESC, job_id) AS position FROM p""",
     "queue_reindex": f"WITH {JOBS_SQL} {REINDEX_SQL}",
     "queue_move": f"""WITH {JOBS_SQL}, q AS ({REINDEX_SQL}), c AS (SELECT kind, max(job_id) AS job_id, arg_max(queue_order, job_id) AS old, least(3, count(*) - 1) AS new FROM q GROUP BY kind)
 SELECT q.job_id, q.kind, CASE WHEN q.job_id = c.job_id THEN c.new WHEN q.queue_order > c.old AND q.queue_order <= c.new THEN q.queue_order - 1 WHEN q.queue_order < c.old AND q.queue_order >= c.new THEN q.queue_order + 1 ELSE q.queue_order END AS queue_order FROM q JOIN c USING (kind)""",
     "next_queue_order": f"WITH {JOBS_SQL} SELECT kind, coalesce(max(queue_order) FILTER (WHERE status IN ('paused', 'pending')) + 1, 0) AS next_order FROM jobs GROUP BY 1",
-    "record_upgrade": f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN status IN ('processing', 'pausing') THEN 'paused' ELSE status END AS status, CASE WHEN status NOT IN ('done', 'error') THEN coalesce(queue_order, epoch_ms(created_at)) END AS queue_order, CAST(NULL AS VARCHAR) AS started_at FROM jobs""",
+    "record_upgrade": f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN status IN ('processing', 'pausing') THEN 'paused' ELSE status END AS status, CAST(CASE WHEN status NOT IN ('done', 'error') THEN coalesce(queue_order, epoch_ms(created_at)) END AS DOUBLE) AS queue_order, CAST(NULL AS VARCHAR) AS started_at FROM jobs""",
+    "stored_jobs": """WITH j AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 1 THEN 'pdf-conversion' ELSE 'epub-translation' END AS kind, (['pending', 'processing', 'pausing', 'paused', 'done', 'error'])[CAST(o_orderkey % 6 + 1 AS INT)] AS old, o_orderkey % 4 AS current, o_orderkey % 5 AS cp, nullif(o_orderkey % 7, 0) AS q, o_orderdate AS c FROM orders
+  WHERE o_orderkey % 19 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0),
+u AS (SELECT *, CASE WHEN old IN ('processing', 'pausing') THEN 'paused' ELSE old END AS status, CAST(CASE WHEN old NOT IN ('done', 'error') THEN coalesce(q, epoch_ms(c)) END AS DOUBLE) AS queue_order FROM j),
+p AS (SELECT *, CASE WHEN status IN ('pending', 'paused') THEN CASE kind WHEN 'epub-translation' THEN 2 ELSE 5 END ELSE 6 END AS pr FROM u)
+SELECT CAST(k AS VARCHAR) AS job_id, kind, status, CASE WHEN status = 'pending' THEN CASE WHEN kind = 'epub-translation' AND cp >= 3 THEN 'Preparado para generar EPUB' ELSE 'En cola' END WHEN old IN ('processing', 'pausing') THEN 'Pausada tras reiniciar el servidor' ELSE 'm' END AS message,
+  queue_order, CAST(NULL AS VARCHAR) AS started_at, false AS archived, 0 AS n_terms, row_number() OVER (ORDER BY pr, CASE WHEN pr < 6 THEN queue_order END NULLS FIRST, c DESC, CAST(k AS VARCHAR)) AS position FROM p""",
+    "bulk_updates": f"""WITH {JOBS_SQL} SELECT job_id, CASE status WHEN 'processing' THEN 'pausing' WHEN 'pending' THEN 'paused' ELSE status END AS status, CASE WHEN status = 'done' THEN job_id % 4 <> 0 ELSE job_id % 5 = 0 END AS archived, CASE WHEN job_id % 4 = 0 THEN CASE WHEN status = 'done' THEN 'changed' ELSE 'not-ready' END END AS outcome FROM jobs""",
+    "start_order": f"""WITH {JOBS_SQL}, j AS (SELECT * REPLACE (kind || '-' || bucket AS kind) FROM jobs WHERE job_id % 64 < 16 AND status NOT IN ('processing', 'pausing') OR job_id % 1024 < 4),
+q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY coalesce(queue_order, 0), created_at, job_id) - 1 AS place FROM j WHERE status IN ('paused', 'pending'))
+SELECT job_id, kind, place FROM q WHERE status = 'pending' AND NOT EXISTS (FROM q p WHERE p.kind = q.kind AND p.status = 'paused' AND p.place < q.place) AND NOT EXISTS (FROM j b WHERE b.kind = q.kind AND b.status IN ('processing', 'pausing'))""",
+    "left_after_delete": f"WITH {JOBS_SQL} SELECT kind, status, count(*) AS n_jobs FROM jobs WHERE status <> 'done' GROUP BY 1, 2",
     "public_projection": f"WITH {JOBS_SQL} SELECT job_id, kind, status, CASE WHEN status = 'done' THEN '/api/jobs/' || job_id || '/download' END AS download_url FROM jobs",
     "active_time": """WITH e AS (SELECT user_id, ts, CASE WHEN event_id % 3 = 0 THEN 'processing' ELSE 'paused' END AS status FROM events), l AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, status)) - epoch_us(ts) AS us FROM e)
 SELECT user_id, CAST(floor(coalesce(sum(us) FILTER (WHERE status = 'processing'), 0) / 1000) AS BIGINT) AS active_ms, count(*) AS n_events FROM l GROUP BY 1""",

@@ -9,7 +9,7 @@ from lexweave.functions import display, markup, replies
 from lexweave.functions import text as T
 from lexweave.operators import book, budget, catalog, layout, outline, preview, records, selection
 from lexweave.plans.translate import translate_items
-from lexweave.queries.library import _catalogue, _events, _jobs, _usage
+from lexweave.queries.library import _catalogue, _events, _jobs, _usage, with_nulls
 from lexweave.queries.text import LINES_SQL, SPACE, TRIM, _docs, _lines
 from lexweave.session import table
 from lexweave.sources import files
@@ -173,7 +173,8 @@ def job_domain(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 17 == 0, "yesterday").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("createdAt"),
         F.array(F.struct(F.lit("s").alias("source"), F.when(k % 19 != 0, "t").alias("target"))).alias("glossary"),
     )
-    body = F.when(k % 23 == 0, F.left(F.to_json(job), F.lit(40))).otherwise(F.to_json(job))
+    whole = with_nulls(F.to_json(job), "outputFileName", "error")
+    body = F.when(k % 23 == 0, F.left(whole, F.lit(40))).otherwise(whole)
     return records.job_problem(table(spark, d, "orders").select("o_orderkey", body.alias("body"))).select("o_orderkey", "problem")
 
 
@@ -419,7 +420,7 @@ SELECT doc_id, CAST(g AS INT) AS chapter_no, 'Part ' || min(turn) AS title, coun
     "simple_books": """WITH p AS (SELECT conv_id, CAST(floor(turn / 2) AS INT) AS s, string_agg('<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') || '</p>', chr(10) ORDER BY turn) AS b FROM conversations GROUP BY 1, 2)
 SELECT CAST(conv_id AS VARCHAR) AS archive, 'OEBPS/sections/chapter-' || (s + 1) || '.xhtml' AS path, length('<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="es"><head><title></title><meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="../book.css"/></head><body></body></html>') + length(b)
   + CASE WHEN s % 2 = 0 THEN length('<h1></h1>') + 2 * length('Part ' || s) ELSE length('section-' || (s + 1)) END AS chars FROM p""",
-    "queue_rows": """WITH j AS (SELECT o_orderkey AS job_id, o_custkey, nullif(o_orderkey % 7, 0) AS place FROM orders) SELECT b.job_id, a.place, CASE WHEN b.o_custkey % 2 = 0 THEN 'translation' ELSE 'pdf' END AS kind, (['pending', 'processing', 'pausing', 'paused', 'done', 'error'])[CAST(b.job_id % 6 + 1 AS INT)] AS status FROM j a JOIN j b ON b.job_id = a.job_id * 2""",
+    "queue_rows": """WITH j AS (SELECT o_orderkey AS job_id, o_custkey, nullif(o_orderkey % 7, 0) AS place FROM orders) SELECT b.job_id, a.place, CASE WHEN b.o_custkey % 2 = 0 THEN 'epub-translation' ELSE 'pdf-conversion' END AS kind, (['pending', 'processing', 'pausing', 'paused', 'done', 'error'])[CAST(b.job_id % 6 + 1 AS INT)] AS status FROM j a JOIN j b ON b.job_id = a.job_id * 2""",
     "book_selection": """WITH b AS (SELECT l_suppkey AS device_id, l_partkey AS path, l_linenumber AS n FROM lineitem) SELECT device_id, count(*) AS n FROM b WHERE EXISTS (SELECT 1 FROM b c WHERE c.n = 3 AND c.device_id = b.device_id AND c.path = b.path) GROUP BY 1""",
     "selection_toggles": f"""WITH k AS (SELECT o_orderkey AS k, list_distinct([o_orderkey % 3, o_orderkey % 5, o_orderkey % 7]) AS c, list_distinct([o_orderkey % 2, o_orderkey % 3]) AS s FROM orders)
 SELECT k AS o_orderkey, array_to_string({_LISTED("CASE WHEN list_contains(c, k % 4) THEN list_filter(c, lambda z: z <> k % 4) ELSE list_append(c, k % 4) END")}, ',') AS one, array_to_string({_LISTED("CASE WHEN list_has_all(c, s) THEN list_filter(c, lambda z: NOT list_contains(s, z)) ELSE list_distinct(list_concat(c, s)) END")}, ',') AS several FROM k""",

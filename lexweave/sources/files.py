@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.replies import publication_year
 from lexweave.functions.text import blank_to_null, file_title
+from lexweave.operators import records
 from lexweave.operators.catalog import CANDIDATE, PLACEHOLDER, interleave
 
 #: Folders that hold no books, and kinds of book files.
 SKIPPED_FOLDERS = (".cache", "system", "fonts", "voice", "audible", "screenshots")
 BOOK_KINDS = ("epub", "pdf", "azw3", "mobi", "azw", "kfx")
-JOB = "job_id string, kind string, status string, original string, result string, created_at string, queue_order long, started_at string, `current` int, total int, _corrupt_record string"
 PAYLOAD = "items array<struct<volumeInfo:struct<title:string,authors:array<string>,publishedDate:string,categories:array<string>,industryIdentifiers:array<struct<type:string,identifier:string>>,imageLinks:struct<thumbnail:string,smallThumbnail:string>>>>"
 
 
@@ -32,12 +32,20 @@ def device_books(spark: SparkSession, root: str, *, depth: int = 10, limit: int
     return out.orderBy(F.collate("title", "es"), "path").limit(limit)
 
 
+def job_rows(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs, faults) of ``bodies(..., body)`` of stored jobs: typed rows of those in their domain, oldest first; the others with ``problem``."""
+    checked = records.job_problem(bodies)
+    j = checked.where("problem is null").withColumn("_j", F.from_json("body", records.JOB))
+    moment = lambda name: F.try_to_timestamp(F.col(f"_j.{name}"))
+    text = {"job_id": "id", "kind": "kind", "status": "status", "progress": "progress", "input_file": "inputFileName", "output_file": "outputFileName", "input_path": "inputFilePath", "output_path": "outputFilePath", "error": "error", "glossary": "glossary", "completed_chapters": "completedChapters", "translation_memory": "translationMemory", "queue_order": "queueOrder", "elapsed_ms": "elapsedMs", "archived": "archived"}
+    rows = j.select(*[c for c in bodies.columns if c != "body"], *[F.col(f"_j.{n}").alias(c) for c, n in text.items()], F.col("_j.checkpointBatchIndex").alias("checkpoint"), moment("lastProgressAt").alias("last_progress_at"), moment("createdAt").alias("created_at"), moment("startedAt").alias("started_at"), moment("completedAt").alias("completed_at"))
+    return rows.orderBy("created_at", "job_id"), checked.where("problem is not null").drop("body")
+
+
 def job_records(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(jobs, faults) of ``root/<id>/job.json``: what can't be read or breaks the domain is a fault with its path; files stay as they are."""
     raw = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "job.json").option("recursiveFileLookup", "true").load(root)
-    parsed = raw.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", JOB, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j")).select("path", "j.*")
-    sound = F.coalesce(F.col("_corrupt_record").isNull() & F.col("job_id").isNotNull() & F.col("kind").isin("translation", "pdf") & F.col("status").isin("pending", "processing", "pausing", "paused", "done", "error") & F.col("created_at").isNotNull(), F.lit(False))
-    return parsed.where(sound).drop("_corrupt_record").orderBy("created_at"), parsed.where(~sound).select("path")
+    return job_rows(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")))
 
 
 def import_once(incoming: DataFrame, existing: DataFrame, key: str, is_valid) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on literal rows."""
 
 import io
+import random
 import zipfile
 
 from pyspark.sql import Row
@@ -188,7 +189,7 @@ def test_page_checks(spark):
 
 
 def test_job_list_and_records(spark):
-    kinds = [("pdf", "done"), ("pdf", "paused"), ("translation", "paused"), ("translation", "pending"), ("pdf", "processing"), ("translation", "pausing"), ("translation", "processing"), ("pdf", "pausing"), ("pdf", "error")]
+    kinds = [("pdf-conversion", "done"), ("pdf-conversion", "paused"), ("epub-translation", "paused"), ("epub-translation", "pending"), ("pdf-conversion", "processing"), ("epub-translation", "pausing"), ("epub-translation", "processing"), ("pdf-conversion", "pausing"), ("pdf-conversion", "error")]
     rows = [(i, k, s, {2: 7, 3: 5}.get(i), f"2026-01-0{i + 1}") for i, (k, s) in enumerate(kinds)]
     df = spark.createDataFrame(rows, "job_id int, kind string, status string, queue_order long, created_at string")
     assert [r.job_id for r in jobs.list_order(df).orderBy("position").collect()] == [6, 5, 3, 2, 4, 7, 1, 8, 0]
@@ -292,8 +293,31 @@ def test_folders(spark, tmp_path):
     for name in ("Título -- Autora.epub", "b.pdf", "notes.txt", "x.sdr/c.epub"):
         (tmp_path / name).write_bytes(b"1")
     assert [(r.title, r.authors) for r in files.device_books(spark, str(tmp_path)).collect()] == [("b", []), ("Título", ["Autora"])]
-    for i, body in enumerate(('{"job_id":"1","kind":"pdf","status":"done","created_at":"2026"}', "{broken", '{"job_id":"3","kind":"?","status":"done","created_at":"2026"}')):
+    genuine = '{"id":"j-1","status":"processing","progress":{"current":1,"total":4,"message":"x"},"checkpointBatchIndex":1,"inputFileName":"a.epub","outputFileName":null,"inputFilePath":"/in/a","outputFilePath":"/out/a","error":null,"createdAt":"2026-01-02T03:04:05.000Z"}'
+    bodies = (genuine, "{broken", genuine.replace('"id"', '"kind":"translation","id"'), genuine.replace('"error":null,', ""), genuine.replace('"id"', '"kind":null,"id"'))
+    for i, body in enumerate(bodies):
         (tmp_path / "jobs" / str(i)).mkdir(parents=True)
         (tmp_path / "jobs" / str(i) / "job.json").write_text(body)
     sound, faults = files.job_records(spark, str(tmp_path / "jobs"))
-    assert (sound.count(), faults.count()) == (1, 2)
+    assert {(r.path[-10:-9], r.problem) for r in faults.collect()} == {("1", "unreadable"), ("2", "kind"), ("3", "files"), ("4", "kind")}
+    up = jobs.upgrade_records(sound).first()
+    assert (up.job_id, up.kind, up.status, up.progress.message, up.progress.total) == ("j-1", "epub-translation", "paused", "Pausada tras reiniciar el servidor", 4)
+    assert (up.queue_order, up.started_at, up.archived, up.elapsed_ms, up.glossary, up.completed_chapters, up.translation_memory) == (1767323045000, None, False, 0, [], [], {})
+    assert up.last_progress_at == up.created_at and up.completed_at is None
+
+
+def test_a_hot_key_replays_in_many_parts(spark):
+    r = random.Random(3)
+    steps = ("start", "pause", "stopped", "resume", "finish", "fail", "unknown")
+    rows = [(None if i % 50 == 0 else "hot" if r.random() < 0.9 else f"k{r.randrange(30)}", i, r.choice(steps)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, n int, e string")
+    want, state = {}, {}
+    for k, n, e in rows:
+        state[k] = jobs.TRANSITIONS.get((state.get(k, "pending"), e), state.get(k, "pending"))
+        want[n] = state[k]
+    for parts in (None, 1, 23):
+        out = jobs.replay_events(df, "k", ["n"], "e", parts=parts)
+        assert {x.n: x.status for x in out.collect()} == want
+    placed = jobs.transition_maps(df, "k", ["n"], "e", 23)
+    assert placed.where("k = 'hot'").select("_part").distinct().count() > 15
+    assert jobs.replay_events(df.where("false"), "k", ["n"], "e").count() == 0
