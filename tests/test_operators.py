@@ -321,3 +321,24 @@ def test_a_hot_key_replays_in_many_parts(spark):
     placed = jobs.transition_maps(df, "k", ["n"], "e", 23)
     assert placed.where("k = 'hot'").select("_part").distinct().count() > 15
     assert jobs.replay_events(df.where("false"), "k", ["n"], "e").count() == 0
+
+
+def test_a_hot_deployment_is_admitted_in_many_parts(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(3000):
+        d = None if i % 40 == 0 else "hot" if r.random() < 0.85 else f"d{r.randrange(20)}"
+        rows.append((d, i, r.choice(["job", "job", "sample"]), None if i % 31 == 0 else f"i{r.randrange(25)}", 1, r.randrange(300, 900), r.randrange(1, 60)))
+    df = spark.createDataFrame(rows, "d string, n long, kind string, id string, requests long, input_bound long, output_tokens long")
+    tight = {"deployment": {"requests": 900, "input_bound": 300_000, "output_tokens": 20_000}, "job": {"requests": 40, "input_bound": 30_000, "output_tokens": 900}, "samples": {"requests": 300, "input_bound": 90_000, "output_tokens": 5_000}, "sample": {"requests": 9, "input_bound": 4_000, "output_tokens": 200}}
+    for caps in (tight, {k: {c: 10**9 for c in v} for k, v in tight.items()}, {k: {c: 700 for c in v} for k, v in tight.items()}):
+        want, used = {}, {}
+        for d, n, *rest in rows:
+            one = dict(zip(("kind", "id", *budget.COUNTERS), rest, strict=True))
+            want[n] = next(budget.fold_admission(iter([one]), caps, used.setdefault(d, {})))
+        for parts in (1, 17):
+            turns = []
+            out = budget.admit(df, "d", ["n"], caps, parts=parts, report=turns).collect()
+            assert {x.n: x.refused_by for x in out} == want and len(out) == len(rows)
+            assert turns[0] == 0 if parts == 1 else turns[0] >= 1
+    assert budget.admit(df.where("false"), "d", ["n"], tight).count() == 0
