@@ -33,3 +33,15 @@ def numbered(df: DataFrame, name: str, *order: Column, within: str | None = None
         return out
     first = out.groupBy(F.col(within).alias("_w")).agg(F.min(name).alias("_first"))
     return out.join(first, F.col(within).eqNullSafe(F.col("_w"))).withColumn(name, F.col(name) - F.col("_first")).drop("_w", "_first")
+
+
+def running_sum(df: DataFrame, name: str, value: Column, *order: Column, parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows up to each, in ``order``.
+
+    Parts are ranges of ``order``: each sums its own rows, after the sums of the parts before it (one row for each part).
+    """
+    placed = parted(df.withColumn("_value", value), *order, parts=parts)
+    sums = placed.groupBy("_part").agg(F.sum("_value").alias("_n"))
+    before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn(name, own).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_own", "_before", "_value")

@@ -2,32 +2,68 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lexweave.functions.text import blank_to_null, imported_title, trim_all
+from lexweave.operators.order import running_sum
+from lexweave.session import materialize, release
 
 
-def flatten_outline(items: DataFrame, n_pages: DataFrame, deepest: int = 32) -> DataFrame:
-    """``items(doc_id, item_id, parent_id, pos, title, page)`` → (doc_id, place, title, page, level): depth first, in order of ``pos``.
+def _doubled(links: DataFrame) -> DataFrame:
+    """``links(doc_id, node, up, level, size, walk)`` with sums over all ancestors, by doubling: each round every node looks as far again as it
+    has so far, so a chain of n items takes log2(n) rounds.
 
-    ``page`` is null for broken or external targets; these and blank titles or pages out of range are left out, their
-    children stay. ``place`` is the path of positions. One join for each level, up to ``deepest``.
+    ``level`` and ``walk`` sum along the way up. Nodes that never reach a root (a missing parent, a cycle) go.
     """
-    level = items.where("parent_id is null").select("doc_id", "item_id", "title", "page", F.lit(1).alias("level"), F.array("pos").alias("place"))
-    found, depth = level, 1
-    while depth < deepest:
-        below = items.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("_p"), F.col("item_id").alias("_i"), F.col("title").alias("_t"), F.col("page").alias("_g"), "pos")
-        joined = below.join(level.select("doc_id", F.col("item_id").alias("_p"), "place"), ["doc_id", "_p"])
-        level = joined.select("doc_id", F.col("_i").alias("item_id"), F.col("_t").alias("title"), F.col("_g").alias("page"), F.lit(depth + 1).alias("level"), F.concat("place", F.array("pos")).alias("place"))
-        if level.isEmpty():
+    rounds = int(links.count()).bit_length() + 1
+    for _ in range(rounds):
+        above = links.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("level").alias("_level"), F.col("walk").alias("_walk"))
+        met = links.where("up is not null").join(above, (F.col("doc_id") == F.col("_d")) & (F.col("up") == F.col("_n")))
+        step = met.select("doc_id", "node", F.col("_up").alias("up"), (F.col("level") + F.col("_level")).alias("level"), (F.col("walk") + F.col("_walk")).alias("walk"))
+        last, links = links, materialize(links.where("up is null").unionByName(step))
+        release(last)
+        if links.where("up is not null").isEmpty():
             break
-        found, depth = found.unionByName(level), depth + 1
-    kept = found.withColumn("title", blank_to_null(F.col("title"))).join(n_pages.select("doc_id", "n_pages"), "doc_id")
-    return kept.where((F.col("title").isNotNull()) & F.col("page").between(1, F.col("n_pages"))).select("doc_id", "place", "title", "page", "level")
+    return links.where("up is null").drop("up")
+
+
+def _subtrees(links: DataFrame) -> DataFrame:
+    """``links(doc_id, node, up)`` → (doc_id, node, size): how many nodes stand below each, itself included, by doubling."""
+    now = materialize(links.withColumn("size", F.lit(1).cast("long")))
+    for _ in range(int(now.count()).bit_length() + 1):
+        below = now.where("up is not null").groupBy("doc_id", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
+        above = now.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("up").alias("_up"))
+        far = now.join(above, (F.col("doc_id") == F.col("_d")) & (F.col("up") == F.col("_n")), "left").select("doc_id", "node", F.col("_up").alias("up"), "size")
+        last, now = now, materialize(far.join(below, ["doc_id", "node"], "left").select("doc_id", "node", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        release(last)
+        if now.where("up is not null").isEmpty():
+            break
+    return now.drop("up")
+
+
+def flatten_outline(items: DataFrame, n_pages: DataFrame) -> DataFrame:
+    """``items(doc_id, item_id, parent_id, pos, title, page)`` → (doc_id, place, title, page, level): depth first, in order of ``pos``, to any depth.
+
+    ``page`` is null for broken or external targets; these and blank titles or pages out of range are left out, their
+    children stay. ``place`` counts all items of a document before it, from 0. An item stands after its parent, the
+    parent's earlier children and all below those: subtree sizes and sums along the way up give its place, each in
+    logarithmic rounds of joins on the item, so neither a long chain nor a long list of children meets in one task. Items
+    whose parents are missing, or that are their own ancestors, are never reached and go; so do null ids. Item ids are unique in a document.
+    """
+    tree = materialize(items.where("doc_id is not null and item_id is not null").select("doc_id", F.col("item_id").alias("node"), F.col("parent_id").alias("up"), "pos", "title", "page"))
+    sizes = _subtrees(tree.select("doc_id", "node", "up"))
+    sized = tree.select("doc_id", "node", "up", "pos").join(sizes, ["doc_id", "node"])
+    running = running_sum(sized, "so_far", F.col("size"), F.col("doc_id"), F.col("up").asc_nulls_first(), F.col("pos"), F.col("node"))
+    running = materialize(running.withColumn("before", F.col("so_far") - F.col("size")))
+    first = materialize(running.groupBy(F.col("doc_id").alias("_d"), F.col("up").alias("_u")).agg(F.min("before").alias("_first")))  # of each list of children
+    elder = running.join(first, (F.col("doc_id") == F.col("_d")) & F.col("up").eqNullSafe(F.col("_u"))).select("doc_id", "node", "up", F.lit(1).alias("level"), (F.col("before") - F.col("_first") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("walk"))
+    placed = _doubled(materialize(elder))
+    release(running, first)
+    kept = placed.join(tree.select("doc_id", "node", "title", "page"), ["doc_id", "node"]).withColumn("title", blank_to_null(F.col("title"))).join(n_pages.select("doc_id", "n_pages"), "doc_id")
+    return kept.where((F.col("title").isNotNull()) & F.col("page").between(1, F.col("n_pages"))).select("doc_id", F.col("walk").alias("place"), "title", "page", "level")
 
 
 def document_metadata(rows: DataFrame) -> DataFrame:

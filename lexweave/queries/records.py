@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import display, markup, replies
@@ -218,9 +218,20 @@ def outline_rows(spark: SparkSession, d: str) -> DataFrame:
     """Documents' lines as an outline: the parent of line n is line (n - 1) / 3."""
     lines = _lines(spark, d)
     n = F.col("line_no")
-    items = lines.select("doc_id", n.alias("item_id"), F.when(n > 0, F.floor((n - 1) / 3).cast("int")).alias("parent_id"), n.alias("pos"), F.when(n % 7 == 3, " ").otherwise(F.left("text", F.lit(40))).alias("title"), F.when(n % 5 != 2, n + 1).alias("page"))
+    items = lines.select("doc_id", n.alias("item_id"), F.when(n > 0, F.floor((n - 1) / 3).cast("int")).alias("parent_id"), n.alias("pos"), F.when(n % 7 == 3, " ").otherwise(F.col("text")).alias("title"), F.when(n % 5 != 2, n + 1).alias("page"))
     flat = outline.flatten_outline(items, _docs(spark, d).select("doc_id", F.lit(200).alias("n_pages")))
-    return flat.select("doc_id", "title", "page", "level", F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place"))
+    return flat.select("doc_id", "title", "page", "level", "place")
+
+
+def deep_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as a chain, every fourth one also with the line items' numbers as children; some links lead nowhere."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("item_id"))
+    chain = o.withColumn("parent_id", F.lag("item_id").over(Window.partitionBy("o_custkey").orderBy("item_id")))
+    chain = chain.select((F.col("o_custkey") % 50).alias("doc_id"), "item_id", F.when(F.col("item_id") % 101 == 0, -1).otherwise(F.col("parent_id")).alias("parent_id"), F.col("item_id").alias("pos"))
+    li = table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber").distinct().join(o, F.col("l_orderkey") == F.col("item_id"))
+    leaves = li.select((F.col("o_custkey") % 50).alias("doc_id"), (-F.col("l_orderkey") * 10 - F.col("l_linenumber")).alias("item_id"), F.col("l_orderkey").alias("parent_id"), (-F.col("l_linenumber")).cast("long").alias("pos"))
+    items = chain.unionByName(leaves).withColumns({"title": F.concat(F.lit("t"), F.col("item_id").cast("string")), "page": F.when(F.col("item_id") % 13 != 0, F.pmod("item_id", F.lit(90)) + 1)})
+    return outline.flatten_outline(items, spark.range(50).select(F.col("id").alias("doc_id"), F.lit(80).alias("n_pages")))
 
 
 def metadata_precedence(spark: SparkSession, d: str) -> DataFrame:
@@ -355,7 +366,7 @@ def usage_reports(spark: SparkSession, d: str) -> DataFrame:
     return budget.usage_report(_usage(spark, d).select(F.col("user_id").alias("id"), F.col("event_type").alias("model"), "requests", "input_bound", "output_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, job_domain, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, book_chapters, simple_books, outline_rows, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
+QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, job_domain, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, book_chapters, simple_books, outline_rows, deep_outlines, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
 JS_SPACES = f"[{SPACE}]+"
 PART_ROWS = "x AS (SELECT *, floor(p_partkey / 15) AS q, row_number() OVER (PARTITION BY floor(p_partkey / 15) ORDER BY p_partkey) - 1 AS n FROM part)"
 DAY_IN_MONTH = "try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 32 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL"
@@ -402,9 +413,15 @@ s AS (SELECT doc_id, bool_or(regexp_matches(lower(t), 'table of contents|content
 SELECT doc_id, toc_in_sample, array_to_string(list_filter([CASE WHEN doc_id % 2 <> 0 THEN 'no-bookmarks' END, CASE WHEN NOT toc_in_sample THEN 'no-index-in-sample' END, CASE WHEN ocr THEN 'ocr-needed' END], lambda z: z IS NOT NULL), ',') AS warnings FROM s""",
     "covers_and_formats": """SELECT doc_id, doc_id % 2 = 1 AND doc_id % 3 = 0 AND length(text) < 400 AS is_cover, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 <> 0 THEN 'pdf' WHEN doc_id % 4 = 1 THEN 'epub' END AS format FROM documents""",
     "preflight": """WITH u AS (SELECT user_id % 30 AS s, count(*) AS n FROM events GROUP BY 1) SELECT CAST(n_nationkey AS VARCHAR) AS scope, CASE WHEN n_nationkey % 2 = 0 THEN 'm' END AS model, coalesce(n, 0) AS used_requests, greatest(60 - coalesce(n, 0), 0) AS left_requests FROM nation LEFT JOIN u ON s = n_nationkey""",
-    "outline_rows": f"""WITH RECURSIVE {LINES_SQL}, i AS (SELECT doc_id, line_no AS n, CASE WHEN line_no > 0 THEN CAST(floor((line_no - 1) / 3) AS INT) END AS p, CASE WHEN line_no % 7 = 3 THEN NULL ELSE nullif(trim(left(text, 40), {TRIM}), '') END AS title, CASE WHEN line_no % 5 <> 2 THEN line_no + 1 END AS page FROM lines),
-f AS (SELECT doc_id, n, title, page, 1 AS level, CAST(n AS VARCHAR) AS place FROM i WHERE p IS NULL UNION ALL SELECT i.doc_id, i.n, i.title, i.page, f.level + 1, f.place || '.' || i.n FROM f JOIN i ON i.doc_id = f.doc_id AND i.p = f.n)
-SELECT doc_id, title, page, level, place FROM f WHERE title IS NOT NULL AND page BETWEEN 1 AND 200""",
+    "outline_rows": f"""WITH RECURSIVE {LINES_SQL}, i AS (SELECT doc_id, line_no AS n, CASE WHEN line_no > 0 THEN CAST(floor((line_no - 1) / 3) AS INT) END AS p, CASE WHEN line_no % 7 = 3 THEN NULL ELSE nullif(trim(text, {TRIM}), '') END AS title, CASE WHEN line_no % 5 <> 2 THEN line_no + 1 END AS page FROM lines),
+f AS (SELECT doc_id, n, title, page, 1 AS level, [n] AS way FROM i WHERE p IS NULL UNION ALL SELECT i.doc_id, i.n, i.title, i.page, f.level + 1, list_append(f.way, i.n) FROM f JOIN i ON i.doc_id = f.doc_id AND i.p = f.n),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY way) - 1 AS place FROM f)
+SELECT doc_id, title, page, level, place FROM o WHERE title IS NOT NULL AND page BETWEEN 1 AND 200""",
+    "deep_outlines": """WITH RECURSIVE o AS (SELECT o_custkey % 50 AS doc_id, o_orderkey AS n, CASE WHEN o_orderkey % 101 = 0 THEN -1 ELSE lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS p, o_orderkey AS pos FROM orders),
+i AS (FROM o UNION ALL SELECT DISTINCT o.doc_id, -l_orderkey * 10 - l_linenumber, l_orderkey, CAST(-l_linenumber AS BIGINT) FROM lineitem JOIN o ON o.n = l_orderkey WHERE l_orderkey % 4 = 0),
+f AS (SELECT doc_id, n, 1 AS level, [pos] AS way FROM i WHERE p IS NULL UNION ALL SELECT i.doc_id, i.n, f.level + 1, list_append(f.way, i.pos) FROM f JOIN i ON i.doc_id = f.doc_id AND i.p = f.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY way) - 1 AS place, ((n % 90) + 90) % 90 + 1 AS page FROM f)
+SELECT doc_id, place, 't' || n AS title, page, level FROM r WHERE n % 13 <> 0 AND page BETWEEN 1 AND 80""",
     "metadata_precedence": """WITH k AS (SELECT c_custkey AS k, c_name, c_custkey % 6 <> 5 AS x FROM customer)
 SELECT k AS doc_id, coalesce(CASE WHEN x AND k % 3 > 1 THEN c_name END, CASE WHEN k % 5 > 1 THEN 'i t' END, '') AS title, coalesce(CASE WHEN x AND k % 4 > 1 THEN 'x a' END, 'i a') AS author, '' AS description, coalesce(CASE WHEN k % 3 > 1 THEN 'i p' END, '') AS publisher, CASE WHEN x AND k % 5 > 1 THEN 'es' ELSE 'en' END AS language FROM k""",
     "ocr_paragraphs": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),

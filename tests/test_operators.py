@@ -342,3 +342,17 @@ def test_a_hot_deployment_is_admitted_in_many_parts(spark):
             assert {x.n: x.refused_by for x in out} == want and len(out) == len(rows)
             assert turns[0] == 0 if parts == 1 else turns[0] >= 1
     assert budget.admit(df.where("false"), "d", ["n"], tight).count() == 0
+
+
+def test_an_outline_of_any_depth(spark):
+    from lexweave.operators.outline import flatten_outline
+
+    chain = [(1, i, i - 1 if i else None, 0, f"t{i}", 1 + i % 9) for i in range(2500)]
+    broad = [(2, i, None, -i, "x", 1) for i in range(300)] + [(2, 1000 + i, 7, i, " " if i == 2 else "y", 1 if i else None) for i in range(4)]
+    lost = [(3, 1, 2, 0, "a", 1), (3, 2, 1, 0, "b", 1), (3, 3, 9, 0, "c", 1), (3, 4, None, 0, "d", 1), (None, 5, None, 0, "e", 1), (4, 1, None, 0, "f", 11)]
+    df = spark.createDataFrame(chain + broad + lost, "doc_id int, item_id int, parent_id int, pos int, title string, page int")
+    out = flatten_outline(df, spark.createDataFrame([(i, 10) for i in range(1, 5)], "doc_id int, n_pages int")).collect()
+    assert sorted((x.place, x.level, x.title) for x in out if x.doc_id == 1) == [(i, i + 1, f"t{i}") for i in range(2500)]
+    two = {x.place: (x.level, x.title) for x in out if x.doc_id == 2}
+    assert len(two) == 302 and two[292] == (1, "x") and 293 not in two and two[294] == (2, "y") and 295 not in two and two[296] == (2, "y") and two[303] == (1, "x")
+    assert [(x.doc_id, x.title) for x in out if x.doc_id > 2] == [(3, "d")]
