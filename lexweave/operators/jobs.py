@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.operators.order import numbered, parted
+from lexweave.operators.order import composed_states, numbered
 from lexweave.operators.records import JOB_STATES, KINDS
 
 LAST = 9007199254740991
@@ -111,56 +108,14 @@ def replay(events: Column) -> Column:
     return F.aggregate(events, F.lit("pending"), lambda s, e: F.coalesce(F.try_element_at(table, F.concat_ws(":", s, e)), s))
 
 
-_AT = {s: i for i, s in enumerate(JOB_STATES)}
-_SAME = tuple(range(len(JOB_STATES)))
-
-
-def _packed(step: tuple[int, ...]) -> int:
-    """Where each of the states leads, in one number: three bits for each."""
-    return sum(to << 3 * i for i, to in enumerate(step))
-
-
-def transition_maps(events: DataFrame, key: str, order: list[str], event: str, parts: int | None = None) -> DataFrame:
-    """``events`` with ``_part``, ``_own``, ``_run`` and ``_map``: the composed transitions of a key's events in a part so far, and the key's
-    number among those of the part. What an event does doesn't depend on the status before, so parts are read side by side."""
-    steps = {e: tuple(_AT[TRANSITIONS.get((s, e), s)] for s in JOB_STATES) for _, e in TRANSITIONS}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, now, runs = object(), _SAME, -1
-        for b in batches:
-            maps, numbers = [], []
-            for k, e in zip(b.column(key).to_pylist(), b.column(event).to_pylist(), strict=True):
-                if k != last:
-                    last, now, runs = k, _SAME, runs + 1
-                if e in steps:
-                    step = steps[e]
-                    now = tuple(step[to] for to in now)
-                maps.append(_packed(now))
-                numbers.append(runs)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maps, pa.int32()), pa.array(numbers, pa.int64())], names=[*b.schema.names, "_map", "_run"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", _map int, _run long"
-    return parted(events, F.col(key), *[F.col(c) for c in order], parts=parts, then=lambda df: df.mapInArrow(run, schema))
-
-
 def replay_events(events: DataFrame, key: str, order: list[str], event: str, parts: int | None = None) -> DataFrame:
-    """``events`` with ``status``, the key's status after each.
-
-    Events are dealt by range of key and order, so a key with most of them is many parts. Each part composes transitions without
-    knowing the status it begins with; the parts' last maps (one row for each part) then give that status, and a look-up finishes.
-    """
-    placed = transition_maps(events, key, order, event, parts)
-    ends = placed.groupBy("_part").agg(F.min_by(key, "_own").alias("first"), F.max_by(key, "_own").alias("last"), F.max("_run").alias("runs"), F.max_by("_map", "_own").alias("map"))
-    state, before, begins = 0, None, []
-    for r in ends.orderBy("_part").collect():  # a row for each part
-        begin = state if before is not None and before == (r["first"],) else 0
-        begins.append((r["_part"], begin))
-        state, before = r["map"] >> 3 * (begin if r["runs"] == 0 else 0) & 7, (r["last"],)
-    known = events.sparkSession.createDataFrame(begins, "_part long, _begin int")
-    begin = F.when(F.col("_run") == 0, F.col("_begin")).otherwise(F.lit(0))
-    names = F.array(*[F.lit(s) for s in JOB_STATES])
-    status = F.get(names, F.call_function("shiftright", F.col("_map"), begin * 3).bitwiseAND(F.lit(7)))
-    return placed.join(F.broadcast(known), "_part").select(*events.columns, status.alias("status"))  # a row for each part
+    """``events`` with ``status``, the key's status after each, from pending; parts of one key are read side by side."""
+    at = {s: i for i, s in enumerate(JOB_STATES)}
+    names = sorted({e for _, e in TRANSITIONS})
+    steps = [tuple(at[TRANSITIONS.get((s, e), s)] for s in JOB_STATES) for e in names]
+    symbol = F.nullif(F.array_position(F.array(*[F.lit(e) for e in names]), F.col(event)), F.lit(0)) - 1
+    out = composed_states(events.withColumn("_symbol", symbol.cast("int")), key, order, "_symbol", steps, parts)
+    return out.select(*events.columns, F.get(F.array(*[F.lit(s) for s in JOB_STATES]), F.col("_is")).alias("status"))
 
 
 def pause_active(jobs: DataFrame) -> DataFrame:

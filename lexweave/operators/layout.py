@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.markup import bare_text, figure_references, sanitize_html
 from lexweave.functions.replies import without_images
 from lexweave.functions.text import trim_all, without_spaces
+from lexweave.operators.order import composed_states, numbered, running_sum
+from lexweave.session import materialize
 
 
 def assemble_lines(items: DataFrame, tolerance: float = 2.5) -> DataFrame:
@@ -16,23 +17,20 @@ def assemble_lines(items: DataFrame, tolerance: float = 2.5) -> DataFrame:
 
     Items go from top to bottom (heights rounded to two units), then left to right. An
     item joins a line within ``tolerance`` of the line's first item; a line that
-    ends with a hyphen takes the next item without a space. A fold over one page at a time.
+    ends with a hyphen takes the next item without a space. Blank and null items go; without a place they stand at 0, heights are 10
+    where there is none, and 1 at least. The items of one page are folded where they are gathered.
     """
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(k=(page.y / 2).round()).sort_values(["k", "x", "item_no"], ascending=[False, True, True])
-        rows: list[list] = []
-        for s, y, h in zip(page.str, page.y, page.height, strict=True):
-            if rows and abs(y - rows[-1][1]) <= tolerance:
-                rows[-1][0] += s if rows[-1][0].endswith("-") else f" {s}"
-                rows[-1][2] = max(rows[-1][2], h)
-            else:
-                rows.append([s, y, h])
-        first = page.iloc[0]
-        return pd.DataFrame([(first.doc_id, first.page, n, *r) for n, r in enumerate(rows)], columns=["doc_id", "page", "line_no", "text", "y", "height"])
-
-    kept = items.where(trim_all(F.col("str")) != "").withColumn("str", trim_all(F.col("str")))
-    return kept.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, line_no int, text string, y double, height double")
+    text, y = trim_all(F.col("str")), F.coalesce("y", F.lit(0.0))
+    placed = items.withColumns({"_t": text, "_y": y, "_h": F.greatest(F.lit(1.0), F.abs(F.coalesce("height", F.lit(10.0))))}).where(F.col("_t") != "")
+    item = F.struct((-F.rint(F.col("_y") / 2)).alias("k"), F.coalesce("x", F.lit(0.0)).alias("x"), "item_no", F.col("_t").alias("text"), F.col("_y").alias("y"), F.col("_h").alias("h"))
+    pages = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))  # one page's items
+    line = "named_struct('text', i.text, 'y', i.y, 'height', i.h)"
+    joins = f"a.now IS NOT NULL AND abs(i.y - a.now.y) <= {tolerance!r}D"
+    longer = "named_struct('text', concat(a.now.text, IF(a.now.text LIKE '%-', '', ' '), i.text), 'y', a.now.y, 'height', greatest(a.now.height, i.h))"
+    kind = "struct<text:string,y:double,height:double>"
+    step = f"IF({joins}, named_struct('done', a.done, 'now', {longer}), named_struct('done', IF(a.now IS NULL, a.done, concat(a.done, array(a.now))), 'now', {line}))"
+    lines = F.expr(f"aggregate(items, named_struct('done', CAST(array() AS array<{kind}>), 'now', CAST(NULL AS {kind})), (a, i) -> {step}, a -> concat(a.done, array(a.now)))")
+    return pages.select("doc_id", "page", F.posexplode(lines).alias("line_no", "l")).select("doc_id", "page", "line_no", "l.text", "l.y", "l.height")
 
 
 def joined_with_hyphens(texts: Column) -> Column:
@@ -96,33 +94,54 @@ def is_upper(c: Column) -> Column:
     return (F.length(F.regexp_replace(c, "[^A-Za-zÁÉÍÓÚÜÑáéíóúüñ]", "")) >= 4) & (F.length(c) <= 120) & (F.upper(c) == c) & ~c.rlike(SENTENCE_END)
 
 
-def split_sections(paras: DataFrame) -> DataFrame:
+#: A walk over paragraphs. States: no heading yet, some heading, and the next line may be the first, second or third of a numbered title.
+#: Paragraphs: 0 plain, 1 upper case, 2 chapter line, 3 number before an upper-case line, 4 other number; 5 to 8 the last three (and
+#: the plain one) when they are upper case themselves.
+_PLAIN, _FOUND, _FIRST, _SECOND, _THIRD = range(5)
+
+
+def _walk(kind: int) -> tuple[int, ...]:
+    upper, kind = kind in (1, 6, 7, 8), {6: 2, 7: 3, 8: 4}.get(kind, kind)
+    afresh = lambda found: _FIRST if kind == 3 else _FOUND if kind == 2 or found else _PLAIN
+    return tuple({_FIRST: _SECOND, _SECOND: _THIRD, _THIRD: _FOUND}[s] if s >= _FIRST and upper else afresh(s != _PLAIN) for s in range(5))
+
+
+NOTHING = "No se pudo extraer contenido util de esta página."  # fixed value: what stands for a page without text
+
+
+def split_sections(paras: DataFrame, pages: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """``paras(doc_id, page, pos, text)`` → (doc_id, section_no, title, n_paras, chars): sections with a body.
 
     Headings: a chapter line; a number or roman numeral with a dot or bracket, which takes one to three
-    upper-case lines after it into its title; once there was one of these, an upper-case line.
+    upper-case lines after it into its title, also such as are numerals; once there was one of these, an upper-case line.
     What stands before the first heading is the front matter. Headings without a body vanish. A document without
-    a heading, or without a body, has one section for each page.
+    a heading, or without a body, has one section for each page; of ``pages(doc_id, page)`` those without
+    paragraphs have a notice instead. The walk over a document's paragraphs is composed from parts, and sections are numbered by
+    running sums, so the paragraphs of one document never meet in one task.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    behind = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(False))
-    taken = lambda c: F.col("_u") & (behind(c, 1) | (behind(c, 2) & behind("_u", 1)) | (behind(c, 3) & behind("_u", 1) & behind("_u", 2)))
     x = paras.withColumn("text", trim_all(F.col("text")))
-    x = x.withColumns({"_u": is_upper(F.col("text")), "_nl": F.col("text").rlike(NUMBERED), "_ch": is_chapter(F.col("text"))})
-    x = x.withColumn("_nh", F.col("_nl") & F.coalesce(F.lead("_u").over(w), F.lit(False)))
-    x = x.withColumn("_nh", F.col("_nh") & ~taken("_nh"))  # a numeral such as XVIII) may itself be a title's line
-    x = x.withColumn("_co", taken("_nh")).withColumn("_base", F.col("_nh") | (F.col("_ch") & ~F.col("_nl") & ~F.col("_co")))
-    x = x.withColumn("_found", F.coalesce(F.max("_base").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    x = x.withColumn("_head", F.col("_base") | (F.col("_u") & F.col("_found") & ~F.col("_co") & ~F.col("_nl")))
-    x = x.withColumn("_sec", F.sum(F.col("_head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    named = F.col("_head") | F.col("_co")
-    whole = Window.partitionBy("doc_id")
-    x = x.withColumns({"_named": named, "_chapters": F.bool_or("_head").over(whole) & F.bool_or(~named).over(whole)})
-    x = x.withColumns({"_sec": F.when(F.col("_chapters"), F.col("_sec")).otherwise(F.col("page")), "_named": F.col("_named") & F.col("_chapters")})
-    title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_named"), F.struct("pos", "text")))), lambda t: t["text"]), " ")
+    upper, number = is_upper(F.col("text")), F.col("text").rlike(NUMBERED)
+    after = F.lead(is_upper(F.col("text"))).over(Window.partitionBy("doc_id").orderBy("pos"))
+    plain = F.when(number, F.when(F.coalesce(after, F.lit(False)), 3).otherwise(4)).when(is_chapter(F.col("text")), 2).otherwise(0)
+    symbol = F.when(upper, F.when(plain == 0, 1).otherwise(plain + 4)).otherwise(plain)
+    x = composed_states(x.withColumn("_kind", symbol.cast("int")), "doc_id", ["pos"], "_kind", [_walk(k) for k in range(9)], parts)
+    kind = F.when(F.col("_kind") > 5, F.col("_kind") - 4).otherwise(F.col("_kind"))
+    taken = (F.col("_was") >= _FIRST) & F.col("_kind").isin(1, 6, 7, 8)
+    head = ~taken & (kind.isin(2, 3) | ((kind == 1) & (F.col("_was") != _PLAIN)))
+    x = x.withColumns({"_co": taken, "_head": head})
+    x = materialize(running_sum(x, "_sec", F.col("_head").cast("int"), F.col("doc_id"), F.col("pos"), parts=parts).withColumn("_named", F.col("_head") | F.col("_co")))
+    whole = materialize(x.groupBy("doc_id").agg((F.bool_or("_head") & F.bool_or(~F.col("_named"))).alias("_chapters"), F.min(F.col("_sec") - F.col("_head").cast("int")).alias("_base")))
+    x = x.join(whole, "doc_id")
+    chapters = F.col("_chapters")
+    x = x.withColumns({"_sec": F.when(chapters, F.col("_sec") - F.col("_base")).otherwise(F.col("page")), "_named": F.col("_named") & chapters})
+    title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_named"), F.struct("pos", "text")))), lambda t: t["text"]), " ")  # a title's lines, four at most
     out = x.groupBy("doc_id", "_sec", "_chapters").agg(title.alias("title"), F.count_if(~F.col("_named")).alias("n_paras"), F.sum(F.when(~F.col("_named"), F.length("text")).otherwise(0)).alias("chars")).where("n_paras > 0")
-    title = F.when(~F.col("_chapters"), F.concat(F.lit(PAGE), F.col("_sec").cast("string"))).when(F.col("_sec") == 0, FRONT).otherwise(F.col("title"))
-    return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_sec")) - 1).cast("int").alias("section_no"), title.alias("title"), "n_paras", "chars")
+    if pages is not None:
+        bare = pages.select("doc_id", F.col("page").cast("long").alias("_sec")).join(whole.where("_chapters").select("doc_id"), "doc_id", "left_anti").join(paras.select("doc_id", F.col("page").cast("long").alias("_sec")).distinct(), ["doc_id", "_sec"], "left_anti")
+        out = out.unionByName(bare.select("doc_id", "_sec", F.lit(False).alias("_chapters"), F.lit("").alias("title"), F.lit(1).cast("long").alias("n_paras"), F.lit(len(NOTHING)).cast("long").alias("chars")))
+    title = F.when(~chapters, F.concat(F.lit(PAGE), F.col("_sec").cast("string"))).when(F.col("_sec") == 0, FRONT).otherwise(F.col("title"))
+    named = out.withColumn("title", title)
+    return numbered(named, "section_no", F.col("_sec"), within="doc_id").select("doc_id", F.col("section_no").cast("int").alias("section_no"), "title", "n_paras", "chars")
 
 
 def repeated_pages(pages: DataFrame, least: int = 300) -> DataFrame:
@@ -235,7 +254,7 @@ def page_reason(pages: DataFrame, most_figures: int = 16) -> DataFrame:
     framed = F.coalesce((F.col("page") == F.col("expected")) & typed & ~(F.col("join_previous_word") & ~F.col("continues_previous")), F.lit(False))
     sound = F.forall("_figures", lambda f: F.coalesce(f["id"].rlike(r"\Afig-[0-9]+\z"), F.lit(False)) & f["alt"].isNotNull() & is_fraction_box(f)) & (F.size(F.array_distinct(ids)) == F.size(ids))
     bound = (F.size(refs) == F.size(ids)) & (F.size(F.array_distinct(refs)) == F.size(refs)) & (F.size(F.array_except(refs, ids)) == 0)
-    damaged = F.length(F.col("_safe")) - F.length(F.replace(F.col("_safe"), F.lit("\ufffd"), F.lit("")))
+    damaged = F.length("html") - F.length(F.replace(F.col("html"), F.lit("\ufffd"), F.lit("")))  # as the page came, dropped elements too
     original = F.length(without_spaces(source))
     reason = (
         F.when(~framed, "structure")

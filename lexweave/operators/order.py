@@ -1,7 +1,10 @@
-"""Positions in a total order without one task for all rows."""
+"""Positions, running sums and states in a total order, without one task for all rows or for a key."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +48,46 @@ def running_sum(df: DataFrame, name: str, value: Column, *order: Column, parts:
     before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.sum("_value").over(Window.partitionBy("_part").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return placed.withColumn(name, own).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_own", "_before", "_value")
+
+
+def composed_states(df: DataFrame, key: str, order: list[str], symbol: str, steps: list[tuple[int, ...]], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_was`` and ``_is``: the state of ``key`` before and after each row, from state 0 on; a row of symbol k leads from
+    state s to ``steps[k][s]``, a null one leaves it. Eight states at most.
+
+    Rows are dealt by range of key and order, so a key with most of them is many parts. A part doesn't know the state it begins
+    with: it composes steps to maps of all states, packed in a number of three bits for each. The parts' last maps (one row for
+    each part) then tell where each begins, and a look-up in its rows' maps finishes.
+    """
+    n = len(steps[0])
+    packed = lambda m: sum(to << 3 * i for i, to in enumerate(m))
+    same = tuple(range(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        last, now, runs = object(), same, -1
+        for b in batches:
+            before, after, numbers = [], [], []
+            for k, x in zip(b.column(key).to_pylist(), b.column(symbol).to_pylist(), strict=True):
+                if k != last:
+                    last, now, runs = k, same, runs + 1
+                before.append(packed(now))
+                if x is not None:
+                    if (now, x) not in known:
+                        known[now, x] = tuple(steps[x][s] for s in now)
+                    now = known[now, x]
+                after.append(packed(now))
+                numbers.append(runs)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.int32()), pa.array(after, pa.int32()), pa.array(numbers, pa.int64())], names=[*b.schema.names, "_was", "_is", "_run"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _was int, _is int, _run long"
+    placed = parted(df, F.col(key), *[F.col(c) for c in order], parts=parts, then=lambda x: x.mapInArrow(run, schema))
+    ends = placed.groupBy("_part").agg(F.min_by(key, "_own").alias("first"), F.max_by(key, "_own").alias("last"), F.max("_run").alias("runs"), F.max_by("_is", "_own").alias("map"))
+    state, previous, begins = 0, (), []
+    for r in ends.orderBy("_part").collect():  # a row for each part
+        begin = state if previous == (r["first"],) else 0
+        begins.append((r["_part"], begin))
+        state, previous = r["map"] >> 3 * (0 if r["runs"] else begin) & 7, (r["last"],)
+    known = df.sparkSession.createDataFrame(begins, "_part long, _begin int")
+    begin = F.when(F.col("_run") == 0, F.col("_begin")).otherwise(F.lit(0))
+    at = lambda c: F.call_function("shiftright", F.col(c), begin * 3).bitwiseAND(F.lit(7)).alias(c)
+    return placed.join(F.broadcast(known), "_part").select(*df.columns, at("_was"), at("_is"))  # a row for each part

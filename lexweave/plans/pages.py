@@ -9,7 +9,7 @@ from lexweave.operators.layout import assemble_lines, assemble_paragraphs, split
 
 
 def document_sections(items: DataFrame) -> DataFrame:
-    """``items(doc_id, page, item_no, str, x, y, height)`` → sections, after page headers and footers went."""
+    """``items(doc_id, page, item_no, str, x, y, height)`` → sections, after page headers and footers went. Pages of blank items count as pages."""
     paras = strip_footers(strip_headers(assemble_paragraphs(assemble_lines(items))))
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "para_no"))
-    return split_sections(paras.select("doc_id", "page", pos.alias("pos"), "text"))
+    return split_sections(paras.select("doc_id", "page", pos.alias("pos"), "text"), items.select("doc_id", "page").distinct())

@@ -184,6 +184,34 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
     return layout.split_sections(lines.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.coalesce(marks, "text"))))
 
 
+def _placed_items(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as pieces of text on pages: suppliers are documents, parts are pages."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    y = F.lit(700) - ((k * 37 + n * 11) % 240) * 0.75
+    text = F.concat(F.lit(" w"), (k % 1000).cast("string"), F.when(k % 5 == 0, "-").otherwise(" "))
+    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("doc_id"), (F.col("l_partkey") % 25).cast("int").alias("page"), (k * 8 + n).alias("item_no"), F.when(k % 41 == 0, "  ").otherwise(text).alias("str"), ((k * 13 + n) % 400).cast("double").alias("x"), F.when(k % 53 != 0, y.cast("double")).alias("y"), F.when(k % 7 == 0, -4.0).when(k % 11 == 0, None).otherwise(8.0).alias("height"))
+
+
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    return layout.assemble_lines(_placed_items(spark, d))
+
+
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return layout.assemble_paragraphs(layout.assemble_lines(_placed_items(spark, d)))
+
+
+_ITEMS_SQL = """it AS (SELECT l_suppkey % 20 AS doc_id, CAST(l_partkey % 25 AS INT) AS page, l_orderkey * 8 + l_linenumber AS item_no, 'w' || l_orderkey % 1000 || CASE WHEN l_orderkey % 5 = 0 THEN '-' ELSE '' END AS t, CAST((l_orderkey * 13 + l_linenumber) % 400 AS DOUBLE) AS x,
+  CASE WHEN l_orderkey % 53 = 0 THEN 0 ELSE 700 - ((l_orderkey * 37 + l_linenumber * 11) % 240) * 0.75 END::DOUBLE AS y, CASE WHEN l_orderkey % 7 = 0 THEN 4 WHEN l_orderkey % 11 = 0 THEN 10 ELSE 8 END::DOUBLE AS h FROM lineitem WHERE l_orderkey % 41 <> 0),
+so AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y / 2, 0) DESC, x, item_no) AS n FROM it),
+wa AS (SELECT doc_id, page, n, 0 AS line_no, y AS anchor, t, h FROM so WHERE n = 1
+  UNION ALL SELECT so.doc_id, so.page, so.n, CASE WHEN abs(so.y - anchor) <= 2.5 THEN line_no ELSE line_no + 1 END, CASE WHEN abs(so.y - anchor) <= 2.5 THEN anchor ELSE so.y END, so.t, so.h FROM wa JOIN so ON so.doc_id = wa.doc_id AND so.page = wa.page AND so.n = wa.n + 1),
+li AS (SELECT doc_id, page, line_no, replace(string_agg(t, ' ' ORDER BY n), '- ', '-') AS text, min(anchor) AS y, max(h) AS height FROM wa GROUP BY 1, 2, 3)"""
+PAGE_LINES_SQL = f"WITH RECURSIVE {_ITEMS_SQL} SELECT doc_id, page, line_no, text, y, height FROM li"
+PAGE_PARAGRAPHS_SQL = f"""WITH RECURSIVE {_ITEMS_SQL},
+st AS (SELECT *, coalesce(lag(y) OVER w - y > greatest(lag(height) OVER w * 1.45, 11), false) AS s FROM li WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
+nu AS (SELECT *, CAST(sum(CAST(s AS INT)) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS INT) AS para_no FROM st)
+SELECT doc_id, page, para_no, replace(string_agg(text, ' ' ORDER BY line_no), '- ', '-') AS text FROM nu GROUP BY 1, 2, 3"""
+
 _CASED = lambda p: p.replace("\\A", "^").replace("\\z", "$")
 SECTIONS_SQL = f"""WITH {LINES_SQL},
 m AS (SELECT doc_id, CAST(floor(line_no / 5) + 1 AS INT) AS page, line_no AS pos, CASE WHEN doc_id % 3 = 0 THEN text WHEN line_no % 9 = 3 THEN 'Chapter ' || line_no WHEN line_no % 9 = 5 THEN 'XVIII)' WHEN line_no % 9 = 6 THEN 'IV.' WHEN line_no % 9 = 7 THEN 'THE SEA' WHEN line_no % 25 = 8 THEN 'Épílogo' ELSE text END AS text FROM lines),
@@ -264,7 +292,7 @@ def page_validation(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         F.lit(1).alias("expected"),
         F.when(k % 11 == 0, 2).otherwise(1).alias("page"),
-        F.concat(F.lit("<script>x</script><p>"), T.xml_escape(cut), F.lit("</p>"), F.when(k % 19 == 7, "").otherwise(images), F.when(k % 23 == 9, "\ufffd" * 9).otherwise("")).alias("html"),
+        F.concat(F.when(k % 31 == 8, "<script>" + "\ufffd" * 400 + "</script><p>").otherwise("<script>x</script><p>"), T.xml_escape(cut), F.lit("</p>"), F.when(k % 19 == 7, "").otherwise(images), F.when(k % 23 == 9, "\ufffd" * 9).otherwise("")).alias("html"),
         F.lit(False).alias("continues_previous"),
         (k % 29 == 3).alias("join_previous_word"),
         F.lit(False).alias("is_toc"),
@@ -289,7 +317,7 @@ def glossary_dedup(spark: SparkSession, d: str) -> DataFrame:
     return glossary(entries)
 
 
-QUERIES = {f.__name__: f for f in (text_batches, oversize_split, oversize_lossless, batch_context, translation_memory, missing_texts, translation_winner, recombine_fragments, id_set_validation, checkpoint_prefix, html_text_nodes, html_headings, heading_parent, page_headers, page_footers, section_split, repeated_page, coverage_check, search_identity, device_search, toc_links, bookmark_targets, anchor_resolution, preview_budget, page_validation, chapter_numbers, glossary_dedup)}
+QUERIES = {f.__name__: f for f in (text_batches, oversize_split, oversize_lossless, batch_context, translation_memory, missing_texts, translation_winner, recombine_fragments, id_set_validation, checkpoint_prefix, html_text_nodes, html_headings, heading_parent, page_headers, page_footers, page_lines, page_paragraphs, section_split, repeated_page, coverage_check, search_identity, device_search, toc_links, bookmark_targets, anchor_resolution, preview_budget, page_validation, chapter_numbers, glossary_dedup)}
 
 ORACLE_SQL = {
     "text_batches": f"WITH RECURSIVE {BATCHES_SQL} SELECT doc_id, batch_no, count(*) AS n_items, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY 1, 2",
@@ -314,6 +342,8 @@ SELECT doc_id, n_saved, n_same, n_same = n_saved AND (n_saved = m OR m = 2) AS i
 SELECT a.doc_id, a.pos, a.level, (SELECT max(b.pos) FROM m b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.level < a.level) AS parent_pos FROM m a""",
     "page_headers": _edge_sql(3, False),
     "page_footers": _edge_sql(2, True),
+    "page_lines": PAGE_LINES_SQL,
+    "page_paragraphs": PAGE_PARAGRAPHS_SQL,
     "section_split": SECTIONS_SQL.replace("WITH lines", "WITH RECURSIVE lines", 1),
     "repeated_page": f"""WITH t AS (SELECT conv_id AS doc_id, CAST(turn * 2 AS INT) AS page, text, text AS src FROM conversations UNION ALL SELECT conv_id, CAST(turn * 2 + 1 AS INT), replace(text, ' ', '  '), CASE WHEN turn * 2 % 4 = 0 THEN text ELSE text || 'x' END FROM conversations WHERE conv_id % 3 = 0),
 b AS (SELECT *, regexp_replace(text, '[{SPACE}]', '', 'g') AS t FROM t), p AS (SELECT *, lag(t) OVER w AS pt, lag(src) OVER w AS ps, lag(page) OVER w AS pp FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY page))
@@ -337,7 +367,7 @@ SELECT l.doc_id, link_no, href, CASE WHEN href NOT LIKE '#%' THEN href WHEN chap
     "preview_budget": f"""WITH {LINES_SQL}, x AS (SELECT doc_id, line_no AS pos, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lines)
 SELECT doc_id, pos, left(text, CAST(2000 - b AS BIGINT)) AS text FROM x WHERE b < 2000""",
     "page_validation": f"""WITH p AS (SELECT doc_id, doc_id % 18 AS nf, left(text, CAST(floor(length(text) * (50 + doc_id % 51) / 100) AS BIGINT)) || CASE WHEN doc_id % 23 = 9 THEN repeat(chr(65533), 9) ELSE '' END AS h, text AS s FROM documents),
-q AS (SELECT *, length(regexp_replace(h, '[{SPACE}]', '', 'g')) AS n, length(regexp_replace(s, '[{SPACE}]', '', 'g')) AS o, length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters, length(h) - length(replace(h, chr(65533), '')) AS bad FROM p)
+q AS (SELECT *, length(regexp_replace(h, '[{SPACE}]', '', 'g')) AS n, length(regexp_replace(s, '[{SPACE}]', '', 'g')) AS o, length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters, length(h) - length(replace(h, chr(65533), '')) + CASE WHEN doc_id % 31 = 8 THEN 400 ELSE 0 END AS bad FROM p)
 SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 29 = 3 THEN 'structure' WHEN nf > 16 THEN 'figures' WHEN doc_id % 17 = 5 AND nf > 0 THEN 'figure' WHEN doc_id % 19 = 7 AND nf > 0 THEN 'references'
 WHEN CASE WHEN doc_id % 13 = 0 THEN n > 0 OR nf > 0 ELSE n = 0 AND nf = 0 END THEN 'blank' WHEN bad > greatest(2, n * 0.005) THEN 'damaged' WHEN NOT contains(s, chr(65533)) AND letters > o * 0.6 AND o >= 300 AND n < o * 0.65 THEN 'coverage' END AS reason,
 length(regexp_replace(s, '\\W', '', 'g')) < 40 AS needs_ocr FROM q""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import archive, budget, catalog, jobs, layout, links, memory, readinglog, segment
+from lexweave.operators.order import parted
 from lexweave.plans.pages import document_sections
 from lexweave.plans.translate import translate_items
 from lexweave.sources import archives, files
@@ -318,7 +319,7 @@ def test_a_hot_key_replays_in_many_parts(spark):
     for parts in (None, 1, 23):
         out = jobs.replay_events(df, "k", ["n"], "e", parts=parts)
         assert {x.n: x.status for x in out.collect()} == want
-    placed = jobs.transition_maps(df, "k", ["n"], "e", 23)
+    placed = parted(df, F.col("k"), F.col("n"), parts=23)
     assert placed.where("k = 'hot'").select("_part").distinct().count() > 15
     assert jobs.replay_events(df.where("false"), "k", ["n"], "e").count() == 0
 
@@ -356,3 +357,48 @@ def test_an_outline_of_any_depth(spark):
     two = {x.place: (x.level, x.title) for x in out if x.doc_id == 2}
     assert len(two) == 302 and two[292] == (1, "x") and 293 not in two and two[294] == (2, "y") and 295 not in two and two[296] == (2, "y") and two[303] == (1, "x")
     assert [(x.doc_id, x.title) for x in out if x.doc_id > 2] == [(3, "d")]
+
+
+def test_title_lines_are_consumed_exactly(spark):
+    def walk(pages):
+        """Numbered headings take up to three upper-case lines; the walk goes on behind them."""
+        upper, number = lambda t: t.isupper() and sum(c.isalpha() for c in t) >= 4 and t[-1] not in ".!?;:", lambda t: t.rstrip(".)").isalnum() and t[-1] in ".)" and set(t[:-1].lower()) <= set("ivxlcdm")
+        flat, i, out, now, found = [t for p in pages for t in p], 0, [], ("Preliminares", 0), False
+        while i < len(flat):
+            head, used = None, 0
+            if number(flat[i]):
+                lines = []
+                for t in flat[i + 1 : i + 4]:
+                    if not upper(t):
+                        break
+                    lines.append(t)
+                if lines:
+                    head, used = " ".join([flat[i], *lines]), len(lines)
+            elif flat[i].startswith("Chapter ") or found and upper(flat[i]):
+                head = flat[i]
+            if head:
+                found = True
+                out, now = out + [now] * (now[1] > 0), (head, 0)
+            else:
+                now = (now[0], now[1] + 1)
+            i += 1 + used
+        out += [now] * (now[1] > 0)
+        return out if found and out else [(f"Página {k}", max(len(p), 1)) for k, p in enumerate(pages, 1)]
+
+    r = random.Random(11)
+    docs = [[["XVIII)"] * 5 + ["body"]], [["IV.", "XVIII)", "XVIII)", "XVIII)", "XVIII)", "XVIII)", "body", "THE SEA", "end"]], [[], ["a"], []], [["THE SEA"], []], [["a"] * 3, ["XVIII)"]]]
+    docs += [[[r.choice(["XVIII)", "XVIII)", "IV.", "THE SEA", "text", "Chapter 1"]) for _ in range(r.randrange(8))] for _ in range(3)] for _ in range(60)]
+    paras = [(d, p, 100 * p + i, t) for d, pages in enumerate(docs) for p, ts in enumerate(pages, 1) for i, t in enumerate(ts)]
+    pages = spark.createDataFrame([(d, p) for d, ps in enumerate(docs) for p in range(1, len(ps) + 1)], "doc_id long, page int")
+    for parts in (1, 9):
+        got = layout.split_sections(spark.createDataFrame(paras, "doc_id long, page int, pos int, text string"), pages, parts=parts).orderBy("doc_id", "section_no").collect()
+        for d, ps in enumerate(docs):
+            assert [(x.title, x.n_paras) for x in got if x.doc_id == d] == walk(ps), ps
+            assert [x.section_no for x in got if x.doc_id == d] == list(range(len(walk(ps))))
+
+
+def test_lines_stand_around_their_first_item(spark):
+    items = [(1, 1, i, t, x, y, h) for i, (t, x, y, h) in enumerate([("a-", 5.0, 100.0, 8.0), ("b", 9.0, 99.0, -12.0), ("c", 1.0, 96.0, 8.0), ("d", 2.0, 94.0, 0.2), (" ", 1.0, 50.0, 8.0), ("e", 1.0, 70.0, None), (None, 1.0, 60.0, 8.0), ("f", None, None, 8.0)])]
+    df = spark.createDataFrame(items, "doc_id long, page int, item_no int, str string, x double, y double, height double")
+    assert [(r.line_no, r.text, r.y, r.height) for r in layout.assemble_lines(df).orderBy("line_no").collect()] == [(0, "a-b", 100.0, 12.0), (1, "c d", 96.0, 8.0), (2, "e", 70.0, 10.0), (3, "f", 0.0, 8.0)]
+    assert [r.text for r in layout.assemble_paragraphs(layout.assemble_lines(df)).orderBy("para_no").collect()] == ["a-b c d", "e", "f"]
