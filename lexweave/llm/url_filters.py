@@ -38,7 +38,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def with_parts(df: DataFrame, url: str, name: str) -> DataFrame:
     """``df`` with ``<name>_rest`` (after ``://``, else null), ``_site``, ``_host``, ``_path`` and ``_node``: the identity of a URL in the graph.
 
-    Step by step, so that each part is computed once and the generated code stays small.
+    Step by step, so that each part is computed once.
     """
     rest, site, path, query = (F.col(f"{name}_{c}") for c in ("rest", "site", "path", "query"))
     at = F.instr(url, "://")
@@ -83,10 +83,12 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.transform(canonical, lambda t: _attribute(t, "href")),
         F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is);\s*url\s*=\s*['\"]?([^'\"]*)", 1)),
     )
-    found = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh")).select("url", F.substring_index("url", "://", 1).alias("scheme"), F.explode(written).alias("target"))
-    placed = with_target(with_parts(found, "url", "base"))
-    edges = with_parts(placed.select(F.col("base_node").alias("u"), "to"), "to", "to").select("u", F.col("to_node").alias("v"))
-    return edges.where("v is not null and u <> v").distinct()
+    linked = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh"))
+    # written twice, as a condition on a place would bring all its expressions into one method, beyond Java's bound
+    base = with_parts(linked.select("url", "html", F.substring_index("url", "://", 1).alias("scheme")), "url", "base")
+    found = materialize(base.select("scheme", "base_site", "base_path", "base_node", F.explode(written).alias("target")))
+    targets = with_target(found).select(F.col("base_node").alias("u"), "to").distinct()
+    return materialize(with_parts(targets, "to", "to").select("u", F.col("to_node").alias("v"))).where("v is not null and u <> v")
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -109,8 +111,7 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
 def judge_pages(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, component) for every row of ``pages``."""
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    edges = materialize(alias_edges(pages))
-    component = connected_components(edges)
+    component = connected_components(alias_edges(pages))
     nodes = with_parts(component.withColumn("at", F.concat(F.lit("x://"), "node")), "at", "at").select("node", "component", F.col("at_host").alias("host"), F.col("at_path").alias("path"))
     ruled = nodes.join(match_rules(nodes.select("host", "path"), rules), ["host", "path"], "left")
     spread = ruled.groupBy("component").agg(F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow"))

@@ -50,3 +50,63 @@ def test_empty_table(spark):
 def test_hub_of_aliases(spark):
     out = judge(spark, [(f"http://h{i}.info/", canonical("http://hub.org/es/")) for i in range(200)])
     assert {r.verdict for r in out.values()} == {"block"} and len({r.component for r in out.values()}) == 1
+
+
+def test_generated_code_compiles(spark):
+    from lexweave.llm.url_filters import alias_edges
+
+    df = spark.createDataFrame([("http://a.info/1", canonical("https://b.info/2?utm_source=x")), ("http://b.info/", "x")], "url string, html string")
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert [tuple(r) for r in alias_edges(df).collect()] == [("a.info/1", "b.info/2")]
+        out = judge(spark, [("http://a.info/1", canonical("https://b.info/2")), ("http://b.info/2", canonical("http://c.com/en/"))])
+        assert [out[i].verdict for i in range(2)] == ["block", "block"]
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+
+
+def test_random_aliases_against_union_find(spark):
+    import random
+
+    import brute
+
+    r = random.Random(6)
+    for _ in range(2):
+        urls = [f"http://h{i}.info/p" for i in range(120)] + [f"http://a{i}.example.com/en/7{i}" for i in range(6)] + [f"http://b{i}.com/en/{i}" for i in range(12)] + ["http://long.org/es/" + "x" * 50_000]
+        edges, pages = [], []
+        for i, u in enumerate(urls):
+            k = r.randrange(len(urls))
+            link = r.choice([canonical(urls[k]), f"<meta http-equiv='Refresh' content='3;URL={urls[k]}#f'>", "", ""])
+            if link and k != i:
+                edges.append((i, k))
+            pages.append((u, link))
+        comp = brute.components(range(len(urls)), edges)
+        own = {i: "allow" if "example.com" in u else "block" if ".com/" in u or ".org/es" in u else None for i, u in enumerate(urls)}
+        groups = {}
+        for i in comp:
+            groups.setdefault(comp[i], set()).add(own[i])
+        out = judge(spark, pages + pages[:5])
+        for i in range(len(pages) + 5):
+            j = i % len(pages)
+            spread = groups[comp[j]]
+            assert out[i].verdict == (own[j] or ("block" if "block" in spread and "allow" not in spread else "allow"))
+
+
+def test_a_hub_is_split(spark):
+    from lexweave.llm.components import _large_star
+    from lexweave.llm.common import materialize
+
+    knobs = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in knobs}
+    for k, v in knobs.items():
+        spark.conf.set(k, v)
+    try:
+        edges = materialize(spark.range(40_000).selectExpr("id + 10 as u", "if(id % 10 = 0, id + 9, 1L) as v"))
+        out = _large_star(edges)
+        out.write.format("noop").mode("overwrite").save()
+        done = out.collect() and out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in done
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
