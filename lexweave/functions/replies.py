@@ -16,20 +16,26 @@ PAGES = "struct<pages:array<struct<page:int,html:string,continuesPrevious:boolea
 
 
 def json_in(text: str) -> str | None:
-    """The JSON of a reply in normal form: the whole text, a fenced block, or the first balanced object or list that can be read."""
+    """The JSON of a reply in normal form: the whole text, a fenced block, or the first balanced object or list that can be read.
+
+    None if there is none, or if one is nested deeper than the reader goes.
+    """
     decoder = json.JSONDecoder(parse_constant=lambda c: _no(c))
     whole = text.strip()
     fenced = re.search(r"```(?:json)?\s*([\s\S]*?)\s*```", whole, re.IGNORECASE)
-    for candidate in [whole, *([fenced[1].strip()] if fenced else [])]:
-        try:
-            return json.dumps(decoder.decode(candidate), ensure_ascii=False)
-        except ValueError:
-            continue
-    for m in re.finditer(r"[{\[]", whole):  # what the decoder reads from here is balanced
-        try:
-            return json.dumps(decoder.raw_decode(whole, m.start())[0], ensure_ascii=False)
-        except (ValueError, RecursionError):
-            continue
+    try:
+        for candidate in [whole, *([fenced[1].strip()] if fenced else [])]:
+            try:
+                return json.dumps(decoder.decode(candidate), ensure_ascii=False)
+            except ValueError:
+                continue
+        for m in re.finditer(r"[{\[]", whole):  # what the decoder reads from here is balanced
+            try:
+                return json.dumps(decoder.raw_decode(whole, m.start())[0], ensure_ascii=False)
+            except ValueError:
+                continue
+    except RecursionError:
+        return None
     return None
 
 

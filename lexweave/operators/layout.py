@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.markup import bare_text, figure_references, sanitize_html
+from lexweave.functions.markup import page_facts
 from lexweave.functions.replies import without_images
 from lexweave.functions.text import trim_all, without_spaces
 from lexweave.operators.order import composed_states, numbered, running_sum
@@ -247,8 +247,8 @@ def page_reason(pages: DataFrame, most_figures: int = 16) -> DataFrame:
     """``pages(expected, page, html, continues_previous, join_previous_word, is_toc, is_blank, figures, source_text)`` with ``reason``:
     the first check that fails, else null. Lengths are those of the text without white space, after the markup was made safe."""
     figures, ids, refs = F.coalesce("figures", F.array().cast(FIGURES)), F.col("_ids"), F.col("_refs")
-    x = pages.withColumns({"_figures": figures, "_ids": F.transform(figures, lambda f: f["id"]), "_refs": figure_references(F.col("html")), "_safe": sanitize_html(F.col("page"), F.col("html"), figures)})
-    x = x.withColumns({"_n": F.length(without_spaces(bare_text(F.col("_safe")))), "_source": F.coalesce("source_text", F.lit(""))})
+    x = pages.withColumns({"_figures": figures, "_ids": F.transform(figures, lambda f: f["id"]), "_facts": page_facts(F.col("page"), F.col("html"), figures)})
+    x = x.withColumns({"_refs": F.col("_facts.references"), "_n": F.length(without_spaces(F.col("_facts.text"))), "_source": F.coalesce("source_text", F.lit(""))})
     n, source = F.col("_n"), F.col("_source")
     typed = F.col("html").isNotNull() & F.col("continues_previous").isNotNull() & F.col("join_previous_word").isNotNull() & F.col("is_toc").isNotNull() & F.col("is_blank").isNotNull()
     framed = F.coalesce((F.col("page") == F.col("expected")) & typed & ~(F.col("join_previous_word") & ~F.col("continues_previous")), F.lit(False))

@@ -29,8 +29,11 @@ def sample_items(chapters: DataFrame, budget: int = 2000) -> DataFrame:
     return cut.select("doc_id", "path", "pos", F.left("text", F.lit(budget) - F.col("_b")).alias("text"), "n_chapters")
 
 
-def sample_totals(items: DataFrame) -> DataFrame:
-    return items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum(F.length("text")).alias("chars"))
+def sample_totals(items: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(doc_id, n_items, chars, text_chars): what the sample holds, and the characters of all chapter entries as they are."""
+    long = F.aggregate("nodes", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x), F.lit(0)))
+    whole = chapters.where(is_chapter_entry(F.col("path"))).groupBy("doc_id").agg(F.sum(long).alias("text_chars"))
+    return items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum(F.length("text")).alias("chars")).join(whole, "doc_id")
 
 
 def sample_results(items: DataFrame, translated: DataFrame) -> DataFrame:

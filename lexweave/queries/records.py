@@ -46,7 +46,7 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 def safe_pages(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit('<section onclick="x" id="a b"><script>bad()</script><font>'), T.xml_escape(F.col("text")), F.lit('</font><a href="#n 1">1</a><a href="javascript:x">2</a><img data-figure="fig-1"><img src="http://x/y.png"></section>'))
     figures = F.array(F.struct(F.lit("fig-1").alias("id"), F.lit("A & B").alias("alt")))
-    return _docs(spark, d).select("doc_id", F.xxhash64(markup.sanitize_html(F.lit(7), html, figures)).alias("h"), F.length(markup.sanitize_html(F.lit(7), html, figures)).alias("chars")).drop("h")
+    return _docs(spark, d).select("doc_id", markup.sanitize_html(F.lit(7), html, figures).alias("html"))
 
 
 def fences_and_images(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +191,7 @@ def sample_preview(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("OEBPS/"), F.element_at(F.array(*map(F.lit, ("nav.xhtml", "c.xhtml", "cover.html", "d.htm", "e.css"))), (F.col("doc_id") % 5 + 1).cast("int")))
     chapters = _docs(spark, d).select(F.floor(F.col("doc_id") / 5).alias("doc_id"), (F.col("doc_id") % 5).alias("entry_no"), path.alias("path"), F.split("text", "\n").alias("nodes"))
     items = preview.sample_items(chapters)
-    return preview.sample_totals(items).join(items.groupBy("doc_id").agg(F.min("path").alias("path"), F.min("n_chapters").alias("n_chapters")), "doc_id")
+    return preview.sample_totals(items, chapters).join(items.groupBy("doc_id").agg(F.min("path").alias("path"), F.min("n_chapters").alias("n_chapters")), "doc_id")
 
 
 def preview_notes(spark: SparkSession, d: str) -> DataFrame:
@@ -380,7 +380,7 @@ e AS (SELECT doc_id, turn * 100000 + i AS pos, trim(w, {TRIM}) AS source, trim('
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(source) ORDER BY pos) AS n FROM e WHERE source <> '')
 SELECT doc_id, pos, source, target, type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM f WHERE n = 1) WHERE r <= 100""",
     "page_text": f"""SELECT doc_id, trim(regexp_replace(left(text, CAST(floor(length(text) / 2) AS BIGINT)) || '  ' || substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1) || ' end', '{JS_SPACES}', ' ', 'g')) AS text FROM documents""",
-    "safe_pages": """SELECT doc_id, length('<section id="p7-a-b"><a href="#p7-n-1">1</a><a>2</a><img src="../images/p7-fig-1.png" alt="A &amp; B"/></section>') + length(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(173), '')) AS chars FROM documents""",
+    "safe_pages": """SELECT doc_id, '<section id="p7-a-b">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(173), '') || '<a href="#p7-n-1">1</a><a>2</a><img src="../images/p7-fig-1.png" alt="A &amp; B"/></section>' AS html FROM documents""",
     "fences_and_images": """SELECT doc_id, length(ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) + 1 AS chars, length(replace(text, left(text, 5), '#')) - length(text) AS shorter FROM documents""",
     "prompts": """SELECT conv_id, turn, length('Glossary:' || chr(10) || CASE WHEN turn % 2 = 0 THEN '- a => b (term)' ELSE '(none)' END || chr(10) || chr(10) || 'Context, not to be translated:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Items:' || chr(10) || CAST(to_json([{'id': CAST(turn AS VARCHAR), 'text': text}]) AS VARCHAR)) AS chars FROM conversations""",
     "translation_plan": f"""WITH {LINES_SQL} SELECT doc_id, line_no, CASE WHEN text IN (SELECT text FROM lines WHERE doc_id % 3 = 0) THEN '[M] ' ELSE '[ES] ' END || text AS text FROM lines WHERE length(text) <= 2400""",
@@ -407,7 +407,7 @@ SELECT d.doc_id, d.doc_id % 2 AS done, CASE WHEN d.doc_id % 3 = 0 OR n IS NULL T
 c AS (SELECT doc_id, count(*) AS n_chapters, arg_min(entry_no, entry_no) FILTER (WHERE len(nodes) > 0) AS e, arg_min(nodes, entry_no) FILTER (WHERE len(nodes) > 0) AS nodes FROM e GROUP BY 1),
 x AS (SELECT doc_id, n_chapters, e, unnest(nodes) AS t, generate_subscripts(nodes, 1) AS i FROM c WHERE e IS NOT NULL),
 y AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x)
-SELECT doc_id, count(*) AS n_items, CAST(sum(least(length(t), 2000 - b)) AS BIGINT) AS chars, 'OEBPS/' || CASE min(e) WHEN 1 THEN 'c.xhtml' ELSE 'd.htm' END AS path, min(n_chapters) AS n_chapters FROM y WHERE b < 2000 GROUP BY 1""",
+SELECT doc_id, count(*) AS n_items, CAST(sum(least(length(t), 2000 - b)) AS BIGINT) AS chars, 'OEBPS/' || CASE min(e) WHEN 1 THEN 'c.xhtml' ELSE 'd.htm' END AS path, min(n_chapters) AS n_chapters, min(all_chars) AS text_chars FROM y JOIN (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS doc_id, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS all_chars FROM documents WHERE doc_id % 5 IN (1, 3) GROUP BY 1) z USING (doc_id) WHERE b < 2000 GROUP BY 1""",
     "preview_notes": r"""WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 'ÍNDICE ' || text ELSE left(text, 60) END AS t FROM conversations WHERE turn < 3),
 s AS (SELECT doc_id, bool_or(regexp_matches(lower(t), 'table of contents|contents|índice|indice|contenido|sommaire|inhaltsverzeichnis')) AS toc_in_sample, bool_or(length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) < 40) AS ocr FROM p GROUP BY 1)
 SELECT doc_id, toc_in_sample, array_to_string(list_filter([CASE WHEN doc_id % 2 <> 0 THEN 'no-bookmarks' END, CASE WHEN NOT toc_in_sample THEN 'no-index-in-sample' END, CASE WHEN ocr THEN 'ocr-needed' END], lambda z: z IS NOT NULL), ',') AS warnings FROM s""",

@@ -112,3 +112,14 @@ def test_keyed_metadata(spark):
     df = spark.createDataFrame([("a.kfx", bytearray(block)), ("b.kfx", bytearray(b"none"))], "path string, content binary")
     assert {r.path: (r.title, r.authors) for r in outline.keyed_metadata(df).collect()} == {"a.kfx": ("El mar azul", ["Some Writer"]), "b.kfx": (None, [])}
     assert spark.range(1).select(replies.redacted(F.lit("key k1 k1"), F.lit("k1")).alias("x")).first().x == "key [redacted] [redacted]"
+
+
+def test_markup_and_replies_of_any_depth(spark):
+    from lexweave.functions import replies
+
+    deep = "<div>" * 10_000 + "x<script>y</script>" + "</div>" * 10_000
+    assert markup.plain_text(deep) == "xy" and len(list(markup.walk(markup.Fragment(deep).root))) == 10_003
+    assert markup.safe_markup(1, deep, {}) == "<div>" * 10_000 + "x" + "</div>" * 10_000
+    assert markup.safe_markup(1, "<p><img data-figure='f'><img data-figure='g'>a</p>", {"f": ""}) == '<p><img src="../images/p1-f.png" alt=""/>a</p>'
+    assert replies.json_in("[" * 200_000) is None and replies.json_in("```json\n" + "[" * 200_000 + "\n```") is None
+    assert replies.json_in("see [1] or {") == "[1]"
