@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.operators.memory import apply_memory, missing_texts
+from lexweave.operators.order import numbered
 from lexweave.operators.segment import recombine, split_oversized
+from lexweave.session import folder_exists, materialize, release
 
 Translator = Callable[[list[str]], list[str]]
 
@@ -58,9 +61,80 @@ def translate_texts(texts: DataFrame, translator: Translator) -> DataFrame:
     return texts.select("text").mapInArrow(run, "source_text string, target_text string")
 
 
-def translate_items(items: DataFrame, keys: list[str], memory: DataFrame, translator: Translator = mock_translator) -> DataFrame:
-    """``items(keys..., text)`` translated: long ones in pieces, known texts from memory, every other text once."""
+ROUND = "batch string, tries int, texts array<string>, answers array<string>, error string"
+
+
+def _attempts(spark: SparkSession, path: str) -> DataFrame:
+    """All rounds of a ledger that stand in its folder, whole or not."""
+    return spark.read.schema(ROUND).option("recursiveFileLookup", "true").parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], ROUND)
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """(source_text, target_text) of a ledger, each text once."""
+    each = _attempts(spark, path).where("answers is not null").select(F.inline(F.arrays_zip(F.col("texts").alias("source_text"), F.col("answers").alias("target_text"))))
+    return each.groupBy("source_text").agg(F.min("target_text").alias("target_text"))
+
+
+def translate_durably(texts: DataFrame, translator: Translator, path: str, *, batch: int = 20, tries: int = 3, most_tasks: int = 10_000) -> DataFrame:
+    """(source_text, target_text) of the distinct ``texts(text)``, asked for in rounds over a ledger in the folder ``path``.
+
+    A round asks once for every open batch, a task for each batch (for a few, beyond ``most_tasks``), and writes what came of it: answers,
+    or what went wrong. Failed batches come again in the next round; after ``tries`` failures their halves do, down to single texts. A task's rows
+    stand in the folder as soon as it ends, also if the round is then broken off, and a call on the same folder asks only for texts
+    without an answer. So a lost executor or a killed driver costs the requests that were under way, and no answered text is asked for again.
+
+    An exhausted budget ends the call after its round, and so does a text that no try answers (when nothing else is open); answers stay.
+    Null texts are left out; empty ones are asked for like others.
+    """
+    spark = texts.sparkSession
+    fresh = texts.select("text").where("text is not null").distinct().join(answers(spark, path).select(F.col("source_text").alias("text")), "text", "left_anti")
+    placed = numbered(fresh, "n", F.col("text"))
+    grouped = placed.groupBy(F.floor(F.col("n") / batch).alias("b")).agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    waiting = materialize(grouped.select(F.col("b").cast("string").alias("batch"), F.lit(0).alias("tries"), "texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                asked, out, error = b.column(2)[k].as_py(), None, None
+                try:
+                    out = translator(asked)
+                    if len(out) != len(asked) or not all(out):
+                        out, error = None, "an answer is missing"
+                except BudgetExceeded:
+                    error = BUDGET
+                except Exception as e:  # noqa: BLE001  whatever a remote model's client raises
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([b.column(1)[k].as_py() + 1], pa.int32()), b.column(2).slice(k, 1), pa.array([out], pa.list_(pa.string())), pa.array([error], pa.string())], names=["batch", "tries", "texts", "answers", "error"])
+
+    given_up = 0
+    while n := waiting.count():
+        at = f"{path}/{uuid.uuid4().hex}"
+        # each task's file stands when it ends, not only when all have ended
+        waiting.repartition(min(n, most_tasks)).mapInArrow(run, ROUND).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(at)
+        failed = spark.read.schema(ROUND).parquet(at).where("answers is null")
+        if not failed.where(F.col("error") == BUDGET).isEmpty():
+            raise BudgetExceeded("no further request may be sent; answers so far are kept")
+        again = failed.where(F.col("tries") < tries).select("batch", "tries", "texts")
+        spent = failed.where(F.col("tries") >= tries)
+        given_up += spent.where(F.size("texts") < 2).count()
+        half = F.ceil(F.size("texts") / 2).cast("int")
+        halves = F.array(F.struct(F.concat("batch", F.lit(".0")).alias("batch"), F.slice("texts", F.lit(1), half).alias("texts")), F.struct(F.concat("batch", F.lit(".1")).alias("batch"), F.slice("texts", half + 1, F.size("texts")).alias("texts")))
+        split = spent.where(F.size("texts") > 1).select(F.inline(halves)).select("batch", F.lit(0).alias("tries"), "texts")
+        last, waiting = waiting, materialize(again.unionByName(split))
+        release(last)
+    if given_up:
+        raise RuntimeError(f"{given_up} texts without translation after {tries} tries each")
+    return answers(spark, path).join(texts.select(F.col("text").alias("source_text")).distinct(), "source_text", "left_semi")
+
+
+BUDGET = "budget"
+
+
+def translate_items(items: DataFrame, keys: list[str], memory: DataFrame, translator: Translator = mock_translator, ledger: str | None = None) -> DataFrame:
+    """``items(keys..., text)`` translated: long ones in pieces, known texts from memory, every other text once; with a folder for a
+    ``ledger`` in rounds that can be resumed."""
     pieces = split_oversized(items)
-    fresh = translate_texts(missing_texts(pieces, memory), translator)
+    missing = missing_texts(pieces, memory)
+    fresh = translate_durably(missing, translator, ledger) if ledger else translate_texts(missing, translator)
     done = apply_memory(pieces, memory.select("source_text", "target_text").unionByName(fresh))
     return recombine(done.select(*keys, "part", F.col("translated").alias("text")), keys)

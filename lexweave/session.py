@@ -30,6 +30,11 @@ def _folder(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _folder(spark, path)
+    return fs.exists(where)
+
+
 def forget_later(spark: SparkSession, path: str) -> tuple:
     """Let an existing folder go with the session."""
     fs, where = _folder(spark, path)

@@ -402,3 +402,102 @@ def test_lines_stand_around_their_first_item(spark):
     df = spark.createDataFrame(items, "doc_id long, page int, item_no int, str string, x double, y double, height double")
     assert [(r.line_no, r.text, r.y, r.height) for r in layout.assemble_lines(df).orderBy("line_no").collect()] == [(0, "a-b", 100.0, 12.0), (1, "c d", 96.0, 8.0), (2, "e", 70.0, 10.0), (3, "f", 0.0, 8.0)]
     assert [r.text for r in layout.assemble_paragraphs(layout.assemble_lines(df)).orderBy("para_no").collect()] == ["a-b c d", "e", "f"]
+
+
+def test_answered_texts_are_not_asked_for_again(spark, tmp_path):
+    from lexweave.plans.translate import BudgetExceeded, _attempts, answers, translate_durably
+
+    texts = spark.createDataFrame([(f"t{i}",) for i in range(40)] + [("t1",), (None,)], "text string")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def note(batch, how, log=str(asked)):
+        import uuid
+
+        with open(f"{log}/{how}-{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(batch))
+
+    def dying(batch):
+        if "t7" in batch:
+            import os
+
+            os._exit(1)  # the worker is gone, and with it this request only
+        note(batch, "a")
+        return [t.upper() for t in batch]
+
+    def broke(batch):
+        if "t20" in batch:
+            raise BudgetExceeded
+        note(batch, "b")
+        return [t.upper() for t in batch]
+
+    def picky(batch):
+        note(batch, "c")
+        if len(batch) > 1:
+            raise ConnectionError
+        return [t.upper() for t in batch]
+
+    at = str(tmp_path / "ledger")
+    for translator, error in ((dying, Exception), (broke, BudgetExceeded)):
+        try:
+            translate_durably(texts, translator, at, batch=4)
+            raise AssertionError
+        except error:
+            pass
+    early = {r.source_text for r in answers(spark, at).collect()}
+    assert early and "t20" not in early and "t7" in early
+    out = translate_durably(texts, picky, at, batch=4, tries=2)
+    assert {(r.source_text, r.target_text) for r in out.collect()} == {(f"t{i}", f"T{i}") for i in range(40)}
+    said = {how: [t for f in asked.glob(f"{how}-*") for t in f.read_text().split("\n")] for how in "abc"}
+    assert len(said["b"]) == len(set(said["b"])) and not early & set(said["c"])
+    assert not {r.source_text for r in _attempts(spark, at).where("answers is not null").selectExpr("explode(texts) as source_text").groupBy("source_text").count().where("count > 1").collect()}
+
+    def deaf(batch):
+        raise ConnectionError
+
+    try:
+        translate_durably(spark.createDataFrame([("new",), ("t1",)], "text string"), deaf, at, tries=2)
+        raise AssertionError
+    except RuntimeError as e:
+        assert "1 texts" in str(e)
+
+
+def test_a_broken_off_stream_ends_alike(spark, tmp_path):
+    from lexweave.streaming.resume import read_written, write_once
+
+    for i in range(4):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    calls = []
+
+    def stumbling(df):
+        calls.append(1)
+        if len(calls) == 3:
+            df.limit(3).write.mode("overwrite").parquet(str(tmp_path / "out" / "batch=2"))  # half a batch stands
+            raise RuntimeError("killed")
+        return df
+
+    try:
+        write_once(stream(), str(tmp_path / "out"), str(tmp_path / "state"), stumbling).awaitTermination()
+        raise AssertionError
+    except Exception as e:  # noqa: BLE001
+        assert "killed" in str(e)
+    write_once(stream(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    write_once(stream(), str(tmp_path / "once"), str(tmp_path / "state2")).awaitTermination()
+    rows = lambda where: sorted((r.batch, r.id) for r in read_written(spark, str(tmp_path / where)).collect())
+    assert rows("out") == rows("once") and len(rows("out")) == 40
+
+
+def test_restoring_keeps_what_was_there(spark):
+    from lexweave.operators import revisions
+
+    rid = lambda n: f"170000000000{n}-" + "a" * 36
+    js = spark.createDataFrame([(1, "done", "a.epub", "now1"), (2, "paused", "b.epub", "now2"), (3, "done", None, "now3"), (4, "done", "d.epub", "now4"), (5, "done", "e.epub", "now5")], "job_id int, status string, output_file string, content string")
+    rs = spark.createDataFrame([(j, rid(n), n, "x", f"old{j}{n}") for j in (1, 2, 3, 4) for n in (1, 2)] + [(5, "../x", 1, "x", "bad")], "job_id int, revision_id string, created_at int, file_name string, content string")
+    asked = spark.createDataFrame([(1, rid(1), 9, rid(9)), (2, rid(1), 9, rid(9)), (3, rid(1), 9, rid(9)), (4, rid(7), 9, rid(9)), (5, "../x", 9, rid(9))], "job_id int, revision_id string, at int, new_id string")
+    after, added = revisions.restore(js, rs, asked)
+    assert {(r.job_id, r.content, r.outcome) for r in after.collect()} == {(1, "old11", "restored"), (2, "now2", "refused"), (3, "now3", "refused"), (4, "now4", "refused"), (5, "now5", "refused")}
+    assert [tuple(r) for r in added.collect()] == [(1, rid(9), 9, "a.epub", "now1")]
+    more = rs.unionByName(added)
+    back = revisions.as_of(more, spark.createDataFrame([(1, 1), (1, 8), (1, 9), (1, 0)], "job_id int, at int"))
+    assert {(r.at, r.content) for r in back.collect()} == {(1, "old11"), (8, "old12"), (9, "now1"), (0, None)}
