@@ -13,9 +13,9 @@ def missing_texts(items: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def winning_translations(fresh: DataFrame) -> DataFrame:
-    """(source_text, target_text): of the first batch that holds a text the last of its duplicates."""
-    w = Window.partitionBy("text").orderBy(F.asc("batch_no"), F.desc("line_no"))
-    return fresh.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("text").alias("source_text"), F.col("translated").alias("target_text"))
+    """(source_text, target_text): of the first batch that holds a text the last of its duplicates. A minimum, combined before the shuffle."""
+    first = F.min_by("translated", F.struct("batch_no", (-F.col("line_no")).alias("line_no")))
+    return fresh.groupBy(F.col("text").alias("source_text")).agg(first.alias("target_text"))
 
 
 def apply_memory(items: DataFrame, memory: DataFrame) -> DataFrame:

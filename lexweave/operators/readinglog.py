@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import is_reading_date, trim_all
+from lexweave.functions.text import is_reading_date, search_key, trim_all
 
 
 def filter_books(books: DataFrame, status: str | None = None, year: str | None = None, query: str = "") -> DataFrame:
@@ -59,12 +59,45 @@ def change_status(books: DataFrame, patch: DataFrame, now: str) -> DataFrame:
 
 
 def latest_rows(log: DataFrame, key: str = "id", version: str = "version", deleted: str = "is_deleted") -> DataFrame:
-    """State of an append-only change log: the newest row of each key that isn't a deletion."""
-    w = Window.partitionBy(key).orderBy(F.desc(version))
-    return log.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) & ~F.col(deleted)).drop("_n")
+    """State of an append-only change log: the newest row of each key that isn't a deletion. A maximum, combined before the shuffle."""
+    newest = log.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*log.columns), version).alias("_r"))
+    return newest.select("_r.*").where(~F.col(deleted))
 
 
 def device_search(books: DataFrame, query: str) -> DataFrame:
     """Books whose title, file or authors contain the query without regard to case and accents; devices without a hit drop out."""
     text = F.collate(F.concat_ws(" ", "title", "file_name", "authors"), "UNICODE_CI_AI")
     return books.where(text.contains(F.collate(F.lit(query.strip()), "UNICODE_CI_AI")))
+
+
+def search_text() -> Column:
+    return search_key(F.concat_ws(" ", "title", "file_name", "authors"))
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of three characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def search_postings(books: DataFrame, id_col: str) -> DataFrame:
+    """(gram, id) for every run of three characters of a book's search text: the index of :func:`indexed_search`, to be written once."""
+    texts = books.select(search_text().alias("_text"), F.col(id_col).alias("id"))
+    return texts.select(F.explode(_grams(F.col("_text"))).alias("gram"), "id").where(F.length("gram") == 3)
+
+
+def indexed_search(books: DataFrame, id_col: str, postings: DataFrame, query: str, rarest: int = 4) -> DataFrame:
+    """Books whose search text contains the query's, by an index: those that hold the ``rarest`` of its runs of three characters are looked at.
+
+    Only postings of these runs are read. A query of fewer than three characters has none, and every book is looked at; ids are unique.
+    """
+    key = books.sparkSession.range(1).select(search_key(F.lit(query.strip())).alias("k")).first()["k"]
+    grams = sorted({key[i : i + 3] for i in range(len(key) - 2)})
+    if grams:
+        own = postings.where(F.col("gram").isin(grams))
+        counts = {r["gram"]: r["n"] for r in own.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # the query's own runs
+        if len(counts) < len(grams):
+            return books.where("false")
+        few = sorted(grams, key=lambda g: (counts[g], g))[:rarest]
+        ids = own.where(F.col("gram").isin(few)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(few))
+        books = books.join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return books.where(search_text().contains(F.lit(key)))

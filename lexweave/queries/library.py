@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexweave.operators import archive, budget, catalog, jobs, layout, readinglog
 from lexweave.session import forget_later, shared_dir, table
 from lexweave.sources.files import job_rows
+from lexweave.sources.store import read_store, upsert
 from lexweave.streaming.stateful import admit_stream, job_states
 
 
@@ -60,6 +61,17 @@ def latest_rows(spark: SparkSession, d: str) -> DataFrame:
     return readinglog.latest_rows(li)
 
 
+def bucket_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as versions of an order, brought into a store in three steps, the last one late and in part a repeat."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("version"), F.col("l_quantity").alias("value"), (F.col("l_linenumber") == 4).alias("is_deleted"))
+    li = li.groupBy("id", "version").agg(F.max("value").alias("value"), F.bool_or("is_deleted").alias("is_deleted"))
+    at = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    for part in (li.where("version in (1, 3)"), li.where("version > 3"), li.where("version in (2, 4)")):
+        upsert(part, at, buckets=16)
+    forget_later(spark, at)
+    return read_store(spark, at, li.schema)
+
+
 def reading_dates(spark: SparkSession, d: str) -> DataFrame:
     from lexweave.functions.text import is_reading_date
 
@@ -327,7 +339,7 @@ def page_batches(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_batches(pages, pages.where("(doc_id + page) % 3 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (reading_months, year_list, monthly_activity, status_counts, reading_filter, status_change, latest_rows, reading_dates, job_listing, queue_reindex, queue_move, next_queue_order, record_upgrade, stored_jobs, bulk_updates, start_order, left_after_delete, public_projection, active_time, job_replay, budget_ledger, ledger_merge, budget_admission, stream_budget, stream_job_states, manifest_verify, archive_limits, locale_sort, contiguous_prefix, json_shred, catalog_merge, catalog_interleave, page_batches)}
+QUERIES = {f.__name__: f for f in (reading_months, year_list, monthly_activity, status_counts, reading_filter, status_change, latest_rows, bucket_upsert, reading_dates, job_listing, queue_reindex, queue_move, next_queue_order, record_upgrade, stored_jobs, bulk_updates, start_order, left_after_delete, public_projection, active_time, job_replay, budget_ledger, ledger_merge, budget_admission, stream_budget, stream_job_states, manifest_verify, archive_limits, locale_sort, contiguous_prefix, json_shred, catalog_merge, catalog_interleave, page_batches)}
 
 REINDEX_SQL = "SELECT job_id, kind, row_number() OVER (PARTITION BY kind ORDER BY coalesce(queue_order, 0), created_at, job_id) - 1 AS queue_order FROM jobs WHERE status IN ('paused', 'pending')"
 
@@ -341,6 +353,7 @@ ORACLE_SQL = {
 SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'read' ELSE 'reading' END ELSE status END AS status, CASE WHEN id % 3 = 0 AND id % 2 = 1 AND started_at IS NULL THEN '2026-01-01' ELSE started_at END AS started_at,
 CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN NULL WHEN id % 3 = 0 AND id % 2 = 0 AND finished_at IS NULL THEN '2026-01-01' ELSE finished_at END AS finished_at FROM b""",
     "latest_rows": "WITH l AS (SELECT l_orderkey AS id, l_linenumber AS version, max(l_quantity) AS value, l_linenumber = 4 AS is_deleted FROM lineitem GROUP BY 1, 2, 4), x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS n FROM l) SELECT id, version, value, is_deleted FROM x WHERE n = 1 AND NOT is_deleted",
+    "bucket_upsert": "WITH l AS (SELECT l_orderkey AS id, l_linenumber AS version, max(l_quantity) AS value, l_linenumber = 4 AS is_deleted FROM lineitem GROUP BY 1, 2, 4), x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS n FROM l) SELECT id, version, value, is_deleted FROM x WHERE n = 1 AND NOT is_deleted",
     "reading_dates": "SELECT o_orderkey, try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AND CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN o_orderkey % 26 < 24 WHEN 4 THEN o_orderkey % 26 < 24 ELSE false END AS is_valid FROM orders",
     "job_listing": f"""WITH {JOBS_SQL}, p AS (SELECT *, status IN ('paused', 'pending') AS queued, CASE status WHEN 'processing' THEN 0 WHEN 'pausing' THEN 1 WHEN 'paused' THEN 2 WHEN 'pending' THEN 2 END + CASE WHEN kind = 'epub-translation' THEN 0 ELSE 3 END AS pr FROM jobs)
 SELECT job_id, kind, status, row_number() OVER (ORDER BY coalesce(pr, 6), CASE WHEN queued THEN coalesce(queue_order, 9007199254740991) END NULLS FIRST, created_at DESC, job_id) AS position FROM p""",

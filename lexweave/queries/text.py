@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import layout, links, memory, segment
-from lexweave.session import table
+from lexweave.operators import layout, links, memory, readinglog, segment
+from lexweave.session import materialize, table
 from lexweave.sources.archives import text_nodes
 
 LIMIT = segment.MAX_TOKENS * 4
@@ -250,10 +250,19 @@ def search_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def device_search(spark: SparkSession, d: str) -> DataFrame:
-    from lexweave.operators.readinglog import device_search as search
+    return readinglog.device_search(_shelf(spark, d), "ÉLE").select("doc_id", F.length("title").alias("chars"))
 
-    books = _docs(spark, d).select("doc_id", F.col("text").alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_name"), F.lit("").alias("authors"))
-    return search(books, "ÉLE").select("doc_id", F.length("title").alias("chars"))
+
+def _shelf(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.col("text").alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_name"), F.lit("").alias("authors"))
+
+
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Two queries over a written index: words that some texts hold, and one that none does."""
+    books = _shelf(spark, d)
+    postings = materialize(readinglog.search_postings(books, "doc_id").repartition("gram").sortWithinPartitions("gram"))
+    found = [readinglog.indexed_search(books, "doc_id", postings, q).select("doc_id", F.lit(q).alias("query")) for q in ("Ción de", "THE the", "zzq")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def toc_links(spark: SparkSession, d: str) -> DataFrame:
@@ -317,7 +326,7 @@ def glossary_dedup(spark: SparkSession, d: str) -> DataFrame:
     return glossary(entries)
 
 
-QUERIES = {f.__name__: f for f in (text_batches, oversize_split, oversize_lossless, batch_context, translation_memory, missing_texts, translation_winner, recombine_fragments, id_set_validation, checkpoint_prefix, html_text_nodes, html_headings, heading_parent, page_headers, page_footers, page_lines, page_paragraphs, section_split, repeated_page, coverage_check, search_identity, device_search, toc_links, bookmark_targets, anchor_resolution, preview_budget, page_validation, chapter_numbers, glossary_dedup)}
+QUERIES = {f.__name__: f for f in (text_batches, oversize_split, oversize_lossless, batch_context, translation_memory, missing_texts, translation_winner, recombine_fragments, id_set_validation, checkpoint_prefix, html_text_nodes, html_headings, heading_parent, page_headers, page_footers, page_lines, page_paragraphs, section_split, repeated_page, coverage_check, search_identity, device_search, indexed_search, toc_links, bookmark_targets, anchor_resolution, preview_budget, page_validation, chapter_numbers, glossary_dedup)}
 
 ORACLE_SQL = {
     "text_batches": f"WITH RECURSIVE {BATCHES_SQL} SELECT doc_id, batch_no, count(*) AS n_items, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY 1, 2",
@@ -352,6 +361,7 @@ SELECT doc_id, page, coalesce(pp = page - 1 AND t = pt AND src <> ps AND length(
 SELECT doc_id, s AS source_chars, o AS output_chars, s > 500 AND o < s * 0.55 AS is_rejected FROM d""",
     "search_identity": "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS identity FROM documents",
     "device_search": "SELECT doc_id, length(text) AS chars FROM documents WHERE contains(strip_accents(lower(text)), 'ele')",
+    "indexed_search": "SELECT doc_id, q AS query FROM documents, (VALUES ('Ción de', 'cion de'), ('THE the', 'the the'), ('zzq', 'zzq')) t(q, k) WHERE contains(strip_accents(lower(text)) || ' d' || doc_id || ' ', k)",
     "toc_links": f"""WITH {HEADINGS_SQL}, t AS (SELECT page_id % 20 AS doc_id, {KEY_SQL.format('title')} AS k, count(*) AS n, min('p-' || page_id || '-' || pos) AS a FROM headings GROUP BY 1, 2 HAVING {KEY_SQL.format('title')} <> ''),
 e AS (SELECT page_id % 20 AS doc_id, page_id AS entry_no, pos, CASE page_id % 4 WHEN 0 THEN title WHEN 1 THEN title || ' ..... ' || page_id WHEN 2 THEN title || '…… xiv ' ELSE title || page_id END AS text FROM headings),
 f AS (SELECT *, {KEY_SQL.format('text')} AS k1, {KEY_SQL.format("regexp_replace(text, '(?i)([.·…]{2,}[ ]*|[ ]+)([0-9]+|[ivxlcdm]+)[ ]*$', '')")} AS k2 FROM e)

@@ -501,3 +501,33 @@ def test_restoring_keeps_what_was_there(spark):
     more = rs.unionByName(added)
     back = revisions.as_of(more, spark.createDataFrame([(1, 1), (1, 8), (1, 9), (1, 0)], "job_id int, at int"))
     assert {(r.at, r.content) for r in back.collect()} == {(1, "old11"), (8, "old12"), (9, "now1"), (0, None)}
+
+
+def test_upserts_leave_other_files_alone(spark, tmp_path):
+    from lexweave.sources.store import read_store, upsert
+
+    schema, at = "id long, version int, value string, is_deleted boolean", str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    assert upsert(rows(), at) == 0
+    upsert(rows(*[(i, 1, f"a{i}", False) for i in range(200)], (None, 1, "n", False)), at, buckets=8)
+    files = lambda: {str(p.relative_to(at)) for p in (tmp_path / "store").rglob("*.parquet")}
+    before = files()
+    change = rows((3, 2, "b3", False), (4, 2, None, True), (900, 1, "new", False))
+    assert upsert(change, at, buckets=8) <= 3
+    after = files()
+    assert len(before & after) >= 5 and before - after
+    state = lambda: {r.id: r.value for r in read_store(spark, at, "id long, version int, value string, is_deleted boolean, _bucket int").collect()}
+    want = {**{i: f"a{i}" for i in range(200) if i != 4}, 3: "b3", 900: "new", None: "n"}
+    assert state() == want
+    upsert(change, at, buckets=8)  # a replay
+    upsert(rows((4, 1, "late", False), (3, 1, "old", False)), at, buckets=8)
+    assert state() == want
+    upsert(rows(*[(i, 9, None, True) for i in range(200)]), at, buckets=8)
+    assert state() == {900: "new", None: "n"}
+
+
+def test_an_index_finds_what_a_scan_finds(spark):
+    books = spark.createDataFrame([(i, t, f"f{i}.epub", "Núñez" if i % 2 else None) for i, t in enumerate(["El camión", "CAMION azul", "ab", "a", None, "miónca", "camín"])], "id int, title string, file_name string, authors string")
+    postings = readinglog.search_postings(books, "id")
+    find = lambda q: {r.id for r in readinglog.indexed_search(books, "id", postings, q).collect()}
+    assert find(" Camio ") == {0, 1} and find("nunez") == {1, 3, 5} and find("a") == {0, 1, 2, 3, 5, 6} and find("camionx") == set() and find("f4.e") == {4} and find("") == set(range(7))
