@@ -76,13 +76,13 @@ def search_text() -> Column:
 
 def _grams(text: Column) -> Column:
     """Distinct runs of three characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def search_postings(books: DataFrame, id_col: str) -> DataFrame:
     """(gram, id) for every run of three characters of a book's search text: the index of :func:`indexed_search`, to be written once."""
     texts = books.select(search_text().alias("_text"), F.col(id_col).alias("id"))
-    return texts.select(F.explode(_grams(F.col("_text"))).alias("gram"), "id").where(F.length("gram") == 3)
+    return texts.select(F.explode(_grams(F.col("_text"))).alias("gram"), "id")
 
 
 def indexed_search(books: DataFrame, id_col: str, postings: DataFrame, query: str, rarest: int = 4) -> DataFrame:
