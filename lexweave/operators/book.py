@@ -18,6 +18,7 @@ from lexweave.functions.markup import Element, Fragment, plain_text, sanitize_ht
 from lexweave.functions.text import section_slug, trim_all, xml_escape
 from lexweave.operators.layout import chapter_numbers
 from lexweave.operators.links import book_targets
+from lexweave.session import materialize, release
 
 BODY = r"<(?:p|h[1-6]|figure|table|ul|ol)\b"
 CONTAINER = '<?xml version="1.0" encoding="UTF-8"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
@@ -202,10 +203,16 @@ def book_entries(parts: DataFrame, toc: DataFrame, books: DataFrame, css: str =
 
 
 def structured_book(pages: DataFrame, bookmarks: DataFrame, books: DataFrame) -> DataFrame:
-    """Entries of the books of ``pages``; see :func:`prepare_pages`, :func:`chapters`, :func:`contents`."""
-    prepared = prepare_pages(pages)
-    parts = chapters(prepared, bookmarks, books.select("doc_id", "title"))
-    return book_entries(link_chapters(parts), contents(prepared, bookmarks, parts), books)
+    """Entries of the books of ``pages``; see :func:`prepare_pages`, :func:`chapters`, :func:`contents`.
+
+    Prepared pages, chapters and contents are read several times each, so they are written first.
+    """
+    prepared = materialize(prepare_pages(pages))
+    parts = materialize(chapters(prepared, bookmarks, books.select("doc_id", "title")))
+    toc = materialize(contents(prepared, bookmarks, parts))
+    linked = materialize(link_chapters(parts))
+    release(prepared, parts)
+    return book_entries(linked, toc, books)
 
 
 def simple_book(paragraphs: DataFrame, books: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +41,9 @@ def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def _folded(text: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F).lower()
-    return re.sub("[^a-z0-9]+", " ", plain).strip()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F)
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
 
 
 def signature(title: str, authors: list[str]) -> str | None:
@@ -48,46 +52,59 @@ def signature(title: str, authors: list[str]) -> str | None:
     return None if both == "|" else both
 
 
+def fold_candidates(records: Iterable[dict], categories: int = 8) -> list[dict]:
+    """The merged records of one query's candidates, in order of first appearance."""
+    merged: list[dict] = []
+    by_isbn: dict[str, int] = {}
+    by_signature: dict[str, int] = {}
+    for r in records:
+        r = {**r, "title": r["title"] or PLACEHOLDER, "authors": r["authors"] or [], "categories": r["categories"] or []}
+        at = by_isbn.get(r["isbn"]) if r["isbn"] else None
+        if at is None:
+            at = by_signature.get(signature(r["title"], r["authors"]))
+        if at is None:
+            at = len(merged)
+            merged.append({**r, "n_sources": 1})
+        else:
+            m = merged[at]
+            m["n_sources"] += 1
+            if m["title"] == PLACEHOLDER:
+                m["title"] = r["title"]
+            for k in ("open_library_key", "isbn", "cover_url", "first_publish_year"):
+                m[k] = r[k] if m[k] is None else m[k]
+            m["authors"] = m["authors"] or r["authors"]
+            m["categories"] = list(dict.fromkeys(m["categories"] + r["categories"]))[:categories]
+        if merged[at]["isbn"]:
+            by_isbn[merged[at]["isbn"]] = at
+        by_signature[signature(merged[at]["title"], merged[at]["authors"])] = at
+        by_signature.pop(None, None)
+    return merged
+
+
 def merge_candidates(rows: DataFrame, limit: int = 18, categories: int = 8) -> DataFrame:
     """One row per book and query, in order of first appearance.
 
     A record joins the merged one that its ISBN leads to, else its signature, and fills
     in what that one lacks. Then the ISBN and signature of the merged record lead there. The
-    order matters, so a query's candidates (two short lists) are one fold.
+    order matters, so a query's candidates (two lists that :func:`clean_candidates` cut) are
+    one fold. Queries stream through a task in order, so it holds one query's records at a time.
+    A missing title counts as the placeholder, missing lists as empty; an empty table gives no rows.
     """
     names = [c.split()[0] for c in CANDIDATE.split(", ")]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        merged: list[dict] = []
-        by_isbn: dict[str, int] = {}
-        by_signature: dict[str, int] = {}
-        for r in group.sort_values("pos").to_dict("records"):
-            r["authors"], r["categories"] = list(r["authors"]), list(r["categories"])
-            r = {k: None if not isinstance(v, list) and pd.isna(v) else v for k, v in r.items()}
-            at = by_isbn.get(r["isbn"]) if r["isbn"] else None
-            if at is None:
-                at = by_signature.get(signature(r["title"], r["authors"]))
-            if at is None:
-                at = len(merged)
-                merged.append({**r, "n_sources": 1})
-            else:
-                m = merged[at]
-                m["n_sources"] += 1
-                if m["title"] == PLACEHOLDER:
-                    m["title"] = r["title"]
-                for k in ("open_library_key", "isbn", "cover_url", "first_publish_year"):
-                    m[k] = r[k] if m[k] is None else m[k]
-                m["authors"] = m["authors"] or r["authors"]
-                m["categories"] = list(dict.fromkeys(m["categories"] + r["categories"]))[:categories]
-            if merged[at]["isbn"]:
-                by_isbn[merged[at]["isbn"]] = at
-            by_signature[signature(merged[at]["title"], merged[at]["authors"])] = at
-            by_signature.pop(None, None)
-        out = pd.DataFrame(merged[:limit])
-        out["pos"] = range(len(out))
-        return out[[*names, "n_sources"]]
-
-    return rows.select(*names).groupBy("query_id").applyInPandas(fold, CANDIDATE + ", n_sources int")
+    schema = pa.schema([("query_id", pa.int64()), ("pos", pa.int32()), *[(k, pa.string()) for k in names[2:4]], ("authors", pa.list_(pa.string())), ("isbn", pa.string()), ("cover_url", pa.string()), ("first_publish_year", pa.int32()), ("categories", pa.list_(pa.string())), ("n_sources", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (r for b in batches for r in b.to_pylist())
+        out: list[dict] = []
+        for _, query in groupby(records, key=itemgetter("query_id")):
+            out += [{**m, "pos": i} for i, m in enumerate(fold_candidates(query, categories)[:limit])]
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    typed = rows.selectExpr(*[f"cast({k} as {t}) as {k}" for k, t in (c.split() for c in CANDIDATE.split(", "))])
+    return typed.repartition("query_id").sortWithinPartitions(*names).mapInArrow(run, CANDIDATE + ", n_sources int")
 
 
 #: Types of a glossary entry.

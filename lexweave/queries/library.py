@@ -326,7 +326,8 @@ def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def catalog_merge(spark: SparkSession, d: str) -> DataFrame:
     a, b = _catalogue(spark, d)
-    return catalog.merge_candidates(catalog.interleave(catalog.clean_candidates(a), catalog.clean_candidates(b)))
+    merged = catalog.merge_candidates(catalog.interleave(catalog.clean_candidates(a), catalog.clean_candidates(b)))
+    return merged.withColumns({k: F.array_join(k, " | ") for k in ("authors", "categories")})
 
 
 def catalog_interleave(spark: SparkSession, d: str) -> DataFrame:
@@ -384,6 +385,24 @@ SELECT user_id, arg_max(status, n) AS status FROM f GROUP BY 1""",
 t AS (SELECT * FROM (VALUES """ + ", ".join(f"('{s}', '{e}', '{to}')" for (s, e), to in jobs.TRANSITIONS.items()) + """) x(s, e, s2)),
 f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, '' AS e, 'pending' AS status FROM r UNION ALL SELECT f.user_id, r.n, r.event_id, r.e, coalesce(t.s2, f.status) FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1 LEFT JOIN t ON t.s = f.status AND t.e = r.e)
 SELECT user_id, event_id, e, status FROM f WHERE n > 0""",
+    "catalog_merge": """WITH RECURSIVE p AS (SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS query_id, p_partkey % 12 AS pos, p_partkey AS k, p_brand, p_type, CAST(p_size + 1950 AS INT) AS year,
+  CASE WHEN p_partkey % 17 <> 0 THEN list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), lambda a, b: a || ' ' || b) END AS title,
+  CASE WHEN p_partkey % 3 <> 0 THEN '978000' || lpad(CAST(floor(p_partkey / 2) AS BIGINT)::VARCHAR, 7, '0') END AS isbn FROM part),
+u AS (SELECT query_id, pos, 0 AS s, CASE WHEN k % 4 = 0 THEN '/works/' || k END AS olk, title, p_brand, isbn, 'https://covers/' || k AS cover, year, [p_type, p_brand] AS cats FROM p
+  UNION ALL SELECT query_id, pos, 1, NULL, upper(title), p_brand, CASE WHEN pos % 2 = 0 THEN isbn END, NULL, year, ['x', p_type] FROM p),
+c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, s) AS n, {'olk': olk, 'title': coalesce(title, 'Sin título'), 'author': p_brand, 'isbn': isbn, 'cover': cover, 'year': year, 'cats': cats, 'sources': 1} AS r FROM u),
+f AS (SELECT query_id, n, r, trim(regexp_replace(lower(strip_accents(r.title)), '[^a-z0-9]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(strip_accents(r.author)), '[^a-z0-9]+', ' ', 'g')) AS sig FROM c),
+w AS (SELECT query_id, n, [r] AS m, [{'k': r.isbn, 'place': CAST(1 AS BIGINT)}] AS isbns, [{'k': sig, 'place': CAST(1 AS BIGINT)}] AS sigs FROM f WHERE n = 1
+  UNION ALL
+  SELECT query_id, n, m, list_append(isbns, {'k': m[place].isbn, 'place': place}),
+    list_append(sigs, {'k': trim(regexp_replace(lower(strip_accents(m[place].title)), '[^a-z0-9]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(strip_accents(m[place].author)), '[^a-z0-9]+', ' ', 'g')), 'place': place})
+  FROM (SELECT query_id, n, isbns, sigs, coalesce(place, len(m) + 1) AS place, CASE WHEN place IS NULL THEN list_append(m, r) ELSE list_concat(list_append(m[1:place - 1], {'olk': coalesce(m[place].olk, r.olk), 'title': CASE WHEN m[place].title = 'Sin título' THEN r.title ELSE m[place].title END,
+      'author': m[place].author, 'isbn': coalesce(m[place].isbn, r.isbn), 'cover': coalesce(m[place].cover, r.cover), 'year': coalesce(m[place].year, r.year),
+      'cats': list_filter(list_concat(m[place].cats, r.cats), lambda e, i: list_position(list_concat(m[place].cats, r.cats), e) = i)[1:8], 'sources': m[place].sources + 1}), m[place + 1:]) END AS m
+    FROM (SELECT w.query_id, f.n, m, r, isbns, sigs, coalesce(list_filter(isbns, lambda e: e.k = r.isbn)[-1].place, list_filter(sigs, lambda e: e.k = sig)[-1].place) AS place FROM w JOIN f ON f.query_id = w.query_id AND f.n = w.n + 1))),
+l AS (SELECT query_id, arg_max(m, n) AS m FROM w GROUP BY 1),
+o AS (SELECT query_id, unnest(range(1, least(len(m), 18) + 1)) AS i, m FROM l)
+SELECT query_id, CAST(i - 1 AS INT) AS pos, m[i].olk AS open_library_key, m[i].title AS title, m[i].author AS authors, m[i].isbn AS isbn, m[i].cover AS cover_url, m[i].year AS first_publish_year, array_to_string(m[i].cats, ' | ') AS categories, m[i].sources AS n_sources FROM o""",
     "catalog_interleave": """WITH p AS (SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS query_id, p_partkey % 12 AS pos, p_partkey AS k, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), lambda a, b: a || ' ' || b) END AS title,
   CASE WHEN p_partkey % 3 <> 0 THEN '978000' || lpad(CAST(floor(p_partkey / 2) AS BIGINT)::VARCHAR, 7, '0') END AS isbn FROM part),
 u AS (SELECT query_id, pos, 0 AS s, title, isbn, 'https://covers/' || k AS cover_url FROM p UNION ALL SELECT query_id, pos, 1, upper(title), CASE WHEN pos % 2 = 0 THEN isbn END, NULL FROM p)

@@ -54,13 +54,13 @@ def safe_pages(spark: SparkSession, d: str) -> DataFrame:
 def fences_and_images(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("```json\n"), F.col("text"), F.lit(" ![a](b)\n```"))
     secret = F.left("text", F.lit(5))
-    return _docs(spark, d).select("doc_id", F.length(replies.without_images(replies.without_fence(t))).alias("chars"), (F.length(replies.redacted(F.col("text"), secret, "#")) - F.length("text")).alias("shorter"))
+    return _docs(spark, d).select("doc_id", replies.without_images(replies.without_fence(t)).alias("plain"), replies.redacted(F.col("text"), secret, "#").alias("redacted"))
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     items = F.array(F.struct(k_str("turn").alias("id"), F.col("text")))
     glossary = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("term").alias("type")))).otherwise(F.array().cast(replies.GLOSSARY))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.length(replies.prompt(items, glossary, F.lit(""))).alias("chars"))
+    return table(spark, d, "conversations").select("conv_id", "turn", replies.prompt(items, glossary, F.lit("")).alias("prompt"))
 
 
 def translation_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -309,15 +309,24 @@ def book_chapters(spark: SparkSession, d: str) -> DataFrame:
     pages, books = _turn_pages(spark, d)
     none = spark.createDataFrame([], "doc_id long, title string, page int, level int")
     parts = book.chapters(book.prepare_pages(pages), none, books)
-    return parts.select("doc_id", "chapter_no", "title", "n_pages", F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("n_paragraphs"))
+    return parts.select("doc_id", "chapter_no", "title", "n_pages", "html")
+
+
+def _files(entries: DataFrame) -> DataFrame:
+    return entries.select("archive", "entry_no", "path", F.decode("content", "UTF-8").alias("content"))
 
 
 def simple_books(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations")
     paragraphs = t.select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).cast("int").alias("section_no"), F.when(F.floor(F.col("turn") / 2) % 2 == 0, F.concat(F.lit("Part "), F.floor(F.col("turn") / 2).cast("string"))).alias("title"), F.col("turn").alias("pos"), "text")
     books = t.select(F.col("conv_id").alias("doc_id"), F.lit("T").alias("title"), F.lit(None).cast("string").alias("author"), F.lit("es").alias("language")).distinct()
-    entries = book.simple_book(paragraphs, books).where("entry_no > 100")
-    return entries.select("archive", "path", F.length(F.decode("content", "UTF-8")).alias("chars"))
+    return _files(book.simple_book(paragraphs, books))
+
+
+def structured_books(spark: SparkSession, d: str) -> DataFrame:
+    pages, books = _turn_pages(spark, d)
+    none = spark.createDataFrame([], "doc_id long, title string, page int, level int")
+    return _files(book.structured_book(pages, none, books.withColumns({"author": F.when(F.col("doc_id") % 2 == 0, "A & B"), "language": F.when(F.col("doc_id") % 3 == 0, "es")})))
 
 
 # ------------------------------------------------------------------ selections
@@ -416,7 +425,7 @@ def usage_reports(spark: SparkSession, d: str) -> DataFrame:
     return budget.usage_report(_usage(spark, d).select(F.col("user_id").alias("id"), F.col("event_type").alias("model"), "requests", "input_bound", "output_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, durable_translation, revision_listing, revision_as_of, revision_restore, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, job_domain, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, book_chapters, simple_books, outline_rows, deep_outlines, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
+QUERIES = {f.__name__: f for f in (reply_items, reply_glossary, page_text, safe_pages, fences_and_images, prompts, translation_plan, durable_translation, revision_listing, revision_as_of, revision_restore, library_docs, volumes, catalog_either, isbn_queries, candidate_domain, change_domain, metadata_domain, ledger_domain, device_lists, job_domain, checkpoint_problems, sample_preview, preview_notes, covers_and_formats, preflight, book_chapters, simple_books, structured_books, outline_rows, deep_outlines, metadata_precedence, ocr_paragraphs, path_requests, queue_rows, book_selection, selection_toggles, open_categories, category_lists, shelf_rows, manifest_stores, newest_books, one_book, device_totals, progress_rows, phases, cover_colours, month_labels, usage_reports)}
 JS_SPACES = f"[{SPACE}]+"
 PART_ROWS = "x AS (SELECT *, floor(p_partkey / 15) AS q, row_number() OVER (PARTITION BY floor(p_partkey / 15) ORDER BY p_partkey) - 1 AS n FROM part)"
 DAY_IN_MONTH = "try_cast(strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 32 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL"
@@ -426,6 +435,33 @@ _LISTED = lambda l: f"list_transform(list_sort({l}), lambda z: CAST(z AS VARCHAR
 REVISIONS_SQL = """j AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 5 = 0 THEN 'paused' ELSE 'done' END AS status, CASE WHEN o_orderkey % 7 <> 0 THEN 'b' || o_orderkey || '.epub' END AS output_file, o_orderpriority AS content FROM orders),
 r AS (SELECT l_orderkey AS job_id, CASE WHEN l_linenumber = 4 THEN 'draft' ELSE lpad(CAST(epoch_ms(CAST(min(l_shipdate) AS TIMESTAMP)) AS VARCHAR), 13, '0') || '-' || lower(lpad(to_hex(l_orderkey * 8 + l_linenumber), 36, '0')) END AS revision_id, CAST(min(l_shipdate) AS TIMESTAMP) AS created_at, min(CAST(l_partkey AS VARCHAR)) AS content FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
+def _ESCAPED(c: str) -> str:  # noqa: N802
+    return f"""replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;')"""
+
+
+#: Chapters of the turns' pages: a page's paragraph goes on in the one before where it is moved there.
+TURNS_SQL = """t AS (SELECT conv_id AS doc_id, turn, text, count(*) FILTER (WHERE turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS g, turn % 2 = 1 AND turn % 3 <> 0 AND lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AS moved FROM conversations),
+m AS (SELECT *, coalesce(lead(moved) OVER (PARTITION BY doc_id ORDER BY turn), false) AS open, '<span id="page-' || (turn + 1) || '" epub:type="pagebreak" title="' || (turn + 1) || '"/>' AS mark FROM t),
+ch AS (SELECT doc_id, CAST(g AS INT) AS chapter_no, 'Part ' || min(turn) AS title, min(turn) + 1 AS first_page, count(*) AS n_pages,
+  string_agg(mark || CASE WHEN moved THEN ' ' WHEN turn % 3 = 0 THEN '<h1 id="p' || (turn + 1) || '-heading-1">Part ' || turn || '</h1><p>' ELSE '<p>' END || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN open THEN '' ELSE '</p>' END, '' ORDER BY turn) AS html FROM m GROUP BY doc_id, g)"""
+
+
+def _XHTML(title: str, body: str, css: str) -> str:  # noqa: N802
+    return f"""'<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="' || lang || '"><head><title>' || {title} || '</title><meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="{css}"/></head><body>' || {body} || '</body></html>'"""
+
+
+#: All files of the books in bk, with chapters ch and contents toc.
+FILES_SQL = f""", nm AS (SELECT doc_id, string_agg('<item id="chapter-' || chapter_no || '" href="sections/chapter-' || chapter_no || '.xhtml" media-type="application/xhtml+xml"/>', '' ORDER BY chapter_no) AS items, string_agg('<itemref idref="chapter-' || chapter_no || '"/>', '' ORDER BY chapter_no) AS refs FROM ch GROUP BY 1),
+front AS (SELECT * FROM bk JOIN toc USING (doc_id) JOIN nm USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS archive, 0 AS entry_no, 'mimetype' AS path, 'application/epub+zip' AS content FROM front
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'META-INF/container.xml', '<?xml version="1.0" encoding="UTF-8"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>' FROM front
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 'OEBPS/book.css', 'body {{ line-height: 1.5; }}' FROM front
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 3, 'OEBPS/nav.xhtml', {_XHTML("'Índice'", """'<nav epub:type="toc" id="toc"><h1>Índice</h1>' || toc || '</nav>'""", "book.css")} FROM front
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 4, 'OEBPS/content.opf', '<?xml version="1.0" encoding="UTF-8"?><package version="3.0" xmlns="http://www.idpf.org/2007/opf" unique-identifier="bookid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="bookid">urn:sha:' || sha256(doc_id || '|' || title) || '</dc:identifier><dc:title>' || title || '</dc:title><dc:language>' || lang || '</dc:language>' || coalesce('<dc:creator>' || author || '</dc:creator>', '') ||
+  '</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="book.css" media-type="text/css"/>' || items || '</manifest><spine>' || refs || '<itemref idref="nav" linear="no"/></spine></package>' FROM front
+UNION ALL SELECT CAST(doc_id AS VARCHAR), chapter_no + 100, 'OEBPS/sections/chapter-' || chapter_no || '.xhtml', {_XHTML("ch.title", "html", "../book.css")} FROM ch JOIN bk USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "reply_items": """SELECT conv_id, turn, CASE WHEN (turn + conv_id * 7) % 6 IN (0, 1, 2, 3) THEN 1 END AS n_items, CASE WHEN (turn + conv_id * 7) % 6 IN (0, 1, 2, 3) THEN text END AS first FROM conversations""",
     "reply_glossary": f"""WITH w AS (SELECT conv_id AS doc_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM conversations),
@@ -434,8 +470,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(source) ORDER BY p
 SELECT doc_id, pos, source, target, type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM f WHERE n = 1) WHERE r <= 100""",
     "page_text": f"""SELECT doc_id, trim(regexp_replace(left(text, CAST(floor(length(text) / 2) AS BIGINT)) || '  ' || substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1) || ' end', '{JS_SPACES}', ' ', 'g')) AS text FROM documents""",
     "safe_pages": """SELECT doc_id, '<section id="p7-a-b">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(173), '') || '<a href="#p7-n-1">1</a><a>2</a><img src="../images/p7-fig-1.png" alt="A &amp; B"/></section>' AS html FROM documents""",
-    "fences_and_images": """SELECT doc_id, length(ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) + 1 AS chars, length(replace(text, left(text, 5), '#')) - length(text) AS shorter FROM documents""",
-    "prompts": """SELECT conv_id, turn, length('Glossary:' || chr(10) || CASE WHEN turn % 2 = 0 THEN '- a => b (term)' ELSE '(none)' END || chr(10) || chr(10) || 'Context, not to be translated:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Items:' || chr(10) || CAST(to_json([{'id': CAST(turn AS VARCHAR), 'text': text}]) AS VARCHAR)) AS chars FROM conversations""",
+    "fences_and_images": """SELECT doc_id, ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || ' ' AS plain, replace(text, left(text, 5), '#') AS redacted FROM documents""",
+    "prompts": """SELECT conv_id, turn, 'Glossary:' || chr(10) || CASE WHEN turn % 2 = 0 THEN '- a => b (term)' ELSE '(none)' END || chr(10) || chr(10) || 'Context, not to be translated:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Items:' || chr(10) || CAST(to_json([{'id': CAST(turn AS VARCHAR), 'text': text}]) AS VARCHAR) AS prompt FROM conversations""",
     "translation_plan": f"""WITH {LINES_SQL} SELECT doc_id, line_no, true AS is_marked, CASE WHEN length(text) <= 2400 AND text IN (SELECT text FROM lines WHERE doc_id % 3 = 0) THEN '[M] ' ELSE '' END || text AS text FROM lines""",
     "durable_translation": f"WITH {LINES_SQL} SELECT DISTINCT text AS source_text, '[ES] ' || text AS target_text FROM lines",
     "revision_listing": f"WITH {REVISIONS_SQL} SELECT r.job_id, revision_id, epoch_ms(created_at) AS created_ms, coalesce(output_file, revision_id || '.epub') AS file_name FROM r JOIN j USING (job_id) WHERE revision_id <> 'draft'",
@@ -491,12 +527,13 @@ j AS (SELECT doc_id, g, list(t ORDER BY i) AS ts FROM g WHERE t <> '' GROUP BY 1
 SELECT doc_id, 1 AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS para_no, list_reduce(ts, lambda a, b: CASE WHEN ends_with(a, '-') THEN a || b ELSE a || ' ' || b END) AS text FROM j""",
     "path_requests": f"""WITH b AS (SELECT DISTINCT l_suppkey % 3 AS device_id, l_orderkey AS k, {_PICK(("books/./", "../", "books/../books/", "/mnt/d/", "/etc/"), "l_orderkey % 5")} || l_orderkey || CASE WHEN l_orderkey % 7 = 0 THEN '.exe' ELSE '.EPUB' END AS path FROM lineitem)
 SELECT device_id, path, '/mnt/d/' || CASE WHEN k % 5 IN (0, 2) THEN 'books/' ELSE '' END || k || '.EPUB' AS file FROM b WHERE length(path) % 2 = 0 AND k % 5 IN (0, 2, 3) AND k % 7 <> 0""",
-    "book_chapters": """WITH t AS (SELECT conv_id AS doc_id, turn, count(*) FILTER (WHERE turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
-m AS (SELECT *, turn % 2 = 1 AND turn % 3 <> 0 AND lag(turn) OVER (PARTITION BY doc_id ORDER BY turn) IS NOT NULL AS moved FROM t)
-SELECT doc_id, CAST(g AS INT) AS chapter_no, 'Part ' || min(turn) AS title, count(*) AS n_pages, CAST(count(*) FILTER (WHERE NOT moved) AS INT) AS n_paragraphs FROM m GROUP BY doc_id, g""",
-    "simple_books": """WITH p AS (SELECT conv_id, CAST(floor(turn / 2) AS INT) AS s, string_agg('<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') || '</p>', chr(10) ORDER BY turn) AS b FROM conversations GROUP BY 1, 2)
-SELECT CAST(conv_id AS VARCHAR) AS archive, 'OEBPS/sections/chapter-' || (s + 1) || '.xhtml' AS path, length('<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="es"><head><title></title><meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="../book.css"/></head><body></body></html>') + length(b)
-  + CASE WHEN s % 2 = 0 THEN length('<h1></h1>') + 2 * length('Part ' || s) ELSE length('section-' || (s + 1)) END AS chars FROM p""",
+    "book_chapters": f"""WITH {TURNS_SQL} SELECT doc_id, chapter_no, title, n_pages, html FROM ch""",
+    "simple_books": f"""WITH p AS (SELECT conv_id, CAST(floor(turn / 2) AS INT) AS s, string_agg('<p>' || {_ESCAPED("text")} || '</p>', chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1, 2),
+ch AS (SELECT conv_id AS doc_id, s + 1 AS chapter_no, CASE WHEN s % 2 = 0 THEN 'Part ' || s ELSE 'section-' || (s + 1) END AS title, CASE WHEN s % 2 = 0 THEN '<h1>Part ' || s || '</h1>' ELSE '' END || body AS html FROM p),
+toc AS (SELECT doc_id, '<ol>' || string_agg('<li><a href="sections/chapter-' || chapter_no || '.xhtml">' || title || '</a></li>', '' ORDER BY chapter_no) || '</ol>' AS toc FROM ch GROUP BY 1),
+bk AS (SELECT DISTINCT conv_id AS doc_id, 'T' AS title, CAST(NULL AS VARCHAR) AS author, 'es' AS lang FROM conversations) {FILES_SQL}""",
+    "structured_books": f"""WITH {TURNS_SQL}, bk AS (SELECT doc_id, 'Talk ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'A &amp; B' END AS author, CASE WHEN doc_id % 3 = 0 THEN 'es' ELSE 'und' END AS lang FROM ch GROUP BY 1),
+toc AS (SELECT doc_id, '<ol>' || string_agg('<li><a href="sections/chapter-' || chapter_no || '.xhtml#p' || first_page || '-heading-1">' || title || '</a></li>', '' ORDER BY chapter_no) || '</ol>' AS toc FROM ch GROUP BY 1) {FILES_SQL}""",
     "queue_rows": """WITH j AS (SELECT o_orderkey AS job_id, o_custkey, nullif(o_orderkey % 7, 0) AS place FROM orders) SELECT b.job_id, a.place, CASE WHEN b.o_custkey % 2 = 0 THEN 'epub-translation' ELSE 'pdf-conversion' END AS kind, (['pending', 'processing', 'pausing', 'paused', 'done', 'error'])[CAST(b.job_id % 6 + 1 AS INT)] AS status FROM j a JOIN j b ON b.job_id = a.job_id * 2""",
     "book_selection": """WITH b AS (SELECT l_suppkey AS device_id, l_partkey AS path, l_linenumber AS n FROM lineitem) SELECT device_id, count(*) AS n FROM b WHERE EXISTS (SELECT 1 FROM b c WHERE c.n = 3 AND c.device_id = b.device_id AND c.path = b.path) GROUP BY 1""",
     "selection_toggles": f"""WITH k AS (SELECT o_orderkey AS k, list_distinct([o_orderkey % 3, o_orderkey % 5, o_orderkey % 7]) AS c, list_distinct([o_orderkey % 2, o_orderkey % 3]) AS s FROM orders)

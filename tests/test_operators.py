@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 from pyspark.sql import Row
@@ -133,6 +134,32 @@ def test_catalogue_merge_follows_order(spark):
     assert [(r.title, r.cover_url, r.n_sources) for r in out] == [("Ficción", "c", 3)]
 
 
+def test_catalogue_merge_equals_a_plain_walk(spark):
+    """Every query's candidates against a walk that looks through all merged records, with missing fields, ties of keys and many queries in a task."""
+    r = random.Random(5)
+    rows = [(q, i, r.choice([None, f"k{i}"]), r.choice(["A", "a", "Á", "B", "B b", "日本", None]), r.choice([None, [], ["X"], ["x"], ["Y"]]), r.choice([None, "1111111111", "2222222222", "3333333333"]), None, r.choice([None, 1990]), r.choice([None, ["c"], ["c", "d"]])) for q in range(150) for i in range(r.randrange(1, 9))]
+    got = catalog.merge_candidates(spark.createDataFrame(rows, catalog.CANDIDATE)).orderBy("query_id", "pos").collect()
+    fold = lambda t, a: re.sub("[^a-z0-9]+", " ", t.lower().replace("á", "a").replace("í", "i")).strip() + "|" + (a[0].lower() if a else "")
+    want = []
+    for q in range(150):
+        merged, led = [], []
+        for _, _, key, title, authors, isbn, _, year, cats in (x for x in rows if x[0] == q):
+            title = title or catalog.PLACEHOLDER
+            at = next((a for a, k, _ in reversed(led) if isbn and k == isbn), None)
+            if at is None:
+                at = next((a for a, _, s in reversed(led) if s != "|" and s == fold(title, authors)), None)
+            if at is None:
+                at = len(merged)
+                merged.append([title, authors or [], isbn, key, year, cats or [], 1])
+            else:
+                m = merged[at]
+                merged[at] = [title if m[0] == catalog.PLACEHOLDER else m[0], m[1] or authors or [], m[2] or isbn, m[3] or key, m[4] or year, m[5] + [c for c in cats or [] if c not in m[5]], m[6] + 1]
+            led.append((at, merged[at][2], fold(*merged[at][:2])))
+        want += [(q, i, *m) for i, m in enumerate(merged)]
+    assert [(x.query_id, x.pos, x.title, x.authors, x.isbn, x.open_library_key, x.first_publish_year, x.categories, x.n_sources) for x in got] == want
+    assert catalog.merge_candidates(spark.createDataFrame([], catalog.CANDIDATE)).count() == 0
+
+
 def test_glossary(spark):
     rows = [(1, 0, "Bob", "B", None), (1, 1, "bob", "C", None), (1, 2, "Eve", " ", None)]
     df = spark.createDataFrame(rows, "doc_id long, pos int, source string, target string, type string")
