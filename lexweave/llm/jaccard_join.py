@@ -200,6 +200,15 @@ def _verified(pairs: DataFrame, per: DataFrame, classes: DataFrame, docs: DataFr
     return out
 
 
+def _with_pivots(src: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): each row of ``src(tok, pos, rep, n, label)`` and the pivot of its shingle and size band, if they could link; and the pivots, written."""
+    src = src.withColumn("band", F.floor(F.log("n") / F.lit(0.2) + F.lit(turn % 2 / 2)))
+    draw = F.struct(F.xxhash64("rep", "tok", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+    pivots = materialize(src.groupBy("tok", "band").agg(F.min(draw).alias("p"), F.count("*").alias("c")).where("c > 1").select("tok", "band", "p.*"))
+    met = src.withColumnsRenamed({"n": "n1", "pos": "pos1", "rep": "a"}).join(pivots, ["tok", "band"])
+    return met.where("a <> b and (label is null or label <> label2)").where(_fits(percent)).where(_early(percent)).select("a", "b"), pivots
+
+
 def _near_labels(links: DataFrame) -> DataFrame:
     """(node, component): the least node within two links, enough to tell between passes what is already connected."""
     ties = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -230,7 +239,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     per = live.groupBy("rep", "n").agg(toks.alias("places")).withColumn("toks", F.col("places.tok"))
     per = per.join(classes.select("rep", *[F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(SLOTS)]), "rep")
     per = materialize(per.withColumn("g", F.xxhash64("toks", "n")))
-    groups = per.groupBy("g", "n").agg(F.min("rep").alias("gid"))
+    # aggregates are written before they meet the rows they were made of: both sides are then shuffles, and a hot key can be split
+    groups = materialize(per.groupBy("g", "n").agg(F.min("rep").alias("gid")))
     members = materialize(per.select("rep", "n", "g").join(groups, ["g", "n"]).select("rep", "n", "gid"))
     index = per.join(members.where("rep = gid").select("rep"), "rep", "left_semi").select(F.inline("places"), F.col("rep").alias("gid"), "n")
     index = index.withColumn("label", F.lit(None).cast("long"))
@@ -241,27 +251,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     made: list[DataFrame] = []
     for turn in range(passes):
         src = index.withColumnRenamed("gid", "rep") if turn == 0 else posted  # noqa: F821
-        src = src.withColumn("band", F.floor(F.log("n") / F.lit(0.2) + F.lit(turn % 2 / 2)))
-        draw = F.struct(F.xxhash64("rep", "tok", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-        pivot = src.groupBy("tok", "band").agg(F.min(draw).alias("p")).select("tok", "band", "p.*")
-        met = src.withColumnsRenamed({"n": "n1", "pos": "pos1", "rep": "a"}).join(pivot, ["tok", "band"])
-        met = met.where("a <> b and (label is null or label <> label2)").where(_fits(percent)).where(_early(percent)).select("a", "b")
+        met, pivots = _with_pivots(src, turn, percent)
         own = [F.min(F.struct(F.xxhash64("rep", F.lit(turn), F.lit(k)), "rep")).alias(f"m{k}") for k in range(4)]
-        inner = members.groupBy("gid").agg(F.count("*").alias("c"), *own).where("c > 1").select("gid", F.explode(F.array("gid", *[f"m{k}.rep" for k in range(4)])).alias("b"))
-        inner = members.join(inner.distinct(), "gid").where("rep <> b").select(F.col("rep").alias("a"), "b")
+        own_pivots = members.groupBy("gid").agg(F.count("*").alias("c"), *own).where("c > 1").select("gid", F.explode(F.array("gid", *[f"m{k}.rep" for k in range(4)])).alias("b"))
+        own_pivots = materialize(own_pivots.distinct())
+        inner = members.join(own_pivots, "gid").where("rep <> b").select(F.col("rep").alias("a"), "b")
         met = met.unionByName(inner).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         if turn:
             u, v = (labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "uv")
             met = met.join(u, "u", "left").join(v, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v").join(tried, ["u", "v"], "left_anti")
         pairs = materialize(met)
+        release(pivots, own_pivots)
         found = _verified(pairs, per, classes, docs, size, percent)
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
         near, forest = partial_components(links, 3) if turn == passes - 1 else (_near_labels(links), None)
         labels = materialize(near)
         posted = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "pos", "rep", "n", F.coalesce("component", "rep").alias("label"))
-        mixed = posted.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tok")
+        mixed = materialize(posted.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tok"))
         fresh = materialize(posted.join(mixed, "tok"))
-        release(*made)
+        release(mixed, *made)
         made = [labels, fresh]
         posted = fresh
 

@@ -1,7 +1,8 @@
 import random
 
 import brute
-from lexweave.llm.jaccard_join import jaccard_components, keep_one
+from lexweave.llm.common import materialize
+from lexweave.llm.jaccard_join import _with_pivots, jaccard_components, keep_one
 
 
 def near_copies(seed, groups=12, copies=8):
@@ -37,3 +38,19 @@ def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(docs).collect())) == [(1, 2, 1), (2, 2, 1)]
     assert sorted(r.doc_id or 0 for r in keep_one(docs).collect()) == [0, 1, 1]
+
+
+def test_rows_of_a_frequent_shingle_are_split(spark):
+    knobs = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in knobs}
+    for k, v in knobs.items():
+        spark.conf.set(k, v)
+    try:
+        src = materialize(spark.range(40_000).selectExpr("if(id % 10 = 0, id div 20, -1L) as tok", "0 as pos", "id as rep", "100 as n", "cast(null as long) as label"))
+        met, pivots = _with_pivots(src, 0, 80)
+        rows = met.collect()
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 36_000 - 1 + 2_000 and pivots.count() == 2_001
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
