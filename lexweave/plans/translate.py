@@ -130,11 +130,13 @@ def translate_durably(texts: DataFrame, translator: Translator, path: str, *, ba
 BUDGET = "budget"
 
 
-def translate_items(items: DataFrame, keys: list[str], memory: DataFrame, translator: Translator = mock_translator, ledger: str | None = None) -> DataFrame:
+def translate_items(items: DataFrame, keys: list[str], memory: DataFrame, translator: Translator = mock_translator, ledger: str | None = None, known_pieces: bool = True) -> DataFrame:
     """``items(keys..., text)`` translated: long ones in pieces, known texts from memory, every other text once; with a folder for a
-    ``ledger`` in rounds that can be resumed."""
+    ``ledger`` in rounds that can be resumed. Without ``known_pieces`` memory answers whole texts only, and a long text's pieces are all asked for."""
     pieces = split_oversized(items)
-    missing = missing_texts(pieces, memory)
+    whole = F.col("part").isNull() | F.lit(known_pieces)
+    missing = missing_texts(pieces.where(whole), memory).union(pieces.where(~whole).select("text")).distinct()
     fresh = translate_durably(missing, translator, ledger) if ledger else translate_texts(missing, translator)
-    done = apply_memory(pieces, memory.select("source_text", "target_text").unionByName(fresh))
-    return recombine(done.select(*keys, "part", F.col("translated").alias("text")), keys)
+    known = memory.where("target_text <> ''").select(F.col("source_text").alias("text"), F.col("target_text").alias("_known"))
+    done = apply_memory(pieces, fresh).join(known, "text", "left")
+    return recombine(done.select(*keys, "part", F.coalesce(F.when(whole, F.col("_known")), "translated").alias("text")), keys)

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from lexweave.operators import segment
 from lexweave.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,16 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_pieces_that_equal_known_lines(spark, tmp_path):
+    """A long line's last piece is a line that memory knows: the SQL answers whole lines only from memory."""
+    name, end = "translation_plan", "A known end."
+    long = "Many words stand here. " * 104 + end
+    assert len(long) > 2400 and segment.cut_text(long, 2400)[-1] == end
+    spark.createDataFrame([(1, long), (2, end), (3, end)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    assert plain(df.select(columns).collect()) == plain(c.sql(ORACLE_SQL[name]).select(", ".join(columns)).fetchall())
