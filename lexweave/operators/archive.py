@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import is_safe_archive_path
@@ -50,14 +50,19 @@ def job_folders(folders: DataFrame, records: DataFrame, files: DataFrame) -> Dat
 
 
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """``wanted(folder, base, ext, pos)`` with ``name``: of equal names the later ones get `` (n)``; names in ``taken(folder, name)`` are passed over."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("folder", "base", "ext").orderBy("pos")
-    pattern = r"\A(.*?)(?: \((\d+)\))?(\.[^.]*)?\z"
-    used = taken.select("folder", F.regexp_extract("name", pattern, 1).alias("base"), F.regexp_extract("name", pattern, 3).alias("ext"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("name", pattern, 2), F.lit("")), F.lit("99999")).cast("int"), F.lit(0)).alias("n"))
-    used = used.groupBy("folder", "base", "ext").agg(F.collect_set("n").alias("used"))
-    x = wanted.withColumn("_k", F.row_number().over(w)).join(used, ["folder", "base", "ext"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = F.array_except(F.sequence(F.lit(0), F.col("_k") + F.size("used")), F.col("used"))
-    n = F.get(F.array_sort(free), F.col("_k") - 1)
-    return x.select(*wanted.columns, F.concat("base", F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), "ext").alias("name"))
+    """``wanted(folder, base, ext, pos)`` with ``name``: of equal names the later ones get `` (n)``; names in ``taken(folder, name)`` are passed over.
+
+    The k-th wish gets the k-th free number: k and as many as are taken up to there. A taken number u, the i-th of its name, has
+    u - i free ones below it, so it counts for all wishes from the (u - i)-th on: wishes and taken numbers stand in one
+    order, and a running sum is all it needs.
+    """
+    key = ["folder", "base", "ext"]
+    pattern = r"\A(.*?)(?: \(([1-9]\d{0,17})\))?(\.[^.]*)?\z"
+    used = taken.select("folder", F.regexp_extract("name", pattern, 1).alias("base"), F.regexp_extract("name", pattern, 3).alias("ext"), F.coalesce(F.nullif(F.regexp_extract("name", pattern, 2), F.lit("")), F.lit("0")).cast("long").alias("n"))
+    w = Window.partitionBy(*key)
+    used = used.distinct().withColumn("_at", F.col("n") - F.row_number().over(w.orderBy("n")) + 1)
+    rows = wanted.withColumn("_at", (F.row_number().over(w.orderBy("pos")) - 1).cast("long")).withColumn("_used", F.lit(0))
+    rows = rows.unionByName(used.select(*key, "_at", F.lit(1).alias("_used")), allowMissingColumns=True)
+    n = F.col("_at") + F.sum("_used").over(w.orderBy("_at", F.desc("_used")).rowsBetween(Window.unboundedPreceding, 0))
+    named = rows.withColumn("_n", n).where("_used = 0")
+    return named.select(*wanted.columns, F.concat("base", F.when(F.col("_n") > 0, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(""), "ext").alias("name"))

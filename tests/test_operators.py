@@ -558,3 +558,14 @@ def test_an_index_finds_what_a_scan_finds(spark):
     postings = readinglog.search_postings(books, "id")
     find = lambda q: {r.id for r in readinglog.indexed_search(books, "id", postings, q).collect()}
     assert find(" Camio ") == {0, 1} and find("nunez") == {1, 3, 5} and find("a") == {0, 1, 2, 3, 5, 6} and find("camionx") == set() and find("f4.e") == {4} and find("") == set(range(7))
+
+
+def test_free_names_beside_many_taken_ones(spark):
+    """Against a walk over the numbers: taken ones with gaps, and such as have more than five digits."""
+    taken = {0, 1, 4, 5, 9, 123456}
+    names = [("f", "a.epub" if n == 0 else f"a ({n}).epub") for n in taken] + [("g", "b (7654321).epub")]
+    wishes = [("f", "a", ".epub", k) for k in range(40)] + [("g", "b", ".epub", k) for k in range(3)]
+    got = archive.free_names(spark.createDataFrame(wishes, "folder string, base string, ext string, pos long"), spark.createDataFrame(names, "folder string, name string"))
+    free = [n for n in range(100) if n not in taken][:40]
+    want = [f"a ({n}).epub" for n in free] + ["b.epub", "b (1).epub", "b (2).epub"]
+    assert [r.name for r in got.orderBy("folder", "pos").collect()] == want
