@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,24 +21,48 @@ def assemble_lines(items: DataFrame, tolerance: float = 2.5) -> DataFrame:
     Items go from top to bottom (heights rounded to two units), then left to right. An
     item joins a line within ``tolerance`` of the line's first item; a line that
     ends with a hyphen takes the next item without a space. Blank and null items go; without a place they stand at 0, heights are 10
-    where there is none, and 1 at least. The items of one page are folded where they are gathered.
+    where there is none, and 1 at least. A page's items are dealt to one task and sorted there; they pass through it one by one,
+    so time grows with the items and only one line is held.
     """
     text, y = trim_all(F.col("str")), F.coalesce("y", F.lit(0.0))
-    placed = items.withColumns({"_t": text, "_y": y, "_h": F.greatest(F.lit(1.0), F.abs(F.coalesce("height", F.lit(10.0))))}).where(F.col("_t") != "")
-    item = F.struct((-F.rint(F.col("_y") / 2)).alias("k"), F.coalesce("x", F.lit(0.0)).alias("x"), "item_no", F.col("_t").alias("text"), F.col("_y").alias("y"), F.col("_h").alias("h"))
-    pages = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))  # one page's items
-    line = "named_struct('text', i.text, 'y', i.y, 'height', i.h)"
-    joins = f"a.now IS NOT NULL AND abs(i.y - a.now.y) <= {tolerance!r}D"
-    longer = "named_struct('text', concat(a.now.text, IF(a.now.text LIKE '%-', '', ' '), i.text), 'y', a.now.y, 'height', greatest(a.now.height, i.h))"
-    kind = "struct<text:string,y:double,height:double>"
-    step = f"IF({joins}, named_struct('done', a.done, 'now', {longer}), named_struct('done', IF(a.now IS NULL, a.done, concat(a.done, array(a.now))), 'now', {line}))"
-    lines = F.expr(f"aggregate(items, named_struct('done', CAST(array() AS array<{kind}>), 'now', CAST(NULL AS {kind})), (a, i) -> {step}, a -> concat(a.done, array(a.now)))")
-    return pages.select("doc_id", "page", F.posexplode(lines).alias("line_no", "l")).select("doc_id", "page", "line_no", "l.text", "l.y", "l.height")
+    placed = items.select("doc_id", "page", text.alias("text"), y.alias("y"), F.greatest(F.lit(1.0), F.abs(F.coalesce("height", F.lit(10.0)))).alias("height"), (-F.rint(y / 2)).alias("_k"), F.coalesce("x", F.lit(0.0)).alias("_x"), "item_no").where("text <> ''")
+    ordered = placed.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "_k", "_x", "item_no").select("doc_id", "page", "text", "y", "height")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, line, number, top, tall, kind = None, [], 0, 0.0, 0.0, None
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            types = [kind.field(0).type, kind.field(1).type, pa.int32(), pa.string(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "page", "line_no", "text", "y", "height"])
+
+        for b in batches:
+            kind = b.schema
+            for doc, page, t, at, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last == (doc, page) and abs(at - top) <= tolerance:
+                    line.append(t if line[-1].endswith("-") else f" {t}")
+                    tall = h if h > tall or h != h else tall
+                    continue
+                if last is not None:
+                    done.append((*last, number, "".join(line), top, tall))
+                number = number + 1 if last == (doc, page) else 0
+                last, line, top, tall = (doc, page), [t], at, h
+            if done:
+                yield flush()
+                done.clear()
+        if last is not None:
+            done.append((*last, number, "".join(line), top, tall))
+            yield flush()
+
+    return ordered.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, line_no int, text string, y double, height double")
 
 
 def joined_with_hyphens(texts: Column) -> Column:
-    """Texts joined by spaces; after a hyphen without one."""
-    return F.aggregate(texts, F.lit(""), lambda acc, x: F.when((acc == "") | acc.endswith("-"), F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x)))
+    """Texts joined by spaces; after a hyphen without one. Empty ones are left out."""
+    spaced = F.transform(F.filter(texts, lambda t: t != ""), lambda t: F.when(t.endswith("-"), t).otherwise(F.concat(t, F.lit(" "))))
+    return F.regexp_replace(F.array_join(spaced, ""), r" \z", "")
 
 
 def assemble_paragraphs(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import time
 import zipfile
 
 from pyspark.sql import Row
@@ -569,3 +570,15 @@ def test_free_names_beside_many_taken_ones(spark):
     free = [n for n in range(100) if n not in taken][:40]
     want = [f"a ({n}).epub" for n in free] + ["b.epub", "b (1).epub", "b (2).epub"]
     assert [r.name for r in got.orderBy("folder", "pos").collect()] == want
+
+
+def test_a_line_of_many_items(spark):
+    """A page with one long line: time grows with its items, not with their square, and all stand in it."""
+    n = 250_000
+    items = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(2).alias("page"), F.col("id").alias("item_no"), F.when(F.col("id") % 3 == 0, "ab-").otherwise("cd").alias("str"), F.lit(1.0).alias("x"), F.lit(7.0).alias("y"), F.lit(8.0).alias("height"))
+    began = time.perf_counter()
+    lines = layout.assemble_lines(items)
+    paras = layout.assemble_paragraphs(lines.unionByName(lines.withColumn("line_no", F.lit(1)))).collect()
+    text = "".join("ab-" if i % 3 == 0 else "cd " for i in range(n)).rstrip(" ")
+    assert [r.text for r in paras] == [f"{text} {text}"]
+    assert time.perf_counter() - began < 15
