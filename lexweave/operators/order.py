@@ -31,28 +31,34 @@ def numbered(df: DataFrame, name: str, *order: Column, within: str | None = None
     placed = parted(df, *keys)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = placed.join(before, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
     if within is None:
-        return out
-    first = out.groupBy(F.col(within).alias("_w")).agg(F.min(name).alias("_first"))
-    return out.join(first, F.col(within).eqNullSafe(F.col("_w"))).withColumn(name, F.col(name) - F.col("_first")).drop("_w", "_first")
+        return placed.join(before, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    # a row for each value in each part it stands in, so rows of one value join in as many tasks as it has parts
+    runs = placed.groupBy("_part", F.col(within).alias("_w")).agg(F.min("_own").alias("_at")).join(before, "_part")
+    first = runs.groupBy(F.col("_w").alias("_v")).agg(F.min(F.col("_at") + F.col("_before")).alias("_first"))
+    shift = runs.join(first, F.col("_w").eqNullSafe(F.col("_v"))).select(F.col("_part").alias("_p"), "_w", (F.col("_before") - F.col("_first")).alias("_shift"))
+    out = placed.join(shift, (F.col("_part") == F.col("_p")) & F.col(within).eqNullSafe(F.col("_w")))
+    return out.withColumn(name, F.col("_own") + F.col("_shift")).drop("_part", "_own", "_p", "_w", "_shift")
 
 
 def running_sum(df: DataFrame, name: str, value: Column, *order: Column, parts: int | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows up to each, in ``order``.
 
-    Parts are ranges of ``order``: each sums its own rows, after the sums of the parts before it (one row for each part).
+    Parts are ranges of ``order``: each sums its own rows, after the sums of the parts before it (one row for each part). Rows that
+    have ``_part`` and ``_own`` of this order stand in their parts already.
     """
-    placed = parted(df.withColumn("_value", value), *order, parts=parts)
+    placed = df.withColumn("_value", value)
+    if not {"_part", "_own"} <= set(df.columns):
+        placed = parted(placed, *order, parts=parts)
     sums = placed.groupBy("_part").agg(F.sum("_value").alias("_n"))
     before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.sum("_value").over(Window.partitionBy("_part").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return placed.withColumn(name, own).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_own", "_before", "_value")
 
 
-def composed_states(df: DataFrame, key: str, order: list[str], symbol: str, steps: list[tuple[int, ...]], parts: int | None = None) -> DataFrame:
+def composed_states(df: DataFrame, key: str, order: list[str], symbol: str, steps: list[tuple[int, ...]], parts: int | None = None, keep: bool = False) -> DataFrame:
     """``df`` with ``_was`` and ``_is``: the state of ``key`` before and after each row, from state 0 on; a row of symbol k leads from
-    state s to ``steps[k][s]``, a null one leaves it. Eight states at most.
+    state s to ``steps[k][s]``, a null one leaves it. Eight states at most. With ``keep`` rows keep ``_part`` and ``_own``, their places by key and order.
 
     Rows are dealt by range of key and order, so a key with most of them is many parts. A part doesn't know the state it begins
     with: it composes steps to maps of all states, packed in a number of three bits for each. The parts' last maps (one row for
@@ -90,4 +96,4 @@ def composed_states(df: DataFrame, key: str, order: list[str], symbol: str, step
     known = df.sparkSession.createDataFrame(begins, "_part long, _begin int")
     begin = F.when(F.col("_run") == 0, F.col("_begin")).otherwise(F.lit(0))
     at = lambda c: F.call_function("shiftright", F.col(c), begin * 3).bitwiseAND(F.lit(7)).alias(c)
-    return placed.join(F.broadcast(known), "_part").select(*df.columns, at("_was"), at("_is"))  # a row for each part
+    return placed.join(F.broadcast(known), "_part").select(*df.columns, at("_was"), at("_is"), *(["_part", "_own"] if keep else []))  # a row for each part
