@@ -147,11 +147,13 @@ def split_sections(paras: DataFrame, pages: DataFrame | None = None, parts: int
     running sums, so the paragraphs of one document never meet in one task.
     """
     x = paras.withColumn("text", trim_all(F.col("text")))
-    upper, number = is_upper(F.col("text")), F.col("text").rlike(NUMBERED)
-    after = F.lead(is_upper(F.col("text"))).over(Window.partitionBy("doc_id").orderBy("pos"))
-    plain = F.when(number, F.when(F.coalesce(after, F.lit(False)), 3).otherwise(4)).when(is_chapter(F.col("text")), 2).otherwise(0)
-    symbol = F.when(upper, F.when(plain == 0, 1).otherwise(plain + 4)).otherwise(plain)
-    x = composed_states(x.withColumn("_kind", symbol.cast("int")), "doc_id", ["pos"], "_kind", [_walk(k) for k in range(9)], parts)
+    # what expressions say of a line is worked out once, before the lines are dealt
+    x = x.withColumns({"_upper": is_upper(F.col("text")), "_number": F.col("text").rlike(NUMBERED), "_chapter": is_chapter(F.col("text"))})
+    after = F.lead("_upper").over(Window.partitionBy("doc_id").orderBy("pos"))
+    plain = F.when(F.col("_number"), F.when(F.coalesce(after, F.lit(False)), 3).otherwise(4)).when(F.col("_chapter"), 2).otherwise(0)
+    symbol = F.when(F.col("_upper"), F.when(plain == 0, 1).otherwise(plain + 4)).otherwise(plain)
+    x = x.withColumn("_kind", symbol.cast("int")).drop("_upper", "_number", "_chapter")
+    x = composed_states(x, "doc_id", ["pos"], "_kind", [_walk(k) for k in range(9)], parts, keep=True)
     kind = F.when(F.col("_kind") > 5, F.col("_kind") - 4).otherwise(F.col("_kind"))
     taken = (F.col("_was") >= _FIRST) & F.col("_kind").isin(1, 6, 7, 8)
     head = ~taken & (kind.isin(2, 3) | ((kind == 1) & (F.col("_was") != _PLAIN)))
