@@ -11,20 +11,20 @@ of the hashes: the nearest smaller ones. Only windows that hold a subsequence of
    ``min_words`` words: the least hashes of all functions together, and of every two of them.
 2. Documents that share a signature form a group, and its least document is the pivot that the others pair with, so a
    passage that many documents share gives as many pairs as documents, not their square. Groups of
-   all functions come first, then those of two. Members that their pivot doesn't explain
-   form groups again without it (``passes`` times), so a document that holds just a fragment doesn't
-   stand between two that share more. A member that holds exactly what its pivot holds leaves; one that differs stays, as
-   others may be nearer to it.
+   all functions come first, then those of two. A member that holds exactly
+   what its pivot holds leaves; one that differs stays, as others may be nearer to it.
 3. In groups of all functions with a member that its pivot doesn't explain, the runs of ``min_words`` words around all members'
    centres are compared by hash, and the first holder of a run is the pivot of the others. So no number of noisy copies
    stands between two documents that share a passage exactly.
-4. Around a shared centre both documents' shingles are compared, the passage
+4. In groups of two, members that their pivot doesn't explain are compared with all earlier members that are left, by the shingles
+   around both centres, so a document that holds just a fragment doesn't stand between two that share more.
+5. Around a shared centre both documents' shingles are compared, the passage
    grows as far as Jaccard 0.8 allows, and is kept if its shingle sets reach
    ``percent`` and it has ``min_words`` words.
 
 An exact passage shares all its signatures and a run, and is found. A near one of Jaccard J shares a signature of two of four functions with
-probability 1 - (1-J)^4 - 4 J (1-J)^3 for each of its windows (0.97 at 0.8). It is missed as well if in every group more
-than ``passes`` earlier documents hold the group's centres without the passage; tests measure both.
+probability 1 - (1-J)^4 - 4 J (1-J)^3 for each of its windows (0.97 at 0.8). How many earlier documents
+hold the centres without the passage doesn't matter; tests measure both.
 
 The earliest holder of a passage is never reported as a copy; each later one is, with its
 source. Null and empty texts and texts under ``min_words`` words have no passage. Null doc_id:
@@ -45,6 +45,7 @@ from lexweave.llm.common import bit_filter, hash_shingles, hash_words, materiali
 
 SIZE = 5
 CHUNK = 64
+PACK = 32, 256  #: open members, and all members, of a group that are compared at once
 
 
 def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -399,7 +400,93 @@ def _exact(signed: DataFrame, found: DataFrame, held: DataFrame, percent: int, t
     return out
 
 
-def find_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, percent: int = 80, hashes: int = 4, passes: int = 2) -> DataFrame:
+def _around(t: int):
+    """(key, doc_id, c, open, w): for each centre of (doc_id, w, cs) the shingles fewer than ``t`` places from it, as 32-bit hashes, and how many stand before it."""
+    names = ["key", "doc_id", "c", "open", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a = _runs(np.frombuffer(batch.column(1)[k].as_py(), np.uint32)).astype(np.uint32)
+                cs = batch.column(2)[k].values
+                for i in range(0, len(cs), 10_000):
+                    key, c, free = (x.to_numpy(zero_copy_only=False) for x in cs.slice(i, 10_000).flatten())
+                    w = pa.array([a[max(x - t + 1, 0) : x + t].tobytes() for x in c.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(c), batch.column(0)[k].as_py(), np.int64)), pa.array(c), pa.array(free), w], names=names)
+
+    return run
+
+
+def near_centres(b: list[bytes], a: list[bytes], t: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``b`` have ``need`` shingles of one of ``a`` within some ``t`` places: (indices into b, indices into a). All are 32-bit hashes."""
+    size = np.array([len(x) // 4 for x in b])
+    flat, place = np.frombuffer(b"".join(b), np.uint32), np.concatenate([np.arange(n) for n in size])
+    whose = np.repeat(np.arange(len(b)), size)
+    own = np.unique(np.repeat(np.arange(len(a), dtype=np.uint64), [len(x) // 4 for x in a]) | np.frombuffer(b"".join(a), np.uint32).astype(np.uint64) << np.uint64(32))
+    value, holder = (own >> np.uint64(32)).astype(np.uint32), (own & np.uint64((1 << 32) - 1)).astype(np.int64)
+    lo = np.searchsorted(value, flat, "left")
+    n = np.searchsorted(value, flat, "right") - lo
+    hit = np.repeat(np.arange(len(flat)), n)  # at most one for each place and member of a
+    pair = whose[hit] * len(a) + holder[np.arange(len(hit)) + np.repeat(lo - np.cumsum(n) + n, n)]
+    counts = np.bincount(pair, minlength=len(a) * len(b))
+    some = np.flatnonzero(counts >= need)
+    if not len(some):
+        return some, some
+    kept = counts[pair] >= need
+    total = np.zeros((len(some), int(size.max()) + 1), np.int32)
+    total[np.searchsorted(some, pair[kept]), place[hit[kept]] + 1] = 1
+    total = total.cumsum(1)
+    wide = min(t, total.shape[1] - 1)
+    some = some[(total[:, wide:] - total[:, :-wide]).max(1) >= need]
+    return some // len(a), some % len(a)
+
+
+def _apart(percent: int, t: int):
+    """(doc_id, other, c, pc): open members of (opens, all) with an earlier one that is near them around the centres."""
+    need = -(-2 * percent * t // (100 + percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (doc, c, b), (other, pc, a) = (batch.column(i)[k].values.flatten() for i in (0, 1))
+                i, j = near_centres(b.to_pylist(), a.to_pylist(), t, need)
+                doc, c, other, pc = doc.to_numpy()[i], c.to_numpy()[i], other.to_numpy()[j], pc.to_numpy()[j]
+                late = other < doc
+                yield pa.RecordBatch.from_arrays([pa.array(x[late]) for x in (doc, other, c, pc)], names=["doc_id", "other", "c", "pc"])
+
+    return run
+
+
+def _closing(left: DataFrame, held: DataFrame, percent: int, t: int) -> DataFrame:
+    """Passages of the members that no pivot explains, from any earlier member of their groups.
+
+    All that are still open are compared with all earlier members, by the shingles around both centres; members that are the
+    same there are one. What has enough of them in common is verified. Quadratic in the members of a group, but only for open ones: both
+    sides are dealt in packs of a fixed size, so a large group is many tasks, and no task holds more than two packs.
+    """
+    groups = materialize(left.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.when(~F.col("done"), F.col("doc_id"))).alias("z")).where("z > a").select("key", "z"))
+    live = left.join(groups, "key").where("doc_id <= z").select("doc_id", F.struct("key", "c", (~F.col("done")).alias("open")).alias("x"))
+    members = materialize(live.groupBy("doc_id").agg(F.collect_list("x").alias("cs")))  # bounded by one document's windows
+    around = materialize(_words_of(held, members.select("doc_id")).join(members, "doc_id").select("doc_id", "w", "cs").mapInArrow(_around(t), "key long, doc_id long, c int, open boolean, w binary"))
+    one = F.struct("doc_id", "c", "w")
+    first = around.groupBy("key", F.xxhash64("w").alias("h")).agg(F.min(one).alias("x")).select("key", "x")
+
+    def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+        sizes = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("n")))
+        dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("x.doc_id", "x.c"), "n"))
+        out = materialize(dealt.groupBy("key", "part").agg(F.collect_list("x").alias(name)).select("key", name))  # about ``size`` members
+        release(sizes)
+        return out
+
+    opens, others = packed(around.where("open").select("key", one.alias("x")), PACK[0], "opens"), packed(first, PACK[1], "others")
+    near = opens.join(others, "key").select("opens", "others").mapInArrow(_apart(percent, t), "doc_id long, other long, c int, pc int")
+    pairs = materialize(near.groupBy("doc_id", "other").agg(F.collect_set(F.struct("c", "pc")).alias("places")))  # bounded by one document's windows
+    out = _verify(held, pairs, percent, t)
+    release(groups, members, around, opens, others, pairs)
+    return out
+
+
+def find_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, percent: int = 80, hashes: int = 4) -> DataFrame:
     """(doc_id, start_word, end_word, source_id, source_start, source_end, similarity): passages of a document that an earlier one holds; ends are exclusive."""
     t = min_words - SIZE + 1
     if not (0 < t < 1 << 14 and 1 < hashes <= 16):
@@ -422,13 +509,9 @@ def find_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     twos = [(f, g) for f in range(hashes) for g in range(f + 1, hashes)]
     left = materialize(each.join(_spans(found), "doc_id", "left").select("doc_id", "vs", "ws", "spans").mapInArrow(_signed(hashes, t, twos), schema))
     release(each)
-    for turn in range(passes):
-        more, after = _pass(left, held, percent, t, turn == passes - 1)
-        found = found.unionByName(more)
-        if after is None:
-            release(left)
-        left = after
-    release(held)
+    more, left = _pass(left, held, percent, t, False)
+    found = found.unionByName(more).unionByName(_closing(left, held, percent, t))
+    release(left, held)
     return found.distinct()
 
 

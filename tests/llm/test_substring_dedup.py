@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexweave.llm.substring_dedup import compact_windows, find_passages, without_passages
+from lexweave.llm.substring_dedup import compact_windows, find_passages, near_centres, without_passages
 
 
 @settings(max_examples=200, deadline=None)
@@ -150,3 +150,31 @@ def test_noisy_copies_do_not_hide_an_exact_passage(spark, copies):
         assert any(x.start_word <= 38 and x.end_word >= 82 for x in own), later
         exact += any(x.source_id == source and x.start_word <= 30 and x.end_word >= 90 for x in own)
     assert exact >= 20  # in others a noisy copy that is near enough explains the centre
+
+
+def test_noisy_copies_do_not_hide_a_near_passage(spark):
+    r = random.Random(7)
+    rows, want, n = [], [], 0
+    for case in range(30):
+        fresh = lambda k, case=case: [f"c{case}x{r.randrange(10**6)}" for _ in range(k)]
+        passage = fresh(60)
+        for _ in range(60):
+            rows.append((n, " ".join(w if r.random() > 0.2 else fresh(1)[0] for w in passage)))
+            n += 1
+        changed = passage[:30] + fresh(1) + passage[31:]
+        rows += [(n, " ".join(fresh(30) + passage + fresh(30))), (n + 1, " ".join(fresh(30) + changed + fresh(30)))]
+        want.append(n + 1)
+        n += 2
+    found = {x.doc_id for x in find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found & set(want)) >= 28
+
+
+def test_centres_are_near_by_the_shingles_around_them():
+    r = np.random.default_rng(5)
+    text = lambda n: r.integers(0, 40, n).astype(np.uint32)
+    for t, need in ((6, 4), (10, 9), (46, 41)):
+        b = [text(int(n)) for n in r.integers(1, 2 * t, 9)]
+        a = [text(int(n)) for n in r.integers(1, 2 * t, 30)] + [x.copy() for x in b[:3]]
+        i, j = near_centres([x.tobytes() for x in b], [x.tobytes() for x in a], t, need)
+        most = lambda x, y, t=t: max(np.isin(x, y)[k : k + t].sum() for k in range(len(x)))
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(k, m) for k, x in enumerate(b) for m, y in enumerate(a) if most(x, y) >= need}
