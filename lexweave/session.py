@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Shuffle files of a finished write go at once; the written table stands for them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a Python worker is handed at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN: dict[str, str] = {}
 _WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
 
@@ -42,19 +44,23 @@ def forget_later(spark: SparkSession, path: str) -> tuple:
     return fs, where
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, batch: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The folder goes with the session, or earlier by :func:`release`.
+    The folder goes with the session, or earlier by :func:`release`. With ``batch``, Python workers get at most so many bytes (or one row) at
+    once meanwhile, not Spark's 64 MB, of which functions over long texts hold several copies.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    new = {CLEANUP: "true"} | ({BATCH: batch} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = forget_later(spark, path)
     return out

@@ -6,6 +6,7 @@ import re
 import time
 import zipfile
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lexweave.operators import archive, budget, catalog, jobs, layout, links, me
 from lexweave.operators.order import parted
 from lexweave.plans.pages import document_sections
 from lexweave.plans.translate import translate_items
+from lexweave.session import BATCH, materialize
 from lexweave.sources import archives, files
 
 
@@ -582,3 +584,11 @@ def test_a_line_of_many_items(spark):
     text = "".join("ab-" if i % 3 == 0 else "cd " for i in range(n)).rstrip(" ")
     assert [r.text for r in paras] == [f"{text} {text}"]
     assert time.perf_counter() - began < 15
+
+
+def test_python_gets_small_batches_of_long_texts(spark):
+    """At most 2 MB of texts at once where a table is written so; the session's own setting is as before."""
+    held = F.pandas_udf(lambda x: pd.Series([int(x.str.len().sum())] * len(x)), "long")
+    before = spark.conf.get(BATCH)
+    rows = materialize(spark.range(0, 400, 1, 1).select(held(F.repeat(F.lit("x"), (F.col("id") * 0 + 100_000).cast("int"))).alias("n")), "2m")
+    assert rows.count() == 400 and rows.agg(F.max("n")).first()[0] <= 2_200_000 and spark.conf.get(BATCH) == before
