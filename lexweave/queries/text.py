@@ -309,7 +309,7 @@ def page_validation(spark: SparkSession, d: str) -> DataFrame:
         figures.alias("figures"),
         F.col("text").alias("source_text"),
     )
-    return layout.page_reason(pages).select("doc_id", "reason", layout.needs_ocr(F.col("source_text")).alias("needs_ocr"))
+    return materialize(layout.page_reason(pages).select("doc_id", "reason", layout.needs_ocr(F.col("source_text")).alias("needs_ocr")), "2m")
 
 
 def chapter_numbers(spark: SparkSession, d: str) -> DataFrame:
