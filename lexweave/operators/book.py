@@ -207,10 +207,10 @@ def structured_book(pages: DataFrame, bookmarks: DataFrame, books: DataFrame) ->
 
     Prepared pages, chapters and contents are read several times each, so they are written first.
     """
-    prepared = materialize(prepare_pages(pages))
-    parts = materialize(chapters(prepared, bookmarks, books.select("doc_id", "title")))
-    toc = materialize(contents(prepared, bookmarks, parts))
-    linked = materialize(link_chapters(parts))
+    prepared = materialize(prepare_pages(pages), "2m")
+    parts = materialize(chapters(prepared, bookmarks, books.select("doc_id", "title")), "2m")
+    toc = materialize(contents(prepared, bookmarks, parts), "2m")
+    linked = materialize(link_chapters(parts), "2m")
     release(prepared, parts)
     return book_entries(linked, toc, books)
 
