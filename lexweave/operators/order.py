@@ -32,9 +32,9 @@ def numbered(df: DataFrame, name: str, *order: Column, within: str | None = None
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     if within is None:
-        return placed.join(before, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+        return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
     # a row for each value in each part it stands in, so rows of one value join in as many tasks as it has parts
-    runs = placed.groupBy("_part", F.col(within).alias("_w")).agg(F.min("_own").alias("_at")).join(before, "_part")
+    runs = placed.groupBy("_part", F.col(within).alias("_w")).agg(F.min("_own").alias("_at")).join(F.broadcast(before), "_part")
     first = runs.groupBy(F.col("_w").alias("_v")).agg(F.min(F.col("_at") + F.col("_before")).alias("_first"))
     shift = runs.join(first, F.col("_w").eqNullSafe(F.col("_v"))).select(F.col("_part").alias("_p"), "_w", (F.col("_before") - F.col("_first")).alias("_shift"))
     out = placed.join(shift, (F.col("_part") == F.col("_p")) & F.col(within).eqNullSafe(F.col("_w")))
@@ -53,7 +53,7 @@ def running_sum(df: DataFrame, name: str, value: Column, *order: Column, parts:
     sums = placed.groupBy("_part").agg(F.sum("_value").alias("_n"))
     before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.sum("_value").over(Window.partitionBy("_part").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn(name, own).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_own", "_before", "_value")
+    return placed.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_own", "_before", "_value")
 
 
 def composed_states(df: DataFrame, key: str, order: list[str], symbol: str, steps: list[tuple[int, ...]], parts: int | None = None, keep: bool = False) -> DataFrame:

@@ -103,14 +103,17 @@ KINDS = ("epub-translation", "pdf-conversion")
 JOB_STATES = ("pending", "processing", "pausing", "paused", "done", "error")
 
 
-def job_problem(bodies: DataFrame) -> DataFrame:
-    """``bodies(body)`` of stored jobs with ``problem``: what can't be read, else the first field outside its domain, else null."""
+def judged_jobs(bodies: DataFrame) -> DataFrame:
+    """``bodies(body)`` of stored jobs with ``problem`` (what can't be read, else the first field outside its domain, else null) and ``_j``, the record.
+
+    Rules and fields read a body that is parsed once: a generated row, as an expression would be parsed again wherever it is named.
+    """
     j = F.from_json("body", f"{JOB}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     whole = lambda c: F.coalesce((c >= 0) & (c == F.floor(c)), F.lit(False))
     moment = lambda c: F.try_to_timestamp(c).isNotNull()
     c = {n.split()[0]: F.col(f"_j.{n.split()[0]}") for n in JOB.split(", ")}
     # null is a value of these fields, and absent isn't
-    raw = lambda name: F.try_variant_get(F.try_parse_json(F.col("body")), f"$.{name}", "variant")
+    raw = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
     given = lambda name: raw(name).isNotNull()
     is_null = lambda name: F.coalesce(F.is_variant_null(raw(name)), F.lit(False))
     texts = c["inputFileName"].isNotNull() & c["inputFilePath"].isNotNull() & c["outputFilePath"].isNotNull()
@@ -129,7 +132,13 @@ def job_problem(bodies: DataFrame) -> DataFrame:
         wrong(terms & lists & ~is_null("glossary") & ~is_null("completedChapters") & ~is_null("translationMemory"), "lists"),
         wrong(~is_null("archived"), "archived"),
     )
-    return bodies.withColumn("_j", j).withColumn("problem", problem).drop("_j")
+    parsed = bodies.select("*", F.inline(F.array(F.struct(j.alias("_j"), F.try_parse_json(F.col("body")).alias("_v")))))
+    return parsed.withColumn("problem", problem).drop("_v")
+
+
+def job_problem(bodies: DataFrame) -> DataFrame:
+    """``bodies(body)`` of stored jobs with ``problem``: what can't be read, else the first field outside its domain, else null."""
+    return judged_jobs(bodies).drop("_j")
 
 
 def checkpoint_problem(saved: DataFrame, key: str, expected: DataFrame) -> DataFrame:

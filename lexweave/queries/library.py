@@ -146,7 +146,7 @@ def stored_jobs(spark: SparkSession, d: str) -> DataFrame:
     )
     bodies = table(spark, d, "orders").select(F.when(k % 19 == 0, "{").otherwise(with_nulls(F.to_json(job), "outputFileName", "error")).alias("body"))
     sound, _ = job_rows(bodies)
-    restarted = jobs.upgrade_records(sound)
+    restarted = jobs.upgrade_records(sound.select("job_id", "kind", "status", "progress", "checkpoint", "glossary", "queue_order", "archived", "created_at", "started_at"))
     told = jobs.queue_message(jobs.list_order(restarted).withColumn("total", F.col("progress.total")))
     return told.select("job_id", "kind", "status", F.coalesce("message", "progress.message").alias("message"), "queue_order", F.col("started_at").cast("string").alias("started_at"), "archived", F.size("glossary").alias("n_terms"), "position")
 

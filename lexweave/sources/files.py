@@ -9,6 +9,7 @@ from lexweave.functions.replies import publication_year
 from lexweave.functions.text import blank_to_null, file_title
 from lexweave.operators import records
 from lexweave.operators.catalog import CANDIDATE, PLACEHOLDER, interleave
+from lexweave.session import materialize
 
 #: Folders that hold no books, and kinds of book files.
 SKIPPED_FOLDERS = (".cache", "system", "fonts", "voice", "audible", "screenshots")
@@ -33,13 +34,16 @@ def device_books(spark: SparkSession, root: str, *, depth: int = 10, limit: int
 
 
 def job_rows(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(jobs, faults) of ``bodies(..., body)`` of stored jobs: typed rows of those in their domain, oldest first; the others with ``problem``."""
-    checked = records.job_problem(bodies)
-    j = checked.where("problem is null").withColumn("_j", F.from_json("body", records.JOB))
+    """(jobs, faults) of ``bodies(..., body)`` of stored jobs: typed rows of those in their domain, oldest first; the others with ``problem``.
+
+    Bodies are judged once and written, as a sort over them would judge each again for its sample.
+    """
+    checked = materialize(records.judged_jobs(bodies).drop("body"))
+    j = checked.where("problem is null")
     moment = lambda name: F.try_to_timestamp(F.col(f"_j.{name}"))
     text = {"job_id": "id", "kind": "kind", "status": "status", "progress": "progress", "input_file": "inputFileName", "output_file": "outputFileName", "input_path": "inputFilePath", "output_path": "outputFilePath", "error": "error", "glossary": "glossary", "completed_chapters": "completedChapters", "translation_memory": "translationMemory", "queue_order": "queueOrder", "elapsed_ms": "elapsedMs", "archived": "archived"}
     rows = j.select(*[c for c in bodies.columns if c != "body"], *[F.col(f"_j.{n}").alias(c) for c, n in text.items()], F.col("_j.checkpointBatchIndex").alias("checkpoint"), moment("lastProgressAt").alias("last_progress_at"), moment("createdAt").alias("created_at"), moment("startedAt").alias("started_at"), moment("completedAt").alias("completed_at"))
-    return rows.orderBy("created_at", "job_id"), checked.where("problem is not null").drop("body")
+    return rows.orderBy("created_at", "job_id"), checked.where("problem is not null").drop("_j")
 
 
 def job_records(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

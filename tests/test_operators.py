@@ -337,6 +337,18 @@ def test_folders(spark, tmp_path):
     assert up.last_progress_at == up.created_at and up.completed_at is None
 
 
+def test_a_stored_job_is_parsed_once(spark):
+    """Whatever the rules name: not once for each field, nor again for the sample of a sort."""
+    from lexweave.operators import records
+
+    bodies = spark.createDataFrame([("{",), (None,), ("{}",)], "body string")
+    judged = records.job_problem(bodies)
+    assert [r.problem for r in judged.collect()] == ["unreadable", "unreadable", "id"]
+    plan = judged.where("problem is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("parseJson(") == 1
+    assert "from_json(" not in files.job_rows(bodies)[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_hot_key_replays_in_many_parts(spark):
     r = random.Random(3)
     steps = ("start", "pause", "stopped", "resume", "finish", "fail", "unknown")
