@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,9 +46,21 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Combining marks; none stands below U+0300.
+_MARKS = np.array([n for n in range(0x300, 0x110000) if unicodedata.combining(chr(n))], "<u4")
+
+
+def without_accents(x: str | None) -> str | None:
+    if x is None or x.isascii():
+        return x
+    c = np.frombuffer(unicodedata.normalize("NFD", x).encode("utf-32-le"), "<u4")
+    high = np.flatnonzero(c >= 0x300)
+    return np.delete(c, high[np.isin(c[high], _MARKS)]).tobytes().decode("utf-32-le")
+
+
 @F.pandas_udf(StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+    return s.map(without_accents)
 
 
 def search_identity(c: Column) -> Column:

@@ -260,7 +260,7 @@ def _shelf(spark: SparkSession, d: str) -> DataFrame:
 def indexed_search(spark: SparkSession, d: str) -> DataFrame:
     """Two queries over a written index: words that some texts hold, and one that none does."""
     books = _shelf(spark, d)
-    postings = materialize(readinglog.search_postings(books, "doc_id").repartition("gram").sortWithinPartitions("gram"))
+    postings = materialize(readinglog.search_postings(books, "doc_id"), "8m")
     found = [readinglog.indexed_search(books, "doc_id", postings, q).select("doc_id", F.lit(q).alias("query")) for q in ("Ción de", "THE the", "zzq")]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

@@ -575,6 +575,20 @@ def test_an_index_finds_what_a_scan_finds(spark):
     assert find(" Camio ") == {0, 1} and find("nunez") == {1, 3, 5} and find("a") == {0, 1, 2, 3, 5, 6} and find("camionx") == set() and find("f4.e") == {4} and find("") == set(range(7))
 
 
+def test_an_index_is_made_without_a_shuffle(spark):
+    """In order of its runs within a batch, each once for a book; characters beyond 16 bits and marks count as they stand."""
+    texts = [f"abcabc {i % 7} Éa\u0302\u0301b \U0001f600\U0001f600\U0001f600\U0001f600" for i in range(50)] + ["xy", "", None]
+    books = spark.createDataFrame(list(enumerate(texts)), "id int, title string").selectExpr("id", "title", "'' as file_name", "'' as authors").coalesce(1)
+    postings = readinglog.search_postings(books, "id")
+    got = [(r.gram, r.id) for r in postings.collect()]
+    plain = lambda t: f"{t}  ".lower().replace("é", "e").replace("\u0302\u0301", "") if t is not None else "  "
+    text = {r.id: r.t for r in books.select("id", readinglog.search_text().alias("t")).collect()}
+    assert all(text[i].strip() == plain(t).strip() for i, t in enumerate(texts))
+    assert sorted(got) == sorted({(t[k : k + 3], i) for i, t in text.items() for k in range(len(t) - 2)}) and [g for g, _ in got] == sorted(g for g, _ in got)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert T.without_accents("Ça\u0323\u0307 \u1e69가") == "Ca s가".replace("가", "\u1100\u1161")
+
+
 def test_free_names_beside_many_taken_ones(spark):
     """Against a walk over the numbers: taken ones with gaps, and such as have more than five digits."""
     taken = {0, 1, 4, 5, 9, 123456}
