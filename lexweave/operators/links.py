@@ -46,7 +46,12 @@ def duplicate_anchors(anchors: DataFrame) -> DataFrame:
 
 
 def missing_assets(references: DataFrame, assets: DataFrame) -> DataFrame:
-    return references.join(assets.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti")
+    """(doc_id, path) of references that no asset answers, each once; a null in either is never answered.
+
+    Both sides are counted under one key: one table of keys in a task, not one for each side and two sorts for a join.
+    """
+    both = references.select("doc_id", "path", F.lit(0).alias("_there")).unionByName(assets.where("doc_id is not null and path is not null").select("doc_id", "path", F.lit(1).alias("_there")))
+    return both.groupBy("doc_id", "path").agg(F.max("_there").alias("_there")).where("_there = 0").drop("_there")
 
 
 def figure_mismatch(page: DataFrame) -> DataFrame:

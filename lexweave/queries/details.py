@@ -61,7 +61,7 @@ def local_anchors(spark: SparkSession, d: str) -> DataFrame:
 def asset_check(spark: SparkSession, d: str) -> DataFrame:
     """Orders' line items as references to images, of which some aren't there, and as anchors, of which some repeat."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("images/"), (F.col("l_partkey") % 40).cast("string"), F.lit(".png")).alias("path"), (F.col("l_suppkey") % 3).cast("string").alias("anchor"))
-    gone = links.missing_assets(li.select("doc_id", "path").distinct(), li.where("path not like '%7.png'")).select("doc_id", "path", F.lit(None).cast("long").alias("n"))
+    gone = links.missing_assets(li.select("doc_id", "path"), li.where("path not like '%7.png'")).select("doc_id", "path", F.lit(None).cast("long").alias("n"))
     return gone.unionByName(links.duplicate_anchors(li).select("doc_id", F.concat(F.lit("#"), "anchor").alias("path"), "n"))
 
 

@@ -575,6 +575,13 @@ def test_an_index_finds_what_a_scan_finds(spark):
     assert find(" Camio ") == {0, 1} and find("nunez") == {1, 3, 5} and find("a") == {0, 1, 2, 3, 5, 6} and find("camionx") == set() and find("f4.e") == {4} and find("") == set(range(7))
 
 
+def test_missing_assets_without_a_join(spark):
+    rows = lambda *r: spark.createDataFrame(r, "doc_id int, path string")
+    gone = links.missing_assets(rows((1, "a"), (1, "a"), (1, "b"), (1, "b"), (2, "b"), (None, "a"), (1, None)), rows((1, "b"), (1, "b"), (2, "a"), (None, "a"), (1, None), (3, "c")))
+    assert sorted(map(tuple, gone.collect()), key=str) == [(1, "a"), (1, None), (2, "b"), (None, "a")]
+    assert "Join" not in gone._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_an_index_is_made_without_a_shuffle(spark):
     """In order of its runs within a batch, each once for a book; characters beyond 16 bits and marks count as they stand."""
     texts = [f"abcabc {i % 7} Éa\u0302\u0301b \U0001f600\U0001f600\U0001f600\U0001f600" for i in range(50)] + ["xy", "", None]
