@@ -31,8 +31,8 @@ def _doubled(links: DataFrame) -> DataFrame:
 
 
 def _subtrees(links: DataFrame) -> DataFrame:
-    """``links(doc_id, node, up)`` → (doc_id, node, size): how many nodes stand below each, itself included, by doubling."""
-    now = materialize(links.withColumn("size", F.lit(1).cast("long")))
+    """``links(doc_id, node, up, size)`` → (doc_id, node, size): the sum of the sizes below each, its own included, by doubling."""
+    now = materialize(links)
     for _ in range(int(now.count()).bit_length() + 1):
         below = now.where("up is not null").groupBy("doc_id", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
         above = now.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("up").alias("_up"))
@@ -51,17 +51,28 @@ def flatten_outline(items: DataFrame, n_pages: DataFrame) -> DataFrame:
     children stay. ``place`` counts all items of a document before it, from 0. An item stands after its parent, the
     parent's earlier children and all below those: subtree sizes and sums along the way up give its place, each in
     logarithmic rounds of joins on the item, so neither a long chain nor a long list of children meets in one task. Items
+    without children stay out of the rounds and follow their parents at the end. Items
     whose parents are missing, or that are their own ancestors, are never reached and go; so do null ids. Item ids are unique in a document.
     """
     tree = materialize(items.where("doc_id is not null and item_id is not null").select("doc_id", F.col("item_id").alias("node"), F.col("parent_id").alias("up"), "pos", "title", "page"))
-    sizes = _subtrees(tree.select("doc_id", "node", "up"))
-    sized = tree.select("doc_id", "node", "up", "pos").join(sizes, ["doc_id", "node"])
+    links = tree.select("doc_id", "node", "up", "pos")
+    kids = links.where("up is not null").groupBy("doc_id", F.col("up").alias("node")).agg(F.count("*").alias("_kids"))
+    marked = materialize(links.join(kids, ["doc_id", "node"], "left"))
+    leaves, inner = marked.where("_kids is null").drop("_kids"), marked.where("_kids is not null").drop("_kids")
+    ends = leaves.where("up is not null").groupBy("doc_id", F.col("up").alias("node")).agg(F.count("*").alias("_ends"))
+    sizes = _subtrees(inner.drop("pos").join(ends, ["doc_id", "node"], "left").select("doc_id", "node", "up", (F.coalesce("_ends", F.lit(0)) + 1).alias("size")))
+    sized = inner.join(sizes, ["doc_id", "node"]).withColumn("_leaf", F.lit(False)).unionByName(leaves.withColumns({"size": F.lit(1).cast("long"), "_leaf": F.lit(True)}))
     running = running_sum(sized, "so_far", F.col("size"), F.col("doc_id"), F.col("up").asc_nulls_first(), F.col("pos"), F.col("node"))
-    running = materialize(running.withColumn("before", F.col("so_far") - F.col("size")))
+    running = materialize(running.select("doc_id", "node", "up", "_leaf", (F.col("so_far") - F.col("size")).alias("before")))
     first = materialize(running.groupBy(F.col("doc_id").alias("_d"), F.col("up").alias("_u")).agg(F.min("before").alias("_first")))  # of each list of children
-    elder = running.join(first, (F.col("doc_id") == F.col("_d")) & F.col("up").eqNullSafe(F.col("_u"))).select("doc_id", "node", "up", F.lit(1).alias("level"), (F.col("before") - F.col("_first") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("walk"))
-    placed = _doubled(materialize(elder))
-    release(running, first)
+    elder = running.join(first, (F.col("doc_id") == F.col("_d")) & F.col("up").eqNullSafe(F.col("_u"))).select("doc_id", "node", "up", "_leaf", F.lit(1).alias("level"), (F.col("before") - F.col("_first") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("walk"))
+    elder = materialize(elder)
+    above = _doubled(elder.where("not _leaf").drop("_leaf"))
+    release(marked, running, first)
+    end = elder.where("_leaf").drop("_leaf")
+    over = above.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("level").alias("_level"), F.col("walk").alias("_walk"))
+    below = end.join(over, (F.col("doc_id") == F.col("_d")) & (F.col("up") == F.col("_n"))).select("doc_id", "node", (F.col("level") + F.col("_level")).alias("level"), (F.col("walk") + F.col("_walk")).alias("walk"))
+    placed = above.unionByName(end.where("up is null").drop("up")).unionByName(below)
     kept = placed.join(tree.select("doc_id", "node", "title", "page"), ["doc_id", "node"]).withColumn("title", blank_to_null(F.col("title"))).join(n_pages.select("doc_id", "n_pages"), "doc_id")
     return kept.where((F.col("title").isNotNull()) & F.col("page").between(1, F.col("n_pages"))).select("doc_id", F.col("walk").alias("place"), "title", "page", "level")
 

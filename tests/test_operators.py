@@ -401,6 +401,20 @@ def test_an_outline_of_any_depth(spark):
     assert [(x.doc_id, x.title) for x in out if x.doc_id > 2] == [(3, "d")]
 
 
+def test_leaves_of_an_outline_stay_out_of_the_rounds(spark, monkeypatch):
+    """A root with 200 children, one of them with a child, beside lost items and an item alone: two items have children and are reached."""
+    from lexweave.operators import outline
+
+    seen, rounds = [], outline._doubled
+    monkeypatch.setattr(outline, "_doubled", lambda links: seen.append(links.count()) or rounds(links))
+    rows = [(1, 0, None, 0)] + [(1, i, 0, -i) for i in range(1, 201)] + [(1, 500, 7, 0), (1, 600, 999, 0), (2, 1, None, 0), (3, 1, 2, 0), (3, 2, 1, 0), (3, 3, 2, 0)]
+    df = spark.createDataFrame(rows, "doc_id int, item_id int, parent_id int, pos int").selectExpr("*", "concat('t', item_id) as title", "1 as page")
+    out = outline.flatten_outline(df, spark.createDataFrame([(i, 10) for i in range(1, 4)], "doc_id int, n_pages int")).collect()
+    want = [(1, 0, "t0", 1)] + [(1, 201 - i + (i < 7), f"t{i}", 2) for i in range(1, 201)] + [(1, 195, "t500", 3), (2, 0, "t1", 1)]
+    assert sorted((r.doc_id, r.place, r.title, r.level) for r in out) == sorted(want)
+    assert seen == [4]  # and the two of a circle
+
+
 def test_title_lines_are_consumed_exactly(spark):
     def walk(pages):
         """Numbered headings take up to three upper-case lines; the walk goes on behind them."""
