@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.operators.memory import apply_memory, missing_texts
-from lexweave.operators.order import numbered
 from lexweave.operators.segment import recombine, split_oversized
 from lexweave.session import folder_exists, materialize, release
 
@@ -75,6 +76,23 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
     return each.groupBy("source_text").agg(F.min("target_text").alias("target_text"))
 
 
+def _batches(size: int):
+    """(batch, tries, texts): a part's texts in batches of ``size``, named by part and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, rest = TaskContext.get().partitionId(), 0, pa.array([], pa.string())
+        for b in itertools.chain(batches, (None,)):
+            held = rest if b is None else pa.concat_arrays([rest, b.column(0)])
+            ends = [*range(0, len(held) + 1, size), *([len(held)] if b is None and len(held) % size else [])]
+            rest = held.slice(ends[-1])
+            if n := len(ends) - 1:
+                names = pa.array([f"{part}-{made + k}" for k in range(n)])
+                yield pa.RecordBatch.from_arrays([names, pa.array([0] * n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held.slice(0, ends[-1]))], names=["batch", "tries", "texts"])
+                made += n
+
+    return run
+
+
 def translate_durably(texts: DataFrame, translator: Translator, path: str, *, batch: int = 20, tries: int = 3, most_tasks: int = 10_000) -> DataFrame:
     """(source_text, target_text) of the distinct ``texts(text)``, asked for in rounds over a ledger in the folder ``path``.
 
@@ -83,14 +101,18 @@ def translate_durably(texts: DataFrame, translator: Translator, path: str, *, ba
     stand in the folder as soon as it ends, also if the round is then broken off, and a call on the same folder asks only for texts
     without an answer. So a lost executor or a killed driver costs the requests that were under way, and no answered text is asked for again.
 
+    Batches are made where the distinct texts stand, so each part of theirs may end with a short one. A round's failures are read from
+    its folder, where the next round leaves them if they lie in as many parts as it has tasks: then no text is shuffled again.
+
     An exhausted budget ends the call after its round, and so does a text that no try answers (when nothing else is open); answers stay.
     Null texts are left out; empty ones are asked for like others.
     """
     spark = texts.sparkSession
-    fresh = texts.select("text").where("text is not null").distinct().join(answers(spark, path).select(F.col("source_text").alias("text")), "text", "left_anti")
-    placed = numbered(fresh, "n", F.col("text"))
-    grouped = placed.groupBy(F.floor(F.col("n") / batch).alias("b")).agg(F.array_sort(F.collect_list("text")).alias("texts"))
-    waiting = materialize(grouped.select(F.col("b").cast("string").alias("batch"), F.lit(0).alias("tries"), "texts"))
+    resumed = folder_exists(spark, path)
+    fresh = texts.select("text").where("text is not null").distinct()
+    if resumed:
+        fresh = fresh.join(answers(spark, path).select(F.col("source_text").alias("text")), "text", "left_anti")
+    waiting = first = materialize(fresh.mapInArrow(_batches(batch), "batch string, tries int, texts array<string>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,24 +128,28 @@ def translate_durably(texts: DataFrame, translator: Translator, path: str, *, ba
                     error = f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([b.column(1)[k].as_py() + 1], pa.int32()), b.column(2).slice(k, 1), pa.array([out], pa.list_(pa.string())), pa.array([error], pa.string())], names=["batch", "tries", "texts", "answers", "error"])
 
-    given_up = 0
-    while n := waiting.count():
-        at = f"{path}/{uuid.uuid4().hex}"
+    given_up, n = 0, waiting.count()
+    spent, many = F.col("tries") >= tries, F.size("texts") > 1
+    half = F.ceil(F.size("texts") / 2).cast("int")
+    piece = lambda end, part: F.struct(F.concat("batch", F.lit(end)).alias("batch"), F.lit(0).alias("tries"), part.alias("texts"))
+    halves = F.array(piece(".0", F.slice("texts", F.lit(1), half)), piece(".1", F.slice("texts", half + 1, F.size("texts"))))
+    while n:
+        at, tasks = f"{path}/{uuid.uuid4().hex}", min(n, most_tasks)
+        dealt = waiting.coalesce(tasks) if waiting.rdd.getNumPartitions() >= tasks else waiting.repartition(tasks)
         # each task's file stands when it ends, not only when all have ended
-        waiting.repartition(min(n, most_tasks)).mapInArrow(run, ROUND).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(at)
+        dealt.mapInArrow(run, ROUND).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(at)
         failed = spark.read.schema(ROUND).parquet(at).where("answers is null")
-        if not failed.where(F.col("error") == BUDGET).isEmpty():
+        counts = [F.count_if(F.col("error") == BUDGET), F.count_if(~spent), F.count_if(spent & many), F.count_if(spent & ~many)]
+        broke, again, split, lost = failed.agg(*counts).first()
+        if broke:
             raise BudgetExceeded("no further request may be sent; answers so far are kept")
-        again = failed.where(F.col("tries") < tries).select("batch", "tries", "texts")
-        spent = failed.where(F.col("tries") >= tries)
-        given_up += spent.where(F.size("texts") < 2).count()
-        half = F.ceil(F.size("texts") / 2).cast("int")
-        halves = F.array(F.struct(F.concat("batch", F.lit(".0")).alias("batch"), F.slice("texts", F.lit(1), half).alias("texts")), F.struct(F.concat("batch", F.lit(".1")).alias("batch"), F.slice("texts", half + 1, F.size("texts")).alias("texts")))
-        split = spent.where(F.size("texts") > 1).select(F.inline(halves)).select("batch", F.lit(0).alias("tries"), "texts")
-        last, waiting = waiting, materialize(again.unionByName(split))
-        release(last)
+        given_up, n = given_up + lost, again + 2 * split
+        waiting = failed.select(F.inline(F.when(~spent, F.array(F.struct("batch", "tries", "texts"))).when(many, halves)))
+    release(first)
     if given_up:
         raise RuntimeError(f"{given_up} texts without translation after {tries} tries each")
+    if not resumed:  # the ledger holds what this call asked for
+        return answers(spark, path)
     return answers(spark, path).join(texts.select(F.col("text").alias("source_text")).distinct(), "source_text", "left_semi")
 
 

@@ -518,6 +518,28 @@ def test_answered_texts_are_not_asked_for_again(spark, tmp_path):
         assert "1 texts" in str(e)
 
 
+def test_rounds_leave_failed_texts_where_they_lie(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lexweave.plans import translate
+
+    written = []
+    monkeypatch.setattr(translate, "materialize", lambda df, write=translate.materialize: written.append(1) or write(df))
+    monkeypatch.setattr(DataFrame, "repartition", None)
+    texts = spark.range(500).selectExpr("concat('t', id % 450) as text")
+
+    def picky(batch):
+        if len(batch) > 1 and "t7" in batch:
+            raise ConnectionError
+        return [t.upper() for t in batch]
+
+    out = translate.translate_durably(texts, picky, str(tmp_path / "ledger"), batch=200, tries=2, most_tasks=1)
+    assert sorted(tuple(r) for r in out.collect()) == sorted((f"t{i}", f"T{i}") for i in range(450))
+    assert len(written) == 1  # not once more in each of the rounds
+    sizes = sorted(len(r.texts) for r in translate._attempts(spark, str(tmp_path / "ledger")).where("not contains(batch, '.')").dropDuplicates(["batch"]).collect())
+    assert sum(sizes) == 450 and max(sizes) == 200
+
+
 def test_a_broken_off_stream_ends_alike(spark, tmp_path):
     from lexweave.streaming.resume import read_written, write_once
 
