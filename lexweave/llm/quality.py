@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +32,7 @@ from lexweave.llm.common import drawn, hash_words, table, text_slices
 
 CLASSES = 9
 SAMPLE = 12_000
+SLICE = 1 << 18  # bytes of text whose features are made at once, in arrays of 8 bytes for each of them
 
 
 def _byte_classes() -> np.ndarray:
@@ -41,7 +41,7 @@ def _byte_classes() -> np.ndarray:
     c[[33, 44, 46, 59, 63]] = 5
     c[[58, 39, 45, 40, 41, 34]] = 6
     c[128:] = 8
-    return c
+    return c.astype(np.uint8)
 
 
 def text_features(texts: list[str]) -> np.ndarray:
@@ -50,7 +50,7 @@ def text_features(texts: list[str]) -> np.ndarray:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw])
     data = classes[np.frombuffer(b"".join(raw), np.uint8)]
-    doc = np.repeat(np.arange(len(raw)), sizes)
+    doc = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
     share = np.bincount(doc * CLASSES + data, minlength=len(raw) * CLASSES).reshape(len(raw), CLASSES)
     same = doc[1:] == doc[:-1]
     step = np.bincount((doc[1:] * CLASSES + data[:-1])[same] * CLASSES + data[1:][same], minlength=len(raw) * CLASSES**2).reshape(len(raw), -1)
@@ -155,7 +155,7 @@ def fit_pu(p: np.ndarray, u: np.ndarray, pf: np.ndarray, uf: np.ndarray, *, hidd
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in text_slices(batches, "text"):
+    for part, texts in text_slices(batches, "text", SLICE):
         rows = text_features(texts)
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(rows), pa.list_(pa.float32()))], names=["doc_id", "x"])
 
@@ -195,7 +195,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, score) for every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", SLICE):
             s = net.scores(text_features(texts)) if net else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.astype(np.float64))], names=["doc_id", "score"])
 
@@ -219,11 +219,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     """
     net, _ = train(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), labels.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{label_col}` as label"), **kwargs)
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        scores = [net.scores(text_features(t)) if net else np.full(len(t), 0.5) for _, t in text_slices([batch], "text")]
-        return pd.Series(np.concatenate(scores) >= 0.5)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:  # as it comes: neither it nor its texts are copied whole
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        scores = [net.scores(text_features(t)) if net else np.full(len(t), 0.5) for _, t in text_slices([batch], "text", SLICE)]
+        return pa.array(np.concatenate([np.zeros(0), *scores]) >= 0.5)
 
     return docs.where(good(F.col(text_col)))
 
