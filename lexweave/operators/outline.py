@@ -12,6 +12,10 @@ from lexweave.operators.order import running_sum
 from lexweave.session import materialize, release
 
 
+#: Items with titles that are joined in a task, about.
+PART_ROWS = 100_000
+
+
 def _doubled(links: DataFrame) -> DataFrame:
     """``links(doc_id, node, up, level, size, walk)`` with sums over all ancestors, by doubling: each round every node looks as far again as it
     has so far, so a chain of n items takes log2(n) rounds.
@@ -73,8 +77,12 @@ def flatten_outline(items: DataFrame, n_pages: DataFrame) -> DataFrame:
     over = above.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("level").alias("_level"), F.col("walk").alias("_walk"))
     below = end.join(over, (F.col("doc_id") == F.col("_d")) & (F.col("up") == F.col("_n"))).select("doc_id", "node", (F.col("level") + F.col("_level")).alias("level"), (F.col("walk") + F.col("_walk")).alias("walk"))
     placed = above.unionByName(end.where("up is null").drop("up")).unionByName(below)
-    kept = placed.join(tree.select("doc_id", "node", "title", "page"), ["doc_id", "node"]).withColumn("title", blank_to_null(F.col("title"))).join(n_pages.select("doc_id", "n_pages"), "doc_id")
-    return kept.where((F.col("title").isNotNull()) & F.col("page").between(1, F.col("n_pages"))).select("doc_id", F.col("walk").alias("place"), "title", "page", "level")
+    # titles are dealt and sorted once, in parts whose size doesn't grow with the items
+    shown = tree.select("doc_id", "node", blank_to_null(F.col("title")).alias("title"), "page").where("title is not null and page >= 1")
+    parts = max(int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tree.count() // PART_ROWS))
+    narrow = placed.join(n_pages.select("doc_id", "n_pages"), "doc_id").repartition(parts, "doc_id", "node")
+    kept = narrow.join(shown.repartition(parts, "doc_id", "node"), ["doc_id", "node"]).where("page <= n_pages")
+    return kept.select("doc_id", F.col("walk").alias("place"), "title", "page", "level")
 
 
 def document_metadata(rows: DataFrame) -> DataFrame:

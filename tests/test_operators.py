@@ -540,6 +540,17 @@ def test_rounds_leave_failed_texts_where_they_lie(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 450 and max(sizes) == 200
 
 
+def test_titles_of_outlines_join_in_bounded_parts(spark, monkeypatch):
+    from lexweave.operators import outline
+
+    monkeypatch.setattr(outline, "PART_ROWS", 10)
+    items = spark.range(200).selectExpr("id % 2 as doc_id", "id as item_id", "if(id < 2, null, id - 2) as parent_id", "id as pos", "if(id % 7 = 3, ' ', concat(' t', id)) as title", "if(id % 5 = 2, null, cast(id as int)) as page")
+    out = outline.flatten_outline(items, spark.createDataFrame([(0, 150), (1, 60)], "doc_id long, n_pages int"))
+    assert out.rdd.getNumPartitions() >= 20
+    want = {(i % 2, i // 2, f"t{i}", i, i // 2 + 1) for i in range(1, 200) if i % 7 != 3 and i % 5 != 2 and i <= (60 if i % 2 else 150)}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_a_broken_off_stream_ends_alike(spark, tmp_path):
     from lexweave.streaming.resume import read_written, write_once
 
