@@ -120,3 +120,13 @@ def test_a_training_step_sums_rows_quickly():
 
     learner, y = Learner(np.zeros((20_000, 41), np.float32), np.zeros(41, np.float32), 0.3), r.integers(0, 41, 4096)
     assert least(lambda: learner.step(rows, y)) < 1.5 * least(sorted_sums)
+
+
+def test_texts_are_judged_in_small_slices(spark):
+    from lexweave.llm import quality
+
+    assert quality._byte_classes().itemsize == 1 and quality.SLICE <= 1 << 18
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality.keep_good(docs, labels)
+    good = {r.doc_id for r in quality.quality_scores(docs, labels).where("predicted = 1").collect()}
+    assert {r.doc_id for r in kept.collect()} == good
