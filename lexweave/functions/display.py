@@ -34,9 +34,9 @@ def phase(c: Column) -> Column:
 
 
 def cover_colour(title: Column) -> Column:
-    """One of the colours by the sum of the title's characters (their first UTF-16 unit)."""
+    """One of the colours by the sum of the title's characters (their first UTF-16 unit); without a title the first."""
     first = lambda x: F.when(F.ascii(x) > 0xFFFF, 0xD800 + F.shiftright(F.ascii(x) - 0x10000, 10)).otherwise(F.ascii(x))
-    total = F.aggregate(F.filter(F.split(title, ""), lambda x: x != ""), F.lit(0).cast("long"), lambda s, x: s + first(x))
+    total = F.aggregate(F.filter(F.split(F.coalesce(title, F.lit("")), ""), lambda x: x != ""), F.lit(0).cast("long"), lambda s, x: s + first(x))
     return F.element_at(F.array(*map(F.lit, COLOURS)), (total % len(COLOURS) + 1).cast("int"))
 
 

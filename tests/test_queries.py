@@ -56,3 +56,18 @@ def test_pieces_that_equal_known_lines(spark, tmp_path):
     df = QUERIES[name](spark, str(tmp_path))
     columns = sorted(df.columns)
     assert plain(df.select(columns).collect()) == plain(c.sql(ORACLE_SQL[name]).select(", ".join(columns)).fetchall())
+
+
+def same_on(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    got = plain(df.select(columns).collect())
+    assert got == plain(c.sql(ORACLE_SQL[name]).select(", ".join(columns)).fetchall())
+    return got
+
+
+def test_colours_of_null_and_empty_texts(spark, tmp_path):
+    assert len(same_on(spark, tmp_path, "cover_colours", [(1, None), (2, ""), (3, " "), (4, "a\U0001f600"), (5, "e\u0301\r\n")])) == 5
