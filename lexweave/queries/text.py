@@ -85,11 +85,12 @@ def recombine_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_set_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Received items with faults by document; the unexpected id is one that no line has, however long the document."""
     lines = _lines(spark, d).select("doc_id", F.col("line_no").alias("item_id"), "text")
     kind = F.col("doc_id") % 5
     got = lines.where(~((kind == 0) & (F.col("item_id") % 7 == 3)))
     got = got.withColumn("text", F.when((kind == 2) & (F.col("item_id") == 0), " ").otherwise(F.col("text")))
-    got = got.withColumn("item_id", F.when((kind == 3) & (F.col("item_id") == 1), 1001).otherwise(F.col("item_id")))
+    got = got.withColumn("item_id", F.when((kind == 3) & (F.col("item_id") == 1), -1).otherwise(F.col("item_id")))
     got = got.unionByName(lines.where((kind == 1) & (F.col("item_id") == 0)))
     return memory.id_set_report(lines, got, "doc_id")
 

@@ -76,3 +76,8 @@ def test_colours_of_null_and_empty_texts(spark, tmp_path):
 def test_fences_around_blank_texts_and_images(spark, tmp_path):
     texts = [None, "", " ", "\n \t", "\r\n", " a\n", "x ![a](b) y", "![a](b)", "x ![", "x !", "!\0[a](b) \0\0 ![\0", "```json\na\n```", "![a\n](b)\n ![q](r)"]
     assert len(same_on(spark, tmp_path, "fences_and_images", list(enumerate(texts)))) == len(texts)
+
+
+def test_ids_of_documents_of_any_length(spark, tmp_path):
+    lines = lambda n: "\n".join(map(str, range(n)))
+    assert len(same_on(spark, tmp_path, "id_set_validation", [(10 * n + k, lines(n)) for n in (1, 2, 12, 1001, 1002, 1100) for k in range(5)])) == 30
