@@ -169,15 +169,17 @@ def hash_shingles(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[
 
     A text with fewer words (but one at least) has its whole sequence as its only shingle.
     """
-    counts = np.diff(first)
-    n = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
-    begin = np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(n, out=begin[1:])
     total = max(len(words) - size + 1, 0)
     runs = np.zeros(total, np.uint64)
     for k in range(size):
         runs += words[k : k + total] * np.uint64((0xA24BAED4963EE407 + 2 * k * 0x9FB21C651E98DF25) & _MASK)
     runs = mix64(runs)
+    if len(first) == 2 and total:
+        return runs, np.array([0, total])
+    counts = np.diff(first)
+    n = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
+    begin = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(n, out=begin[1:])
     if (counts >= size).all():
         keep = np.ones(total, bool)
         for k in range(1, size):

@@ -41,22 +41,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import bit_filter, hash_shingles, hash_words, materialize, mix64, passing, release, table, text_slices
+from lexweave.llm.common import _powers, bit_filter, hash_shingles, hash_words, materialize, mix64, passing, release, table, text_slices, unique_sorted
 
 SIZE = 5
 CHUNK = 64
 PACK = 32, 256  #: open members, and all members, of a group that are compared at once
 
 
-def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(h: np.ndarray, t: int, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of all compact windows of at least ``t`` places; zeros in ``h`` part the documents.
 
-    Of equal hashes in a window the first is its centre.
+    Of equal hashes in a window the first is its centre. With ``reach`` (``t`` at least) l and r may be cut off at that many places from c.
     """
+    reach = len(h) if reach is None else reach
     if len(h) < t:
         return (np.zeros(0, np.int64),) * 3
     levels = [h]  # levels[k][i]: the least of h[i : i + 2**k]
-    while 1 << len(levels) <= len(h):
+    while 1 << len(levels) <= min(reach, len(h)):
         prev, w = levels[-1], 1 << len(levels) - 1
         levels.append(np.minimum(prev[:-w], prev[w:]))
     k = t.bit_length() - 1
@@ -104,15 +105,25 @@ def _windows(hashes: int, t: int):
             for f in range(hashes):
                 h = np.zeros(starts[-1], np.uint64)
                 h[at] = mix64(runs[inside] ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (1 << 64) - 1)) | np.uint64(1)
-                l, c, r = compact_windows(h, t)
+                l, c, r = compact_windows(h, t, t)
                 doc = np.searchsorted(starts, c, "right") - 1
                 place = c - starts[doc]
                 # a hash that comes again within t places stands for itself once, with its widest window
-                order = np.lexsort((c, l - r, place // t, h[c], doc))
-                l, c, r, doc, place = (x[order] for x in (l, c, r, doc, place))
-                fresh = np.ones(len(c), bool)
-                fresh[1:] = (doc[1:] != doc[:-1]) | (h[c][1:] != h[c][:-1]) | (place[1:] // t != place[:-1] // t)
-                l, c, r, doc, place = (x[fresh] for x in (l, c, r, doc, place))
+                order = np.lexsort((c, h[c]))
+                x, y = order[:-1], order[1:]
+                again = doc[x[(h[c[x]] == h[c[y]]) & (doc[x] == doc[y]) & (place[x] // t == place[y] // t)]]
+                if len(again):  # whole windows of these documents
+                    whole = np.zeros(len(sizes), bool)
+                    whole[again] = True
+                    kept, own = ~whole[doc], np.flatnonzero(np.repeat(whole, sizes + 1))
+                    l, c, r = (np.concatenate((a[kept], own[b])) for a, b in zip((l, c, r), compact_windows(h[own], t), strict=True))
+                    doc = np.searchsorted(starts, c, "right") - 1
+                    place = c - starts[doc]
+                    order = np.lexsort((c, l - r, place // t, h[c], doc))
+                    l, c, r, doc, place = (x[order] for x in (l, c, r, doc, place))
+                    fresh = np.ones(len(c), bool)
+                    fresh[1:] = (doc[1:] != doc[:-1]) | (h[c][1:] != h[c][:-1]) | (place[1:] // t != place[:-1] // t)
+                    l, c, r, doc, place = (x[fresh] for x in (l, c, r, doc, place))
                 first, last = np.maximum(l, c - t + 1), np.minimum(c, r - t + 1)
                 out.append((h[c].view(np.int64), ids[doc], place << 32 | c - first << 18 | last - first << 4 | f))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["v", "doc_id", "w"])
@@ -120,11 +131,19 @@ def _windows(hashes: int, t: int):
     return run
 
 
-def signatures(v: np.ndarray, w: np.ndarray, hashes: int, t: int, groups: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, centre) of the distinct signatures of one document's subsequences, for each of the ``groups`` of functions."""
+def signatures(v: np.ndarray, w: np.ndarray, doc: np.ndarray, hashes: int, t: int, groups: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, centre, document) of the distinct signatures of each document's subsequences, for each of the ``groups`` of functions.
+
+    ``doc`` numbers the documents of the windows in rising order; they are laid one behind another, so all are done at once.
+    """
     f, c = w & 15, w >> 32
     start = c - (w >> 18 & 0x3FFF)
     end = start + (w >> 4 & 0x3FFF)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    size = np.maximum.reduceat(c, first) + 2
+    base = np.concatenate(([0], np.cumsum(size)[:-1]))
+    shift = np.repeat(base, np.diff(first, append=len(doc)))
+    start, end, c = start + shift, end + shift, c + shift
     cuts = np.unique(np.concatenate((start, end + 1)))
     on, val, mid = [], [], []
     for k in range(hashes):  # a function's windows have no start in common
@@ -135,26 +154,33 @@ def signatures(v: np.ndarray, w: np.ndarray, hashes: int, t: int, groups: list[t
             mid.append(None)
             continue
         own = own[np.argsort(start[own], kind="stable")]
-        at = np.maximum(np.searchsorted(start[own], cuts, "right") - 1, 0)
-        on.append((start[own[at]] <= cuts) & (cuts <= end[own[at]]))
-        val.append(v[own[at]].view(np.uint64))
-        mid.append(c[own[at]])
+        at = own[np.maximum(np.searchsorted(start[own], cuts, "right") - 1, 0)]
+        on.append((start[at] <= cuts) & (cuts <= end[at]))
+        val.append(v[at].view(np.uint64))
+        mid.append(c[at])
     keys, centres = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for g in groups:
-        both = np.logical_and.reduce([on[k] for k in g])
-        if not both.any():
+        both = np.flatnonzero(np.logical_and.reduce([on[k] for k in g]))
+        if not len(both):
             continue
-        key = np.full(int(both.sum()), sum(1 << k for k in g), np.uint64)
+        key = np.full(len(both), sum(1 << k for k in g), np.uint64)
         for k in g:
             key = mix64(key ^ val[k][both]) + np.uint64(0x632BE59BD9B4E019)
         keys.append(key)
         centres.append(mid[g[0]][both])
     key, centre = np.concatenate(keys), np.concatenate(centres)
-    order = np.lexsort((centre, centre // t, key))
+    order = np.lexsort((centre, key))  # by key, document and centre
     key, centre = key[order], centre[order]
+    whose = np.searchsorted(base, centre, "right") - 1
+    centre -= base[whose]
     fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (centre[1:] // t != centre[:-1] // t)
-    return key[fresh].view(np.int64), centre[fresh]
+    fresh[1:] = (key[1:] != key[:-1]) | (whose[1:] != whose[:-1]) | (centre[1:] // t != centre[:-1] // t)
+    return key[fresh].view(np.int64), centre[fresh], doc[first][whose[fresh]]
+
+
+def inside(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which places lie in one of the spans from ``a`` to before ``b``."""
+    return np.searchsorted(np.sort(a), at, "right") > np.searchsorted(np.sort(b), at, "right")
 
 
 def _signed(hashes: int, t: int, groups: list[tuple[int, ...]]):
@@ -162,27 +188,22 @@ def _signed(hashes: int, t: int, groups: list[tuple[int, ...]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-
-            def flush(rows: list[tuple]) -> pa.RecordBatch:
-                columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc_id", "c", "done"])
-
-            for k in range(batch.num_rows):
-                key, c = signatures(batch.column(1)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy(), hashes, t, groups)
-                done, gone = np.zeros(len(c), bool), np.zeros(len(c), bool)
-                for x in batch.column(3)[k].as_py() or []:
-                    inside = (c >= x["a"]) & (c < x["b"])
-                    done |= inside
-                    gone |= inside & x["exact"]
-                rows.append((key[~gone], np.full(int((~gone).sum()), batch.column(0)[k].as_py(), np.int64), c[~gone].astype(np.int32), done[~gone]))
-                held += len(c)
-                if held >= 200_000:
-                    yield flush(rows)
-                    rows, held = [], 0
-            if rows:
-                yield flush(rows)
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            start = 0
+            while start < batch.num_rows:  # documents of about 50,000 windows at once
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 50_000, "right")))
+                part = batch.slice(start, stop - start)
+                start = stop
+                ids, vs, ws, spans = part.columns
+                doc = np.repeat(np.arange(part.num_rows), vs.value_lengths().to_numpy())
+                key, c, doc = signatures(vs.flatten().to_numpy(), ws.flatten().to_numpy(), doc, hashes, t, groups)
+                lengths = spans.value_lengths().fill_null(0).to_numpy()
+                a, b, exact = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
+                behind = np.repeat(np.arange(part.num_rows), lengths) << 32
+                a, b, at, exact = behind + a, behind + b, doc << 32 | c, exact.astype(bool)
+                left = ~inside(at, a[exact], b[exact])
+                done = inside(at, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(ids.to_numpy()[doc[left]]), pa.array(c[left].astype(np.int32)), pa.array(done[left])], names=["key", "doc_id", "c", "done"])
 
     return run
 
@@ -197,44 +218,80 @@ class Held:
     def __init__(self, a: np.ndarray):
         self.a, self.n = a, len(a) + 1
         self.order = np.argsort(a, kind="stable")
-        self.s = a[self.order]
-        self.keys = np.searchsorted(self.s, self.s, "left") * self.n + self.order  # grows with value, then place
-
-    def spans(self, b: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Where each of b's shingles begins and ends in the order of values; None if fewer than ``need`` are there at all."""
-        lo = np.searchsorted(self.s, b, "left")
-        if np.count_nonzero(self.s[np.minimum(lo, len(self.s) - 1)] == b) < need:
-            return None
-        return lo, np.searchsorted(self.s, b, "right")
-
-
-def grow(held: Held, b: np.ndarray, spans: tuple[np.ndarray, np.ndarray], at: int, pb: int, percent: int, band: int = 48) -> tuple[int, int, int, int, float] | None:
-    """The best passage around equal shingles held.a[at] and b[pb]: (a start, a end, b start, b end, Jaccard) in shingles."""
+        s = a[self.order]
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        self.values, self.first = s[new], np.append(np.flatnonzero(new), len(a))
+        ranks = np.cumsum(new) - 1
+        self.keys = ranks * self.n + self.order  # grows with value, then place
+        self.rank = np.empty(len(a), np.int64)
+        self.rank[self.order] = ranks
+
+
+class Met:
+    """Where a later text's shingles stand in a held one: ranks of their values there, -1 if none, and places of those that are there."""
+
+    def __init__(self, held: Held, b: np.ndarray):
+        self.held, self.b = held, b
+        self.rank = np.minimum(np.searchsorted(held.values, b), len(held.values) - 1)
+        self.rank[held.values[self.rank] != b] = -1
+        self.hits = np.flatnonzero(self.rank >= 0)
+        own = self.rank[self.hits]
+        lo, hi = held.first[own], held.first[own + 1]
+        self.found = held.order[lo]
+        self.many = np.flatnonzero(hi - lo > 1)  # several places to choose from
+        self.own, self.lo, self.hi = own[self.many], lo[self.many], hi[self.many]
+
+    def places(self, off: int) -> np.ndarray:
+        """Place of each hit in the held text, nearest to the diagonal ``off`` places on."""
+        if not len(self.many):
+            return self.found
+        held, found = self.held, self.found.copy()
+        expected = self.hits[self.many] + off
+        k = np.searchsorted(held.keys, self.own * held.n + np.clip(expected, 0, held.n - 1))
+        after, before = (held.order[np.clip(x, self.lo, self.hi - 1)] for x in (k, k - 1))
+        found[self.many] = np.where(np.abs(after - expected) < np.abs(before - expected), after, before)
+        return found
+
+    def likeness(self, a0: int, a1: int, b0: int, b1: int) -> float:
+        x, y = (np.zeros(len(self.held.values), bool) for _ in range(2))
+        x[self.held.rank[a0:a1]] = True
+        rank = self.rank[b0:b1]
+        y[rank[rank >= 0]] = True
+        other = self.b[b0:b1][rank < 0]
+        common = np.count_nonzero(x & y)
+        return common / (np.count_nonzero(x) + np.count_nonzero(y) + len(np.unique(other)) - common)
+
+
+def grow(met: Met, at: int, pb: int, percent: int, need: int = 1, band: int = 48) -> tuple[int, int, int, int, float] | None:
+    """The best passage around equal shingles, the held text's at ``at`` and the other's at ``pb``: (a start, a end, b start, b end, Jaccard) in shingles.
+
+    None if fewer than ``need`` shingles are near the diagonal: no run of the places that ask for so many can pass then.
+    """
     # where each shingle of b stands in a, nearest to the diagonal
-    lo, hi = spans
-    expected = np.arange(len(b)) + at - pb
-    k = np.searchsorted(held.keys, lo * held.n + np.clip(expected, 0, held.n - 1))
-    here = hi > lo
-    after, before = (held.order[np.clip(x, np.minimum(lo, len(held.a) - 1), np.maximum(hi - 1, 0))] for x in (k, k - 1))
-    found = np.where(np.abs(after - expected) < np.abs(before - expected), after, before)
-    same = here & (np.abs(found - expected) <= band)
-    if not same[pb]:
+    found = met.places(at - pb)
+    same = np.abs(found - met.hits - (at - pb)) <= band
+    hits, found = met.hits[same], found[same]
+    k = np.searchsorted(hits, pb)
+    if len(hits) < need or k == len(hits) or hits[k] != pb:
         return None
-    # Jaccard 0.8 is 8 of 9 shingles of either side: one that differs for eight that don't
-    total = np.concatenate(([0], np.cumsum(np.where(same, 100 - percent, -2 * percent))))
+    # Jaccard 0.8 is 8 of 9 shingles of either side: one that differs for eight that don't; so no run is longer than what all hits allow
+    most = len(hits) * (100 + percent) // (2 * percent) + 1 if percent else len(met.b)
+    low, high = max(0, pb - most), min(len(met.b), pb + most + 1)
+    gain = np.full(high - low, -2 * percent)
+    gain[hits[np.searchsorted(hits, low) : np.searchsorted(hits, high)] - low] = 100 - percent
+    total = np.concatenate(([0], np.cumsum(gain)))
+    q = pb - low
     # the longest run around pb that isn't below zero, else the one of the greatest sum
-    most = np.maximum.accumulate(total[:pb:-1])[::-1]  # from each end on, ends being pb + 1, ...
-    reach = len(most) - np.searchsorted(most[::-1], total[: pb + 1], "left")  # how many ends have enough further on
-    start = int(np.where(reach > 0, pb + reach - np.arange(pb + 1), 0).argmax())
-    longest = (start, pb + int(reach[start]))
-    richest = (int(total[: pb + 1].argmin()), pb + 1 + int(total[pb + 1 :].argmax()))
+    best = np.maximum.accumulate(total[:q:-1])[::-1]  # from each end on, ends being pb + 1, ...
+    reach = len(best) - np.searchsorted(best[::-1], total[: q + 1], "left")  # how many ends have enough further on
+    start = int(np.where(reach > 0, q + reach - np.arange(q + 1), 0).argmax())
+    longest = (start, q + int(reach[start]))
+    richest = (int(total[: q + 1].argmin()), q + 1 + int(total[q + 1 :].argmax()))
     for b0, b1 in dict.fromkeys((longest, richest)):
-        hits = b0 + np.flatnonzero(same[b0:b1])
-        b0, b1 = int(hits[0]), int(hits[-1]) + 1
-        a0, a1 = int(found[hits].min()), int(found[hits].max()) + 1
-        x, y = np.unique(held.a[a0:a1]), np.unique(b[b0:b1])
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        likeness = common / (len(x) + len(y) - common)
+        i, j = np.searchsorted(hits, (low + b0, low + b1))
+        b0, b1 = int(hits[i]), int(hits[j - 1]) + 1
+        a0, a1 = int(found[i:j].min()), int(found[i:j].max()) + 1
+        likeness = met.likeness(a0, a1, b0, b1)
         if likeness * 100 >= percent:
             break
     return a0, a1, b0, b1, likeness
@@ -246,19 +303,20 @@ def _verified(percent: int, t: int):
         need = -(-2 * percent * t // (100 + percent))  # common shingles of two passages of t places
         for batch in batches:
             rows = []
-            for doc, other, places, w, pw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy()).tolist()
+            c, pc = (x.to_pylist() for x in batch.column(2).flatten().flatten())
+            for k, (doc, other) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if other != last:
-                    last, held = other, Held(_runs(np.frombuffer(pw, np.uint32)))
-                b = _runs(np.frombuffer(w, np.uint32))
-                spans = held.spans(b, need)
-                if spans is None:
+                    last, held = other, Held(_runs(np.frombuffer(batch.column(4)[k].as_py(), np.uint32)))
+                met = Met(held, _runs(np.frombuffer(batch.column(3)[k].as_py(), np.uint32)))
+                if len(met.hits) < need:
                     continue
                 done: list[tuple[int, int]] = []
                 own: list[tuple] = []
-                for p in sorted(places, key=lambda x: (x["c"], x["pc"])):
-                    if any(s <= p["c"] < e for s, e in done) or p["c"] >= len(b) or p["pc"] >= len(held.a):
+                for x, y in sorted(zip(c[ends[k - 1] if k else 0 : ends[k]], pc[ends[k - 1] if k else 0 : ends[k]], strict=True)):
+                    if any(s <= x < e for s, e in done) or x >= len(met.b) or y >= len(held.a):
                         continue
-                    got = grow(held, b, spans, p["pc"], p["c"], percent)
+                    got = grow(met, y, x, percent, need)
                     if got and got[3] - got[2] >= t and got[1] - got[0] >= t and got[4] * 100 >= percent:
                         done.append((got[2], got[3]))
                         own.append((doc, got[2], got[3] + SIZE - 1, other, got[0], got[1] + SIZE - 1, got[4]))
@@ -351,7 +409,6 @@ def _runs_around(t: int):
     """(h, doc_id, s, open): hashes of every run of ``t`` shingles around the given centres of (doc_id, w, cs), and whether one of these is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(t - 1, np.uint64(0x9E3779B97F4A7C15)))))
         for batch in batches:
             for k in range(batch.num_rows):
                 a = _runs(np.frombuffer(batch.column(1)[k].as_py(), np.uint32))
@@ -365,11 +422,11 @@ def _runs_around(t: int):
                         near[row, min(x["c"], last) + 1] -= 1
                 covered = near.cumsum(1)[:, : last + 1] > 0
                 starts = np.flatnonzero(covered[0])
+                power, inverse = _powers(len(a))
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(mix64(a) * power[: len(a)])))
                 for i in range(0, len(starts), 50_000):
                     own = starts[i : i + 50_000]
-                    h = np.zeros(len(own), np.uint64)
-                    for j in range(t):
-                        h += mix64(a[own + j]) * powers[j]
+                    h = (sums[own + t] - sums[own]) * inverse[own]
                     yield pa.RecordBatch.from_arrays([pa.array(mix64(h).view(np.int64)), pa.array(np.full(len(own), batch.column(0)[k].as_py(), np.int64)), pa.array(own.astype(np.int32)), pa.array(covered[1][own])], names=["h", "doc_id", "s", "open"])
 
     return run
@@ -419,16 +476,35 @@ def _around(t: int):
 
 def near_centres(b: list[bytes], a: list[bytes], t: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of ``b`` have ``need`` shingles of one of ``a`` within some ``t`` places: (indices into b, indices into a). All are 32-bit hashes."""
-    size = np.array([len(x) // 4 for x in b])
-    flat, place = np.frombuffer(b"".join(b), np.uint32), np.concatenate([np.arange(n) for n in size])
-    whose = np.repeat(np.arange(len(b)), size)
-    own = np.unique(np.repeat(np.arange(len(a), dtype=np.uint64), [len(x) // 4 for x in a]) | np.frombuffer(b"".join(a), np.uint32).astype(np.uint64) << np.uint64(32))
-    value, holder = (own >> np.uint64(32)).astype(np.uint32), (own & np.uint64((1 << 32) - 1)).astype(np.int64)
-    lo = np.searchsorted(value, flat, "left")
-    n = np.searchsorted(value, flat, "right") - lo
+    return _near_in_groups(*((*_hashes(x), np.array([len(x)])) for x in (b, a)), t, need)
+
+
+def _hashes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All 32-bit hashes, and how many each row has."""
+    return np.frombuffer(b"".join(rows), np.uint32), np.array([len(x) // 4 for x in rows])
+
+
+def _near_in_groups(b: tuple, a: tuple, t: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`near_centres` for several groups at once, fewer than 4,096; each side as all hashes, their number for each member, and the members of each group."""
+    (flat, size, nb), (theirs, their_size, na) = b, a
+    start_b, start_a = np.cumsum(nb) - nb, np.cumsum(na) - na
+    groups = np.arange(len(nb), dtype=np.uint64)
+    whose = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    group_b, group_a = np.repeat(groups, nb), np.repeat(groups, na)
+    member = np.arange(len(their_size)) - np.repeat(start_a, na)  # within its group: of a pack, so far below 2**20
+    own = unique_sorted(np.repeat(group_a << np.uint64(52) | member.astype(np.uint64), their_size) | theirs.astype(np.uint64) << np.uint64(20))
+    value, holder = own >> np.uint64(20), (own & np.uint64((1 << 20) - 1)).astype(np.int64)
+    wanted = group_b[whose] << np.uint64(32) | flat
+    lo = np.searchsorted(value, wanted, "left")
+    n = np.searchsorted(value, wanted, "right") - lo
     hit = np.repeat(np.arange(len(flat)), n)  # at most one for each place and member of a
-    pair = whose[hit] * len(a) + holder[np.arange(len(hit)) + np.repeat(lo - np.cumsum(n) + n, n)]
-    counts = np.bincount(pair, minlength=len(a) * len(b))
+    # pairs are numbered by group, member of b and member of a
+    first = np.cumsum(nb * na) - nb * na
+    mine = whose[hit]
+    g = group_b[mine].astype(np.int64)
+    pair = first[g] + (mine - start_b[g]) * na[g] + holder[np.arange(len(hit)) + np.repeat(lo - np.cumsum(n) + n, n)]
+    counts = np.bincount(pair, minlength=int((nb * na).sum()))
     some = np.flatnonzero(counts >= need)
     if not len(some):
         return some, some
@@ -438,7 +514,9 @@ def near_centres(b: list[bytes], a: list[bytes], t: int, need: int) -> tuple[np.
     total = total.cumsum(1)
     wide = min(t, total.shape[1] - 1)
     some = some[(total[:, wide:] - total[:, :-wide]).max(1) >= need]
-    return some // len(a), some % len(a)
+    g = np.searchsorted(first, some, "right") - 1
+    some = some - first[g]
+    return start_b[g] + some // na[g], start_a[g] + some % na[g]
 
 
 def _apart(percent: int, t: int):
@@ -447,9 +525,15 @@ def _apart(percent: int, t: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                (doc, c, b), (other, pc, a) = (batch.column(i)[k].values.flatten() for i in (0, 1))
-                i, j = near_centres(b.to_pylist(), a.to_pylist(), t, need)
+            counts = [x.value_lengths().to_numpy().astype(np.int64) for x in batch.columns]
+            ends = np.cumsum(counts[0] * counts[1])
+            start = 0
+            while start < batch.num_rows:  # packs of about two full pairs' work at once
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2 * PACK[0] * PACK[1], "right")))
+                stop = min(stop, start + 4095)
+                (doc, c, b), (other, pc, a) = (x.slice(start, stop - start).flatten().flatten() for x in batch.columns)
+                i, j = _near_in_groups((*_hashes(b.to_pylist()), counts[0][start:stop]), (*_hashes(a.to_pylist()), counts[1][start:stop]), t, need)
+                start = stop
                 doc, c, other, pc = doc.to_numpy()[i], c.to_numpy()[i], other.to_numpy()[j], pc.to_numpy()[j]
                 late = other < doc
                 yield pa.RecordBatch.from_arrays([pa.array(x[late]) for x in (doc, other, c, pc)], names=["doc_id", "other", "c", "pc"])

@@ -1,12 +1,14 @@
 import random
+import time
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexweave.llm.substring_dedup import compact_windows, find_passages, near_centres, without_passages
+from lexweave.llm.substring_dedup import _apart, _signed, _windows, compact_windows, find_passages, near_centres, without_passages
 
 
 @settings(max_examples=200, deadline=None)
@@ -178,3 +180,51 @@ def test_centres_are_near_by_the_shingles_around_them():
         i, j = near_centres([x.tobytes() for x in b], [x.tobytes() for x in a], t, need)
         most = lambda x, y, t=t: max(np.isin(x, y)[k : k + t].sum() for k in range(len(x)))
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(k, m) for k, x in enumerate(b) for m, y in enumerate(a) if most(x, y) >= need}
+
+
+def once_and_row_by_row(make, batch):
+    """Rows of ``make()`` over a batch, and the CPU seconds for it at once and in batches of one row."""
+    seconds, rows = [], []
+    for parts in ([batch], [batch.slice(k, 1) for k in range(batch.num_rows)]):
+        begin = time.process_time()
+        out = list(make()(iter(parts)))
+        seconds.append(time.process_time() - begin)
+        rows.append(sorted(x for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True)))
+    assert rows[0] == rows[1] and rows[0]
+    return seconds
+
+
+def test_signatures_of_many_documents_are_made_at_once():
+    r = random.Random(1)
+    texts = [" ".join(r.choices(["a", "b", "c d"] if i % 50 == 0 else [str(k) for k in range(3000)], k=r.randrange(60, 200))) for i in range(2000)]
+    made = pa.Table.from_batches(_windows(4, 46)(iter([pa.record_batch({"doc_id": pa.array(range(2000), pa.int64()), "text": texts})])))
+    own = made.to_pandas().groupby("doc_id")[["v", "w"]].agg(list)
+    spans = [[{"a": 10, "b": 70, "exact": i % 6 == 0}, {"a": 40, "b": 90, "exact": True}] if i % 3 == 0 else None for i in range(len(own))]
+    lists = [pa.array(own[c].tolist(), pa.list_(pa.int64())) for c in ("v", "w")]
+    batch = pa.record_batch([pa.array(own.index.to_numpy()), *lists, pa.array(spans, pa.list_(pa.struct({"a": pa.int32(), "b": pa.int32(), "exact": pa.bool_()})))], names=["doc_id", "vs", "ws", "spans"])
+    once, alone = once_and_row_by_row(lambda: _signed(4, 46, [(0, 1), (0, 2), (1, 3)]), batch)
+    assert once * 3 < alone
+
+
+def test_small_packs_are_compared_at_once():
+    r = np.random.default_rng(2)
+    texts = [r.integers(0, 1 << 32, 91, dtype=np.uint32) for _ in range(300)]
+
+    def member(k):
+        x = texts[k % 300].copy()
+        x[: k // 300] = 0
+        return {"doc_id": k, "c": 45, "w": x.tobytes()}
+
+    rows = [([member(int(k) + 600)], [member(int(k)), member(int(r.integers(600)))]) for k in r.integers(0, 600, 3000)]
+    kind = pa.list_(pa.struct({"doc_id": pa.int64(), "c": pa.int32(), "w": pa.binary()}))
+    once, alone = once_and_row_by_row(lambda: _apart(80, 46), pa.record_batch([pa.array(x, kind) for x in zip(*rows, strict=True)], names=["opens", "others"]))
+    assert once * 3 < alone
+
+
+def test_pieces_of_windows_do_not_depend_on_their_neighbours():
+    """Documents in which a hash comes again within a window's length give the same windows alone and among others."""
+    r = random.Random(4)
+    texts = [" ".join(r.choices([str(k) for k in range(n)], k=250)) for n in (2, 3, 9, 4000, 40, 4000, 1)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    of = lambda part: {x for b in _windows(4, 46)(iter([pa.record_batch({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": [t for _, t in part]})])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert of(rows) == set().union(*(of([x]) for x in rows))
