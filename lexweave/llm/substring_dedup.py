@@ -553,17 +553,19 @@ def _closing(left: DataFrame, held: DataFrame, percent: int, t: int) -> DataFram
     members = materialize(live.groupBy("doc_id").agg(F.collect_list("x").alias("cs")))  # bounded by one document's windows
     around = materialize(_words_of(held, members.select("doc_id")).join(members, "doc_id").select("doc_id", "w", "cs").mapInArrow(_around(t), "key long, doc_id long, c int, open boolean, w binary"))
     one = F.struct("doc_id", "c", "w")
-    first = around.groupBy("key", F.xxhash64("w").alias("h")).agg(F.min(one).alias("x")).select("key", "x")
-
-    def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-        sizes = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("n")))
-        dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("x.doc_id", "x.c"), "n"))
-        out = materialize(dealt.groupBy("key", "part").agg(F.collect_list("x").alias(name)).select("key", name))  # about ``size`` members
-        release(sizes)
-        return out
-
-    opens, others = packed(around.where("open").select("key", one.alias("x")), PACK[0], "opens"), packed(first, PACK[1], "others")
-    near = opens.join(others, "key").select("opens", "others").mapInArrow(_apart(percent, t), "doc_id long, other long, c int, pc int")
+    first = materialize(around.groupBy("key", F.xxhash64("w").alias("h")).agg(F.min(one).alias("x")).select("key", "x"))
+    packs = lambda rows, size, name: rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = materialize(packs(around.where("open"), PACK[0], "m").join(packs(first, PACK[1], "n"), "key"))
+
+    def packed(rows: DataFrame, n: str, name: str) -> DataFrame:
+        dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("x.doc_id", "x.c"), n))
+        return materialize(dealt.groupBy("key", "part").agg(F.collect_list("x").alias(name), F.first("n").alias("n")))  # about a pack's members
+
+    opens, others = packed(around.where("open").select("key", one.alias("x")), "m", "opens"), packed(first, "n", "others")
+    release(first, sizes)
+    # the packs of a key meet by part, so those of a large group aren't one task's work
+    near = opens.select("key", "opens", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")).join(others.drop("n"), ["key", "part"])
+    near = near.select("opens", "others").mapInArrow(_apart(percent, t), "doc_id long, other long, c int, pc int")
     pairs = materialize(near.groupBy("doc_id", "other").agg(F.collect_set(F.struct("c", "pc")).alias("places")))  # bounded by one document's windows
     out = _verify(held, pairs, percent, t)
     release(groups, members, around, opens, others, pairs)

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexweave.llm import substring_dedup
 from lexweave.llm.substring_dedup import _apart, _signed, _windows, compact_windows, find_passages, near_centres, without_passages
 
 
@@ -228,3 +229,31 @@ def test_pieces_of_windows_do_not_depend_on_their_neighbours():
     rows = [(i, t) for i, t in enumerate(texts)]
     of = lambda part: {x for b in _windows(4, 46)(iter([pa.record_batch({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": [t for _, t in part]})])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
     assert of(rows) == set().union(*(of([x]) for x in rows))
+
+
+def test_packs_of_one_group_meet_in_several_tasks(spark, monkeypatch):
+    def where(percent, t):
+        def run(batches):
+            from pyspark import TaskContext
+
+            n = sum(b.num_rows for b in batches)
+            if n:
+                yield pa.record_batch({"doc_id": pa.array([TaskContext.get().partitionId()], pa.int64()), "other": pa.array([n], pa.int64()), "c": pa.array([0], pa.int32()), "pc": pa.array([0], pa.int32())})
+
+        return run
+
+    tasks = {}
+    monkeypatch.setattr(substring_dedup, "_apart", where)
+    monkeypatch.setattr(substring_dedup, "_verify", lambda held, pairs, percent, t: tasks.update({x.doc_id: x.other for x in pairs.collect()}))
+    monkeypatch.setattr(substring_dedup, "PACK", (4, 16))
+    r = np.random.default_rng(3)
+    held = spark.createDataFrame([(i, r.integers(0, 1 << 32, 100, dtype=np.uint32).tobytes()) for i in range(300)], "doc_id long, w binary")
+    left = spark.createDataFrame([(7, i, 50, False) for i in range(300)], "key long, doc_id long, c int, done boolean")
+    for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        spark.conf.set(k, v)
+    try:
+        substring_dedup._closing(left, held, 80, 46)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks.values()) > 1000 and max(tasks.values()) < 0.6 * sum(tasks.values())
